@@ -1,0 +1,18 @@
+"""Relational reports over orders, lineitem and customer."""
+
+from pyspark.sql import functions as F
+
+from ledgerlark.io import load
+
+QUERIES = {}
+ORACLES = {}
+
+
+def group_count_desc(spark, sf_dir):
+    """Rows per key, most frequent first."""
+    orders = load(spark, sf_dir, "orders")
+    return orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_orderpriority")
+
+
+QUERIES["group_count_desc"] = group_count_desc
+ORACLES["group_count_desc"] = "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"
