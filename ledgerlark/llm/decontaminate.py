@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, clear, cut
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII but digits and letters.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A probe table of at most this many bytes is broadcast at a time; a larger one is probed in several blocks.
 BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP, -1), "")
 
 
 def _shingle(words: Column, pos: Column, word: Column, k: int) -> Column:
@@ -30,9 +31,10 @@ def _shingle(words: Column, pos: Column, word: Column, k: int) -> Column:
 
 
 def _probed(docs: DataFrame, table: DataFrame, table_bytes: int, sizes: list[int]) -> DataFrame:
-    """Word positions of ``docs`` (row_key, words) whose shingle is a ``key`` of ``table``.
+    """Word positions of ``docs`` (words and others) whose shingle is a ``key`` of ``table``.
 
-    Each block of the table is broadcast; the positions are never shuffled.
+    Each block of the table is broadcast; the positions are never shuffled. What is done with the positions
+    must not filter by words, as Spark would move such a filter into the join and out of generated code.
     """
     blocks = max(1, -(-table_bytes // BROADCAST_BYTES))
     n = F.size("words")
@@ -82,8 +84,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     tokens = cut(at.where(F.col("at") + F.col("k") <= F.size("item")).withColumn("key", keys).drop("first"))
     sizes = sorted(r.k for r in tokens.select("k").distinct().collect()) or [shingle]
 
-    own = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    own = own.select("doc_id", F.xxhash64("words").alias("words_hash"), "words")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = docs.select("doc_id", text_hash.alias("text_hash"), words_of(F.col("text")).alias("words"))
     vocabulary = tokens.select("key").distinct()
     rarity = _probed(own.select("words"), vocabulary, 16 * tokens.count(), sizes).groupBy("key").count()
 
@@ -112,36 +114,54 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     )
     probe_bytes = probe.agg(F.sum(F.octet_length(F.array_join("item", "")) + 200)).first()[0] or 0
 
-    found = _probed(own, probe, probe_bytes, sizes)
-    ahead = F.least(F.size("item") - F.col("at"), F.lit(window))
-    found = found.withColumn("back", _run(F.col("words"), F.col("pos"), F.col("item"), F.col("at"), F.col("at") + 1, -1))
-    found = found.withColumn("ahead", _run(F.col("words"), F.col("pos"), F.col("item"), F.col("at"), ahead, 1))
-    spans = found.where(F.col("back") + F.col("ahead") - 1 >= F.col("least")).select(
+    near_low = F.greatest(F.lit(0), F.col("pos") - (window - 1))
+    found = _probed(own, probe, probe_bytes, sizes).select(
         "doc_id",
-        "words_hash",
+        "text_hash",
         "item_id",
-        (F.col("pos") - F.col("back") + 1).alias("start"),
-        (F.col("pos") + F.col("ahead")).alias("end"),
+        "item",
+        "at",
+        "least",
+        "pos",
+        F.slice("words", near_low + 1, 2 * window - 1).alias("near"),
+        (F.col("pos") - near_low).alias("near_at"),
+    )
+    ahead = F.least(F.size("item") - F.col("at"), F.lit(window))
+    found = found.withColumns(
+        {
+            "back": _run(F.col("near"), F.col("near_at"), F.col("item"), F.col("at"), F.col("at") + 1, -1),
+            "ahead": _run(F.col("near"), F.col("near_at"), F.col("item"), F.col("at"), ahead, 1),
+        }
+    )
+    spans = (
+        found.select(
+            "doc_id",
+            "text_hash",
+            (F.col("pos") - F.col("back") + 1).alias("start"),
+            (F.col("pos") + F.col("ahead")).alias("end"),
+            (F.col("back") + F.col("ahead") - 1 >= F.col("least")).alias("whole"),
+            "item_id",
+        )
+        .groupBy("doc_id", "text_hash", "start", "end")
+        .agg(F.max("whole").alias("whole"), F.collect_set(F.when(F.col("whole"), F.col("item_id"))).alias("ids"))
+        .where("whole")
     )
     reached = F.max("end").over(
-        Window.partitionBy("doc_id", "words_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     )
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(reached, F.lit(0))))
     marks = (
-        spans.groupBy("doc_id", "words_hash", "start", "end")
-        .agg(F.collect_set("item_id").alias("ids"))
-        .withColumn("fresh", fresh)
-        .groupBy("doc_id", "words_hash")
+        spans.withColumn("fresh", fresh)
+        .groupBy("doc_id", "text_hash")
         .agg(
             F.sum("fresh").cast("bigint").alias("n_hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"),
         )
     )
-    left = docs.withColumn("__words", words_of(docs["text"]))
-    left = left.select(
-        *docs.columns, F.struct(F.size("__words").cast("bigint").alias("n"), F.xxhash64("__words").alias("hash")).alias("__words")
-    )
-    match = left["doc_id"].eqNullSafe(marks["doc_id"]) & (left["__words.hash"] == marks["words_hash"])
+    # upper and lower case have the same words, so they are counted without lowering
+    counted = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP, -1), ""))
+    left = docs.withColumn("__words", F.struct(counted.cast("bigint").alias("n"), text_hash.alias("hash")))
+    match = left["doc_id"].eqNullSafe(marks["doc_id"]) & (left["__words.hash"] == marks["text_hash"])
     return left.join(marks, match, "left").select(
         *[left[c] for c in docs.columns],
         left["__words.n"].alias("n_words"),
