@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.io import load
 
-from . import chat_format, decontaminate, line_dedup
+from . import chat_format, decontaminate, line_dedup, simhash
 
 
 def op5_line_dedup(spark, sf_dir):
@@ -47,3 +47,9 @@ def op8_chat_format(spark, sf_dir):
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+def op10_simhash(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    found = simhash.near_components(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
