@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.io import load
 
-from . import chat_format, decontaminate, line_dedup, simhash
+from . import chat_format, decontaminate, line_dedup, quality, simhash, toxicity
 
 
 def op5_line_dedup(spark, sf_dir):
@@ -53,3 +53,24 @@ def op10_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
     found = simhash.near_components(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _fold(modulus):
+    """crc32 of doc_id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op6_quality(spark, sf_dir):
+    """Quality score of every document; every third row is held out from training."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, load(spark, sf_dir, "labels"), _fold(3) != 1)
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
+    return quality.quality_scores(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every document; every fifth row is held out from training."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, load(spark, sf_dir, "labels"), _fold(5) != 0)
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.toxicity_scores(docs, model).select("doc_id", held_out, "score", "predicted")
