@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, max_rows: int = 60
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(picked, "doc_id").select("doc_id", "label", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(gather, f"doc_id {kind}, label int, grams array<int>").dropDuplicates(["doc_id"])
-    found = rows.groupBy(F.lit(0)).applyInPandas(solve, "model binary").first()
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "model binary").first()
     return pickle.loads(found.model) if found else None
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.io import load
 
-from . import chat_format, decontaminate, line_dedup, quality, simhash, toxicity
+from . import chat_format, decontaminate, flac, line_dedup, quality, simhash, toxicity
 
 
 def op5_line_dedup(spark, sf_dir):
@@ -74,3 +74,9 @@ def op9_toxicity(spark, sf_dir):
     model = toxicity.train(docs, load(spark, sf_dir, "labels"), _fold(5) != 0)
     held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
     return toxicity.toxicity_scores(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op4_media(spark, sf_dir):
+    """Every document as a FLAC file, and what the file holds when read back."""
+    stored = flac.to_media(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return flac.read_back(stored)

@@ -270,7 +270,7 @@ def train(
     some = [once.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
     picked = F.broadcast(some[0].unionByName(some[1]))
     rows = docs.select("doc_id", text_of(docs).alias("text")).join(picked, "doc_id").dropDuplicates(["doc_id"])
-    found = rows.groupBy(F.lit(0)).applyInPandas(solve, "model binary").first()
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "model binary").first()
     return pickle.loads(found.model) if found else None
 
 
