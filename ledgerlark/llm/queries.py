@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from ledgerlark.io import load
 
-from . import chat_format, decontaminate, flac, line_dedup, quality, simhash, toxicity
+from . import chat_format, decontaminate, flac, line_dedup, pieces, quality, simhash, toxicity
+
+#: A public SentencePiece model; any other path can be given.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op5_line_dedup(spark, sf_dir):
@@ -80,3 +83,11 @@ def op4_media(spark, sf_dir):
     """Every document as a FLAC file, and what the file holds when read back."""
     stored = flac.to_media(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return flac.read_back(stored)
+
+
+def op1_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
+    """Ids of every document, and whether they give back its text."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, pieces.read_model(model_path))
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"), "parity")
