@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.io import load
 
-from . import chat_format, decontaminate, flac, line_dedup, pieces, quality, simhash, toxicity
+from . import chat_format, decontaminate, flac, html_text, line_dedup, pieces, quality, simhash, toxicity
 
 #: A public SentencePiece model; any other path can be given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -91,3 +91,8 @@ def op1_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
     coded = pieces.encode(docs, pieces.read_model(model_path))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"), "parity")
+
+
+def op2_html_extract(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -148,6 +148,8 @@ def _sub_fingerprints(hashes: np.ndarray, bins: int, mean: int) -> list[int]:
     The hash range is cut into 2**level equal bins of about ``mean`` shingles; of both levels next to the
     ideal one, so that sets of sizes within a factor of two share a level. The first ``bins`` bins count.
     """
+    if not len(hashes):
+        return [0]  # texts without words are alike
     found, ideal = [], np.log2(max(1.0, len(hashes) / mean))
     for level in {int(np.floor(ideal)), int(np.ceil(ideal))}:
         index = hashes >> np.uint64(64 - level) if level else np.zeros(len(hashes), np.uint64)
