@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.io import load
 
-from . import chat_format, decontaminate, flac, html_text, line_dedup, pieces, quality, simhash, toxicity
+from . import chat_format, decontaminate, flac, html_text, line_dedup, ngram_lm, pieces, quality, simhash, toxicity
 
 #: A public SentencePiece model; any other path can be given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -96,3 +96,8 @@ def op1_sentencepiece(spark, sf_dir, model_path=MODEL_PATH):
 def op2_html_extract(spark, sf_dir):
     """Main text of every page."""
     return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op3_lm_score(spark, sf_dir):
+    """Log probability of every document under a bigram model of six sevenths of them."""
+    return ngram_lm.score(load(spark, sf_dir, "documents").select("doc_id", "text"), _fold(7) != 2)
