@@ -1,7 +1,6 @@
 """All registered queries (name -> function of a session and a folder) and their DuckDB SQL."""
 
-from ledgerlark.plans import relational
+from . import reports  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "group_count_desc"
-QUERIES = {**relational.QUERIES}
-ORACLES = {**relational.ORACLES}
