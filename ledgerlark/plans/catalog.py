@@ -1,6 +1,6 @@
 """All registered queries (name -> function of a session and a folder) and their DuckDB SQL."""
 
-from . import reports  # noqa: F401
+from . import finding, links, reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
-FLAGSHIP = "group_count_desc"
+FLAGSHIP = "hybrid_search"
