@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import clear, cut, small_batches, text_of
@@ -161,7 +161,7 @@ def _sub_fingerprints(hashes: np.ndarray, bins: int, mean: int) -> list[int]:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bins: int = 12, mean: int = 4, chunk: int = 64
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bins: int = 12, mean: int = 4, small: int = 16
 ) -> DataFrame:
     """doc_id and group_id (the least doc_id of its group) for every distinct (doc_id, text) of ``docs``.
 
@@ -169,8 +169,10 @@ def near_duplicates(
     ``similarity``. At 0.8, whole-text fingerprints differ in some ten bits, beyond any covering code of
     useful size; so SimHash fingerprints of coordinated samples of each set are compared instead: alike
     texts agree in some of ``bins`` samples but for about one pair in 300, and every candidate is verified
-    on the whole sets. Equal texts are one node from the start. Buckets of more than ``chunk`` different texts are cut
-    into chunks of about that size, differently in each sample, and texts meet within chunks.
+    on the whole sets. Equal texts are one node from the start. In buckets of up to ``small`` different texts
+    all pairs are candidates. In a larger one each text meets the bucket's center, the member whose samples are
+    the most common (of edited copies the one they were made from, as an edit makes a sample rare), and
+    one other member, another one in each of its buckets; the pairs grow with the members.
 
     Null text is empty; texts without words are alike. Null doc_ids don't name a group that has others.
     """
@@ -201,12 +203,20 @@ def near_duplicates(
     )
     keyed = subs.select("text_hash", F.explode("subs").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    part = F.pmod(F.xxhash64("text_hash", "key"), F.ceil(F.col("n") / chunk))
-    members = keyed.join(sizes, "key").select("key", part.alias("part"), "text_hash")
-    other = members.select("key", "part", F.col("text_hash").alias("b"))
-    pairs = cut(
-        members.withColumnRenamed("text_hash", "a").join(other, ["key", "part"]).where("a > b").select("a", "b").distinct()
-    )
+    members = cut(keyed.join(sizes, "key"))
+    few = members.where(F.col("n") <= small).select("key", F.col("text_hash").alias("a"))
+    all_pairs = few.join(few.withColumnRenamed("a", "b"), "key").where("a > b").select("a", "b")
+    many = members.where(F.col("n") > small)
+    common = members.groupBy("text_hash").agg(F.sum("n").alias("common"))
+    best = F.max(F.struct("common", "text_hash")).getField("text_hash")
+    centers = many.join(common, "text_hash").groupBy("key").agg(best.alias("b"))
+    to_center = many.join(centers, "key").select(F.col("text_hash").alias("a"), "b")
+    # parts of a bucket of some hundred texts, so that no task orders a whole bucket
+    part = F.pmod(F.xxhash64("text_hash", "key"), F.ceil(F.col("n") / 256))
+    order = Window.partitionBy("key", part).orderBy(F.xxhash64("key", "text_hash"))
+    to_next = many.select(F.col("text_hash").alias("a"), F.lead("text_hash").over(order).alias("b"))
+    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    pairs = cut(all_pairs.union(to_center).union(to_next).where("a <> b").select(*ordered).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
     whole = cut(
         hashed.select("text_hash", "text")

@@ -110,6 +110,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert hit >= 0.97 * len(near)
 
 
+def test_large_group_of_edited_copies(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    texts = [base]
+    for _ in range(400):
+        copy = list(base)
+        for at in r.sample(range(len(base)), 3):
+            copy[at] = word()
+        texts.append(copy)
+    rows_ = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    alike = {i for i, t in rows_ if len(shingles(t) & shingles(rows_[0][1])) >= 0.8 * len(shingles(t) | shingles(rows_[0][1]))}
+    found = {x.doc_id: x.group_id for x in simhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert len(alike) > 300 and sum(found[i] == 0 for i in alike) >= 0.99 * len(alike)
+
+
 def test_keep_first(docs):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
