@@ -158,7 +158,7 @@ def replace_all(c: Column, pairs: list[tuple[str, str]], pattern: bool = False)
 
 def without_fillers(c: Column) -> Column:
     """Spoken fillers removed; "you know" stays before what it governs."""
-    steps = [(r"(?i)\b(um+|uh+|er|ah)\b,?\s*", ""), (r"(?i)\byou know\b,?\s*(?!that|what|how|why|who|where)", "")]
+    steps = [(r"(?i)\b(um+|uh+|er|ah)\b,?\s*", ""), (r"(?i)\byou know\b,?\s*+(?!that|what|how|why|who|where)", "")]
     return F.trim(F.regexp_replace(reduce(lambda col, s: F.regexp_replace(col, *s), steps, c), r"\s{2,}", " "))
 
 

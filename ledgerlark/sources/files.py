@@ -27,8 +27,8 @@ def utterances(df: DataFrame) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
     """Whole text files of a folder and those below it, of at least ``least`` characters: path, stem, text."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-    files = reader.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
+    files = reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     stem = F.regexp_extract("path", r"([^/]+)\.txt$", 1)
     return files.where(F.length("text") >= least).select("path", stem.alias("stem"), "text")
 

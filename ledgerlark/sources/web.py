@@ -103,7 +103,7 @@ def minutes(page: Column) -> Column:
     plain = text.strip_tags(page)
     names = lambda label: F.array_distinct(
         F.filter(
-            F.transform(F.split(F.regexp_extract(plain, rf"(?i)\b{label}:\s*([^.;]*)", 1), r",|\band\b"), F.trim),
+            F.transform(F.split(F.regexp_extract(plain, rf"(?i)\b{label}:\s*([^.;]*)", 1), r",|\band\b"), lambda x: F.trim(x)),
             lambda x: x != "",
         )
     )
