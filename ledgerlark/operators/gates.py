@@ -148,3 +148,109 @@ def corroborated(names: DataFrame, sources: DataFrame, key: str, name: str, colu
     hit = F.coalesce(F.regexp_like(F.col("__s"), word), F.lit(False))
     return joined.groupBy(*names.columns).agg(F.max(hit).alias("backed"))
 
+
+
+def attributed(quotes: DataFrame, turns: DataFrame, key: str, reach: int = 2, pad: float = 5.0, within: float = 45.0) -> DataFrame:
+    """``quotes`` (key, q, at, attrib) with ok and speakers: whether the attributed surname speaks near the quote.
+
+    ``turns`` has key, n (order), speaker, start and end. The turn that holds the time, or is nearest, and
+    ``reach`` turns on each side count; without a turn in reach, or with unnamed speakers alone, nothing is
+    held against the quote. Speakers of one word have no surname, so a quote near them is left open (null).
+    """
+    from ledgerlark.operators.joins import point_in_interval
+
+    near = point_in_interval(quotes.select(key, "q", "at"), turns.select(key, "n", "start", "end"), key, "q", "n", pad, within)
+    names = turns.select(key, F.col("n").alias("m"), "speaker").where(F.col("speaker").isNotNull() & ~F.col("speaker").rlike("^(?i)(speaker|unknown)"))
+    spread = quotes.select(key, "q").join(near, "q").select(key, "q", F.explode(F.sequence(F.col("n") - reach, F.col("n") + reach)).alias("m"))
+    said = spread.join(names, [key, "m"]).groupBy("q").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
+    joined = quotes.join(said, "q", "left")
+    same = F.exists("speakers", lambda s: text.surname(s) == text.surname(F.col("attrib")))
+    lone = F.exists("speakers", lambda s: ~s.contains(" "))
+    ok = F.when(F.col("speakers").isNull() | same, True).when(lone, None).otherwise(False)
+    return joined.withColumn("ok", ok)
+
+
+def name_provenance(names: DataFrame, own: DataFrame, labels: DataFrame, wider: DataFrame, key: str) -> DataFrame:
+    """``names`` (key, name) with verdict: own record, label without minutes, attendance, wider source, or none.
+
+    ``own`` has key, text (what was said, minutes, agenda) and has_minutes; ``labels`` key and label; ``wider`` a text.
+    A name counts in either order of its words. One that only a speaker label has must be in the minutes where
+    there are any.
+    """
+    flat = lambda c: F.concat(F.lit(" "), text.loose(F.coalesce(c, F.lit(""))), F.lit(" "))
+    turned = lambda c: F.concat(F.lit(" "), F.array_join(F.reverse(F.split(F.trim(c), " ")), " "), F.lit(" "))
+    asked = names.select(key, "name").distinct().withColumn("f", flat(F.col("name")))
+    has = lambda t: F.coalesce(F.contains(t, F.col("f")) | F.contains(t, turned(F.col("f"))), F.lit(False))
+    mine = own.groupBy(key).agg(F.array_join(F.collect_list("text"), " ").alias("t"), F.max("has_minutes").alias("has_minutes"))
+    joined = asked.join(mine.withColumn("t", flat(F.col("t"))), key, "left")
+    told = labels.select(key, F.col("label").alias("__l")).distinct()
+    labelled = joined.join(told.groupBy(key).agg(F.collect_set(text.loose(F.col("__l"))).alias("ls")), key, "left")
+    by_label = F.coalesce(F.array_contains("ls", F.trim("f")) | F.array_contains("ls", F.trim(turned(F.col("f")))), F.lit(False))
+    words = wider.select(F.explode(F.array_distinct(F.split(F.trim(flat(F.col("text"))), " "))).alias("w"), F.xxhash64("text").alias("k")).distinct()
+    first = asked.select("name", "f", F.explode(F.split(F.trim("f"), " ")).alias("w")).distinct()
+    maybe = first.join(words, "w").select("name", "f", "k").distinct()
+    texts = wider.select(F.xxhash64("text").alias("k"), flat(F.col("text")).alias("t")).dropDuplicates(["k"])
+    out = texts.join(maybe, "k").where(has(F.col("t"))).select("name").distinct().withColumn("outside", F.lit(True))
+    verdict = (
+        F.when(has(F.col("t")), "own record")
+        .when(by_label & F.coalesce("has_minutes", F.lit(False)), "attendance")
+        .when(by_label, "label")
+        .when(F.col("outside"), "wider source")
+        .otherwise("none")
+    )
+    return labelled.join(out, "name", "left").select(key, "name", verdict.alias("verdict"))
+
+
+def quote_at(quotes: DataFrame, pool: DataFrame, key: str) -> DataFrame:
+    """``quotes`` (key, at, quote) with ok and reason: whether the pool's text (key, at, text) at that time agrees, as a
+    part of either, after repeated words are collapsed as well."""
+    joined = quotes.join(pool.select(key, "at", F.col("text").alias("pool_text")).dropDuplicates([key, "at"]), [key, "at"], "left")
+    plain = lambda c: text.no_punctuation(c)
+    a, b = plain(F.col("quote")), plain(F.col("pool_text"))
+    pairs = [(a, b), (text.deflutter(a), text.deflutter(b))]
+    match = F.lit(False)
+    for x, y in pairs:
+        match = match | F.contains(x, y) | F.contains(y, x)
+    reason = F.when(F.col("pool_text").isNull(), "not in pool").when(match, "match").otherwise("text differs")
+    return joined.withColumn("reason", reason).withColumn("ok", reason == "match")
+
+
+def repaired_times(quotes: DataFrame, turns: DataFrame, key: str, least: float = 0.7, off: float = 30.0) -> DataFrame:
+    """``quotes`` (key, q, at, quote) with fixed: the time of the turn (key, start, text) that the quote is from, where it
+    is more than ``off`` seconds away; else the time given.
+
+    A turn with the quote's first six words wins, then one with the first four, then the most similar of those
+    that share a word of four letters with the quote, if similar enough; the earliest of equals.
+    """
+    flat = text.no_punctuation
+    asked = quotes.withColumn("f", flat(F.col("quote")))
+    said = turns.select(key, "start", flat(F.col("text")).alias("t"))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 4))
+    a = asked.select(key, "q", "f", F.explode(words(F.col("f"))).alias("w"))
+    b = said.select(key, "start", "t", F.explode(words(F.col("t"))).alias("w"))
+    pairs = a.join(b, [key, "w"]).drop("w").distinct()
+    lead = lambda n: F.array_join(F.slice(F.split("f", " "), 1, n), " ")
+    tier = F.when(F.contains("t", lead(6)), 0).when(F.contains("t", lead(4)), 1).otherwise(2)
+    scored = pairs.withColumns({"tier": tier, "ratio": text.edit_ratio(F.col("f"), F.col("t"))})
+    good = scored.where((F.col("tier") < 2) | (F.col("ratio") >= least))
+    best = good.groupBy("q").agg(F.min(F.struct("tier", F.when(F.col("tier") < 2, 0.0).otherwise(-F.col("ratio")).alias("r"), "start")).alias("b"))
+    joined = quotes.join(best, "q", "left")
+    found = F.col("b.start")
+    return joined.withColumn("fixed", F.when(F.abs(found - F.col("at")) > off, found).otherwise(F.col("at"))).drop("b")
+
+
+def dead_references(docs: DataFrame, key: str, column: str, files: DataFrame, name: str) -> DataFrame:
+    """key and reference of the photo markers whose file isn't there."""
+    marks = F.filter(text.shortcodes(F.col(column)), lambda m: m["kind"] == "photo")
+    used = docs.select(key, F.explode(F.transform(marks, lambda m: F.array_join(F.slice(F.split(m["argument"], ":"), 1, 2), ":"))).alias("reference"))
+    return used.distinct().join(files.select(F.col(name).alias("reference")), "reference", "left_anti").select(key, "reference")
+
+
+def shared_addresses(docs: DataFrame, key: str, column: str, most: int = 5) -> DataFrame:
+    """key, address and others: up to ``most`` other documents that have an address of the document."""
+    held = docs.select(key, F.explode(F.array_distinct(text.all_matches(F.col(column), text.STREET))).alias("address"))
+    order = Window.partitionBy("address").orderBy(key)
+    # neighbours in the address's own order, so that a common address makes no pairs
+    near = [F.lag(key, i).over(order) for i in range(most, 0, -1)] + [F.lead(key, i).over(order) for i in range(1, most + 1)]
+    others = F.slice(F.array_compact(F.array(*near)), 1, most)
+    return held.withColumn("others", others).where(F.size("others") > 0)
