@@ -147,4 +147,4 @@ def fallback_lookup(keys: DataFrame, first: DataFrame, second: DataFrame, key: s
 
 def same_key_as_text(c: Column) -> Column:
     """A key as text: whole numbers without leading zeros, all else as it is."""
-    return F.coalesce(F.try_cast(c, "bigint").cast("string") if hasattr(F, "try_cast") else c.try_cast("bigint").cast("string"), c.cast("string"))
+    return F.coalesce(c.try_cast("bigint").cast("string"), c.cast("string"))
