@@ -75,13 +75,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     """
     docs = clear(docs, "n_words", "n_hit", "item_ids", "__words")
     parts = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item"))
-    parts = parts.where(F.size("item") > 0).distinct()
-    k = F.least(F.size("item"), F.lit(shingle))
-    at = parts.select("item_id", "item", k.alias("k"), F.posexplode("item").alias("at", "first"))
+    parts = parts.where(F.size("item") > 0).withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_key"])
+    k, n = F.least(F.size("item"), F.lit(shingle)), F.size("item")
+    at = parts.select("item_id", "item_key", "item", k.alias("k"), n.alias("n"), F.posexplode("item").alias("at", "first"))
     keys = F.coalesce(
-        *[F.when(F.col("k") == n, _shingle(F.col("item"), F.col("at"), F.col("first"), n)) for n in range(1, shingle + 1)]
+        *[F.when(F.col("k") == m, _shingle(F.col("item"), F.col("at"), F.col("first"), m)) for m in range(1, shingle + 1)]
+    )
+    # of an item, which may be long, a row keeps no more than the windows around its own word
+    low = F.greatest(F.lit(0), F.col("at") - (window - 1))
+    tokens = cut(
+        at.where(F.col("at") + F.col("k") <= F.col("n")).select(
+            "item_id",
+            "item_key",
+            "k",
+            "n",
+            "at",
+            keys.alias("key"),
+            F.slice("item", low + 1, F.lit(2 * window - 1)).alias("item"),
+            (F.col("at") - low).alias("item_at"),
+        )
     )
-    tokens = cut(at.where(F.col("at") + F.col("k") <= F.size("item")).withColumn("key", keys).drop("first"))
     sizes = sorted(r.k for r in tokens.select("k").distinct().collect()) or [shingle]
 
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -90,26 +103,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     rarity = _probed(own.select("words"), vocabulary, 16 * tokens.count(), sizes).groupBy("key").count()
 
     # the rarest shingle of each window; without it the window occurs nowhere
-    length = F.least(F.size("item"), F.lit(window))
-    per_item = Window.partitionBy("item_id", "item").orderBy("at").rowsBetween(0, window - shingle)
+    length = F.least(F.col("n"), F.lit(window))
+    per_item = Window.partitionBy("item_key").orderBy("at").rowsBetween(0, window - shingle)
     best = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("at").alias("anchor"))).over(per_item)
     anchors = (
         tokens.join(rarity, "key", "left")
-        .select("item_id", "item", "k", "at", best.alias("best"))
-        .where((F.col("at") + length <= F.size("item")) & (F.col("best.n") > 0))
-        .select("item_id", "item", "k", F.col("best.anchor").alias("anchor"))
+        .select("item_key", "at", (F.col("at") + length <= F.col("n")).alias("begins"), best.alias("best"))
+        .where(F.col("begins") & (F.col("best.n") > 0))
+        .select("item_key", F.col("best.anchor").alias("at"))
         .distinct()
     )
-    low = F.greatest(F.lit(0), F.col("anchor") - (window - 1))
     probe = cut(
-        anchors.join(
-            tokens.select("item_id", "item", F.col("at").alias("anchor"), "key"), ["item_id", "item", "anchor"]
-        ).select(
-            "key",
-            "item_id",
-            (F.col("anchor") - low).alias("at"),
-            F.slice("item", low + 1, F.lit(2 * window - 1)).alias("item"),
-            length.alias("least"),
+        tokens.join(anchors, ["item_key", "at"]).select(
+            "key", "item_id", F.col("item_at").alias("at"), "item", length.alias("least")
         )
     )
     probe_bytes = probe.agg(F.sum(F.octet_length(F.array_join("item", "")) + 200)).first()[0] or 0

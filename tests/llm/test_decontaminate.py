@@ -63,6 +63,16 @@ def test_empty_tables(spark, no_docs, docs):
     assert found.count() == docs.count() and found.where("n_hit > 0").count() == 0
 
 
+def test_long_item_and_long_document(spark):
+    r = random.Random(6)
+    item = [f"w{r.randrange(5000)}" for _ in range(20_000)]
+    text = " ".join([f"v{i}" for i in range(50_000)] + item[7000:7040] + [f"v{i}" for i in range(50_000)])
+    d = spark.createDataFrame([(1, text), (2, " ".join(item[:9]))], "doc_id long, text string")
+    i = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    found = {x.doc_id: (x.n_words, x.n_hit) for x in decontaminate.contamination(d, i).collect()}
+    assert found == {1: (100_040, 40), 2: (9, 0)}
+
+
 def test_long_words_and_ties(spark):
     long = "z" * 100_000
     text = " ".join(["same"] * 40)
