@@ -55,3 +55,12 @@ def clear(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that have one of these names in any case; results replace such columns."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with its long ``keys`` recomputed, so that Spark shuffles this side for the very join it goes into.
+
+    Adaptive execution splits the partition of a hot key only where both sides were shuffled for the join; a
+    side that comes out of an aggregate by the same keys would be joined as it lies, hot key and all.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("bigint")) for k in keys})

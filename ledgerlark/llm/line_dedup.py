@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, clear, text_of
+from .common import BLANKS, ascii_lower, clear, dealt_anew, text_of
 
 BITS = 64
 
@@ -46,19 +46,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     hashed = keyed.select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos"
     )
-    ranged = hashed.repartitionByRange("h1", "h2", "doc_id", "text_hash", "pos").sortWithinPartitions(
-        "h1", "h2", "doc_id", "text_hash", "pos"
-    )
+    # ranges end between documents of a key, never inside one, so both groupings below need no other shuffle
+    ranged = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
     held = ranged.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.collect_list("pos").alias("positions"))
+    # the number of positions is asked for so that both uses of ``held`` read the same columns and share its shuffle
     common = (
         held.groupBy("h1", "h2", "doc_id")
-        .agg(F.lit(1).alias("one"))
+        .agg(F.max(F.size("positions")).alias("n_lines"))
         .groupBy("h1", "h2")
-        .agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
+        .agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"), F.sum("n_lines").alias("n_lines"))
+        .where((F.col("n_docs") >= min_docs) & (F.col("n_lines") >= min_docs))
+        .drop("n_lines")
     )
     dropped = (
-        held.join(common, ["h1", "h2"])
+        held.join(dealt_anew(common, "h1", "h2"), ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .select("doc_id", "text_hash", F.explode("positions").alias("pos"))
     )
