@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clear, cut, small_batches, text_of
+from .common import clear, cut, dealt_anew, small_batches, text_of
 
 RADIUS = 2
 LABELS = [1 + i % 7 for i in range(64)]
@@ -220,9 +220,9 @@ def near_duplicates(
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
     whole = cut(
         hashed.select("text_hash", "text")
+        .dropDuplicates(["text_hash"])  # in the map tasks first, so copies don't travel
         .join(wanted, "text_hash", "left_semi")
         .mapInArrow(sets, "text_hash bigint, shingles array<bigint>")
-        .dropDuplicates(["text_hash"])
     )
     first = whole.select(F.col("text_hash").alias("a"), F.col("shingles").alias("s"))
     second = whole.select(F.col("text_hash").alias("b"), F.col("shingles").alias("t"))
@@ -236,7 +236,7 @@ def near_duplicates(
     return (
         hashed.select("doc_id", "text_hash")
         .distinct()
-        .join(named.select("text_hash", "root"), "text_hash")
+        .join(dealt_anew(named.select("text_hash", "root"), "text_hash"), "text_hash")
         .join(names, "root")
         .select("doc_id", "text_hash", "group_id")
     )
