@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import clear, cut, dealt_anew, small_batches, text_of
@@ -142,49 +142,77 @@ def hex16(fp: Column) -> Column:
 # ---- texts alike by their word shingles -------------------------------------------------------------------
 
 
-def _sub_fingerprints(hashes: np.ndarray, bins: int, mean: int) -> list[int]:
-    """SimHash fingerprints of coordinated samples of a shingle set (sorted, distinct).
+def _prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles (sorted, distinct) in one global order: uncommon ones by value, then ``common`` ones by ``rank``.
 
-    The hash range is cut into 2**level equal bins of about ``mean`` shingles; of both levels next to the
-    ideal one, so that sets of sizes within a factor of two share a level. The first ``bins`` bins count.
+    A set that is alike shares one of them, as it has at least ``similarity`` of these shingles.
     """
-    if not len(hashes):
-        return [0]  # texts without words are alike
-    found, ideal = [], np.log2(max(1.0, len(hashes) / mean))
-    for level in {int(np.floor(ideal)), int(np.ceil(ideal))}:
-        index = hashes >> np.uint64(64 - level) if level else np.zeros(len(hashes), np.uint64)
-        for b in range(min(bins, 1 << level)):
-            lo, hi = np.searchsorted(index, [b, b + 1])
-            if hi > lo:
-                found.append(_signed(xxhash.xxh64_intdigest(bytes([level, b]) + fingerprint(hashes[lo:hi]).to_bytes(8))))
-    return found
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint64)  # texts without words are alike
+    keys = n - int(np.ceil(similarity * n - 1e-6)) + 1
+    if not len(common):
+        return shingles[:keys]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    place = np.where(common[at] == shingles, rank[at], 0)
+    return shingles[np.lexsort((shingles, place))[:keys]]
+
+
+def _common_shingles(texts: DataFrame, shingle: int, most: int, every: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of the commonest shingles (sorted) and their counts, in one text of ``every``.
+
+    They only order shingles: any order finds the same pairs, a good one with smaller buckets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle)).view(np.int64))], ["key"])
+
+    some = texts.where(F.pmod("text_hash", F.lit(every)) == 0).dropDuplicates(["text_hash"])
+    counts = cut(some.select("text").mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    least, total = None, 0
+    for c, n in sorted((tuple(r) for r in counts.groupBy(F.least("c", F.lit(10_000))).count().collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = c
+    found = counts.where(F.col("c") >= least).collect() if least else []
+    keys = np.array([r.key for r in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r.c for r in found], np.int64)[order]
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bins: int = 12, mean: int = 4, small: int = 16
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, small: int = 16, most_common: int = 1 << 17
 ) -> DataFrame:
     """doc_id and group_id (the least doc_id of its group) for every distinct (doc_id, text) of ``docs``.
 
     Texts are alike if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
-    ``similarity``. At 0.8, whole-text fingerprints differ in some ten bits, beyond any covering code of
-    useful size; so SimHash fingerprints of coordinated samples of each set are compared instead: alike
-    texts agree in some of ``bins`` samples but for about one pair in 300, and every candidate is verified
-    on the whole sets. Equal texts are one node from the start. In buckets of up to ``small`` different texts
-    all pairs are candidates. In a larger one each text meets the bucket's center, the member whose samples are
-    the most common (of edited copies the one they were made from, as an edit makes a sample rare), and
-    one other member, another one in each of its buckets; the pairs grow with the members.
+    ``similarity``; groups are exactly the connected components of that. At 0.8, whole-text fingerprints
+    differ in some ten bits, beyond any covering code of useful size; so texts meet at shingles: in one order of all
+    shingles, alike sets share one of their first few (a fifth, at 0.8), at places that leave room for as many in common
+    as the similarity needs. Every candidate is verified on the whole sets. The order puts the
+    ``most_common`` shingles last, so that texts meet at rare ones. Equal texts are one node from the start.
+
+    In buckets of up to ``small`` different texts all pairs are candidates. In a larger one each text first meets the
+    bucket's center, the member with the most company; then members that are still in different groups
+    meet each other. So a large group of copies is not paired with itself, and no pair that could join groups is left out.
 
     Null text is empty; texts without words are alike. Null doc_ids don't name a group that has others.
     """
+    small_batches(docs.sparkSession)
+    text = text_of(docs)
+    hashed = docs.select("doc_id", F.xxhash64(text, F.lit(7)).alias("text_hash"), text.alias("text"))
+    nodes = hashed.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"))
+    common, rank = _common_shingles(hashed, shingle, most_common)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            subs = [
-                _sub_fingerprints(np.unique(shingle_hashes(t, shingle)), bins, mean) for t in batch["text"].to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch["text_hash"], pa.array(subs, pa.list_(pa.int64()))], ["text_hash", "subs"]
-            )
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()]
+            first = [_prefix(s, similarity, common, rank).view(np.int64) for s in sets]
+            columns = [batch["text_hash"], pa.array(map(len, sets), pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["text_hash", "size", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,44 +221,60 @@ def near_duplicates(
                 [batch["text_hash"], pa.array(whole, pa.list_(pa.int64()))], ["text_hash", "shingles"]
             )
 
-    small_batches(docs.sparkSession)
-    text = text_of(docs)
-    hashed = docs.select("doc_id", F.xxhash64(text, F.lit(7)).alias("text_hash"), text.alias("text"))
-    nodes = hashed.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+        whole = cut(
+            hashed.select("text_hash", "text")
+            .dropDuplicates(["text_hash"])  # in the map tasks first, so copies don't travel
+            .join(wanted, "text_hash", "left_semi")
+            .mapInArrow(sets, "text_hash bigint, shingles array<bigint>")
+        )
+        first = whole.select(F.col("text_hash").alias("a"), F.col("shingles").alias("s"))
+        second = whole.select(F.col("text_hash").alias("b"), F.col("shingles").alias("t"))
+        shared = F.size(F.array_intersect("s", "t"))
+        alike = shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9
+        return pairs.join(first, "a").join(second, "b").where(alike).select("a", "b")
+
     # one row for each text computes sketches; copies would give the same
-    subs = cut(
-        hashed.select("text_hash", "text").mapInArrow(sketch, "text_hash bigint, subs array<bigint>").dropDuplicates(["text_hash"])
-    )
-    keyed = subs.select("text_hash", F.explode("subs").alias("key"))
+    schema = "text_hash bigint, size int, keys array<bigint>"
+    subs = cut(hashed.select("text_hash", "text").mapInArrow(sketch, schema).dropDuplicates(["text_hash"]))
+    keyed = subs.select("text_hash", "size", F.posexplode("keys").alias("at", "key"))
+    keyed = keyed.select("key", "text_hash", "size", (F.col("size") - F.col("at")).alias("left"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(keyed.join(sizes, "key"))
-    few = members.where(F.col("n") <= small).select("key", F.col("text_hash").alias("a"))
-    all_pairs = few.join(few.withColumnRenamed("a", "b"), "key").where("a > b").select("a", "b")
+    # a is the larger set, b the smaller; left counts the shingles from the shared one on
+    side = lambda df, x, *more: df.select("key", *more, *[F.col(c).alias(f"{x}_{c}") for c in ("text_hash", "size", "left")])
+    smaller = F.col("left") * (1 + similarity) >= 2 * similarity * F.col("size") - 1e-6
+    room = F.least("a_left", "b_left") * (1 + similarity) >= similarity * (F.col("a_size") + F.col("b_size")) - 1e-6
+    fits = (F.struct("a_size", "a_text_hash") > F.struct("b_size", "b_text_hash")) & room
+    fits &= F.col("b_size") >= similarity * F.col("a_size") - 1e-6
+    named_pair = [F.col("a_text_hash").alias("a"), F.col("b_text_hash").alias("b")]
+    few = members.where(F.col("n") <= small)
+    all_pairs = side(few, "a").join(side(few.where(smaller), "b"), "key").where(fits).select(*named_pair)
     many = members.where(F.col("n") > small)
-    common = members.groupBy("text_hash").agg(F.sum("n").alias("common"))
-    best = F.max(F.struct("common", "text_hash")).getField("text_hash")
-    centers = many.join(common, "text_hash").groupBy("key").agg(best.alias("b"))
-    to_center = many.join(centers, "key").select(F.col("text_hash").alias("a"), "b")
-    # parts of a bucket of some hundred texts, so that no task orders a whole bucket
-    part = F.pmod(F.xxhash64("text_hash", "key"), F.ceil(F.col("n") / 256))
-    order = Window.partitionBy("key", part).orderBy(F.xxhash64("key", "text_hash"))
-    to_next = many.select(F.col("text_hash").alias("a"), F.lead("text_hash").over(order).alias("b"))
-    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    pairs = cut(all_pairs.union(to_center).union(to_next).where("a <> b").select(*ordered).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-    whole = cut(
-        hashed.select("text_hash", "text")
-        .dropDuplicates(["text_hash"])  # in the map tasks first, so copies don't travel
-        .join(wanted, "text_hash", "left_semi")
-        .mapInArrow(sets, "text_hash bigint, shingles array<bigint>")
-    )
-    first = whole.select(F.col("text_hash").alias("a"), F.col("shingles").alias("s"))
-    second = whole.select(F.col("text_hash").alias("b"), F.col("shingles").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    alike = pairs.join(first, "a").join(second, "b").where(
-        shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9
+    company = members.groupBy("text_hash").agg(F.sum("n").alias("company"))
+    best = F.max(F.struct("company", "text_hash", "size", "left"))
+    centers = many.join(company, "text_hash").groupBy("key").agg(best.alias("c")).select("key", "c.text_hash", "c.size", "c.left")
+    met = side(many, "a").join(side(centers, "b"), "key")
+    either = (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6) & room
+    to_center = met.where(either & (F.col("a_text_hash") != F.col("b_text_hash"))).select(
+        F.greatest("a_text_hash", "b_text_hash").alias("a"), F.least("a_text_hash", "b_text_hash").alias("b")
     )
-    roots = components(alike.select("a", "b")).withColumnRenamed("node", "text_hash")
+    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    links = cut(verified(cut(all_pairs.union(to_center).select(*ordered).distinct())))
+    roots = cut(components(links).withColumnRenamed("node", "text_hash"))
+    # what the centers didn't join: pairs of different groups, the smaller sets dealt to all parts of a large bucket
+    grouped = many.join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    several = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    apart = cut(grouped.join(several, "key"))
+    parts = F.ceil(F.col("n") / 1024).cast("int")
+    one = apart.withColumn("part", F.pmod(F.xxhash64("text_hash"), parts).cast("int"))
+    every = apart.where(smaller).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    a, b = side(one, "a", "part", F.col("root").alias("a_root")), side(every, "b", "part", F.col("root").alias("b_root"))
+    rest = a.join(b, ["key", "part"]).where(fits & (F.col("a_root") != F.col("b_root"))).select(*named_pair)
+    rest = cut(rest.select(*ordered).distinct())
+    if not rest.isEmpty():
+        roots = components(links.union(verified(rest))).withColumnRenamed("node", "text_hash")
     named = nodes.join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     names = named.groupBy("root").agg(F.min("least_id").alias("group_id"))
     return (

@@ -126,6 +126,51 @@ def test_large_group_of_edited_copies(spark):
     assert len(alike) > 300 and sum(found[i] == 0 for i in alike) >= 0.99 * len(alike)
 
 
+def grouped(spark, texts, **how):
+    """Groups found and groups of the brute-force comparison."""
+    rows_ = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles(t) for _, t in rows_]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    found = {x.doc_id: x.group_id for x in simhash.near_duplicates(docs, **how).collect()}
+    return found, groups(range(len(sets)), near), near
+
+
+def test_large_groups_without_an_original(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for size in (236,):  # copies of a text that isn't there, some of them alike
+        base = [word() for _ in range(size)]
+        for _ in range(150):
+            copy = list(base)
+            for at in r.sample(range(len(base)), 3):
+                copy[at] = word()
+            texts.append(copy)
+    template = [word() for _ in range(172)]
+    for _ in range(250):  # a template of which texts keep too little to be alike, and near-copies among them
+        own = template + [word() for _ in range(18)]
+        copy = list(own)
+        for at in r.sample(range(len(template)), 4):
+            copy[at] = word()
+        texts += [own, copy]
+    found, want, near = grouped(spark, texts)
+    assert len(near) > 300 and len(set(want.values())) > 200
+    assert found == want
+
+
+def test_short_pairs(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for short, long in [(8, 9), (9, 10), (12, 14), (20, 24), (34, 41)]:
+        for _ in range(40):
+            text = [word() for _ in range(long)]
+            texts += [text[:short], text]
+    found, want, near = grouped(spark, texts)
+    assert len(near) == 200 and found == want
+
+
 def test_keep_first(docs):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
