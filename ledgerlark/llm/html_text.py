@@ -153,78 +153,92 @@ def _named(attrs: str) -> tuple[set[str], str, bool]:
     return words, role, hidden
 
 
-def _holds_article(node: Node) -> bool:
-    return any(c.tag in ("article", "main") or _holds_article(c) for c in node.children)
+def _walk(node: Node) -> Iterator[Node]:
+    """The elements from ``node`` on in page order; backwards, each comes after all below it."""
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack.extend(reversed(node.children))
+
 
+def _holders(root: Node) -> set[Node]:
+    """The elements that have an article below them."""
+    found = set()
+    for node in reversed(list(_walk(root))):
+        if node.parent is not None and (node.tag in ("article", "main") or node in found):
+            found.add(node.parent)
+    return found
 
-def _is_furniture(node: Node, in_article: bool) -> bool:
+
+def _is_furniture(node: Node, in_article: bool, holders: set[Node]) -> bool:
     if node.tag in FURNITURE:
         return True
     if node.tag == "header":
-        return not in_article and not _holds_article(node)
+        return not in_article and node not in holders
     words, role, hidden = _named(node.attrs)
     if hidden or words & COMMENTS:
         return True
     if node.tag in ("main", "article") and not words & {"related", "ad", "sponsored", "promo", "advert"}:
         return False
     if role in ROLES or words & NAMES:
-        return not _holds_article(node)
-    return "header" in words and not in_article and not _holds_article(node)
-
-
-def _prune(node: Node, in_article: bool = False) -> None:
-    kept = []
-    for x in node.items:
-        if isinstance(x, Node):
-            if _is_furniture(x, in_article):
-                # what stood on both sides stays apart
-                kept.append(Node("hr", "", node) if x.tag in BLOCK else "")
-                continue
-            _prune(x, in_article or x.tag in ("article", "main"))
-        kept.append(x)
-    node.items = kept
-
-
-def _weigh(node: Node, in_link: bool) -> None:
-    """Characters and tags below each element, all and in links."""
-    in_link = in_link or node.tag == "a"
-    chars, tags, link_chars, link_tags = 0, 0, 0, 0
-    for x in node.items:
-        if isinstance(x, Node):
-            _weigh(x, in_link)
-            chars, tags = chars + x.chars, tags + x.tags + 1
-            link_chars, link_tags = link_chars + x.link_chars, link_tags + x.link_tags + (x.tag == "a")
-        else:
-            size = len("".join(html.unescape(x).split()))
-            chars += size
-            link_chars += size if in_link else 0
-    node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
-
-
-def _rate(node: Node, page_links: float) -> None:
+        return node not in holders
+    return "header" in words and not in_article and node not in holders
+
+
+def _prune(root: Node) -> None:
+    holders, stack = _holders(root), [(root, False)]
+    while stack:
+        node, in_article = stack.pop()
+        kept = []
+        for x in node.items:
+            if isinstance(x, Node):
+                if _is_furniture(x, in_article, holders):
+                    # what stood on both sides stays apart
+                    kept.append(Node("hr", "", node) if x.tag in BLOCK else "")
+                    continue
+                stack.append((x, in_article or x.tag in ("article", "main")))
+            kept.append(x)
+        node.items = kept
+
+
+def _weigh(nodes: list[Node]) -> None:
+    """Characters and tags below each of the elements in page order, all and in links."""
+    linked = set()
+    for node in nodes:
+        if node.tag == "a" or node.parent in linked:
+            linked.add(node)
+    for node in reversed(nodes):
+        chars, tags, link_chars, link_tags = 0, 0, 0, 0
+        for x in node.items:
+            if isinstance(x, Node):
+                chars, tags = chars + x.chars, tags + x.tags + 1
+                link_chars, link_tags = link_chars + x.link_chars, link_tags + x.link_tags + (x.tag == "a")
+            else:
+                size = len("".join(html.unescape(x).split()))
+                chars += size
+                link_chars += size if node in linked else 0
+        node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
+
+
+def _rate(nodes: list[Node], page_links: float) -> None:
     """Composite density of each element, and the sum of its children's densities."""
-    for child in node.children:
-        _rate(child, page_links)
-    c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-    if not c:
-        node.density = 0.0
-    else:
-        base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + page_links * c + math.e)
-        node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / max(math.log(max(base, 1.0 + 1e-9)), 1.0)
-    node.total = sum(child.density for child in node.children)
-
-
-def _walk(node: Node) -> Iterator[Node]:
-    yield node
-    for child in node.children:
-        yield from _walk(child)
+    for node in reversed(nodes):
+        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
+        if not c:
+            node.density = 0.0
+        else:
+            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + page_links * c + math.e)
+            node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / max(math.log(max(base, 1.0 + 1e-9)), 1.0)
+        node.total = sum(child.density for child in node.children)
 
 
 def _chosen(root: Node) -> list[Node]:
     """The elements whose texts are the article, in page order."""
-    _weigh(root, False)
-    _rate(root, root.link_chars / max(root.chars, 1))
-    best = max(_walk(root), key=lambda node: node.total)
+    nodes = list(_walk(root))
+    _weigh(nodes)
+    _rate(nodes, root.link_chars / max(root.chars, 1))
+    best = max(nodes, key=lambda node: node.total)
     if best is root or best.total == 0.0:
         # nothing parts the article from the page; what is mostly links is still no part of it
         lists = [x for x in root.children if x.tag in BLOCK and 2 * x.link_chars > x.chars]
@@ -239,36 +253,37 @@ def _chosen(root: Node) -> list[Node]:
         articles = [node for node in marked if node.tag == "article"]
         return [articles[-1] if articles else marked[-1]]
     threshold, chosen = min(node.density for node in path), []
-
-    def visit(node: Node) -> None:
+    on_path, stack = set(path), [root]
+    while stack:
+        node = stack.pop()
         if node is best:
             chosen.append(node)
-        elif node in path:
-            for child in node.children:
-                visit(child)
+        elif node in on_path:
+            stack.extend(reversed(node.children))
         elif node.tag == "h1" or (node.density >= threshold > 0.0 and node.chars > 2 * node.link_chars):
             chosen.append(max(_walk(node), key=lambda x: (x.total, x is node)) if node.tag != "h1" and node.total else node)
-
-    visit(root)
     return chosen
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:
     """Append the texts of each block to ``out``, whose last entry is the open block."""
-    block = node.tag in BLOCK
-    if block:
-        out.append([])
-    elif node.tag in ("br", "td", "th", "img", "wbr"):
-        out[-1].append(" " if node.tag != "wbr" else "")
-    for x in node.items:
-        if isinstance(x, Node):
-            _blocks(x, out)
-        else:
+    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    while stack:
+        x, ends = stack.pop()
+        if not isinstance(x, Node):
             out[-1].append(html.unescape(x))
-    if block:
-        out.append([])
-    elif node.tag in ("td", "th"):
-        out[-1].append(" ")
+        elif ends:
+            if x.tag in BLOCK:
+                out.append([])
+            elif x.tag in ("td", "th"):
+                out[-1].append(" ")
+        else:
+            if x.tag in BLOCK:
+                out.append([])
+            elif x.tag in ("br", "td", "th", "img", "wbr"):
+                out[-1].append(" " if x.tag != "wbr" else "")
+            stack.append((x, True))
+            stack.extend((y, False) for y in reversed(x.items))
 
 
 def main_text(page: str) -> str:
@@ -287,23 +302,16 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (html and any others) without html, with text (the main text) and n_chars (its code points).
 
     Null or empty html, and a page without main text, have the empty text. Nesting and length have no limit
-    but memory for one page: a page nested deeper than Python's recursion limit falls back to all its text
-    without tags. Columns of pages named as a result are replaced; no rows give none.
+    but memory for one page. Columns of pages named as a result are replaced; no rows give none.
     """
     pages = clear(pages, "text", "n_chars")
     others = [c for c in pages.columns if c != "html"]
     source = pages.select(*others, "html")
     schema = source.select(*others, F.lit("").alias("text"), F.lit(0).cast("bigint").alias("n_chars")).schema
 
-    def one(page: str | None) -> str:
-        try:
-            return main_text(page or "")
-        except RecursionError:
-            return " ".join(html.unescape(_TOKEN.sub(" ", page)).split())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [one(page) for page in batch.column(len(others)).to_pylist()]
+            texts = [main_text(page or "") for page in batch.column(len(others)).to_pylist()]
             columns = [batch.column(i) for i in range(len(others))]
             columns += [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)

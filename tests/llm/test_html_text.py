@@ -57,3 +57,11 @@ def test_frame(spark):
     assert sorted(r.n_chars for r in found) == sorted([0, 0, len(WANT), 4, 3 * 20000 - 2])
     assert all(r.n_chars == len(r.text) for r in found)
     assert H.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "font"])
+def test_deep_pages_are_extracted_like_others(spark, tag):
+    for inner in (f"<article>{ARTICLE}</article>", f"<div>{ARTICLE}</div>"):
+        page = f"<body>{CLUTTER['script']}{CLUTTER['menu']}{f'<{tag}>' * 5000}{CLUTTER['header']}{inner}{CLUTTER['footer']}"
+        pages = spark.createDataFrame([(page,)], "html string")
+        assert H.extract(pages).first().text == WANT
