@@ -212,12 +212,12 @@ def read_model(path: str) -> bytes:
     return data
 
 
-def encode(docs: DataFrame, model: bytes, verify_every: int = 16) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, verify_every: int = 1) -> DataFrame:
     """``docs`` (text and any others) with ids, n_tokens, decoded and parity.
 
     ``decoded`` is the text that the ids give back. parity tells whether the SentencePiece library gives the
-    same ids; this is verified for one text in ``verify_every``, by the text's checksum, and null for the
-    others (1: for every text; 0: for none). Null text is empty and has no ids. Texts of any length are
+    same ids; this is verified for every text, or for one in ``verify_every``, by the text's checksum, and null
+    for the others (0: for none). Null text is empty and has no ids. Texts of any length are
     coded whole. Columns of docs named as a result are replaced; no rows give none.
     """
     docs = clear(docs, "ids", "n_tokens", "decoded", "parity")

@@ -70,3 +70,8 @@ def test_frame(docs, no_docs, model):
     assert pieces.encode(no_docs, model).count() == 0
     with pytest.raises(ValueError):
         pieces.parse(b"\x0f\x01")
+
+
+def test_every_text_is_verified(spark, model):
+    texts = spark.createDataFrame([(i, f"text {i} \u00c0\ufb01  {i * i}") for i in range(50)], "doc_id long, text string")
+    assert [r.parity for r in pieces.encode(texts, model).collect()] == [True] * 50
