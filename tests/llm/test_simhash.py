@@ -149,7 +149,7 @@ def test_large_groups_without_an_original(spark):
             texts.append(copy)
     template = [word() for _ in range(172)]
     for _ in range(250):  # a template of which texts keep too little to be alike, and near-copies among them
-        own = template + [word() for _ in range(18)]
+        own = template + [word() for _ in range(22)]
         copy = list(own)
         for at in r.sample(range(len(template)), 4):
             copy[at] = word()
