@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,21 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def pieces_of(texts: list[str], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Where to cut a list of texts, so that the texts between two cuts have about ``chars`` characters at most.
+
+    It bounds what numpy holds for a batch; a longer text stands alone.
+    """
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > chars:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
+
+
 def clear(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that have one of these names in any case; results replace such columns."""
     taken = {n.lower() for n in names}

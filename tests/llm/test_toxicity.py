@@ -21,40 +21,64 @@ def sample(n=200, seed=2):
     return rows
 
 
+def brute_vector(w):
+    """The weights of a word's subsequences from their definition, at unit length."""
+    s, found = [0, *w, 0], {}
+    for i in range(len(s)):
+        for j in range(i + 1, len(s)):
+            for k in range(j + 1, min(len(s), i + 6)):
+                if j - i <= 4:
+                    found[s[i], s[j], s[k]] = found.get((s[i], s[j], s[k]), 0) + toxicity.DECAY ** (k - i - 2)
+    size = sum(v * v for v in found.values()) ** 0.5
+    return {k: v / size for k, v in found.items()}
+
+
 def brute_kernel(a, b):
-    """The kernel of two words from its definition."""
-    def features(w):
-        s, found = [0, *w, 0], {}
-        for i in range(len(s)):
-            for j in range(i + 1, len(s)):
-                for k in range(j + 1, min(len(s), i + 6)):
-                    if j - i <= 4:
-                        found[s[i], s[j], s[k]] = found.get((s[i], s[j], s[k]), 0) + toxicity.DECAY ** (k - i - 2)
-        return found
-    x, y = features(a), features(b)
-    size = lambda f: sum(v * v for v in f.values()) ** 0.5
-    return sum(v * y.get(k, 0) for k, v in x.items()) / (size(x) * size(y))
+    y = brute_vector(b)
+    return sum(v * y.get(k, 0) for k, v in brute_vector(a).items())
+
+
+WORDS = [w.encode() for w in ("idiot", "idxiot", "moron", "aaaaaaa", "abababab", "clean", "x", "an", "clown")]
+
+
+def listed():
+    return toxicity.Listed([bytes(c - 96 for c in w) for w in WORDS])
 
 
 def test_subsequence_kernel():
-    for a, b in (("idiot", "idxiot"), ("moron", "moron"), ("clown", "clean"), ("aaaa", "aa")):
-        a, b = (toxicity.Spelled([w]).strings()[0] for w in (a, b))
-        x, y = toxicity._subsequences(a), toxicity._subsequences(b)
-        assert abs(sum(v * y.get(k, 0) for k, v in x.items()) - brute_kernel(a, b)) < 1e-9
-
-
-def test_word_values_are_the_sums_of_weights():
-    weight = np.random.default_rng(0).normal(size=toxicity.FEATURES)
-    spelled = toxicity.Spelled(["clown moved on", "", "a b c", "p.l-a*n"])
-    found = toxicity.word_values(spelled, weight)
-    for word, value in zip(spelled.strings(), found, strict=True):
-        s, total = [0, *word, 0], 0.0
-        for i in range(len(s)):
-            for p, q in toxicity.OFFSETS:
-                if i + q < len(s):
-                    total += weight[(s[i] * 32 + s[i + p]) * 32 + s[i + q]] * toxicity.DECAY ** (q - 2)
-        assert abs(value - total * toxicity._scale(np.array([len(word)]))[0]) < 1e-6
-    assert list(spelled.word_of_text()) == sorted(spelled.word_of_text())
+    spelled, found = listed(), {}
+    for part, row, key, value in toxicity.vectors(spelled, np.arange(len(WORDS))):
+        for r, k, v in zip(part[row], key, value, strict=True):
+            found.setdefault(r, {})[int(k)] = v
+    for i in range(len(WORDS)):
+        for j in range(len(WORDS)):
+            kernel = sum(v * found[j].get(k, 0) for k, v in found[i].items())
+            assert abs(kernel - brute_kernel(spelled.spelling(i), spelled.spelling(j))) < 1e-9
+
+
+def test_values_are_the_machine_on_the_landmarks_kernels():
+    spelled, marks = listed(), np.array([0, 2, 3, 5])
+    landmarks = toxicity.Landmarks(spelled, marks)
+    w = np.random.default_rng(0).normal(size=landmarks.root.shape[1])
+    kernels = np.array([[brute_kernel(spelled.spelling(i), spelled.spelling(m)) for m in marks] for i in range(len(WORDS))])
+    wanted = kernels @ landmarks.root @ w
+    assert np.allclose(landmarks.features(spelled, np.arange(len(WORDS))) @ w, wanted, atol=1e-5)
+    weight = toxicity._dense(landmarks.keys, landmarks.weights(w))
+    assert np.allclose(toxicity.word_values(spelled, np.arange(len(WORDS)), weight), wanted, atol=1e-5)
+
+
+def test_words_and_sentences():
+    spelled = toxicity.Spelled(["  You clown. Moved on!\np.l-a*n", "", " \n", "a b c Ёж ёж"])
+    words = [spelled.spelling(i) for i in range(len(spelled.start))]
+    letters = lambda w: bytes(ord(c) - 96 for c in w)
+    assert words[:5] == [letters(w) for w in ("you", "clown", "moved", "on", "plan")]
+    assert words[5] == letters("abc") and words[6] == words[7] and len(set(words[6])) == 2
+    assert list(spelled.sentence) == [0, 0, 1, 1, 2, 3, 3, 3] and list(spelled.text) == [0] * 5 + [3] * 3
+    first, kind = spelled.distinct()
+    assert [words[i] for i in first[kind]] == words
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyzäöüßéèêçñ"]
+    for a in alphabets:  # letters of one alphabet stay apart
+        assert len({toxicity._symbol(ord(c)) for c in a}) == len(a)
 
 
 def test_held_out_accuracy_and_obfuscation(spark):
@@ -84,5 +108,10 @@ def test_edge_rows(docs, no_docs, spark):
         by_text.setdefault(r.text or "", set()).add(round(r.score, 12))
     assert all(len(s) == 1 for s in by_text.values())
     assert toxicity.toxicity_scores(no_docs, model).count() == 0
+    texts = [r.text or "" for r in docs.collect()] + ["  a text ", " "]
+    together = toxicity.text_scores(texts, model)
+    assert np.allclose(together, [toxicity.text_scores([t], model)[0] for t in texts])  # a text's neighbours don't matter
+    none = toxicity.fit(["", " "], np.array([0, 1]))
+    assert (toxicity.text_scores(["", "word"], none) <= 0.5).all()
     assert toxicity.train(docs, labels.limit(0), F.lit(True)) is None
     assert {r.score for r in toxicity.toxicity_scores(docs, None).collect()} == {0.0}
