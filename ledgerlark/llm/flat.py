@@ -56,3 +56,29 @@ def words(texts: list[str]) -> Words:
     edge = np.diff(np.concatenate([[0], inside.view(np.int8)]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     return Words(raw, text_at, start, end - start, np.searchsorted(text_at, start, side="right") - 1)
+
+
+def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``k``-word shingles of each text as 64-bit hashes, sorted by text and hash, and the text of each.
+
+    A text of fewer words is one shingle; one without words has the shingle 0 alone.
+    """
+    w = words(texts)
+    n = np.bincount(w.text, minlength=len(texts))
+    end = np.cumsum(n)
+    if len(w.start):
+        hashes = np.append(w.hashes(), np.zeros(k, np.uint64))
+        place, last = np.arange(len(w.start)), end[w.text]
+        value = np.zeros(len(place), np.uint64)
+        for i, power in enumerate(np.cumprod(np.full(k, BASE))):
+            value += np.where(place + i < last, hashes[i : i + len(place)] * power, np.uint64(0))
+        whole = (place + k <= last) | (place == (end - n)[w.text])
+        value, text = mix(value[whole]), w.text[whole]
+    else:
+        value, text = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    none = np.flatnonzero(n == 0)
+    value, text = np.append(value, np.zeros(len(none), np.uint64)), np.append(text, none)
+    order = np.lexsort((value, text))
+    value, text = value[order], text[order]
+    new = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))[: len(value)]
+    return value[new], text[new]

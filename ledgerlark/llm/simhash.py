@@ -10,15 +10,17 @@ so each member sends its one-bit variants and meets its partners there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clear, cut, dealt_anew, small_batches, text_of
+from . import flat
+from .common import clear, cut, dealt_anew, pieces_of, small_batches, text_of
 
 RADIUS = 2
 LABELS = [1 + i % 7 for i in range(64)]
@@ -132,7 +134,7 @@ def near_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     roots = components(covering_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return own.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp")
+    return own.join(named.select("fp", "root").join(dealt_anew(names, "root"), "root").select("fp", "component_id"), "fp")
 
 
 def hex16(fp: Column) -> Column:
@@ -141,63 +143,122 @@ def hex16(fp: Column) -> Column:
 
 # ---- texts alike by their word shingles -------------------------------------------------------------------
 
+#: A list of at most this many ids (of eight bytes) is broadcast, so that texts stay where they are; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+#: How many members of a bucket one part of it holds, about.
+PART = 1024
 
-def _prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles (sorted, distinct) in one global order: uncommon ones by value, then ``common`` ones by ``rank``.
 
-    A set that is alike shares one of them, as it has at least ``similarity`` of these shingles.
-    """
-    n = len(shingles)
-    if not n:
-        return np.zeros(1, np.uint64)  # texts without words are alike
-    keys = n - int(np.ceil(similarity * n - 1e-6)) + 1
-    if not len(common):
-        return shingles[:keys]
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    place = np.where(common[at] == shingles, rank[at], 0)
-    return shingles[np.lexsort((shingles, place))[:keys]]
-
-
-def _common_shingles(texts: DataFrame, shingle: int, most: int, every: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` of the commonest shingles (sorted) and their counts, in one text of ``every``.
+def _distinct_texts(batch: pa.RecordBatch, seen: set[int], shingle: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ids, shingles (sorted within each text), the text of each shingle and sizes of the texts that this task didn't meet."""
+    fresh = []
+    for i, key in enumerate(batch["text_hash"].to_pylist()):
+        if key not in seen:
+            seen.add(key)
+            fresh.append(i)
+    part = batch.take(pa.array(fresh, pa.int64()))
+    texts, ids = part["text"].to_pylist(), part["text_hash"].to_numpy()
+    for i, j in pieces_of(texts):
+        shingles, text = flat.shingle_sets(texts[i:j], shingle)
+        yield ids[i:j], shingles, text, np.bincount(text, minlength=j - i)
 
-    They only order shingles: any order finds the same pairs, a good one with smaller buckets.
-    """
+
+def _shingled(texts: DataFrame, shingle: int, schema: str, rows: Callable[..., list[np.ndarray | pa.Array]]) -> DataFrame:
+    """``rows`` of the different texts of each task, as columns of ``schema``; a text of several tasks gives repeated rows."""
+    names = [column.split()[0] for column in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for t in batch["text"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle)).view(np.int64))], ["key"])
+            for some in _distinct_texts(batch, seen, shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows(*some)], names)
+
+    return texts.select("text_hash", "text").mapInArrow(run, schema)
+
 
-    some = texts.where(F.pmod("text_hash", F.lit(every)) == 0).dropDuplicates(["text_hash"])
-    counts = cut(some.select("text").mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+def _common_shingles(texts: DataFrame, shingle: int, most: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of the commonest shingles (sorted) and their counts, in one text of ``every``.
+
+    A text of several tasks counts as often. They only order shingles and split buckets: with any others the same
+    pairs are found.
+    """
+    some = texts.where(F.pmod("text_hash", F.lit(every)) == 0)
+    rows = _shingled(some, shingle, "key bigint", lambda _ids, shingles, _text, _size: [shingles.view(np.int64)])
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     least, total = None, 0
     for c, n in sorted((tuple(r) for r in counts.groupBy(F.least("c", F.lit(10_000))).count().collect()), reverse=True):
         total += n
         if total > most:
             break
         least = c
-    found = counts.where(F.col("c") >= least).collect() if least else []
-    keys = np.array([r.key for r in found], np.int64).view(np.uint64)
+    found = counts.where(F.col("c") >= least).toPandas() if least else pd.DataFrame({"key": [], "c": []}, dtype="int64")
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r.c for r in found], np.int64)[order]
+    return keys[order], found["c"].to_numpy(np.int64)[order]
+
+
+def _prefixes(
+    shingles: np.ndarray, text: np.ndarray, size: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the first shingles in one global order: uncommon ones by value, then ``common`` ones by ``rank``.
+
+    A set that is alike shares one of them, as it has at least ``similarity`` of these shingles. Returns which shingles
+    they are, how many of the set are left from each on, and their ranks (0: uncommon).
+    """
+    place = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        place = np.where(common[at] == shingles, rank[at], 0)
+    order = np.lexsort((place, text))  # stable: by value within a place
+    left = size[text] - (np.arange(len(text)) - (np.cumsum(size) - size)[text])
+    first = left >= np.ceil(similarity * size - 1e-6)[text]
+    return order[first], left[first], place[order[first]]
+
+
+def _bitmaps(shingles: np.ndarray, text: np.ndarray, size: np.ndarray) -> pa.Array:
+    """For each text a bitmap of parities: a shingle turns one of a power of two, twice as many as shingles at least."""
+    bits = 64 << np.ceil(np.log2(np.maximum(size / 32, 1))).astype(np.int64)
+    first = np.cumsum(bits) - bits
+    at = first[text] + (shingles & (bits[text] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
+    longs = np.packbits(odd, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(bits >> 6)), pa.int32()), pa.array(longs))
+
+
+def _turned(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ, once the longer one is folded to the length of the other."""
+    one, two = (F.when(F.size(a) >= F.size(b), F.col(x)).otherwise(F.col(y)) for x, y in ((a, b), (b, a)))
+    n = F.size(two)
+    pick = lambda i, k: F.coalesce(F.get(one, i + n * k), F.lit(0).cast("bigint"))
+    # of sets of a similarity in reach one is never four times as long as the other
+    differing = F.transform(two, lambda x, i: F.bit_count(x.bitwiseXOR(pick(i, 0)).bitwiseXOR(pick(i, 1))))
+    return F.aggregate(differing, F.lit(0), lambda total, x: total + x)
+
+
+def _of_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "text_hash") -> DataFrame:
+    """Semi or anti join of ``rows`` with the distinct ``ids``: by broadcast if they are few, so that rows don't travel."""
+    ids = cut(ids)
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, small: int = 16, most_common: int = 1 << 17
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, small: int = 16, most_common: int = 1 << 17, sample: int = 16
 ) -> DataFrame:
     """doc_id and group_id (the least doc_id of its group) for every distinct (doc_id, text) of ``docs``.
 
     Texts are alike if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
-    ``similarity``; groups are exactly the connected components of that. At 0.8, whole-text fingerprints
+    ``similarity`` (over 0.5); groups are exactly the connected components of that. At 0.8, whole-text fingerprints
     differ in some ten bits, beyond any covering code of useful size; so texts meet at shingles: in one order of all
     shingles, alike sets share one of their first few (a fifth, at 0.8), at places that leave room for as many in common
-    as the similarity needs. Every candidate is verified on the whole sets. The order puts the
-    ``most_common`` shingles last, so that texts meet at rare ones. Equal texts are one node from the start.
+    as the similarity needs. Candidates are compared by bitmaps first, which differ in no more bits than the sets in
+    shingles; what is left is verified on the whole sets. The order puts the ``most_common`` shingles, counted in one
+    text of ``sample``, last, so that texts meet at rare ones. Equal texts are one node from the start.
 
     In buckets of up to ``small`` different texts all pairs are candidates. In a larger one each text first meets the
     bucket's center, the member with the most company; then members that are still in different groups
     meet each other. So a large group of copies is not paired with itself, and no pair that could join groups is left out.
+    Buckets of shingles that are common in the sample are dealt to several tasks.
 
     Null text is empty; texts without words are alike. Null doc_ids don't name a group that has others.
     """
@@ -205,95 +266,128 @@ def near_duplicates(
     text = text_of(docs)
     hashed = docs.select("doc_id", F.xxhash64(text, F.lit(7)).alias("text_hash"), text.alias("text"))
     nodes = hashed.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"))
-    common, rank = _common_shingles(hashed, shingle, most_common)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()]
-            first = [_prefix(s, similarity, common, rank).view(np.int64) for s in sets]
-            columns = [batch["text_hash"], pa.array(map(len, sets), pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["text_hash", "size", "keys"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["text_hash"], pa.array(whole, pa.list_(pa.int64()))], ["text_hash", "shingles"]
-            )
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-        whole = cut(
-            hashed.select("text_hash", "text")
-            .dropDuplicates(["text_hash"])  # in the map tasks first, so copies don't travel
-            .join(wanted, "text_hash", "left_semi")
-            .mapInArrow(sets, "text_hash bigint, shingles array<bigint>")
-        )
-        first = whole.select(F.col("text_hash").alias("a"), F.col("shingles").alias("s"))
-        second = whole.select(F.col("text_hash").alias("b"), F.col("shingles").alias("t"))
-        shared = F.size(F.array_intersect("s", "t"))
-        alike = shared >= similarity * (F.size("s") + F.size("t") - shared) - 1e-9
-        return pairs.join(first, "a").join(second, "b").where(alike).select("a", "b")
-
-    # one row for each text computes sketches; copies would give the same
-    schema = "text_hash bigint, size int, keys array<bigint>"
-    subs = cut(hashed.select("text_hash", "text").mapInArrow(sketch, schema).dropDuplicates(["text_hash"]))
-    keyed = subs.select("text_hash", "size", F.posexplode("keys").alias("at", "key"))
-    keyed = keyed.select("key", "text_hash", "size", (F.col("size") - F.col("at")).alias("left"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(keyed.join(sizes, "key"))
-    # a is the larger set, b the smaller; left counts the shingles from the shared one on
-    side = lambda df, x, *more: df.select("key", *more, *[F.col(c).alias(f"{x}_{c}") for c in ("text_hash", "size", "left")])
-    smaller = F.col("left") * (1 + similarity) >= 2 * similarity * F.col("size") - 1e-6
-    room = F.least("a_left", "b_left") * (1 + similarity) >= similarity * (F.col("a_size") + F.col("b_size")) - 1e-6
-    fits = (F.struct("a_size", "a_text_hash") > F.struct("b_size", "b_text_hash")) & room
-    fits &= F.col("b_size") >= similarity * F.col("a_size") - 1e-6
-    named_pair = [F.col("a_text_hash").alias("a"), F.col("b_text_hash").alias("b")]
-    few = members.where(F.col("n") <= small)
-    all_pairs = side(few, "a").join(side(few.where(smaller), "b"), "key").where(fits).select(*named_pair)
-    many = members.where(F.col("n") > small)
-    company = members.groupBy("text_hash").agg(F.sum("n").alias("company"))
-    best = F.max(F.struct("company", "text_hash", "size", "left"))
-    centers = many.join(company, "text_hash").groupBy("key").agg(best.alias("c")).select("key", "c.text_hash", "c.size", "c.left")
-    met = side(many, "a").join(side(centers, "b"), "key")
-    either = (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6) & room
-    to_center = met.where(either & (F.col("a_text_hash") != F.col("b_text_hash"))).select(
-        F.greatest("a_text_hash", "b_text_hash").alias("a"), F.least("a_text_hash", "b_text_hash").alias("b")
-    )
-    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    links = cut(verified(cut(all_pairs.union(to_center).select(*ordered).distinct())))
+    members = _members(hashed, shingle, similarity, small, most_common, sample)
+    sketch = lambda ids, s, text, size: [ids, size.astype(np.int32), _bitmaps(s, text, size)]
+    bitmaps = _shingled(hashed, shingle, "text_hash bigint, size int, bits array<bigint>", sketch)
+    bitmaps = cut(bitmaps.dropDuplicates(["text_hash"]))
+    links = cut(_alike(hashed, bitmaps, _first_pairs(members, similarity), shingle, similarity))
     roots = cut(components(links).withColumnRenamed("node", "text_hash"))
-    # what the centers didn't join: pairs of different groups, the smaller sets dealt to all parts of a large bucket
-    grouped = many.join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
-    several = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    apart = cut(grouped.join(several, "key"))
-    parts = F.ceil(F.col("n") / 1024).cast("int")
-    one = apart.withColumn("part", F.pmod(F.xxhash64("text_hash"), parts).cast("int"))
-    every = apart.where(smaller).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    a, b = side(one, "a", "part", F.col("root").alias("a_root")), side(every, "b", "part", F.col("root").alias("b_root"))
-    rest = a.join(b, ["key", "part"]).where(fits & (F.col("a_root") != F.col("b_root"))).select(*named_pair)
-    rest = cut(rest.select(*ordered).distinct())
+    rest = cut(_pairs_apart(members.where("large"), roots, similarity))
     if not rest.isEmpty():
-        roots = components(links.union(verified(rest))).withColumnRenamed("node", "text_hash")
+        links = links.union(_alike(hashed, bitmaps, rest, shingle, similarity))
+        roots = cut(components(links).withColumnRenamed("node", "text_hash"))
     named = nodes.join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     names = named.groupBy("root").agg(F.min("least_id").alias("group_id"))
     return (
         hashed.select("doc_id", "text_hash")
         .distinct()
         .join(dealt_anew(named.select("text_hash", "root"), "text_hash"), "text_hash")
-        .join(names, "root")
+        .join(dealt_anew(names, "root"), "root")
         .select("doc_id", "text_hash", "group_id")
     )
 
 
+def _members(hashed: DataFrame, shingle: int, similarity: float, small: int, most_common: int, sample: int) -> DataFrame:
+    """The texts of each bucket (key) that has several, and which buckets are large."""
+    common, rank = _common_shingles(hashed, shingle, most_common, sample)
+
+    def prefix_rows(ids: np.ndarray, shingles: np.ndarray, text: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        first, left, place = _prefixes(shingles, text, size, similarity, common, rank)
+        owner = text[first]
+        # a shingle of a common rank has about so many texts
+        parts = np.maximum(place * sample // PART, 1)
+        part = (flat.mix(ids.view(np.uint64))[owner] % parts.astype(np.uint64)).astype(np.int32)
+        key = shingles[first].view(np.int64)
+        return [key, part, ids[owner], size[owner].astype(np.int32), left.astype(np.int32), parts.astype(np.int32)]
+
+    schema = "key bigint, part int, text_hash bigint, size int, left int, parts int"
+    keyed = _shingled(hashed, shingle, schema, prefix_rows).repartition("key", "part")
+    bucket = Window.partitionBy("key", "part")
+    shared = keyed.withColumn("n", F.count("*").over(bucket)).where("n > 1 or parts > 1")
+    # a text that several tasks had is counted as often, which at most makes a bucket pass for a large one
+    members = shared.groupBy("key", "part", "text_hash").agg(*[F.first(c).alias(c) for c in ("size", "left", "parts", "n")])
+    return cut(members.withColumn("large", (F.col("parts") > 1) | (F.col("n") > small)))
+
+
+def _first_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of the members of small buckets, and of each member of a large one with its center, that have room to be alike."""
+    one = F.struct("size", "text_hash", "left")
+    few = members.where("not large").groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("m")).where(F.size("m") > 1)
+    both = F.explode(
+        F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", F.lit(1), i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    )
+    fits = _room("a.size", "b.size", "a.left", "b.left", similarity)
+    pairs = few.select(both.alias("p")).select("p.a", "p.b").where(fits).select(F.col("a.text_hash").alias("a"), F.col("b.text_hash").alias("b"))
+
+    many = members.where("large").select("key", "text_hash", "size", "left")
+    company = members.groupBy("text_hash").agg(F.sum("n").alias("company"))
+    best = F.max(F.struct("company", "text_hash", "size", "left"))
+    centers = many.join(dealt_anew(company, "text_hash"), "text_hash").groupBy("key").agg(best.alias("c"))
+    to_center = (
+        many.join(dealt_anew(centers, "key"), "key")
+        .where(_room("size", "c.size", "left", "c.left", similarity) & (F.col("text_hash") != F.col("c.text_hash")))
+        .select(F.col("text_hash").alias("a"), F.col("c.text_hash").alias("b"))
+    )
+    return _ordered(pairs.union(to_center))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _room(a_size: str, b_size: str, a_left: str, b_left: str, similarity: float) -> Column:
+    """Whether two sets of these sizes, with these numbers of shingles from a shared one on, can be alike."""
+    sizes = F.least(a_size, b_size) >= similarity * F.greatest(a_size, b_size) - 1e-6
+    return sizes & (F.least(a_left, b_left) * (1 + similarity) >= similarity * (F.col(a_size) + F.col(b_size)) - 1e-6)
+
+
+def _alike(hashed: DataFrame, bitmaps: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts whose sets are alike."""
+    side = lambda df, x: df.select(*[F.col(c).alias(x if c == "text_hash" else f"{x}_{c}") for c in df.columns])
+    close = _turned("a_bits", "b_bits") * (1 + similarity) <= (1 - similarity) * (F.col("a_size") + F.col("b_size")) + 1e-6
+    left = cut(pairs.join(side(bitmaps, "a"), "a").join(side(bitmaps, "b"), "b").where(close).select("a", "b"))
+
+    def whole(end: str) -> DataFrame:
+        texts = _of_ids(hashed, left.select(F.col(end).alias("text_hash")).distinct(), "left_semi")
+        lists = lambda ids, s, _, size: [ids, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(s.view(np.int64)))]
+        sets = _shingled(texts, shingle, "text_hash bigint, shingles array<bigint>", lists).dropDuplicates(["text_hash"])
+        return side(dealt_anew(sets, "text_hash"), end)
+
+    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    alike = shared >= similarity * (F.size("a_shingles") + F.size("b_shingles") - shared) - 1e-9
+    return left.join(whole("b"), "b").join(whole("a"), "a").where(alike).select("a", "b")
+
+
+def _pairs_apart(many: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """What the centers didn't join: pairs of large buckets' members in different groups, of sets with room to be alike.
+
+    The smaller of two sets goes to all parts of a bucket, the larger one to its own.
+    """
+    grouped = many.join(dealt_anew(roots, "text_hash"), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    several = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("in_all"))
+    apart = cut(grouped.join(dealt_anew(several.where("lo < hi"), "key"), "key"))
+    parts = F.ceil(F.col("in_all") / PART).cast("int")
+    side = lambda df, x: df.select("key", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("text_hash", "size", "left", "root")])
+    one = side(apart.withColumn("part", F.pmod(F.xxhash64("text_hash"), parts).cast("int")), "a")
+    smaller = F.col("left") * (1 + similarity) >= 2 * similarity * F.col("size") - 1e-6
+    every = side(apart.where(smaller).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "b")
+    fits = (F.struct("a_size", "a_text_hash") > F.struct("b_size", "b_text_hash")) & (F.col("a_root") != F.col("b_root"))
+    fits &= _room("a_size", "b_size", "a_left", "b_left", similarity)
+    return _ordered(one.join(every, ["key", "part"]).where(fits).select(F.col("a_text_hash").alias("a"), F.col("b_text_hash").alias("b")))
+
+
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the least doc_id.
 
     Rows that repeat a kept document stay; a group without doc_ids keeps its rows.
     """
-    docs = clear(docs, "__hash")
+    docs = clear(docs, "__gone")
     groups = near_duplicates(docs, **how).where(~F.col("doc_id").eqNullSafe(F.col("group_id")))
-    gone = groups.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__gone"))
-    own = docs.withColumn("__hash", F.xxhash64(text_of(docs), F.lit(7)))
-    match = own["doc_id"].eqNullSafe(gone["__id"]) & (own["__hash"] == gone["__gone"])
-    return own.join(gone, match, "left_anti").drop("__hash")
+    gone = groups.select(_document(F.col("doc_id"), F.col("text_hash")).alias("__gone")).distinct()
+    own = docs.withColumn("__gone", _document(F.col("doc_id"), F.xxhash64(text_of(docs), F.lit(7))))
+    return _of_ids(own, gone, "left_anti", "__gone").drop("__gone")
+
+
+def _document(doc_id: Column, text_hash: Column) -> Column:
+    """A row's identity: its doc_id, which may be null, and the hash of its text."""
+    return F.struct(F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), doc_id.isNull().alias("none"), text_hash.alias("hash"))
