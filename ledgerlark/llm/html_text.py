@@ -1,10 +1,12 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of elements; what a page itself marks as furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, reader comments) is cut off first. Every element then has a composite density, its
-characters for each tag, weighed by how few of characters and tags belong to links. The element with the
-largest sum of its children's densities is the article; the smallest density on its path to the body is the
-threshold above which other parts of the page belong to it as well.
+A page becomes a tree of elements; elements that are furniture by their tag (menus, headers, footers, sidebars, forms,
+scripts) and hidden ones are cut off first. Every element then has a composite density, its characters for each
+tag, weighed by how few of characters and tags belong to links. Names of classes, ids and roles that speak
+of furniture (adverts, notices, reader comments) lower the densities of all that is below them; they don't
+delete, so an article under such a name is found if nothing on the page is denser. The element with the largest sum of
+its children's densities is the article; the smallest density on its path to the body is the threshold above
+which other parts of the page belong to it as well, and below which named parts and lists of links in it don't.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +29,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_SLASH = re.compile(r"(?:^|[\s\"'])/$")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # fixed values of the HTML standard
@@ -39,6 +43,9 @@ BLOCK = set(
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 CLOSES |= {"thead": "tr td th tbody tfoot", "tbody": "tr td th thead tfoot", "tfoot": "tr td th tbody thead"}
 LIST_ENDS = {"li": "ul ol menu dir", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table"}
+LIST_ENDS = {tag: set(LIST_ENDS.get(tag, "table select").split()) for tag in CLOSES}
+CLOSES = {tag: set(names.split()) for tag, names in CLOSES.items()}
+P_ENDS = set("table td th button".split())
 
 # what pages call their furniture
 FURNITURE = set(
@@ -46,21 +53,31 @@ FURNITURE = set(
     "dialog menu search audio video map title".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-NAMES = set(
+#: Names that are hardly ever those of an article, and names that may be its topic.
+SURE = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored sponsors "
-    "promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe "
-    "subscription paywall signup login sidebar sidebars rail widget widgets menu menus nav navbar navigation navigator "
-    "breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended recommendations "
-    "pagination pager skip disclaimer copyright banner banners form search".split()
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription paywall signup login sidebar sidebars "
+    "widget widgets nav navbar navigation navigator breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager "
+    "comment comments commentlist disqus replies respond".split()
 )
-COMMENTS = set("comment comments commentlist disqus replies respond discussion feedback".split())
+PERHAPS = set(
+    "promo promos promotion notice notices alert alerts rail menu menus share sharing social related recommended "
+    "recommendations skip disclaimer copyright banner banners form search discussion feedback".split()
+)
+#: What is left of a density under such a name.
+SURELY, MAYBE = 0.02, 0.3
+#: An article under such a name has so many characters outside links at least, times what is left.
+LEAST_CHARS = 40
+#: A block of these with at least so many links that hold four fifths of its text is a list of links.
+LISTS, LINKS = set("ul ol dl div section table".split()), 3
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "named", "left")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
+        self.named = self.left = 1.0  # what the own name leaves of densities, and all names down to here
 
     @property
     def children(self) -> list[Node]:
@@ -71,6 +88,16 @@ def parse(page: str) -> Node:
     """The tree of a page; tags that are missing or crossed are mended as browsers do in the common cases."""
     root = Node("html", "", None)
     top, at, n = root, 0, len(page)
+    # how many elements of a tag are open, so that none is looked for in vain
+    opened: Counter[str] = Counter()
+
+    def back_to(node: Node) -> Node:
+        inner = top
+        while inner is not node:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return node
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -84,28 +111,26 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            top = _close(top, name)
+            top = back_to(_close(top, name)) if opened[name] else top
             continue
         if name in ("html", "body"):
             if name == "body":
-                while top.tag != "html":
-                    top = top.parent
+                top = back_to(root)
             root.attrs = root.attrs or m["attrs"]
             continue
-        if name in BLOCK:
-            top = _close_open(top, "p", "table td th button")
-        if name in CLOSES:
-            top = _close_open(top, CLOSES[name], LIST_ENDS.get(name, "table select"))
+        if name in BLOCK and opened["p"]:
+            top = back_to(_close_open(top, {"p"}, P_ENDS))
+        if name in CLOSES and any(opened[tag] for tag in CLOSES[name]):
+            top = back_to(_close_open(top, CLOSES[name], LIST_ENDS[name]))
         node = Node(name, m["attrs"], top)
         top.items.append(node)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
             node.items.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif name not in VOID and not m["attrs"].endswith("/"):
-            top = node
-        elif name not in VOID and name in BLOCK:
-            top = node  # a slash doesn't close an HTML element
+        elif name not in VOID and (name in BLOCK or not _SLASH.search(m["attrs"])):
+            top = node  # a slash doesn't close a block, nor as the end of an attribute's value
+            opened[name] += 1
     return root
 
 
@@ -125,10 +150,10 @@ def _close(top: Node, name: str) -> Node:
     return top
 
 
-def _close_open(top: Node, names: str, stops: str) -> Node:
-    """Close an open element of ``names`` unless one of ``stops`` is in between."""
-    wanted, stop, node, found = names.split(), stops.split(), top, None
-    while node.parent is not None and node.tag not in stop:
+def _close_open(top: Node, wanted: set[str], stops: set[str]) -> Node:
+    """Close an open element of ``wanted`` unless one of ``stops`` is in between."""
+    node, found = top, None
+    while node.parent is not None and node.tag not in stops:
         if node.tag in wanted:
             found = node
             if "p" in wanted:
@@ -137,20 +162,20 @@ def _close_open(top: Node, names: str, stops: str) -> Node:
     return found.parent if found else top
 
 
-def _named(attrs: str) -> tuple[set[str], str, bool]:
-    """The lower-cased words of class and id, the role, and whether the element is hidden."""
+def _named(attrs: str) -> tuple[list[set[str]], str, bool]:
+    """The lower-cased words of each class and id, the role, and whether the element is hidden."""
     if "=" not in attrs and "hidden" not in attrs:
-        return set(), "", False
-    words, role, hidden = set(), "", False
+        return [], "", False
+    names, role, hidden = [], "", False
     for key, value in _ATTRIBUTE.findall(attrs):
         key, value = key.lower(), html.unescape(value.strip("\"'"))
         if key in ("class", "id"):
-            words |= {w.lower() for w in _PART.findall(value)}
+            names += [{w.lower() for w in _PART.findall(name)} for name in value.split()]
         elif key == "role":
             role = value.lower()
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
             hidden = True
-    return words, role, hidden
+    return names, role, hidden
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -171,29 +196,43 @@ def _holders(root: Node) -> set[Node]:
     return found
 
 
-def _is_furniture(node: Node, in_article: bool, holders: set[Node]) -> bool:
+def _evidence(node: Node, in_article: bool, holders: set[Node]) -> float:
+    """What an element's tag and names leave of the densities below it; 0 for what isn't shown or never an article."""
     if node.tag in FURNITURE:
-        return True
+        return 0.0
     if node.tag == "header":
-        return not in_article and node not in holders
-    words, role, hidden = _named(node.attrs)
-    if hidden or words & COMMENTS:
-        return True
-    if node.tag in ("main", "article") and not words & {"related", "ad", "sponsored", "promo", "advert"}:
-        return False
-    if role in ROLES or words & NAMES:
-        return node not in holders
-    return "header" in words and not in_article and node not in holders
+        return 1.0 if in_article or node in holders else 0.0
+    names, role, hidden = _named(node.attrs)
+    if hidden:
+        return 0.0
+    if node in holders:
+        return 1.0
+    if role in ROLES:
+        return SURELY
+    left = 1.0
+    for words in names:
+        if node.tag in ("main", "article"):
+            words = words & (SURE | {"related", "promo"})
+        sure, maybe = len(words & SURE), len(words & PERHAPS)
+        # a name of which most words are of other things is that of another thing
+        if 2 * (sure + maybe) >= len(words) > 0:
+            left = min(left, SURELY if sure else MAYBE)
+        elif "header" in words and not in_article:
+            left = min(left, SURELY)
+    return left
 
 
 def _prune(root: Node) -> None:
+    """Cut off what is never an article, and note what names leave of densities."""
     holders, stack = _holders(root), [(root, False)]
     while stack:
         node, in_article = stack.pop()
         kept = []
         for x in node.items:
             if isinstance(x, Node):
-                if _is_furniture(x, in_article, holders):
+                x.named = _evidence(x, in_article, holders)
+                x.left = min(node.left, x.named)
+                if not x.named:
                     # what stood on both sides stays apart
                     kept.append(Node("hr", "", node) if x.tag in BLOCK else "")
                     continue
@@ -222,7 +261,7 @@ def _weigh(nodes: list[Node]) -> None:
 
 
 def _rate(nodes: list[Node], page_links: float) -> None:
-    """Composite density of each element, and the sum of its children's densities."""
+    """Composite density of each element, as far as names leave it, and the sum of its children's densities."""
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
         if not c:
@@ -230,39 +269,62 @@ def _rate(nodes: list[Node], page_links: float) -> None:
         else:
             base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + page_links * c + math.e)
             node.density = c / t * max(math.log(c / lc * t / lt), 0.0) / max(math.log(max(base, 1.0 + 1e-9)), 1.0)
+        node.density *= node.left
         node.total = sum(child.density for child in node.children)
 
 
 def _chosen(root: Node) -> list[Node]:
-    """The elements whose texts are the article, in page order."""
+    """The elements whose texts are the article, in page order; what isn't part of it is taken out of them."""
     nodes = list(_walk(root))
     _weigh(nodes)
     _rate(nodes, root.link_chars / max(root.chars, 1))
     best = max(nodes, key=lambda node: node.total)
-    if best is root or best.total == 0.0:
-        # nothing parts the article from the page; what is mostly links is still no part of it
-        lists = [x for x in root.children if x.tag in BLOCK and 2 * x.link_chars > x.chars]
-        root.items = [x for x in root.items if x not in lists]
-        return [root]
-    path, node = [best], best
+    if best.left < 1.0 and (best.chars - best.link_chars) * best.left < LEAST_CHARS:
+        best = root
+    path, node = {best}, best
     while node.parent is not None:
         node = node.parent
-        path.append(node)
-    marked = [node for node in path if node.tag in ("article", "main")]
+        path.add(node)
+    threshold = min(node.density for node in path)
+    if best is root or best.total == 0.0:
+        # nothing parts the article from the page
+        _leave_out(root, path, threshold)
+        return [root]
+    marked = [node for node in nodes if node in path and node.tag in ("article", "main")]
     if marked:
-        articles = [node for node in marked if node.tag == "article"]
-        return [articles[-1] if articles else marked[-1]]
-    threshold, chosen = min(node.density for node in path), []
-    on_path, stack = set(path), [root]
+        chosen = [next((node for node in marked if node.tag == "article"), marked[0])]
+    else:
+        chosen, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            if node is best:
+                chosen.append(node)
+            elif node in path:
+                stack.extend(reversed(node.children))
+            elif node.tag == "h1" or (node.density >= threshold > 0.0 and node.chars > 2 * node.link_chars):
+                chosen.append(max(_walk(node), key=lambda x: (x.total, x is node)) if node.tag != "h1" and node.total else node)
+    for node in chosen:
+        _leave_out(node, path, threshold)
+    return chosen
+
+
+def _leave_out(top: Node, path: set[Node], threshold: float) -> None:
+    """Take out of an element the named parts under the threshold and the lists of links."""
+    stack = [top]
     while stack:
         node = stack.pop()
-        if node is best:
-            chosen.append(node)
-        elif node in on_path:
-            stack.extend(reversed(node.children))
-        elif node.tag == "h1" or (node.density >= threshold > 0.0 and node.chars > 2 * node.link_chars):
-            chosen.append(max(_walk(node), key=lambda x: (x.total, x is node)) if node.tag != "h1" and node.total else node)
-    return chosen
+        gone = set()
+        for x in node.children:
+            if x in path:
+                continue
+            named = x.named < 1.0 and (x.named == SURELY or x.density < threshold or not threshold)
+            links = x.tag in LISTS and x.link_tags >= LINKS and 5 * x.link_chars > 4 * x.chars
+            if named or links:
+                gone.add(x)
+        if gone:
+            # what stood on both sides stays apart
+            node.items = [Node("hr", "", node) if x in gone and x.tag in BLOCK else "" if x in gone else x for x in node.items]
+        stack.extend(x for x in node.children if x not in gone)
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:

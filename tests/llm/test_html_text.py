@@ -1,3 +1,7 @@
+import html
+import math
+import random
+
 import pytest
 
 from ledgerlark.llm import html_text as H
@@ -65,3 +69,72 @@ def test_deep_pages_are_extracted_like_others(spark, tag):
         page = f"<body>{CLUTTER['script']}{CLUTTER['menu']}{f'<{tag}>' * 5000}{CLUTTER['header']}{inner}{CLUTTER['footer']}"
         pages = spark.createDataFrame([(page,)], "html string")
         assert H.extract(pages).first().text == WANT
+
+
+PROSE = "<p>A sentence of prose that goes on for a while, with commas and words, as articles do.</p>"
+
+
+def test_names_lower_densities_but_do_not_delete():
+    found = H.main_text(f'<body><div class="social"><h2>Social policy</h2>{PROSE * 3}</div><div>x</div></body>')
+    assert found.startswith("Social policy\n\nA sentence") and found.count("A sentence") == 3 and not found.endswith("x")
+    inside = f'<article><h1>T</h1>{PROSE}<div class="search-results-summary"><p>Results, in short.</p></div>{PROSE}</article>'
+    assert "Results, in short." in H.main_text(inside)
+    assert H.main_text('<div class="cookie-notice"><p>We use cookies.</p><p>Accept</p></div>') == ""
+    promo = f'<article><h1>T</h1>{PROSE}<div class="promo"><p>Buy this.</p></div></article>'
+    assert "Buy" not in H.main_text(promo)
+    beside = f'<body><div class="ad">{PROSE}</div><div>{PROSE * 2}</div></body>'
+    assert H.main_text(beside).count("A sentence") == 2
+
+
+def test_lists_of_links_inside_the_article():
+    more = "<ul><li><a href=/a>One</a><li><a href=/b>Two</a><li><a href=/c>Three</a></ul>"
+    assert "Two" not in H.main_text(f"<article><h1>T</h1>{PROSE}{more}</article>")
+    with_words = "<ul><li>First see <a href=/a>one</a><li>then also <a href=/b>two</a><li>and <a href=/c>three</a></ul>"
+    assert "then also two" in H.main_text(f"<article><h1>T</h1>{PROSE}{with_words}</article>")
+
+
+def test_densities_against_their_definition():
+    r = random.Random(4)
+
+    def page(depth):
+        tag = r.choice(["div", "p", "a", "b", "section", "span"])
+        inner = "".join(page(depth - 1) if depth and r.random() < 0.6 else r.choice(["some words ", "&amp; x", ""]) for _ in range(r.randint(0, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    def below(node, in_link):
+        in_link = in_link or node.tag == "a"
+        for x in node.items:
+            if isinstance(x, H.Node):
+                yield "tag", 1, x.tag == "a"
+                yield from below(x, in_link)
+            else:
+                yield "char", len("".join(html.unescape(x).split())), in_link
+
+    for _ in range(60):
+        root = H.parse("<body>" + "".join(page(4) for _ in range(3)))
+        nodes = list(H._walk(root))
+        H._weigh(nodes)
+        total_chars = [n for k, n, _ in below(root, False) if k == "char"]
+        link_share = sum(n for k, n, linked in below(root, False) if k == "char" and linked) / max(sum(total_chars), 1)
+        H._rate(nodes, link_share)
+        in_link = {root: False}
+        for node in nodes:
+            in_link[node] = node.parent is not None and (in_link[node.parent] or node.parent.tag == "a")
+            found = list(below(node, in_link[node]))
+            c = sum(n for k, n, _ in found if k == "char")
+            t = max(sum(1 for k, _, _ in found if k == "tag"), 1)
+            lc = sum(n for k, n, linked in found if k == "char" and linked)
+            lt = max(sum(1 for k, _, a in found if k == "tag" and a), 1)
+            if not c:
+                assert node.density == 0
+                continue
+            base = max(math.log(max(math.log(c / max(c - lc, 1) * lc + link_share * c + math.e), 1 + 1e-9)), 1.0)
+            assert abs(node.density - c / t * max(math.log(c / max(lc, 1) * t / lt), 0) / base) < 1e-9
+            assert abs(node.total - sum(x.density for x in node.children)) < 1e-9
+        best = max(nodes, key=lambda n: n.total)
+        assert best.total == max(sum(x.density for x in n.children) for n in nodes)
+
+
+def test_a_page_of_fifty_thousand_levels():
+    page = f"<body>{CLUTTER['script']}{CLUTTER['menu']}{'<div>' * 50_000}<article>{ARTICLE}</article>{'</div>' * 50_000}{CLUTTER['footer']}"
+    assert H.main_text(page) == WANT
