@@ -46,11 +46,11 @@ def _visit(part: Column, tokens_per_unit: dict[str, int]) -> Column:
     """What one part becomes: its rendered string, its expanded token count and its attachment reference."""
     kind, units = F.coalesce(part["kind"], F.lit("text")), F.coalesce(part["units"], F.lit(1))
     words = F.size(F.filter(F.split(F.coalesce(part["text"], F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    tokens = words.cast("bigint")
+    attached = kind.isin(*tokens_per_unit) | ((kind != "text") & part["ref"].isNotNull())
+    tokens = F.when(attached, units).otherwise(words.cast("bigint"))
     for name, rate in tokens_per_unit.items():
         tokens = F.when(kind == name, units * rate).otherwise(tokens)
-    attached = kind.isin(*tokens_per_unit)
-    body = F.when(attached, F.concat(F.lit("<"), kind, F.lit("/>"))).otherwise(
+    body = F.when(attached, F.concat(F.lit("<"), escape(kind), F.lit("/>"))).otherwise(
         escape(F.coalesce(part["text"], F.lit("")))
     )
     return F.struct(
@@ -71,7 +71,8 @@ def format_chats(
 
     ``content`` is an array of parts (kind, text, ref, units); kinds named in ``tokens_per_unit`` (image,
     audio and document by default) become the placeholder ``<kind/>`` in order, and their references
-    and expanded token counts (units times the rate) are recorded; any other kind counts as text.
+    and expanded token counts (units times the rate) are recorded. A part of any other kind that has a reference
+    is an attachment as well, of one token per unit; without a reference it counts as text.
 
     Returns conv_id, formatted, spans (per turn, in order: start of the turn, start and length of its
     body in code points, and whether it bears loss), attachments (turn, kind, ref, tokens in order of their

@@ -35,8 +35,9 @@ def op8_chat_format(spark, sf_dir):
     """All conversations formatted, and what is read back from the rendering."""
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], turns.schema)
-    turns = turns.unionByName(extra).withColumn("content", chat_format.text_content(F.col("text")))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(trap).alias("text"))
+    turns = turns.unionByName(extra.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])).withColumn("content", chat_format.text_content(F.col("text")))
     chats = chat_format.format_chats(turns.select("conv_id", "turn", "role", "content"))
     read = chats.withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn(
         "loss", chat_format.read_loss_text(F.col("formatted"), F.col("spans"))

@@ -56,3 +56,13 @@ def test_long_conversation(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}", None) for i in range(5000)]
     found = read(frame(spark, rows))[1]
     assert found.loss == "".join(f"turn {i}" for i in range(1, 5000, 2)) and len(found.turns) == 5000
+
+
+def test_unknown_kinds_keep_their_references(spark):
+    row = ([("text", "see ", None, None), ("video", None, "v.mp4", 3), ("file<>", None, "f.pdf", None), ("note", "plain", None, None)],)
+    df = spark.createDataFrame([row], f"content {C.CONTENT}").select(
+        F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "content"
+    )
+    found = read(df)[1]
+    assert [(a.kind, a.ref, a.tokens) for a in found.attachments] == [("video", "v.mp4", 3), ("file<>", "f.pdf", 1)]
+    assert [t.text for t in found.turns] == ["see plain"] and "<video/>" in found.formatted
