@@ -1,14 +1,16 @@
-"""Language-model scoring with a weighted backoff automaton over word bigrams.
+"""Language-model scoring with a weighted backoff automaton over word n-grams.
 
-The states are the words (and the begin of a text) of the training corpus. A state has an arc for each word seen
-after it and a failure arc to the empty context, which has an arc for every word. A text is scored by one
-traversal from left to right: the state is carried, an arc that exists gives its weight, else the failure
-arc's weight is added to that of the empty context's arc.
+The states are the contexts of the training corpus, of ``order - 1`` words at most, the begin of a text among them. A
+state has an arc for each word seen after it and a failure arc to the context without its first word; the empty
+context has an arc for every word. A text is scored by one traversal from left to right: the state is carried, an arc
+that exists gives its weight, else the failure arc's weight is added and the next shorter context is tried.
 
 The model grows with the corpus, so no task holds it. Documents are dealt into blocks of bounded size; a
 block sends its distinct n-grams, packed and cut into shards by hash, and a shard adds the counts of all blocks
 and answers each with the totals of the very n-grams it sent, in their order. A block then builds the part
-of the automaton that its own texts can reach, with exactly the weights of the whole one.
+of the automaton that its own texts can reach, with exactly the weights of the whole one. A message holds
+the n-grams that a block has for a shard, and none is sent for none: there are never more messages than
+distinct n-grams of blocks, however many blocks and shards there are.
 """
 
 from __future__ import annotations
@@ -21,52 +23,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import text_of
+from .common import cut, pieces_of, text_of
 
-BLOCK_BYTES = 12 << 20
+#: Text of a block, and text whose n-grams are a shard's: what one task holds.
+BLOCK_BYTES = SHARD_BYTES = 12 << 20
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Exponents at which shards sum powers of context counts, to fit how fast contexts meet new words.
 EXPONENTS = np.linspace(0.0, 1.0, 41)
-KEY_BYTES = 6  # of a bigram within its shard; the shard adds the bits by which it was chosen
-ROWS = 256  # texts hashed at once
+
+
+@dataclass
+class Grams:
+    """The n-grams of one length of a block's texts; each ends at a token."""
+
+    keys: np.ndarray  # distinct hashes, sorted
+    at: np.ndarray  # of each token; -1 where the text has begun too late
+    context: np.ndarray  # of each key, the key of the n-gram without the last word; -1 is the begin of a text
+    suffix: np.ndarray  # of each key, the key of the n-gram without the first word
 
 
 @dataclass
 class Tokens:
-    """The tokens of a block's texts, each text with its end, as numbers of distinct words and bigrams."""
+    """The tokens of a block's texts, each text with its end, and their n-grams by length from 1 on."""
 
     text: np.ndarray  # number of the text of each token
-    words: np.ndarray  # distinct hashes, sorted
-    word: np.ndarray  # of each token
-    bigrams: np.ndarray
-    bigram: np.ndarray  # of each token and the one before it
-    before: np.ndarray  # word number of the token before; -1 at the begin of a text
-
-    def counts(self, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the words and bigrams, from texts for which ``trained`` holds."""
+    grams: list[Grams]
+
+    def counts(self, trained: np.ndarray) -> list[np.ndarray]:
+        """Training counts of the n-grams, from texts for which ``trained`` holds."""
         use = trained[self.text]
-        return (
-            np.bincount(self.word[use], minlength=len(self.words)),
-            np.bincount(self.bigram[use], minlength=len(self.bigrams)),
-        )
+        return [np.bincount(g.at[use & (g.at >= 0)], minlength=len(g.keys)) for g in self.grams]
 
 
-def tokens(texts: list[str]) -> Tokens:
-    parts, owners = [], []
-    for at in range(0, len(texts), ROWS):
-        some = texts[at : at + ROWS]
-        w = flat.words(some)
+def tokens(texts: list[str], order: int = 2) -> Tokens:
+    parts, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in pieces_of(texts):
+        w = flat.words(texts[i:j])
         # the end of each text stands after its words
-        after = np.searchsorted(w.text, np.arange(len(some)), side="right")
+        after = np.searchsorted(w.text, np.arange(j - i), side="right")
         parts.append(np.insert(w.hashes(), after, END))
-        owners.append(np.insert(w.text, after, np.arange(len(some))) + at)
-    hashes, text = np.concatenate(parts), np.concatenate(owners)
-    words, word = np.unique(hashes, return_inverse=True)
-    first = np.concatenate([[True], text[1:] != text[:-1]])
-    previous = np.where(first, BEGIN, np.concatenate([[BEGIN], hashes[:-1]]))
-    bigrams, bigram = np.unique(flat.mix(previous * flat.BASE + hashes), return_inverse=True)
-    before = np.where(first, -1, np.concatenate([[0], word[:-1]]))
-    return Tokens(text, words, word, bigrams, bigram, before)
+        owners.append(np.insert(w.text, after, np.arange(j - i)) + i)
+    words, text = np.concatenate(parts), np.concatenate(owners)
+    place = np.arange(len(text)) - np.searchsorted(text, text)
+    keys, at = np.unique(words, return_inverse=True)
+    none = np.zeros(len(keys), np.int64)
+    grams, value = [Grams(keys, at, none, none)], words
+    for n in range(2, order + 1):
+        # of the begin alone there is a context of one
+        begin = BEGIN if n == 2 else np.uint64(0)
+        before = np.where(place == 0, begin, np.append(begin, value[:-1])[: len(value)])
+        whole = place >= n - 2
+        value = np.where(whole, flat.mix(before * flat.BASE + words), np.uint64(0))
+        keys, kind = np.unique(value[whole], return_inverse=True)
+        at = np.full(len(text), -1)
+        at[whole] = kind
+        shorter = grams[-1].at
+        context, suffix = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        context[kind] = np.where(place == 0, -1, np.append(-1, shorter[:-1])[: len(text)])[whole]
+        suffix[kind] = shorter[whole]
+        grams.append(Grams(keys, at, context, suffix))
+    return Tokens(text, grams)
 
 
 def _shards(keys: np.ndarray, n: int) -> np.ndarray:
@@ -74,146 +90,181 @@ def _shards(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _short(keys: np.ndarray) -> bytes:
-    """The low bytes of bigram keys (which differ in them almost surely, within a shard)."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest of them takes."""
+    values = values.astype("<u8")
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _long(data: bytes) -> np.ndarray:
-    whole = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
-    whole[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    whole = np.zeros((n, 8), np.uint8)
+    if n:
+        whole[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
     return whole.reshape(-1).view("<u8")
 
 
-SENT = "block int, shard int, words binary, word_counts binary, bigrams binary, bigram_counts binary"
-ANSWER = (
-    "block int, shard int, word_counts binary, bigram_counts binary, n_tokens bigint, n_words bigint, "
-    "n_bigrams bigint, once bigint, twice bigint, powers array<double>"
-)
+SENT = "block int, shard int, sizes array<int>, keys array<binary>, counts array<binary>"
+#: For each length of n-grams: tokens, distinct ones, those seen once and twice, and sums of powers of their counts.
+TOLD = "array<struct<tokens:bigint,types:bigint,once:bigint,twice:bigint,powers:array<double>>>"
 
 
-def _send(table: pa.Table, n: int) -> pa.Table:
-    """A block's distinct n-grams with its own training counts, a row for each shard."""
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {
+        "int": pa.int32(),
+        "array<int>": pa.list_(pa.int32()),
+        "array<binary>": pa.list_(pa.binary()),
+        TOLD: pa.list_(
+            pa.struct([*[(c, pa.int64()) for c in ("tokens", "types", "once", "twice")], ("powers", pa.list_(pa.float64()))])
+        ),
+    }
+    return pa.schema([(name, kinds[kind]) for name, kind in (column.split(" ", 1) for column in ddl.split(", "))])
+
+
+def _send(table: pa.Table, n: int, order: int) -> pa.Table:
+    """A block's distinct n-grams with its own training counts, a row for each shard that has any."""
     block = table["block"][0].as_py()
-    t = tokens(table["text"].to_pylist())
-    word_counts, bigram_counts = t.counts(table["trains"].to_numpy(zero_copy_only=False).astype(bool))
+    t = tokens(table["text"].to_pylist(), order)
+    counts = t.counts(table["trains"].to_numpy(zero_copy_only=False).astype(bool))
+    edges = [np.searchsorted(_shards(g.keys, n), np.arange(n + 1)) for g in t.grams]
     rows = []
-    edges = [np.searchsorted(_shards(k, n), np.arange(n + 1)) for k in (t.words, t.bigrams)]
-    for s in range(n):
-        w, b = (slice(e[s], e[s + 1]) for e in edges)
-        counts = word_counts[w].astype("<u4").tobytes(), bigram_counts[b].astype("<u4").tobytes()
-        rows.append((block, s, t.words[w].tobytes(), counts[0], _short(t.bigrams[b]), counts[1]))
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    names = [f.split()[0] for f in SENT.split(", ")]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+    for s in np.flatnonzero(np.sum([np.diff(e) for e in edges], axis=0)):
+        parts = [slice(e[s], e[s + 1]) for e in edges]
+        keys = [g.keys[p] for g, p in zip(t.grams, parts, strict=True)]
+        steps = [_packed(np.diff(k, prepend=np.uint64(0))) for k in keys]  # sorted keys as differences
+        own = [_packed(c[p]) for c, p in zip(counts, parts, strict=True)]
+        rows.append({"block": block, "shard": int(s), "sizes": [len(k) for k in keys], "keys": steps, "counts": own})
+    return pa.Table.from_pylist(rows, _schema(SENT))
 
 
-def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of counts of each distinct key, and the number of the key of each entry."""
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64), at
+ANSWER = f"block int, shard int, sizes array<int>, counts array<binary>, told {TOLD}"
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """The totals of a shard's n-grams for each block that sent them, and the shard's share of all statistics."""
-    rows = table.to_pylist()
-    unpack = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-    w, wc = unpack("words", np.uint64), unpack("word_counts", "<u4")
-    b, bc = [_long(r["bigrams"]) for r in rows], unpack("bigram_counts", "<u4")
-    words, word_at = _total(w, wc)
-    bigrams, bigram_at = _total(b, bc)
-    seen = words[words > 0].astype(np.float64)
-    powers = [float((seen**e).sum()) for e in EXPONENTS]
-    told = (int(words.sum()), len(seen), int((bigrams > 0).sum()), int((bigrams == 1).sum()), int((bigrams == 2).sum()))
-    word_ends, bigram_ends = np.cumsum([0, *map(len, w)]), np.cumsum([0, *map(len, b)])
-    found = []
-    for i, r in enumerate(rows):
-        mine = words[word_at[word_ends[i] : word_ends[i + 1]]], bigrams[bigram_at[bigram_ends[i] : bigram_ends[i + 1]]]
-        found.append((r["block"], r["shard"], *(x.astype("<u4").tobytes() for x in mine), *told, powers))
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5, pa.list_(pa.float64())]
-    names = [f.split()[0] for f in ANSWER.split(", ")]
-    return pa.table([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=names)
+    """The totals of a shard's n-grams for each block that sent them; the shard's statistics go with the first."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    totals, told = [[] for _ in rows], []
+    for k in range(len(rows[0]["sizes"])):
+        sizes = [r["sizes"][k] for r in rows]
+        keys = [np.cumsum(_unpacked(r["keys"][k], n), dtype=np.uint64) for r, n in zip(rows, sizes, strict=True)]
+        own = np.concatenate([_unpacked(r["counts"][k], n) for r, n in zip(rows, sizes, strict=True)])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        whole = np.zeros(int(at.max(initial=-1)) + 1, np.uint64)
+        np.add.at(whole, at, own)
+        seen = whole[whole > 0]
+        ends = np.cumsum([0, *sizes])
+        for i in range(len(rows)):
+            totals[i].append(_packed(whole[at[ends[i] : ends[i + 1]]]))
+        powers = [float((seen.astype(np.float64) ** e).sum()) for e in EXPONENTS]
+        once, twice = int((seen == 1).sum()), int((seen == 2).sum())
+        told.append({"tokens": int(seen.sum()), "types": len(seen), "once": once, "twice": twice, "powers": powers})
+    found = [{"block": r["block"], "shard": r["shard"], "sizes": r["sizes"], "counts": c} for r, c in zip(rows, totals, strict=True)]
+    found[0]["told"] = told
+    return pa.Table.from_pylist(found, _schema(ANSWER))
 
 
 @dataclass
-class Automaton:
-    """The part of the automaton that some texts reach; all weights are log10 probabilities."""
+class Statistics:
+    """What is counted over the whole corpus: training tokens, words, and for n-grams from two on discount and exponent."""
 
-    known: np.ndarray  # training counts of words
     n_tokens: int
     n_words: int
-    word_weight: np.ndarray  # arcs of the empty context
-    failure: np.ndarray  # failure arcs by state; the last is of the begin of a text
-    arc: np.ndarray  # arcs by bigram, where the model has them
+    discounts: list[float]
+    exponents: list[float]
 
     @classmethod
-    def build(cls, t: Tokens, answers: list[dict]) -> Automaton:
-        answers = sorted(answers, key=lambda r: r["shard"])
-        whole = lambda name: np.concatenate([np.frombuffer(r[name], "<u4") for r in answers]).astype(np.int64)
-        words, bigrams = whole("word_counts"), whole("bigram_counts")
-        n, v, types, once, twice = (
-            sum(r[k] for r in answers) for k in ("n_tokens", "n_words", "n_bigrams", "once", "twice")
-        )
-        powers = np.sum([r["powers"] for r in answers], axis=0)
-        # contexts seen c times met about c**e words; e makes these add up to the number of bigrams
-        exponent = float(np.interp(types, powers, EXPONENTS))
-        discount = min(max(once / (once + 2.0 * twice), 0.05), 0.95) if once else 0.5
-        end = int(np.searchsorted(t.words, END))
-        context = np.append(words, words[end])  # the begin is a context as often as the end is a token
-        share = np.where(context > 0, discount * np.maximum(context, 1.0) ** (exponent - 1.0), 1.0)
-        unigram = (words + 1.0) / (n + v + 1.0)
-        # of each bigram of the texts: its context and its word
-        first = np.zeros(len(t.bigrams), np.int64)
-        second = np.zeros(len(t.bigrams), np.int64)
-        first[t.bigram], second[t.bigram] = t.before, t.word
-        part = share[first]
-        arc = np.full(len(bigrams), -np.inf)
-        seen = bigrams > 0
-        p = (1.0 - part[seen]) * bigrams[seen] / np.maximum(context[first[seen]], 1) + part[seen] * unigram[second[seen]]
-        arc[seen] = np.log10(p)
-        return cls(words, n, v, np.log10(unigram), np.log10(share), arc)
+    def of(cls, answers: DataFrame) -> Statistics:
+        """The sums over all shards, a row for each length of n-grams."""
+        rows = answers.where("told is not null").select(F.posexplode("told").alias("k", "told"))
+        sums = [F.sum(f"told.{c}").alias(c) for c in ("tokens", "types", "once", "twice")]
+        powers = F.array(*[F.sum(F.get("told.powers", F.lit(i))) for i in range(len(EXPONENTS))]).alias("powers")
+        told = rows.groupBy("k").agg(*sums, powers).orderBy("k").collect()
+        discounts, exponents = [], []
+        for before, own in zip(told, told[1:], strict=False):
+            discounts.append(min(max(own.once / (own.once + 2.0 * own.twice), 0.05), 0.95) if own.once else 0.5)
+            # contexts seen c times met about c**e words; e makes these add up to the number of n-grams
+            exponents.append(float(np.interp(own.types, before.powers, EXPONENTS)))
+        return cls(told[0].tokens, told[0].types, discounts, exponents) if told else cls(0, 0, [], [])
 
-    def traverse(self, t: Tokens) -> np.ndarray:
-        """The weight of each token: of its arc, or of the failure arc and the empty context's arc."""
-        arc = self.arc[t.bigram]
-        return np.where(np.isneginf(arc), self.failure[t.before] + self.word_weight[t.word], arc)
 
+@dataclass
+class Automaton:
+    """The part of the automaton that some texts reach; all weights are log10 probabilities, by length of the n-gram."""
+
+    known: np.ndarray  # training counts of words
+    arcs: list[np.ndarray]  # of the states; minus infinity where a state has no such arc
+    failures: list[np.ndarray]  # of the state before each n-gram, from two on; 0 of what is no state
+
+    @classmethod
+    def build(cls, t: Tokens, counts: list[np.ndarray], known: Statistics) -> Automaton:
+        words = counts[0].astype(np.float64)
+        lower = (words + 1.0) / (known.n_tokens + known.n_words + 1.0)
+        arcs, failures = [np.log10(lower)], []
+        end = int(np.searchsorted(t.grams[0].keys, END))
+        for g, c, shorter, discount, exponent in zip(t.grams[1:], counts[1:], counts, known.discounts, known.exponents, strict=False):
+            # the begin of a text is a context as often as the end is a token
+            context = np.where(g.context < 0, words[end] if end < len(words) else 0.0, shorter[g.context].astype(np.float64))
+            state = context > 0
+            share = np.where(state, discount * np.maximum(context, 1.0) ** (exponent - 1.0), 1.0)
+            less = share * lower[g.suffix]
+            lower = np.where(c > 0, (1.0 - share) * c.astype(np.float64) / np.maximum(context, 1.0) + less, less)
+            with np.errstate(divide="ignore"):
+                arcs.append(np.log10(np.where(c > 0, lower, 0.0)))
+            failures.append(np.log10(share))
+        return cls(counts[0], arcs, failures)
 
-def score(docs: DataFrame, trains: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def traverse(self, t: Tokens) -> np.ndarray:
+        """The weight of each token: the failure arcs' from its longest context down to one that has an arc, and that arc's."""
+        weight, open_ = np.zeros(len(t.text)), np.ones(len(t.text), bool)
+        for g, arc, failure in zip(t.grams[:0:-1], self.arcs[:0:-1], self.failures[::-1], strict=False):
+            here = np.flatnonzero(open_ & (g.at >= 0))
+            own = arc[g.at[here]]
+            taken = ~np.isneginf(own)
+            weight[here] += np.where(taken, own, failure[g.at[here]])
+            open_[here[taken]] = False
+        return weight + np.where(open_, self.arcs[0][t.grams[0].at], 0.0)
+
+
+def score(docs: DataFrame, trains: Column, order: int = 2, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``.
 
     The model learns from rows for which ``trains`` (of doc_id) is true; a null counts as false. Tokens are the
     words, A-Z lower-cased, and one end for each text. base_score is the add-one unigram log10 probability;
-    score is the automaton's. Every row is scored on its own whole text; null text is empty and has the
-    end alone. Repeated rows are learned and scored each. Without training rows every token has
-    probability one in both. No rows give no rows. Other columns are ignored.
+    score is that of the automaton over n-grams of up to ``order`` words. Every row is scored on its own whole text; null
+    text is empty and has the end alone. Repeated rows are learned and scored each; those of different partitions
+    of ``docs`` go to different blocks. Without training rows every token has probability one in both. No rows
+    give no rows. Other columns are ignored.
     """
     rows = docs.select("doc_id", text_of(docs).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    blocks = rows.withColumn("block", block)
+    n, shards = max(1, -(-size // block_bytes)), max(1, -(-size // shard_bytes))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def send(table: pa.Table) -> pa.Table:
-        return _send(table, n)
+        return _send(table, shards, order)
+
+    sent = blocks.groupBy("block").applyInArrow(send, SENT)
+    answers = cut(sent.groupBy("shard").applyInArrow(_answer, ANSWER))
+    known = Statistics.of(answers)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        t = tokens(table["text"].to_pylist())
-        model, m = Automaton.build(t, answers.to_pylist()), table.num_rows
+        t, m = tokens(table["text"].to_pylist(), order), table.num_rows
+        own = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        counts = [np.concatenate([_unpacked(r["counts"][k], r["sizes"][k]) for r in own]) for k in range(order)]
+        model = Automaton.build(t, counts, known)
+        word = t.grams[0].at
         columns = [
             table["doc_id"],
             pa.array(~table["trains"].to_numpy(zero_copy_only=False).astype(bool)),
             pa.array(np.bincount(t.text, minlength=m), pa.int64()),
-            pa.array(np.bincount(t.text, model.known[t.word] > 0, m).astype(np.int64)),
-            pa.array(np.full(m, model.n_tokens), pa.int64()),
-            pa.array(np.bincount(t.text, model.word_weight[t.word], m)),
+            pa.array(np.bincount(t.text, model.known[word] > 0, m).astype(np.int64)),
+            pa.array(np.full(m, known.n_tokens), pa.int64()),
+            pa.array(np.bincount(t.text, model.arcs[0][word], m)),
             pa.array(np.bincount(t.text, model.traverse(t), m)),
         ]
         return pa.table(columns, names=names)
 
-    sent = blocks.groupBy("block").applyInArrow(send, SENT)
-    answers = sent.groupBy("shard").applyInArrow(_answer, ANSWER)
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+    return blocks.groupBy("block").cogroup(answers.drop("told").groupBy("block")).applyInArrow(finish, schema)
