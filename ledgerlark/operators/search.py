@@ -1,78 +1,118 @@
-"""Search: an inverted index, keyword ranking, vector similarity, rank fusion and snippets."""
+"""Search: a stored inverted index, keyword ranking, vector similarity, rank fusion and snippets."""
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions import text
+from ledgerlark.functions import stems, text
+from ledgerlark.operators.materialise import shared_folder
 
 K1, B = 1.2, 0.75
 FUSION = 60
 
 
+BUCKETS = 64
+#: Where this application's indexes are, by what they are of.
+_STORED: dict[tuple, str] = {}
+
+
 def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
     """The inverted index: key, term, tf (number of the term in the document) and dl (terms of the document).
 
-    A document's terms are counted inside its row, so nothing is shuffled to build the index.
+    Terms are folded and stemmed. Each document has a row with null term and tf 0 as well, so that its length is
+    known if it has no terms. A document's terms are counted inside its row; nothing is shuffled.
     """
-    terms = docs.select(key, text.search_terms(F.col(column)).alias("terms"))
-    sized = terms.select(key, F.size("terms").alias("dl"), F.array_sort("terms").alias("terms"))
-    # runs of a sorted list: where each term begins, and how long its run is
-    n = F.size("terms")
-    first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)))
-    runs = sized.where(n > 0).select(key, "dl", "terms", first.alias("first"))
-    spans = F.transform(
-        "first",
-        lambda p, i: F.struct(
-            F.get("terms", p - 1).alias("term"),
-            (F.coalesce(F.get("first", i + 1), F.size("terms") + 1) - p).alias("tf"),
-        ),
-    )
-    return runs.select(key, "dl", F.explode(spans).alias("s")).select(key, "s.term", "s.tf", "dl")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, words, number, length = [], [], [], []
+            for i, whole in enumerate(batch["__text"].to_pylist()):
+                found = stems.terms(whole)
+                counted = {None: 0, **Counter(found)}
+                place += [i] * len(counted)
+                words += counted.keys()
+                number += counted.values()
+                length += [len(found)] * len(counted)
+            columns = [batch[key].take(pa.array(place, pa.int64())), pa.array(words, pa.string())]
+            columns += [pa.array(number, pa.int32()), pa.array(length, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "term", "tf", "dl"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(column).alias("__text")).mapInArrow(count, f"{key} {kind}, term string, tf int, dl int")
+
+
+def store(docs: DataFrame, key: str, column: str, folder: str) -> None:
+    """Write the inverted index to ``folder``, in folders by hash of the term and sorted by term; the documents'
+    lengths are in the folder of bucket -1."""
+    rows = postings(docs, key, column).withColumn("bucket", bucket(F.col("term")))
+    # a frequent term's rows are written by several tasks
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(folder)
+
+
+def bucket(term: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int"), F.lit(-1))
+
+
+def index_of(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """The stored index of ``docs``: written at its first use in an application, read by its terms after that.
+
+    It goes to the shared checkpoint folder and holds while the table doesn't change.
+    """
+    spark = docs.sparkSession
+    of = (spark.sparkContext.applicationId, docs.select(key, column).semanticHash(), key, column)
+    if of not in _STORED:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        store(docs, key, column, folder)
+        _STORED[of] = folder
+    kind = docs.schema[key].dataType.simpleString()
+    return spark.read.schema(f"{key} {kind}, term string, tf int, dl int, bucket int").parquet(_STORED[of])
 
 
 def query_terms(q: str, limit: int | None = None) -> list[str]:
     """The terms of a query, each once; operators and quotes are cut off like any other mark."""
-    import re
-
-    terms = list(dict.fromkeys(w for w in re.split(r"[^\w]+|_", q.lower()) if w))
+    terms = list(dict.fromkeys(stems.terms(q)))
     return terms[:limit] if limit else terms
 
 
-def bm25(docs: DataFrame, key: str, column: str, q: str, require_all: bool = True) -> DataFrame:
-    """key and score of every document that has all (or any) terms of the query; none for an empty query.
+def quoted_query(c: Column) -> Column:
+    """A query text with its operators cut off and each word quoted; null if no word is left."""
+    words = F.filter(F.split(F.regexp_replace(c, r"[()*:^\"]", " "), r"\s+"), lambda w: w != "")
+    quoted = F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ")
+    return F.when(F.size(words) > 0, quoted)
 
-    score is the published BM25 sum with idf ln(1 + (N - df + 0.5) / (df + 0.5)). Only counts of the query's terms are
-    made in each row, so no index has to be built for one query; number, lengths and document frequencies
-    come from one aggregate over all documents.
-    """
-    terms = query_terms(q)
-    if not terms:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    counted = docs.select(key, text.search_terms(F.col(column)).alias("terms"))
 
-    def number(term: str) -> Column:
-        return F.size(F.filter("terms", lambda w: w == term))
+def word_query(c: Column) -> Column:
+    """A query text of which words, quotes and wildcards are left; null if nothing is."""
+    kept = F.trim(F.regexp_replace(F.regexp_replace(c, r'[^\w\s"*]', " "), r"\s+", " "))
+    return F.when(kept != "", kept)
 
-    tf = [number(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = counted.select(key, F.size("terms").alias("dl"), *tf)
-    stats = counted.agg(
-        F.count("*").alias("n"),
-        F.avg("dl").alias("mean"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
-    )
 
-    def part(i: int) -> Column:
-        n, df, f = F.col("n"), F.col(f"df{i}"), F.col(f"tf{i}")
-        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+def bm25(index: DataFrame, key: str, q: str, require_all: bool = True) -> DataFrame:
+    """key and score of every document of an index that has all (or any) terms of the query; none for an empty query.
 
-    hits = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    found = counted.where(reduce(Column.__and__ if require_all else Column.__or__, hits))
-    return found.join(F.broadcast(stats)).select(key, reduce(Column.__add__, [part(i) for i in range(len(terms))]).alias("score"))
+    score is the published BM25 sum with idf ln(1 + (N - df + 0.5) / (df + 0.5)), over all documents of the
+    index. Only the folders of the query's terms and of the lengths are read.
+    """
+    terms = query_terms(q)
+    mine = index.where(F.col("bucket").isin([zlib.crc32(t.encode()) % BUCKETS for t in terms]) & F.col("term").isin(terms))
+    if not terms:
+        return index.select(key, F.lit(0.0).alias("score")).limit(0)
+    whole = index.where("bucket = -1").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    # one row for each term of the query
+    each = mine.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(whole))
+    n, df, tf = F.col("n"), F.col("df"), F.col("tf")
+    part = F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    found = mine.join(F.broadcast(each), "term").groupBy(key).agg(F.sum(part).alias("score"), F.count("*").alias("__has"))
+    return (found.where(F.col("__has") == len(terms)) if require_all else found).select(key, "score")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -89,10 +129,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
-def vector_hits(vectors: DataFrame, key: str, column: str, q: list[float], least: float | None = None) -> DataFrame:
-    """key and score of the vectors whose cosine with ``q`` is at least ``least``; zero vectors are left out."""
-    unit = F.lit([float(x) for x in q])
-    found = vectors.where(norm(F.col(column)) > 0).select(key, cosine(F.col(column), unit).alias("score"))
+def vector_hits(vectors: DataFrame, key: str, column: str, q: DataFrame, least: float | None = None) -> DataFrame:
+    """key and score of the vectors whose cosine with the query's is at least ``least``; zero vectors are left out.
+
+    ``q`` is a DataFrame of one column; its first row is the query's vector. Without a row there are no hits.
+    """
+    asked = q.toDF("__q").where("__q is not null").limit(1)
+    rows = vectors.where(norm(F.col(column)) > 0).join(F.broadcast(asked))
+    found = rows.select(key, cosine(F.col(column), F.col("__q")).alias("score"))
     return found if least is None else found.where(F.col("score") >= least)
 
 
@@ -122,10 +166,12 @@ def hybrid(keyword: DataFrame, vector: DataFrame | None, key: str, limit: int, p
     return top(fuse(lists, key), key, 2 * limit)
 
 
-def snippet(c: Column, terms: list[str], width: int = 25) -> Column:
-    """``width`` words around the first word that has a term, terms marked, with dots where text is left out."""
+def snippet(c: Column, q: str, width: int = 25) -> Column:
+    """``width`` words around the first word that has a term of the query or begins with its stem, such words marked, with
+    dots where text is left out."""
     words = text.words(c)
-    pattern = rf"(?i)\b({'|'.join(terms)})\b"
+    parts = [*(f"{t}\\w*" for t in query_terms(q)), *(w for w in stems.WORD.findall(q.lower()))]
+    pattern = rf"(?iu)\b({'|'.join(dict.fromkeys(parts))})\b"
     first = F.array_position(F.transform(words, lambda w: w.rlike(pattern)), True).cast("int")
     start = F.greatest(F.lit(1), first - width // 2)
     shown = F.regexp_replace(F.array_join(F.slice(words, start, width), " "), pattern, "<mark>$1</mark>")

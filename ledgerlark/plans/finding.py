@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlark.functions import text
+from ledgerlark.functions import stems, text
 from ledgerlark.operators import search
 
 from .registry import query
@@ -10,42 +10,44 @@ from .registry import query
 TERMS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 
-def _bm25_sql(words: list[str], require_all: bool = True, where: str = "true") -> str:
+def _bm25_sql(words: list[str], require_all: bool = True) -> str:
     """DuckDB SQL of a relation (doc_id, score) for the words."""
-    counts = ", ".join(f"len(list_filter(t, lambda w: w = '{w}')) AS tf{i}" for i, w in enumerate(words))
-    freq = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(words)))
-    parts = " + ".join(
-        f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))"
-        for i in range(len(words))
-    )
-    hits = (" AND " if require_all else " OR ").join(f"tf{i} > 0" for i in range(len(words)))
-    return f"""(WITH t AS (SELECT doc_id, {TERMS} AS t FROM documents WHERE {where}),
-    c AS (SELECT doc_id, len(t) AS dl, {counts} FROM t), s AS (SELECT count(*) AS n, avg(dl) AS mean, {freq} FROM c)
-    SELECT doc_id, {parts} AS score FROM c, s WHERE {hits})"""
+    asked = ", ".join(f"('{w}')" for w in words)
+    whole = "HAVING count(*) = (SELECT count(DISTINCT term) FROM q)" if require_all else ""
+    return f"""(WITH raw AS (SELECT doc_id, unnest({TERMS}) AS word FROM documents), st AS ({stems.stem_sql('SELECT DISTINCT word FROM raw')}),
+    q AS ({stems.stem_sql(f'SELECT word FROM (VALUES {asked}) v(word)')}),
+    d AS (SELECT doc_id, len({TERMS}) AS dl FROM documents), s AS (SELECT count(*) AS n, avg(dl) AS mean FROM d),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM raw JOIN st USING (word) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+    SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
+    FROM tf JOIN df USING (term) JOIN d USING (doc_id), s GROUP BY 1 {whole})"""
+
 
+def _keyword(documents, q, require_all=True):
+    """Keyword hits from the stored index of the documents, scores rounded so that ties are ties."""
+    found = search.bm25(search.index_of(documents, "doc_id", "text"), "doc_id", q, require_all)
+    return found.withColumn("score", F.round("score", 9))
 
-@query("documents", sql=f"SELECT doc_id, round(score, 6) AS score FROM {_bm25_sql(['the', 'license'])}")
+
+@query("documents", sql=f"SELECT doc_id, round(score, 6) AS score FROM {_bm25_sql(['the', 'licenses'])}")
 def bm25_and(documents):
-    """Documents that have all words of a query, scored (SCH1)."""
-    found = search.bm25(documents, "doc_id", "text", "the license")
-    return found.select("doc_id", F.round("score", 6).alias("score"))
+    """Documents that have all words of a query in any form, scored (SCH1, STR33)."""
+    return _keyword(documents, "the Licenses").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("documents", sql=f"SELECT doc_id, round(score, 6) AS score FROM {_bm25_sql(['license', 'idiot', 'apache', 'terms'], False)}")
+@query("documents", sql=f"SELECT doc_id, round(score, 6) AS score FROM {_bm25_sql(['licensed', 'idiots', 'apache', 'terms', 'réunion'], False)}")
 def bm25_or(documents):
     """Documents that have any of up to five words of a title (SCH5)."""
-    words = " ".join(search.query_terms("License: idiot (Apache) terms", 5))
-    found = search.bm25(documents, "doc_id", "text", words, require_all=False)
-    return found.select("doc_id", F.round("score", 6).alias("score"))
+    return _keyword(documents, "Licensed: idiots (Apache) terms réunion", False).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
     "documents",
-    sql=f"SELECT doc_id, round(score, 6) AS score FROM {_bm25_sql(['the', 'of'], True, chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))} ORDER BY score DESC, doc_id LIMIT 20",
+    sql=f"SELECT doc_id, round(score, 6) AS score FROM {_bm25_sql(['the', 'of'])} JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY round(score, 9) DESC, doc_id LIMIT 20",
 )
 def bm25_filtered(documents):
-    """The best hits among documents of one kind, filtered before ranking (SCH2)."""
-    found = search.bm25(documents.where("lang = 'en'"), "doc_id", "text", "the of")
+    """The best hits among documents of one kind (SCH2)."""
+    found = _keyword(documents, "the of").join(documents.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
     return search.top(found, "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -55,7 +57,7 @@ def bm25_filtered(documents):
 )
 def fts_distinct_docs(documents):
     """Hits gathered by what they belong to, best score first (SCH3, SCH11)."""
-    found = search.bm25(documents, "doc_id", "text", "license").join(documents.select("doc_id", "source"), "doc_id")
+    found = _keyword(documents, "license").join(documents.select("doc_id", "source"), "doc_id")
     return found.groupBy("source").agg(F.max(F.round("score", 6)).alias("best"), F.count("*").alias("n"))
 
 
@@ -65,7 +67,7 @@ def fts_distinct_docs(documents):
 )
 def search_page(documents):
     """The second page of hits with their total (SCH4)."""
-    found = search.bm25(documents, "doc_id", "text", "the").withColumn("score", F.round("score", 9))
+    found = _keyword(documents, "the")
     total = found.agg(F.count("*").alias("total"))
     rows = found.orderBy(F.desc("score"), "doc_id").offset(10).limit(10)
     return rows.join(F.broadcast(total)).select("doc_id", "total")
@@ -73,12 +75,12 @@ def search_page(documents):
 
 @query(
     "documents",
-    sql=rf"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY 1, 2)
-    GROUP BY 1 HAVING count(*) >= 5""",
+    sql=f"""WITH raw AS (SELECT doc_id, unnest({TERMS}) AS word FROM documents), st AS ({stems.stem_sql('SELECT DISTINCT word FROM raw')})
+    SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM raw JOIN st USING (word) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5""",
 )
 def term_stats(documents):
     """Document and collection frequency of the index's terms (SNK13, SNK14, STR33)."""
-    index = search.postings(documents, "doc_id", "text")
+    index = search.index_of(documents, "doc_id", "text").where("bucket >= 0")
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf")).where("df >= 5")
 
 
@@ -89,7 +91,7 @@ def term_stats(documents):
 )
 def vector_topk(embeddings):
     """The five vectors nearest to a given one (SCH8, MTH1, MTH2)."""
-    q = embeddings.where("vec_id = 0").select("embedding").first()[0]
+    q = embeddings.where("vec_id = 0").select("embedding")
     found = search.vector_hits(embeddings, "vec_id", "embedding", q)
     return search.top(found, "vec_id", 5).select("vec_id", F.round("score", 6).alias("score"))
 
@@ -101,7 +103,7 @@ def vector_topk(embeddings):
 )
 def vector_topk_threshold(embeddings):
     """The nearest vectors of at least some similarity (SCH6, SCH7)."""
-    q = embeddings.where("vec_id = 0").select("embedding").first()[0]
+    q = embeddings.where("vec_id = 0").select("embedding")
     found = search.vector_hits(embeddings, "vec_id", "embedding", q, 0.15)
     return search.top(found, "vec_id", 50).select("vec_id", F.round("score", 6).alias("score"))
 
@@ -114,7 +116,7 @@ def vector_topk_threshold(embeddings):
 )
 def overfetch_then_filter(embeddings):
     """Twice as many hits as wanted, then a filter, then the cut (SRT8)."""
-    q = embeddings.where("vec_id = 0").select("embedding").first()[0]
+    q = embeddings.where("vec_id = 0").select("embedding")
     best = search.top(search.vector_hits(embeddings, "vec_id", "embedding", q), "vec_id", 20)
     kept = best.join(embeddings.select("vec_id", "label"), "vec_id").where("label <> 0")
     return search.top(kept, "vec_id", 10).select("vec_id", "label")
@@ -128,8 +130,8 @@ _FUSED_SQL = f"""WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY round(sco
 
 
 def _two_searches(documents, embeddings):
-    q = embeddings.where("vec_id = 3").select("embedding").first()[0]
-    keyword = search.bm25(documents, "doc_id", "text", "the of").withColumn("score", F.round("score", 9))
+    q = embeddings.where("vec_id = 3").select("embedding")
+    keyword = _keyword(documents, "the of")
     vectors = search.vector_hits(embeddings.withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", q, 0.1)
     return keyword, vectors.withColumn("score", F.round("score", 9))
 
@@ -158,6 +160,29 @@ def hybrid_search(documents, embeddings):
     return search.top(rows, "doc_id", 20).select("doc_id", "lang", "source", "score")
 
 
+@query(
+    "documents",
+    sql=f"""SELECT doc_id, round(1.0 / (60 + r), 9) AS score FROM (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM {_bm25_sql(['releases'])})
+    WHERE r <= 20""",
+)
+def keyword_only_search(documents):
+    """The hybrid search where the query has no vector (SCH16)."""
+    found = search.hybrid(_keyword(documents, "releases"), None, "doc_id", 10)
+    return found.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(
+    "conversations",
+    sql=r"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(text, '[()*:^"]', ' ', 'g'), '\s+'), lambda x: x <> '') AS w,
+    trim(regexp_replace(regexp_replace(text, '[^\w\s"*]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM conversations))
+    SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN array_to_string(list_transform(w, lambda x: '"' || x || '"'), ' ') END AS quoted, nullif(k, '') AS words FROM w""",
+)
+def query_forms(conversations):
+    """Texts as queries: operators cut off and words quoted, or words, quotes and wildcards alone (STR17)."""
+    c = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    return conversations.select("conv_id", "turn", search.quoted_query(c).alias("quoted"), search.word_query(c).alias("words"))
+
+
 @query(
     "conversations",
     sql="SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY 1",
@@ -170,8 +195,8 @@ def full_document_assembly(conversations):
 @query("documents")
 def search_snippets(documents):
     """Hits with a marked extract (STR18)."""
-    found = search.bm25(documents, "doc_id", "text", "license").join(documents.select("doc_id", "text"), "doc_id")
-    return found.select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
+    found = _keyword(documents, "license").join(documents.select("doc_id", "text"), "doc_id")
+    return found.select("doc_id", search.snippet(F.col("text"), "license").alias("snippet"))
 
 
 @query(
@@ -182,7 +207,7 @@ def search_snippets(documents):
 )
 def packed_context(documents):
     """The best eight hits as one labelled text (SCH17, STR19)."""
-    found = search.bm25(documents, "doc_id", "text", "license").withColumn("score", F.round("score", 9))
+    found = _keyword(documents, "license")
     rows = search.top(found, "doc_id", 8).join(documents.select("doc_id", "lang", "text"), "doc_id")
     label = F.format_string("[%s %d]\n%s", F.col("lang"), F.col("doc_id"), F.substring("text", 1, 200))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", label.alias("x"))))
@@ -198,7 +223,7 @@ def packed_context(documents):
 )
 def reference_search(documents, orders):
     """Hits with what they refer to, one each, cut to a limit (SCH14)."""
-    found = search.bm25(documents, "doc_id", "text", "the of").withColumn("score", F.round("score", 9))
+    found = _keyword(documents, "the of")
     meetings = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.max("o_orderkey").alias("meeting"))
     return search.top(found.join(meetings, "doc_id"), "doc_id", 15).select("doc_id", "meeting")
 

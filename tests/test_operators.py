@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlark.functions import dates, nested, text
+from ledgerlark.functions import dates, nested, stems, text
 from ledgerlark.operators import chunking, dml, gates, joins, search, windows
 from ledgerlark.sources import files, web
 from ledgerlark.streaming import incremental
@@ -250,13 +250,18 @@ def test_upserts(spark):
 
 def test_search_edges(spark):
     df = spark.createDataFrame([(1, "The cat, the dog"), (2, None), (3, "cat")], "k int, t string")
-    assert search.bm25(df, "k", "t", ' ()"* ').count() == 0
-    assert [r.k for r in search.top(search.bm25(df, "k", "t", "cat"), "k", 5).collect()] == [3, 1]
+    index = search.index_of(df, "k", "t")
+    assert search.bm25(index, "k", ' ()"* ').count() == 0
+    assert [r.k for r in search.top(search.bm25(index, "k", "cats"), "k", 5).collect()] == [3, 1]
     got = {(r.term, r.tf, r.dl) for r in search.postings(df, "k", "t").collect() if r.k == 1}
-    assert got == {("the", 2, 4), ("cat", 1, 4), ("dog", 1, 4)}
+    assert got == {("the", 2, 4), ("cat", 1, 4), ("dog", 1, 4), (None, 0, 4)}
+    none = spark.createDataFrame([], df.schema)
+    assert search.bm25(search.index_of(none, "k", "t"), "k", "cat").count() == 0
+    q = spark.createDataFrame([([2.0, 0.0],)], "v array<float>")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "k int, v array<float>")
-    assert [r.k for r in search.top(search.vector_hits(v, "k", "v", [2.0, 0.0]), "k", 5).collect()] == [1, 3]
-    assert one(spark, search.snippet(F.col("x"), ["cat"], 3), x="a b c d the Cat sat on it") == "...the <mark>Cat</mark> sat..."
+    assert [r.k for r in search.top(search.vector_hits(v, "k", "v", q), "k", 5).collect()] == [1, 3]
+    assert one(spark, search.snippet(F.col("x"), "cat", 3), x="a b c d the Cat sat on it") == "...the <mark>Cat</mark> sat..."
+    assert search.vector_hits(v, "k", "v", q.limit(0)).count() == 0
 
 
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=7), st.integers(2, 4))
@@ -320,3 +325,30 @@ def test_windowed_stream(spark, tmp_path):
 def test_every_nth_over_ranges(spark):
     df = spark.range(1000).select(F.col("id").alias("k"))
     assert sorted(r.k for r in windows.every_nth(df, ["k"], 7).collect()) == list(range(0, 1000, 7))
+
+
+#: Examples of the published stemming algorithm.
+STEMS = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file
+happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform
+radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper
+feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl
+triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv
+allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ
+angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control
+roll roll meetings meet""".split()
+
+
+def test_stems():
+    assert [stems.stem(w) for w in STEMS[::2]] == STEMS[1::2]
+    assert stems.terms("Réunions, MEETINGS_of x1 " + "a" * 70 + "s") == ["reunion", "meet", "of", "x1", "a" * 70 + "s"]
+    assert stems.terms(None) == []
+
+
+def test_a_search_finds_other_forms_of_a_word(spark):
+    df = spark.createDataFrame([(1, "The meetings were held"), (2, "a réunion"), (3, "meet me")], "k int, t string")
+    index = search.index_of(df, "k", "t")
+    found = lambda q, every=True: sorted(r.k for r in search.bm25(index, "k", q, every).collect())
+    assert found("meeting") == [1, 3] and found("REUNIONS") == [2] and found("meeting held") == [1]
+    assert found("held reunion", False) == [1, 2]
