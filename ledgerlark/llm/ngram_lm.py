@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import cut, pieces_of, text_of
+from .common import pieces_of, text_of
 
 #: Text of a block, and text whose n-grams are a shard's: what one task holds.
 BLOCK_BYTES = SHARD_BYTES = 12 << 20
@@ -173,18 +173,25 @@ class Statistics:
     exponents: list[float]
 
     @classmethod
-    def of(cls, answers: DataFrame) -> Statistics:
-        """The sums over all shards, a row for each length of n-grams."""
-        rows = answers.where("told is not null").select(F.posexplode("told").alias("k", "told"))
-        sums = [F.sum(f"told.{c}").alias(c) for c in ("tokens", "types", "once", "twice")]
-        powers = F.array(*[F.sum(F.get("told.powers", F.lit(i))) for i in range(len(EXPONENTS))]).alias("powers")
-        told = rows.groupBy("k").agg(*sums, powers).orderBy("k").collect()
+    def of(cls, told: list[dict]) -> Statistics:
+        """From the rows of ``totals``."""
+        told = sorted(told, key=lambda r: r["k"])
         discounts, exponents = [], []
         for before, own in zip(told, told[1:], strict=False):
-            discounts.append(min(max(own.once / (own.once + 2.0 * own.twice), 0.05), 0.95) if own.once else 0.5)
+            once, twice = own["once"], own["twice"]
+            discounts.append(min(max(once / (once + 2.0 * twice), 0.05), 0.95) if once else 0.5)
             # contexts seen c times met about c**e words; e makes these add up to the number of n-grams
-            exponents.append(float(np.interp(own.types, before.powers, EXPONENTS)))
-        return cls(told[0].tokens, told[0].types, discounts, exponents) if told else cls(0, 0, [], [])
+            exponents.append(float(np.interp(own["types"], before["powers"], EXPONENTS)))
+        return cls(told[0]["tokens"], told[0]["types"], discounts, exponents)
+
+
+def totals(answers: DataFrame) -> DataFrame:
+    """One row: the sums of what all shards told, an array with a struct for each length of n-grams."""
+    rows = answers.where("told is not null").select(F.posexplode("told").alias("k", "told"))
+    sums = [F.sum(f"told.{c}").alias(c) for c in ("tokens", "types", "once", "twice")]
+    powers = F.array(*[F.sum(F.get("told.powers", F.lit(i))) for i in range(len(EXPONENTS))]).alias("powers")
+    each = rows.groupBy("k").agg(*sums, powers)
+    return each.agg(F.collect_list(F.struct("k", "tokens", "types", "once", "twice", "powers")).alias("known"))
 
 
 @dataclass
@@ -244,14 +251,11 @@ def score(docs: DataFrame, trains: Column, order: int = 2, block_bytes: int = BL
     def send(table: pa.Table) -> pa.Table:
         return _send(table, shards, order)
 
-    sent = blocks.groupBy("block").applyInArrow(send, SENT)
-    answers = cut(sent.groupBy("shard").applyInArrow(_answer, ANSWER))
-    known = Statistics.of(answers)
-
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         t, m = tokens(table["text"].to_pylist(), order), table.num_rows
-        own = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        known = Statistics.of(answers["known"][0].as_py())
+        own = sorted(answers.select(["shard", "sizes", "counts"]).to_pylist(), key=lambda r: r["shard"])
         counts = [np.concatenate([_unpacked(r["counts"][k], r["sizes"][k]) for r in own]) for k in range(order)]
         model = Automaton.build(t, counts, known)
         word = t.grams[0].at
@@ -266,5 +270,8 @@ def score(docs: DataFrame, trains: Column, order: int = 2, block_bytes: int = BL
         ]
         return pa.table(columns, names=names)
 
+    # the totals are added after the answers have travelled, so they don't travel with each
+    answers = blocks.groupBy("block").applyInArrow(send, SENT).groupBy("shard").applyInArrow(_answer, ANSWER)
+    dealt = answers.drop("told").repartition("block").join(F.broadcast(totals(answers)))
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.drop("told").groupBy("block")).applyInArrow(finish, schema)
+    return blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(finish, schema)

@@ -88,7 +88,8 @@ def test_probabilities_of_a_context_add_up(spark):
         probes = [f"{h} {w}".strip() for h in heads for w in [*words, "unseen", ""]]
         t, counts, answers = local(texts + probes, len(texts), order)
         frame = spark.createDataFrame([(r["told"],) for r in answers if r["told"]], f"told {ngram_lm.TOLD}")
-        weight = 10 ** ngram_lm.Automaton.build(t, counts, ngram_lm.Statistics.of(frame)).traverse(t)
+        known = ngram_lm.Statistics.of([r.asDict() for r in ngram_lm.totals(frame).first().known])
+        weight = 10 ** ngram_lm.Automaton.build(t, counts, known).traverse(t)
         length = len(heads[0].split())
         for k in range(len(heads)):
             own = [weight[t.text == len(texts) + k * 6 + j][length] for j in range(6)]
