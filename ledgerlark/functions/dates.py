@@ -37,6 +37,11 @@ def with_inferred_year(month: Column, day: Column, approved: Column) -> Column:
     return F.try_to_timestamp(F.format_string("%d-%d-%d", year, month, day), F.lit("yyyy-M-d")).cast("date")
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Rounded with halves to even, as a double."""
+    return F.bround(c, places)
+
+
 def age_hours(now: Column, then: Column) -> Column:
     return (F.unix_timestamp(now) - F.unix_timestamp(then)) / 3600.0
 
@@ -45,7 +50,7 @@ def eastern_offset(c: Column) -> Column:
     """The offset of New York at noon UTC of a date, as ``-04:00`` or ``-05:00``."""
     noon = F.to_timestamp(F.date_format(c, "yyyy-MM-dd 12:00:00"))
     hours = F.hour(F.from_utc_timestamp(noon, "America/New_York")) - 12
-    return F.format_string("-%02d:00", -hours)
+    return F.when(c.isNotNull(), F.format_string("-%02d:00", -hours))
 
 
 def long_form(c: Column) -> Column:

@@ -1,18 +1,28 @@
 """Text functions: columns in, columns out."""
 
+import re
+import unicodedata
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-PLAIN = {
-    "À": "A", "Á": "A", "Â": "A", "Ã": "A", "Ä": "A", "Å": "A", "Ç": "C", "È": "E", "É": "E", "Ê": "E", "Ë": "E", "Ì": "I",
-    "Í": "I", "Î": "I", "Ï": "I", "Ñ": "N", "Ò": "O", "Ó": "O", "Ô": "O", "Õ": "O", "Ö": "O", "Ù": "U", "Ú": "U", "Û": "U",
-    "Ü": "U", "Ý": "Y",
-}
-PLAIN |= {k.lower(): v.lower() for k, v in PLAIN.items()} | {"ÿ": "y"}
+def _plain_letters() -> dict[str, str]:
+    """Letters up to U+1EFF and the Latin ligatures whose compatibility decomposition begins with ASCII letters, and these."""
+    found = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]:
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if plain:
+            found[chr(code)] = plain
+    return found
+
+
+PLAIN = _plain_letters()
+#: Of these the letters that become one, by a table, and the others.
+ONE = {k: v for k, v in PLAIN.items() if len(v) == 1}
+MORE = {k: v for k, v in PLAIN.items() if len(v) > 1}
 
 
 def words(c: Column) -> Column:
@@ -25,8 +35,9 @@ def word_count(c: Column) -> Column:
 
 
 def unaccent(c: Column) -> Column:
-    """Letters of Latin-1 without accents; what else isn't ASCII is left out."""
-    return F.regexp_replace(F.translate(c, "".join(PLAIN), "".join(PLAIN.values())), r"[^\x00-\x7F]", "")
+    """Latin letters without accents, ligatures as letters; what else isn't ASCII is left out."""
+    single = F.translate(c, "".join(ONE), "".join(ONE.values()))
+    return F.regexp_replace(reduce(lambda col, p: F.replace(col, F.lit(p[0]), F.lit(p[1])), MORE.items(), single), r"[^\x00-\x7F]", "")
 
 
 def slug(c: Column) -> Column:
@@ -158,7 +169,8 @@ def replace_all(c: Column, pairs: list[tuple[str, str]], pattern: bool = False)
 
 def without_fillers(c: Column) -> Column:
     """Spoken fillers removed; "you know" stays before what it governs."""
-    steps = [(r"(?i)\b(um+|uh+|er|ah)\b,?\s*", ""), (r"(?i)\byou know\b,?\s*+(?!that|what|how|why|who|where)", "")]
+    # fixed values: the fillers, and the words that "you know" governs
+    steps = [(r"\b[Uu][mh],?\s*", ""), (r"\byou know,?\s+(?!that|what|how|when|where|why|who|if)", "")]
     return F.trim(F.regexp_replace(reduce(lambda col, s: F.regexp_replace(col, *s), steps, c), r"\s{2,}", " "))
 
 
@@ -177,9 +189,46 @@ def clean_manuscript(c: Column) -> Column:
     return reduce(lambda col, s: F.regexp_replace(col, *s), steps, c)
 
 
+def is_generic_speaker(c: Column) -> Column:
+    """Whether a speaker has no name: a numbered label, or none."""
+    return F.coalesce(F.lower(F.trim(c)).rlike(r"^(speaker\b.*|unknown.*|)$"), F.lit(True))
+
+
+def has_word(c: Column, word: Column) -> Column:
+    """Whether a text has a word, whatever its case; the word is taken literally."""
+    return F.coalesce(F.regexp_like(c, F.concat(F.lit(r"(?i)\b\Q"), word, F.lit(r"\E\b"))), F.lit(False))
+
+
+def ids_of(c: Column) -> Column:
+    """The distinct whole numbers of a list parted by commas; none for null."""
+    numbers = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x).try_cast("bigint"))
+    return F.array_distinct(F.array_compact(numbers))
+
+
+def reflowed(c: Column) -> Column:
+    """A law's lines as blocks: an empty line parts blocks, a line of columns is a block of its own, a line that begins with a
+    mark, a number or a section begins one, and what else follows is joined to the line before, hyphens at its end mended."""
+    tabular = r"\S {3,}\S"
+    begins = r"^(?:§|\(?[0-9]+[.)]|\(?[A-Za-z][.)] |[A-Z][A-Z ]{3,}$|[-•*] )"
+    start = F.struct(F.array().cast("array<string>").alias("blocks"), F.lit(True).alias("new"))
+
+    def step(state: Column, raw: Column) -> Column:
+        line, blocks = F.rtrim(raw), state["blocks"]
+        last = F.element_at(blocks, -1)
+        alone = line.rlike(tabular)
+        fresh = state["new"] | alone | F.trim(line).rlike(begins)
+        joined = F.when(last.rlike(r"[a-z]-$"), F.concat(F.regexp_replace(last, "-$", ""), F.trim(line))).otherwise(F.concat_ws(" ", last, F.trim(line)))
+        grown = F.when(F.trim(line) == "", blocks).when(fresh, F.array_append(blocks, F.trim(line))).otherwise(
+            F.array_append(F.slice(blocks, F.lit(1), F.size(blocks) - 1), joined)
+        )
+        return F.struct(grown.alias("blocks"), ((F.trim(line) == "") | alone).alias("new"))
+
+    return F.aggregate(F.split(F.coalesce(c, F.lit("")), "\n"), start, step)["blocks"]
+
+
 def clean_page_lines(c: Column) -> Column:
     """Page-number lines dropped and runs of empty lines squeezed."""
-    dropped = F.regexp_replace(c, r"(?mi)^\s*(page\s+)?\d+(\s+of\s+\d+)?\s*$\n?", "")
+    dropped = F.regexp_replace(c, r"(?mi)^[^\S\n]*(page[^\S\n]+)?\d+([^\S\n]+of[^\S\n]+\d+)?[^\S\n]*$\n?", "")
     return F.regexp_replace(dropped, r"\n{3,}", "\n\n")
 
 
@@ -188,16 +237,24 @@ def join_continuations(c: Column) -> Column:
     return F.regexp_replace(c, r"\n(?!\[\d)", " ")
 
 
+#: Legal phrasing of agenda items and what is left of it, in order (fixed values of the rules).
+AGENDA_RULES = [
+    (r"\s*[-—]\s*Located in a .*$", ""),
+    (r"\s*designated on the Tax Maps.*$", ""),
+    (r"\s*Section \d+\.\d+ Block \d+.*$", ""),
+    (r"^Consider (?:authorizing the Village Manager to |determining that |adopting |scheduling )", ""),
+    (r"Request for (?:an? )?(.+?) variances? from Village Zoning Code.*", "seeking $1 variance"),
+    (r"^(.+?),\s*(?:owner|applicant)s?\s*[-—]+\s*(.+?)\s*(?:[-—].*)?$", "$2 ($1)"),
+    (r"^[\w\s]+,\s*(?:architect|representative)\s*(?:for\s+)?", ""),
+]
+
+
 def clean_agenda_title(c: Column, limit: int = 120) -> Column:
-    """Item numbers, bracketed notes, trailing references and double spaces removed."""
-    steps = [
-        (r"^\s*(\d+|[A-Z]|[ivx]+)[.)]\s*", ""),
-        (r"\((?:attachment|see attached|document)[^)]*\)", ""),
-        (r"(?i)\bresolution\s+(no\.?|#)\s*[\d-]+:?\s*", ""),
-        (r"\s*[-–:;,]\s*$", ""),
-        (r"\s+", " "),
-    ]
-    return F.substring(F.trim(reduce(lambda col, s: F.regexp_replace(col, *s), steps, c)), 1, limit)
+    """What an agenda item is about, without map references, formulas of motions and who represents whom; longer
+    titles end in three dots."""
+    plain = reduce(lambda col, rule: F.regexp_replace(col, f"(?i){rule[0]}", rule[1]), AGENDA_RULES, F.trim(c))
+    cut = F.concat(F.substring(plain, 1, limit - 3), F.lit("..."))
+    return F.trim(F.when(F.length(plain) > limit, cut).otherwise(plain))
 
 
 @F.pandas_udf(DoubleType())
@@ -211,9 +268,38 @@ def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def people_in(c: Column) -> Column:
-    """Runs of two or three capitalised words, not at a sentence's begin."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<=[a-z,;] )[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}"), F.lit(0)))
+_PAIR = re.compile(r"\b([A-Z][a-z]{2,})\s+([A-Z][a-zA-Z'-]{2,})\b")
+_GOES_ON = re.compile(r"[,:;\s]+[A-Z][a-z]")
+
+
+def _base(word: str) -> str:
+    """``base_token`` of a word."""
+    word = word.replace("’", "'")
+    return (word[:-2] if word.endswith("'s") else word).split("-")[0]
+
+
+def people_of(whole: str, not_names: frozenset[str]) -> list[str]:
+    """The pairs of capitalised words of a text that stand inside a sentence: not at its begin or that of a list item, not
+    before another capitalised word, as in headings, and not with a word that is no name."""
+    found = {}
+    for m in _PAIR.finditer(whole):
+        before = whole[max(0, m.start() - 6) : m.start()]
+        lead = before.rstrip()
+        begins = not lead or lead[-1] in ".!?:-•*#" or "\n" in before[len(lead) :]
+        if not begins and not _GOES_ON.match(whole, m.end()) and not not_names & {_base(m[1]), _base(m[2])}:
+            found[f"{m[1]} {m[2]}"] = None
+    return list(found)
+
+
+def people_in(c: Column, not_names: tuple[str, ...] = ()) -> Column:
+    """``people_of`` each text, in order; null has none. The rules look at what is around a pair, so this is a function of texts."""
+    none = frozenset(not_names)
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: people_of(t or "", none))
+
+    return run(c)
 
 
 STREET = r"\b\d{1,5} [A-Z][a-z]+(?: [A-Z][a-z]+)? (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Place|Pl|Court|Ct)\b"

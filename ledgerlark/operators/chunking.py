@@ -126,6 +126,30 @@ def timed_pieces(df: DataFrame, most: int = 1500) -> DataFrame:
     )
 
 
+def accumulated(df: DataFrame, key: str, most: int) -> DataFrame:
+    """key, chunk_index, start, end, content and chars of utterances (start, end, text) gathered in order until ``most``
+    characters would be passed; a longer one is a chunk of its own. Empty texts are left out.
+
+    Where a chunk begins depends on all before it, so a transcript is folded as one row.
+    """
+    one = F.struct("start", "end", "text")
+    whole = df.where("text is not null and text <> ''").groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("__u"))
+    chunk = "struct<start:double,end:double,content:string>"
+    empty = F.array().cast(f"array<{chunk}>")
+
+    def step(done: Column, u: Column) -> Column:
+        last = F.element_at(done, -1)
+        new = (F.size(done) == 0) | (F.length(last["content"]) + F.length(u["text"]) > most)
+        fresh = F.struct(u["start"].alias("start"), u["end"].alias("end"), F.concat(u["text"], F.lit(" ")).alias("content"))
+        grown = F.struct(last["start"].alias("start"), u["end"].alias("end"), F.concat(last["content"], u["text"], F.lit(" ")).alias("content"))
+        return F.when(new, F.array_append(done, fresh.cast(chunk))).otherwise(
+            F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), grown.cast(chunk))
+        )
+
+    chunks = whole.select(key, F.posexplode(F.aggregate("__u", empty, step)).alias("chunk_index", "c"))
+    return chunks.select(key, "chunk_index", "c.start", "c.end", F.trim("c.content").alias("content"), F.length("c.content").cast("bigint").alias("chars"))
+
+
 def incidents(df: DataFrame, key: str, column: str, kinds: list[tuple[str, list[str]]], parted: str = "\n", most: int = 20) -> DataFrame:
     """Paragraphs of at least 30 characters as incidents with kind, street and date; the first ``most`` of a text."""
     from ledgerlark.operators.filters import first_category

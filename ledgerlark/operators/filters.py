@@ -42,13 +42,16 @@ def is_junk_name(column: str) -> Column:
     return (F.length(c) < 3) | F.lower(c).isin("unknown", "n/a") | ~c.contains(" ")
 
 
-VOTES = "aye nay yes no second abstain motion".split()
+# fixed values: what short utterances of a vote say
+VOTES = r"aye|nay|second(ed)?|so moved|opposed?|all in favor|abstain(ed)?|motion carries"
+VOTE_PARTS = "aye|nay|second|so moved|opposed|all in favor|abstain|motion carries"
 
 
-def spoken(df: DataFrame, column: str, min_chars: int = 30) -> DataFrame:
-    """Utterances of some length, and short ones that hold a vote."""
-    vote = F.col(column).rlike(rf"(?i)\b({'|'.join(VOTES)})\b")
-    return df.where((F.length(column) >= min_chars) | vote)
+def spoken(df: DataFrame, column: str, min_chars: int = 30, whole_words: bool = True) -> DataFrame:
+    """Utterances with text of some length, and short ones that say a vote: in whole words, or in any part of a word."""
+    said = F.trim(column)
+    vote = said.rlike(rf"(?i)\b({VOTES})\b" if whole_words else f"(?i)({VOTE_PARTS})")
+    return df.where((said != "") & ((F.length(said) >= min_chars) | vote))
 
 
 def contains_any(column: str, words: list[str]) -> Column:

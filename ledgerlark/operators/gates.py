@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ledgerlark.functions import text
+from ledgerlark.operators.materialise import written
+
+#: A list of at most this many hashes is broadcast.
+FEW = 1 << 20
 
 
 def verbatim(quotes: DataFrame, texts: DataFrame, quote_key: str, quote: str, text_key: str, column: str, least: int = 6) -> DataFrame:
     """quote_key, text_key for every quote of at least ``least`` words that a text holds after both are loosened.
 
-    A quote is looked up by its rarest word: texts send their distinct words, so a text is compared with the few
-    quotes whose rarest word it has.
+    A quote is looked up by its first ``least`` words: a text sends the hashes of its runs of as many words that any quote
+    begins with, so it is compared with the few quotes that begin like a place of it. Hashes of quotes are broadcast
+    if they are few, and joined by a shuffle otherwise.
     """
     flat = lambda c: text.loose(F.coalesce(c, F.lit("")))
-    asked = quotes.select(quote_key, flat(F.col(quote)).alias("__q")).where(text.word_count(F.col("__q")) >= least)
-    held = texts.select(text_key, flat(F.col(column)).alias("__t"))
-    words = held.select(text_key, F.explode(F.array_distinct(F.split("__t", " "))).alias("__w"))
-    asked_words = asked.select(quote_key, "__q", F.explode(F.array_distinct(F.split("__q", " "))).alias("__w"))
-    number = words.join(asked_words.select("__w").distinct(), "__w", "left_semi").groupBy("__w").agg(F.count("*").alias("__n"))
-    ranked = asked_words.join(number, "__w", "left").groupBy(quote_key, "__q").agg(
-        F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__w")).alias("r")
-    )
-    probe = ranked.where("r.n > 0").select(quote_key, "__q", F.col("r.__w").alias("__w"))
-    maybe = words.join(probe, "__w").select(quote_key, "__q", text_key)
-    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return held.join(maybe, text_key).where(F.contains(spaced("__t"), spaced("__q"))).select(quote_key, text_key).distinct()
+    split = lambda c: F.split(flat(F.col(c)), " ")
+    asked = quotes.select(quote_key, split(quote).alias("__w")).where(F.size("__w") >= least)
+    asked = written(asked.select(quote_key, F.xxhash64(F.slice("__w", 1, least)).alias("__h"), F.array_join("__w", " ").alias("__q")))
+    heads = asked.select("__h").distinct()
+    few = heads.limit(FEW + 1).count() <= FEW
+    runs = texts.select(text_key, split(column).alias("__w")).where(F.size("__w") >= least)
+    starts = F.sequence(F.lit(1), F.size("__w") - least + 1)
+    hashes = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("__w", i, least))))
+    places = runs.select(text_key, F.explode(hashes).alias("__h")).join(F.broadcast(heads) if few else heads, "__h", "left_semi")
+    maybe = places.join(asked, "__h").select(quote_key, "__q", text_key)
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    held = texts.join(maybe, text_key).where(F.contains(spaced(flat(F.col(column))), spaced(F.col("__q"))))
+    return held.select(quote_key, text_key).distinct()
 
 
 def quotes_in(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -80,33 +87,43 @@ def near_value(values: Column, wanted: Column, tolerance: float = 0.01) -> Colum
     return F.exists(values, lambda v: F.abs(v - wanted) / F.greatest(F.abs(wanted), F.lit(1.0)) <= tolerance)
 
 
-def sums_to(values: list[float], wanted: float, most: int = 6, budget: int = 200_000, slack: float = 0.01) -> bool:
-    """Whether two to ``most`` of the values add up to ``wanted``; gives up (false) after ``budget`` steps."""
-    ordered, left = sorted((v for v in values if 0 < v <= wanted + slack), reverse=True), budget
-
-    def search(at: int, rest: float, used: int) -> bool:
-        nonlocal left
-        if used >= 2 and abs(rest) <= slack:
-            return True
-        if used == most:
-            return False
-        for i in range(at, len(ordered)):
-            left -= 1
-            if left < 0:
-                return False
-            if ordered[i] * (most - used) < rest - slack:
-                return False
-            if ordered[i] <= rest + slack and search(i + 1, rest - ordered[i], used + 1):
-                return True
-        return False
+def _sums(cents: np.ndarray, most: int, limit: int, room: int) -> list[np.ndarray]:
+    """By number of parts, the distinct sums up to ``limit`` of that many different members of ``cents``.
 
-    return search(0, wanted, 0)
+    Levels of more than ``room`` sums, and those above them, stay empty.
+    """
+    levels = [np.zeros(1, np.int64)] + [np.zeros(0, np.int64) for _ in range(most)]
+    for value in cents:
+        for parts in range(most, 0, -1):
+            more = levels[parts - 1] + value
+            merged = np.union1d(levels[parts], more[more <= limit])
+            levels[parts] = merged if len(merged) <= room else merged[:0]
+    return levels
+
+
+def sums_to(values: list[float], wanted: float, most: int = 6, slack: float = 0.01, room: int = 2_000_000) -> bool:
+    """Whether two to ``most`` of the distinct positive values add up to ``wanted``, within ``slack``.
+
+    In whole cents. The values are parted in two halves; each gives its sums by number of parts, and a sum of one half is
+    looked up by what it lacks among those of the other. ``room`` bounds the sums that a half holds for one number
+    of parts, which a few hundred figures of different size can exceed; then only smaller numbers of parts are tried.
+    """
+    goal, near = round(wanted * 100), round(slack * 100)
+    cents = np.unique(np.round(np.array([v for v in values if v is not None and 0 < v <= wanted + slack], float) * 100).astype(np.int64))
+    left, right = (_sums(half, most, goal + near, room) for half in (cents[::2], cents[1::2]))
+    for i in range(most + 1):
+        for j in range(max(0, 2 - i), most + 1 - i):
+            # how many of the other half's sums are within reach of what each lacks
+            low, high = np.searchsorted(right[j], goal - left[i] - near), np.searchsorted(right[j], goal - left[i] + near, "right")
+            if (high > low).any():
+                return True
+    return False
 
 
 @F.pandas_udf(BooleanType())
 def subset_sum(values: pd.Series, wanted: pd.Series) -> pd.Series:
-    """``sums_to`` of array and number columns; null counts as no values."""
-    return pd.Series([v is not None and sums_to(list(v), w) for v, w in zip(values, wanted, strict=True)], dtype=bool)
+    """``sums_to`` of array and number columns; null counts as no values, and a null sum has no parts."""
+    return pd.Series([v is not None and not pd.isna(w) and sums_to(list(v), w) for v, w in zip(values, wanted, strict=True)], dtype=bool)
 
 
 def figures_backed(df: DataFrame, claims: str, sources: str) -> DataFrame:
@@ -117,28 +134,28 @@ def figures_backed(df: DataFrame, claims: str, sources: str) -> DataFrame:
     return rows.withColumn("backed", near | subset_sum(F.col(sources), F.col("claim")))
 
 
-def suppressed(df: DataFrame, key: str, at: str, cooldown: float, kind: str = "string") -> DataFrame:
-    """key, at and sent: an alert is sent unless one of its key was sent within ``cooldown`` before.
+def suppressed(df: DataFrame, key: str | list[str], at: str, cooldown: float) -> DataFrame:
+    """The key columns, ``at`` and sent: an alert is sent unless one of its key was sent within ``cooldown`` before.
 
-    Which alerts count depends on which were sent, so each key's alerts are folded in order; only the time of
-    the last one sent is kept.
+    Which alerts count depends on which were sent, but never across a pause of ``cooldown``: the first alert after one
+    is sent in any case. So a key's alerts are cut at pauses, and only such runs are folded in order, each in one place. Rows
+    without a time are left out.
     """
+    keys = [key] if isinstance(key, str) else key
+    timed = df.select(*keys, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull())
+    over = Window.partitionBy(*keys).orderBy(at)
+    begins = F.coalesce(F.col(at) - F.lag(at).over(over) >= cooldown, F.lit(True)).cast("int")
+    runs = timed.withColumn("__new", begins).withColumn("__run", F.sum("__new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    # the fold of a run: the time of the last alert sent, and whether each was
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("sent"))
 
-    def fold(batches):
-        last: dict = {}
-        for batch in batches:
-            sent = []
-            for k, t in zip(batch[key], batch[at], strict=True):
-                if k not in last:
-                    last.clear()  # keys come one after the other
-                ok = k not in last or t - last[k] >= cooldown
-                if ok:
-                    last[k] = t
-                sent.append(ok)
-            yield pd.DataFrame({key: batch[key], at: batch[at], "sent": sent})
+    def step(state: Column, t: Column) -> Column:
+        ok = F.coalesce(t - state["last"] >= cooldown, F.lit(True))
+        return F.struct(F.when(ok, t).otherwise(state["last"]).alias("last"), F.array_append(state["sent"], ok).alias("sent"))
 
-    ordered = df.select(key, F.col(at).cast("double").alias(at)).repartition(key).sortWithinPartitions(key, at)
-    return ordered.mapInPandas(fold, f"{key} {kind}, {at} double, sent boolean")
+    folded = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(at)).alias("__times"))
+    sent = F.aggregate("__times", start, step)["sent"]
+    return folded.select(*keys, F.inline(F.arrays_zip(F.col("__times").alias(at), sent.alias("sent"))))
 
 
 def corroborated(names: DataFrame, sources: DataFrame, key: str, name: str, column: str) -> DataFrame:
@@ -201,6 +218,34 @@ def name_provenance(names: DataFrame, own: DataFrame, labels: DataFrame, wider:
     return labelled.join(out, "name", "left").select(key, "name", verdict.alias("verdict"))
 
 
+def corroborated_labels(
+    labels: DataFrame, meetings: DataFrame, spoken: DataFrame, verified: DataFrame, key: str, days: int = 120
+) -> DataFrame:
+    """The speaker labels (key, name) that nothing bears out, with the kind of violation.
+
+    ``meetings`` has key, committee, date, minutes and agenda; ``spoken`` key and text; ``verified`` names of persons. Where
+    a meeting has minutes, the surname must be a word of its minutes, agenda or speech; else of its agenda or speech, of
+    minutes of its committee in the ``days`` before it, or the name must be a verified one.
+    """
+    named = labels.select(key, "name").where(F.trim("name").contains(" ")).distinct()
+    asked = named.withColumn("__s", text.surname(F.col("name"))).join(meetings, key)
+    words = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_'-]+")
+    said = spoken.select(key, F.explode(words(F.col("text"))).alias("__s")).distinct().withColumn("__said", F.lit(True))
+    has = lambda c: F.array_contains(words(F.col(c)), F.col("__s"))
+    own = asked.join(said, [key, "__s"], "left").withColumn("__own", has("minutes") | has("agenda") | F.coalesce("__said", F.lit(False)))
+    # words of a committee's minutes by date; a name asks for the days before its meeting
+    told = meetings.where("minutes is not null and minutes <> ''").select("committee", F.col("date").alias("__d"), F.explode(words(F.col("minutes"))).alias("__s")).distinct()
+    bare = own.where("not __own and (minutes is null or minutes = '')")
+    in_reach = (F.col("__d") >= F.date_sub("date", days)) & (F.col("__d") <= F.col("date"))
+    recent = bare.join(told, ["committee", "__s"]).where(in_reach).select(key, "name").distinct().withColumn("__recent", F.lit(True))
+    known = verified.select(F.lower("name").alias("__n")).distinct().withColumn("__known", F.lit(True))
+    whole = own.join(recent, [key, "name"], "left").join(known, F.lower("name") == F.col("__n"), "left")
+    minuted = F.coalesce(F.col("minutes") != "", F.lit(False))
+    ok = F.col("__own") | (~minuted & (F.coalesce("__recent", F.lit(False)) | F.coalesce("__known", F.lit(False))))
+    kind = F.when(minuted, "attendance-mismatch").otherwise("unverifiable-name")
+    return whole.where(~ok).select(key, "name", kind.alias("kind"))
+
+
 def quote_at(quotes: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     """``quotes`` (key, at, quote) with ok and reason: whether the pool's text (key, at, text) at that time agrees, as a
     part of either, after repeated words are collapsed as well."""

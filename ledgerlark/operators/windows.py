@@ -70,7 +70,7 @@ def merge_turns(
 
     A turn ends where the speaker changes, after a gap of ``max_gap`` or more, or where it would have over
     ``max_words`` words. The word cap depends on what was merged before, so each group is folded in order
-    over sorted batches; only the open turn is kept.
+    over sorted batches; only the open turn is kept. A null text is empty.
     """
     columns = [group, "turn_no", "speaker", "start", "end", "text", "n_merged"]
     schema = f"{group} {kind}, turn_no int, speaker string, start double, end double, text string, n_merged int"
@@ -96,10 +96,27 @@ def merge_turns(
         if open_turn is not None:
             yield pd.DataFrame([[*open_turn[:5], " ".join(open_turn[5]), open_turn[6]]], columns=columns)
 
-    ordered = df.select(group, "speaker", "start", "end", "text").repartition(group).sortWithinPartitions(group, "start", "end", "text")
+    said = F.coalesce("text", F.lit("")).alias("text")
+    ordered = df.select(group, "speaker", "start", "end", said).repartition(group).sortWithinPartitions(group, "start", "end", "text")
     return ordered.mapInPandas(fold, schema)
 
 
+def joined_runs(df: DataFrame, group: str, order: str, speaker: str, column: str, most: int = 3) -> DataFrame:
+    """``group``, ``order``, length and joined: each row's text alone, and with those of the next one to ``most - 1`` rows while
+    these are of the same speaker; a quote that runs over several rows is in one of them."""
+    over = Window.partitionBy(group).orderBy(order)
+    ahead = [F.struct(F.lead(speaker, k).over(over).alias("speaker"), F.lead(column, k).over(over).alias("text")) for k in range(1, most)]
+    rows = df.select(group, order, F.array(F.struct(F.col(speaker).alias("speaker"), F.col(column).alias("text")), *ahead).alias("__r"))
+    found = []
+    for k in range(1, most + 1):
+        part = F.slice("__r", 1, k)
+        same = F.forall(part, lambda x: F.coalesce(x["speaker"] == F.col("__r")[0]["speaker"], F.lit(False)))
+        said = F.array_join(F.transform(part, lambda x: x["text"]), " ")
+        run = F.struct(F.lit(k).alias("length"), said.alias("joined"))
+        found.append(run if k == 1 else F.when(same, run))
+    return rows.select(group, order, F.inline(F.array_compact(F.array(*found))))
+
+
 def caption_overlap(previous: list[str], current: list[str], most: int = 30) -> int:
     """How many words at the end of ``previous`` begin ``current``: the largest number."""
     for n in range(min(len(previous), len(current), most), 0, -1):

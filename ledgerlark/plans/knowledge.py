@@ -60,17 +60,6 @@ def transcript_stats(conversations):
     return chunking.transcript_stats(conversations, "conv_id", "role", "text", "turn")
 
 
-@query(
-    "documents",
-    sql=r"""WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 30)[1:20] AS p FROM documents),
-    r AS (SELECT doc_id, unnest(p) AS content, unnest(range(0, len(p)))::INT AS place FROM p)
-    SELECT doc_id, place, CASE WHEN content ILIKE '%license%' THEN 'legal' WHEN content ILIKE '%the %' THEN 'english' ELSE 'other' END AS kind, '' AS street, '' AS day FROM r""",
-)
-def incident_list(documents):
-    """Paragraphs as incidents of a kind (EXT12, STR28)."""
-    return chunking.incidents(documents, "doc_id", "text", [("legal", ["license"]), ("english", ["the "])])
-
-
 # ---- entities and topics ----------------------------------------------------------------------------------
 
 

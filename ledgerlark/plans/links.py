@@ -297,18 +297,6 @@ def rapid_switch(events):
     return with_last.where((F.col("gap") < 1800) & (F.col("kind") != F.col("event_type"))).select("event_id")
 
 
-@query(
-    "conversations",
-    sql="""SELECT conv_id, turn, CASE WHEN lead(role, 2) OVER w = role THEN text || ' ' || lead(text, 2) OVER w END AS joined FROM conversations
-    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
-)
-def joined_turns(conversations):
-    """A row's text with that of the same speaker's next row (WIN9)."""
-    over = Window.partitionBy("conv_id").orderBy("turn")
-    both = F.concat_ws(" ", "text", F.lead("text", 2).over(over))
-    return conversations.select("conv_id", "turn", F.when(F.lead("role", 2).over(over) == F.col("role"), both).alias("joined"))
-
-
 @query(
     "nation",
     sql="SELECT n_nationkey, n_name, lag(n_name) OVER w AS previous, lead(n_name) OVER w AS next FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_name)",

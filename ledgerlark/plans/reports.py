@@ -382,15 +382,6 @@ def junk_rows(part):
     )
 
 
-@query(
-    "conversations",
-    sql=r"""SELECT conv_id, turn FROM conversations WHERE length(text) >= 30 OR regexp_matches(text, '(?i)\b(aye|nay|yes|no|second|abstain|motion)\b')""",
-)
-def utterances_that_count(conversations):
-    """Utterances long enough, or short votes (FLT13, CHK8)."""
-    return filters.spoken(conversations, "text").select("conv_id", "turn")
-
-
 @query(
     "orders",
     sql="""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 0 END AS done,

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.materialise import shared_folder
+
 UTTERANCE = "struct<speaker:string,text:string,start:double,end:double>"
 TRANSCRIPT = (
     f"event_id string, title string, date string, platform string, utterances array<{UTTERANCE}>, speaker_map map<string,string>"
@@ -33,6 +38,14 @@ def text_files(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
     return files.where(F.length("text") >= least).select("path", stem.alias("stem"), "text")
 
 
+def write_texts(df: DataFrame) -> str:
+    """Write texts (stem, text) as one file each, in folders by stem; the folder's address."""
+    folder = f"{shared_folder(df.sparkSession)}/texts-{uuid.uuid4().hex}"
+    once = df.dropDuplicates(["stem"])
+    once.write.partitionBy("stem").text(folder)
+    return folder
+
+
 def frontmatter(c: Column) -> Column:
     """(fields, body) of a text that may begin with ``key: value`` lines between two ``---``."""
     pattern = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*\n?(.*)\z"
@@ -45,16 +58,19 @@ def frontmatter(c: Column) -> Column:
 
 
 def story(df: DataFrame, key: str, column: str) -> DataFrame:
-    """title, subtitle, sources, body and word_count of a marked-up story: a heading, an emphasised line, a list under
-    a heading named Sources, and the rest."""
+    """title, subtitle, photo, sources, body and word_count of a marked-up story: a heading, an emphasised line, the address
+    of the first picture, a list under a heading named Sources, and the rest."""
     c = F.col(column)
     title = F.regexp_extract(c, r"(?m)^# (.+)$", 1)
     subtitle = F.regexp_extract(c, r"(?m)^\*([^*\n]+)\*$", 1)
+    photo = F.regexp_extract(c, r"!\[[^\]]*\]\(([^)\n]+)\)", 1)
     tail = F.regexp_extract(c, r"(?s)\n## Sources\n(.*)", 1)
-    body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?s)\n## Sources\n.*", ""), r"(?m)^# .+$", ""), r"(?m)^\*[^*\n]+\*$", ""))
+    parts = [r"(?s)\n## Sources\n.*", r"(?m)^# .+$", r"(?m)^\*[^*\n]+\*$", r"!\[[^\]]*\]\([^)\n]*\)"]
+    body = F.btrim(reduce(lambda col, p: F.regexp_replace(col, p, ""), parts, c), F.lit(" \n"))
     sources = F.regexp_extract_all(tail, F.lit(r"(?m)^[-*] (.+)$"), F.lit(1))
     words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
-    return df.select(key, title.alias("title"), subtitle.alias("subtitle"), sources.alias("sources"), body.alias("body"), words.alias("word_count"))
+    named = [("title", title), ("subtitle", subtitle), ("photo", photo), ("sources", sources), ("body", body), ("word_count", words)]
+    return df.select(key, *[value.alias(name) for name, value in named])
 
 
 def prefer_long(df: DataFrame, name: str) -> DataFrame:

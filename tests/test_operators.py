@@ -43,7 +43,9 @@ def one(spark, column, **values):
         (text.clean_manuscript, "hand-\nwritten [marg: note] [illegible] [?word]", "handwritten note … word"),
         (text.clean_page_lines, "a\nPage 3 of 9\nb\n\n\n\nc", "a\nb\n\nc"),
         (text.join_continuations, "[0:01] A: x\ny\n[0:05] B: z", "[0:01] A: x y\n[0:05] B: z"),
-        (text.clean_agenda_title, "3. Resolution No. 12-3: Buy a truck -", "Buy a truck"),
+        (text.clean_agenda_title, "Consider authorizing the Village Manager to buy a truck", "buy a truck"),
+        (text.clean_agenda_title, "Jo Li, owners --- 12 Mill Road - rear", "12 Mill Road (Jo Li)"),
+        (text.slug, "Őzi ﬁne Ǆ", "ozi-fine-dz"),
         (text.clean_model_output, "<think>no</think>It is. And th", "It is."),
         (text.json_array_in, 'ok: [1, [2]] end', "[1, [2]]"),
         (text.footnotes_to_anchors, "x [2].", 'x <sup><a href="#fn2">2</a></sup>.'),
@@ -84,7 +86,7 @@ def test_extraction(spark):
     assert one(spark, text.all_matches(F.col("x"), text.STREET), x=t) == ["12 Old Post Road"]
     assert one(spark, text.all_matches(F.col("x"), text.MOTION, 1), x=t) == ["Ann Li"]
     assert one(spark, gates.money_in(F.col("x")), x=t + " $1,250.50 and $3 thousand") == [1.2e6, 1250.5, 3000.0]
-    assert one(spark, text.people_in(F.col("x")), x="we saw Ann Li and, then Bo Chu Wu. Then He left") == ["Ann Li", "Bo Chu Wu"]
+    assert one(spark, text.people_in(F.col("x"), ("Village",)), x="we saw Anne Lind and Bob Chung here, not Big Old Barn or Village Hall. Then Herb left\nSome Body was") == ["Anne Lind", "Bob Chung"]
 
 
 def test_dates(spark):
