@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
+from ledgerlark.operators.materialise import written
 
 
 def entity_states(mentions: DataFrame, name: str, seen: str, known: DataFrame | None = None) -> DataFrame:
@@ -92,3 +93,22 @@ def topic_links(docs: DataFrame, key: str, column: str, topics: dict[str, list[s
 def ranked_sections(df: DataFrame, group: str, order: list) -> DataFrame:
     """``df`` with the place of each row in its group."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def linked_groups(links: DataFrame, a: str, b: str) -> DataFrame:
+    """node and root (the least node that links lead to) for every node of ``links``.
+
+    Each round every node takes the least root among its neighbours and then its root's root, so the rounds grow slowly with the
+    length of chains; each is written, and the last changes nothing.
+    """
+    ends = F.explode(F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other"))))
+    edges = written(links.select(ends.alias("e")).select("e.node", "e.other").distinct())
+    roots = written(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("root")))
+    while True:
+        near = edges.join(roots.select(F.col("node").alias("other"), F.col("root").alias("r")), "other").groupBy("node").agg(F.min("r").alias("r"))
+        lower = roots.join(near, "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("before"))
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        new = written(lower.join(above, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "before"))
+        if new.where("root <> before").isEmpty():
+            return new.select("node", "root")
+        roots = new.select("node", "root")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
+from ledgerlark.operators.graph import linked_groups
+from ledgerlark.operators.materialise import written
 from ledgerlark.operators.sets import union_first_wins
 
 #: Ways in which speech shows who is there: the name is the group.
@@ -34,67 +36,102 @@ def _tagged(matches: Column, kind: str) -> Column:
     return F.transform(matches, lambda w: F.struct(w.alias("word"), F.lit(kind).alias("kind")))
 
 
-def majority_spelling(counts: list[tuple[str, int]], similar: float = 0.85) -> dict[str, str]:
-    """For each name the spelling that absorbs it: names are taken by number, and each takes the similar rarer ones."""
-    from difflib import SequenceMatcher
+def similar_pairs(a: DataFrame, b: DataFrame, left: str, right: str, least: float) -> DataFrame:
+    """left, right and score for the distinct texts of ``a`` and ``b`` whose similarity by matching blocks is ``least`` or more.
 
+    ``least`` is over 2/3. Of two texts of m and n letters that are so similar, all but u = (1 - least)(m + n) letters match, in
+    u + 1 blocks at most; so they share as many pairs of letters as that leaves, and one of the first few pairs of each, rare
+    pairs first. Only such texts of fitting lengths are compared.
+    """
+
+    def pairs_of(df: DataFrame, name: str) -> DataFrame:
+        n = F.length(name)
+        starts = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array(F.lit(1)))
+        pairs = F.transform(starts, lambda i: F.substring(F.col(name), i, F.lit(2)))
+        # the k-th of equal pairs is a pair of its own
+        counted = F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+        return df.select(name).where(n > 0).distinct().select(name, F.explode(counted).alias("pair"), n.alias("n"))
+
+    one, two = pairs_of(a, left), pairs_of(b, right)
+    number = one.select("pair").union(two.select("pair")).groupBy("pair").agg(F.count("*").alias("number"))
+
+    def first_of(rows: DataFrame, name: str) -> DataFrame:
+        rare = Window.partitionBy(name).orderBy("number", "pair")
+        ranked = rows.join(number, "pair").withColumns({"rank": F.row_number().over(rare), "of": F.count("*").over(Window.partitionBy(name))})
+        shared = F.greatest(F.lit(1), F.ceil((3 * least - 2) / (2 - least) * F.col("n") - 1 - 1e-9))
+        return ranked.where(F.col("rank") <= F.col("of") - shared + 1).select(name, "pair", F.col("n").alias(f"__{name}"))
+
+    x, y = first_of(one, left), first_of(two, right)
+    m, n = F.col(f"__{left}"), F.col(f"__{right}")
+    near = x.join(y, "pair").where(2 * F.least(m, n) >= least * (m + n) - 1e-9).select(left, right).distinct()
+    return near.withColumn("score", text.edit_ratio(F.col(left), F.col(right))).where(F.col("score") >= least)
+
+
+def majority_spelling(counts: list[tuple[str, int]], alike: set[tuple[str, str]]) -> dict[str, str]:
+    """For each name the spelling that absorbs it: names are taken by number, and each takes the rarer ones alike."""
     ordered, found = sorted(counts, key=lambda c: (-c[1], c[0])), {}
-    for name, _ in ordered:
+    for i, (name, _) in enumerate(ordered):
         if name in found:
             continue
         found[name] = name
-        for other, _ in ordered:
-            if other not in found and SequenceMatcher(None, name.lower(), other.lower()).ratio() >= similar:
+        for other, _ in ordered[i + 1 :]:
+            if other not in found and (name, other) in alike:
                 found[other] = name
     return found
 
 
-def majority_spellings(df: DataFrame, block: str, name: str, similar: float = 0.85) -> DataFrame:
-    """block, name, spelling, n: rarer spellings of a block mapped to the most frequent similar one.
+def majority_spellings(df: DataFrame, name: str, similar: float = 0.85) -> DataFrame:
+    """name, spelling, n: rarer spellings mapped to the most frequent similar one.
 
-    Names are counted before they meet; within a block (names that may be the same, as by a first letter) the
-    choice is in order of frequency.
+    Names are counted before they meet. Names that are alike in steps are one group, in which the choice is made in order of
+    frequency; a group holds the spellings of a name or two.
     """
+    counts = written(df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")))
+    lower = counts.select("name", F.lower("name").alias("low"))
+    forms = similar_pairs(lower.select(F.col("low").alias("x")), lower.select(F.col("low").alias("y")), "x", "y", similar)
+    either = lower.select(F.col("name").alias("a"), F.col("low").alias("x")).join(forms, "x").join(lower.select(F.col("name").alias("b"), F.col("low").alias("y")), "y")
+    alike = written(either.where("a <> b").select("a", "b"))
+    groups = written(linked_groups(alike, "a", "b").select(F.col("node").alias("name"), F.col("root").alias("group")))
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        found = majority_spelling(list(zip(rows["name"], rows["n"], strict=True)), similar)
-        return rows.assign(spelling=rows["name"].map(found))[["block", "name", "spelling", "n"]]
+    def choose(key: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        pairs = set(zip(links["a"], links["b"], strict=True))
+        found = majority_spelling(list(zip(rows["name"], rows["n"], strict=True)), pairs | {(y, x) for x, y in pairs})
+        return rows.assign(spelling=rows["name"].map(found))[["name", "spelling", "n"]]
 
-    counts = df.groupBy(F.col(block).alias("block"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
-    return counts.groupBy("block").applyInPandas(choose, "block string, name string, spelling string, n long")
+    grouped = counts.join(groups, "name")
+    links = alike.join(groups.select(F.col("name").alias("a"), F.col("group").alias("of")), "a").select("of", "a", "b")
+    chosen = grouped.groupBy("group").cogroup(links.groupBy("of")).applyInPandas(choose, "name string, spelling string, n long")
+    alone = counts.join(groups, "name", "left_anti").select("name", F.col("name").alias("spelling"), "n")
+    return chosen.unionByName(alone)
 
 
 def corrected_names(names: DataFrame, canonical: DataFrame, name: str, official: str, least: float = 0.82) -> DataFrame:
     """name, best, score and method: each name with the canonical one that it most likely means.
 
-    Titles are stripped first. Whole names are compared where the numbers of words differ by one at most and the
-    first letters of some word agree; below ``least`` the last names alone decide. Of equal scores an
-    ``official`` spelling (from minutes) wins, then the least. Names without a match are left out.
+    Titles are stripped first. Whole names are compared where the numbers of words differ by one at most; below
+    ``least`` the last names alone decide. Of equal scores an ``official`` spelling (from minutes) wins, then the
+    least. Names without a match are left out.
     """
     asked = names.select(F.col(name).alias("name")).distinct().withColumn("bare", text.without_title(F.col("name")))
-    asked = asked.withColumn("n", text.word_count(F.col("bare")))
+    asked = asked.withColumns({"n": text.word_count(F.col("bare")), "a": F.lower("bare")}).withColumn("p", text.surname(F.col("bare")))
     right = canonical.select(F.col(name).alias("best"), F.col(official).alias("official")).distinct()
-    right = right.withColumn("m", text.word_count(F.col("best")))
-    letters = lambda c: F.array_distinct(F.transform(F.split(F.lower(c), " "), lambda w: F.substring(w, 1, 1)))
-    a = asked.select("*", F.explode(letters(F.col("bare"))).alias("letter"))
-    b = right.select("*", F.explode(letters(F.col("best"))).alias("letter"))
-    pairs = a.join(b, "letter").where(F.abs(F.col("n") - F.col("m")) <= 1).drop("letter").distinct()
-    whole = text.edit_ratio(F.lower("bare"), F.lower("best"))
-    last = F.when((F.col("n") >= 2) & (F.col("m") >= 2), text.edit_ratio(text.surname(F.col("bare")), text.surname(F.col("best"))))
-    scored = pairs.withColumns({"whole": whole, "last": last})
-    use_whole = F.col("whole") >= least
-    score = F.when(use_whole, F.col("whole") + 1).when(F.col("last") >= least, F.col("last"))
-    rank = F.struct(score.alias("s"), F.col("official").cast("int").alias("o"))
-    ordered = Window.partitionBy("name").orderBy(F.desc(rank), "best")
-    top = scored.where(score.isNotNull()).withColumn("r", F.row_number().over(ordered)).where("r = 1")
+    right = right.withColumns({"m": text.word_count(F.col("best")), "b": F.lower("best"), "q": text.surname(F.col("best"))})
+    asked, right = written(asked), written(right)
+    whole = asked.join(similar_pairs(asked, right, "a", "b", least), "a").join(right, "b").where(F.abs(F.col("n") - F.col("m")) <= 1)
+    long = lambda df, size: df.where(F.col(size) >= 2)
+    last = long(asked, "n").join(similar_pairs(long(asked, "n"), long(right, "m"), "p", "q", least), "p").join(long(right, "m"), "q")
+    columns = ["name", "bare", "best", "official", "score"]
+    scored = whole.select(*columns, F.lit(True).alias("whole")).union(last.select(*columns, F.lit(False).alias("whole")))
+    ordered = Window.partitionBy("name").orderBy(F.desc("whole"), F.desc("score"), F.desc(F.col("official").cast("int")), "best")
+    top = scored.withColumn("r", F.row_number().over(ordered)).where("r = 1")
     method = (
         F.when(F.col("name") == F.col("best"), "exact")
         .when(F.col("bare") == F.col("best"), "title-stripped")
-        .when(~use_whole, "last name")
+        .when(~F.col("whole"), "last name")
         .when(F.col("official"), "minutes")
         .otherwise("fuzzy")
     )
-    return top.select("name", "best", F.when(use_whole, F.col("whole")).otherwise(F.col("last")).alias("score"), method.alias("method"))
+    return top.select("name", "best", "score", method.alias("method"))
 
 
 NAME = r"\b[A-Z][a-z]{2,} [A-Z][a-z]{2,}\b"
@@ -127,17 +164,45 @@ def verified(entities: DataFrame, name: str, sources: DataFrame, column: str) ->
     return entities.join(seen, name, "left").withColumn("verified", F.coalesce("__v", F.lit(False))).drop("__v")
 
 
-def corrected_text(df: DataFrame, key: str, column: str, vocabulary: DataFrame, word: str, least: float = 0.87) -> DataFrame:
-    """key, wrong and right: capitalised words that no vocabulary entry has but one is much like.
+# fixed values: words that may stand inside a proper name, and how one is written
+_INNER = "of|on|the|and|de|la|von|van|du|for|at|in|to"
+_CAPITAL = r"[A-Z][A-Za-z'-]{1,30}"
+PROPER = rf"\b{_CAPITAL}(?:\s+(?:(?:{_INNER})\b|{_CAPITAL})){{0,6}}\b"
+SINGLE = r"\b[A-Z][A-Za-z'-]{3,30}\b"
+
+
+def corrections(df: DataFrame, key: str, column: str, vocabulary: DataFrame, word: str, least: float = 0.87, least_single: float = 0.9) -> DataFrame:
+    """key, wrong and right: proper names of a text that no vocabulary entry has but one is much like.
 
-    Words are counted once for the whole corpus and meet entries of the same first letter and about the same length.
+    Phrases meet entries of several words, of a word more or less at most, both in lower case with spaces for hyphens; a phrase that
+    differs from an entry in these alone is mended to it. Single words of four letters or more that are not entries meet
+    entries of one word as they are. The most similar entry wins, then the least. Phrases and words are counted once for
+    the whole corpus.
     """
-    words = df.select(key, F.explode(F.array_distinct(text.all_matches(F.col(column), r"\b[A-Z][a-z]{3,}\b"))).alias("wrong"))
-    right = vocabulary.select(F.col(word).alias("right")).distinct()
-    unknown = words.select("wrong").distinct().join(right, F.col("wrong") == F.col("right"), "left_anti")
-    block = lambda c: [F.substring(c, 1, 1).alias("letter"), F.length(c).alias("size")]
-    a = unknown.select("wrong", *block("wrong"))
-    b = right.select("right", F.substring("right", 1, 1).alias("letter"), F.explode(F.sequence(F.length("right") - 1, F.length("right") + 1)).alias("size"))
-    scored = a.join(b, ["letter", "size"]).withColumn("score", text.edit_ratio(F.col("wrong"), F.col("right"))).where(F.col("score") >= least)
-    best = scored.groupBy("wrong").agg(F.max(F.struct("score", "right")).getField("right").alias("right"))
-    return words.join(best, "wrong").select(key, "wrong", "right")
+    flat = lambda c: F.trim(text.spaces_for_hyphens(F.col(c)))
+    found = lambda pattern: df.select(key, F.explode(F.array_distinct(text.all_matches(F.col(column), pattern))).alias("wrong"))
+    entries = written(vocabulary.select(F.col(word).alias("right")).where("right is not null").distinct().withColumn("b", flat("right")))
+    several = entries.where(F.col("right").rlike("[ -]"))
+    phrases = found(PROPER).where(F.length("wrong") >= 6).withColumn("a", flat("wrong"))
+    kinds = written(phrases.select("wrong", "a").distinct())
+    same = kinds.join(entries, F.col("a") == F.col("b")).groupBy("wrong", "a").agg(F.min("right").alias("right"))
+    unlike = kinds.join(entries, F.col("a") == F.col("b"), "left_anti")
+    near = unlike.join(similar_pairs(unlike, several, "a", "b", least), "a").join(several, "b")
+    near = near.where(F.abs(text.word_count(F.col("a")) - text.word_count(F.col("b"))) <= 1)
+    best = lambda rows: rows.groupBy("wrong").agg(F.min(F.struct(-F.col("score"), "right")).getField("right").alias("right"))
+    mended = same.select("wrong", "right").union(best(near)).where("wrong <> right")
+    plain = entries.where(~F.col("right").rlike("[ -]")).select("right")
+    words = found(SINGLE)
+    unknown = words.select("wrong").distinct().join(plain, F.col("wrong") == F.col("right"), "left_anti").join(mended, "wrong", "left_anti")
+    single = best(similar_pairs(unknown, plain, "wrong", "right", least_single))
+    return phrases.join(mended, "wrong").select(key, "wrong", "right").union(words.join(single, "wrong").select(key, "wrong", "right"))
+
+
+def corrected_text(df: DataFrame, key: str, column: str, found: DataFrame) -> DataFrame:
+    """``df`` with the ``corrections`` (key, wrong, right) of its texts made, long ones first, as whole words."""
+    order = F.struct((-F.length("wrong")).alias("n"), "wrong", "right")
+    listed = found.groupBy(key).agg(F.array_sort(F.collect_set(order)).alias("__fixes"))
+    word = lambda fix: F.concat(F.lit(r"\b\Q"), fix["wrong"], F.lit(r"\E\b"))
+    literal = lambda c: F.regexp_replace(c, r"([\\$])", r"\\$1")
+    mended = F.aggregate("__fixes", F.col(column), lambda t, fix: F.regexp_replace(t, word(fix), literal(fix["right"])))
+    return df.join(listed, key, "left").withColumn(column, F.coalesce(mended, F.col(column))).drop("__fixes")

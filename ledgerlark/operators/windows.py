@@ -47,6 +47,21 @@ def every_nth(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return numbered.where(F.col("__place") % n == 0).drop("__part", "__before", "__place")
 
 
+def running_sum(df: DataFrame, group: str, order: str, column: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``column`` over the rows of its group up to each row; equal places count together.
+
+    Rows are range-partitioned by group and order; each range adds what its group has in the ranges before, so a group may
+    be larger than a task.
+    """
+    ranged = df.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id())
+    ranged = written(ranged)
+    sums = ranged.groupBy(group, "__part").agg(F.sum(column).alias("__s"))
+    before = F.sum("__s").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.sum(column).over(Window.partitionBy("__part", group).orderBy(order))
+    joined = ranged.join(sums.select(group, "__part", F.coalesce(before, F.lit(0)).alias("__b")), [group, "__part"])
+    return joined.withColumn(name, own + F.col("__b")).drop("__part", "__b")
+
+
 def carry_forward(df: DataFrame, group: list[str], order: list[str], column: str, name: str) -> DataFrame:
     """``df`` with the last value of ``column`` that isn't null up to each row."""
     over = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -292,5 +292,5 @@ def relabelled_speakers(conversations):
 @query("region", "nation", sql="SELECT r_name, string_agg(n_name, ', ' ORDER BY n_name) AS members FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def catalogue_lists(region, nation):
     """Sorted lists of a catalogue (EXT33, MAP3)."""
-    joined = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+    joined = nation.join(region, nation.n_regionkey == region.r_regionkey)
     return joined.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("members"))

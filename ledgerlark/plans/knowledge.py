@@ -116,13 +116,13 @@ def canonical_pick(part):
 
 @query(
     "part",
-    sql="""WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE p_partkey < 40),
+    sql="""WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE p_size < 10),
     l AS (SELECT split_part(name, ' ', 2) AS last, min(name) AS canonical FROM n WHERE contains(name, ' ') GROUP BY 1 HAVING count(*) = 1)
     SELECT n.name, canonical FROM n JOIN l ON n.name = l.last WHERE NOT contains(n.name, ' ')""",
 )
 def single_match_merge(part):
     """Last names that belong to exactly one longer name (GRA6, STR9)."""
-    names = part.select("p_name").union(part.where("p_partkey < 40").select(F.split("p_name", " ")[1]))
+    names = part.select("p_name").union(part.where("p_size < 10").select(F.split("p_name", " ")[1]))
     return graph.single_match(names, "p_name")
 
 
@@ -197,11 +197,16 @@ def marks_out_of_range(events):
     return gates.out_of_range(timed, timed.where("event_type = 'view'").withColumnRenamed("at", "end"), "user_id", "at", "end").select("event_id", "user_id")
 
 
-@query("events")
+@query(
+    "events",
+    sql="""WITH RECURSIVE n AS (SELECT event_type, user_id, epoch(date_trunc('second', ts))::DOUBLE AS "at", row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch(date_trunc('second', ts))) AS i FROM events),
+    r AS (SELECT *, "at" AS prev, TRUE AS sent FROM n WHERE i = 1 UNION ALL SELECT n.event_type, n.user_id, n."at", n.i, CASE WHEN n."at" - prev >= 86400 THEN n."at" ELSE prev END, n."at" - prev >= 86400
+    FROM r JOIN n ON n.event_type = r.event_type AND n.user_id = r.user_id AND n.i = r.i + 1) SELECT event_type, user_id, "at", sent FROM r""",
+)
 def alert_cooldown(events):
     """Alerts sent unless one was sent not long before (DQ20)."""
-    timed = events.select("event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
-    return gates.suppressed(timed, "event_type", "at", 86400.0)
+    timed = events.select("event_type", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return gates.suppressed(timed, ["event_type", "user_id"], "at", 86400.0)
 
 
 @query(
@@ -221,7 +226,7 @@ def incomplete_packets(orders, lineitem):
 def figures_backed(documents):
     """Figures of a text that others of the same text back, alone or added up (DQ7, MTH5, MTH6, MTH7)."""
     numbers = F.transform(F.regexp_extract_all("text", F.lit(r"\b(\d{2,6})\b"), F.lit(1)), lambda x: x.cast("double"))
-    rows = documents.select("doc_id", F.array_sort(F.array_distinct(numbers)).alias("all")).where(F.size("all") > 2)
+    rows = documents.select("doc_id", F.array_sort(numbers).alias("all")).where(F.size("all") > 2)
     split = rows.select("doc_id", F.slice("all", -1, 1).alias("claims"), F.slice("all", F.lit(1), F.size("all") - 1).alias("sources"))
     return gates.figures_backed(split, "claims", "sources").select("doc_id", "claim", "backed")
 
@@ -234,12 +239,12 @@ def sanitised_input(conversations):
 
 
 @query("documents", sql=r"""SELECT doc_id, md5(text)[1:12] AS short_id, length(text) AS n,
-    lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[^a-z ]', '', 'gi'))[1:40] AS letters FROM documents""")
+    md5(lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[^a-z ]', '', 'gi'))) AS letters_md5 FROM documents""")
 def text_identity(documents):
     """A short digest and a normal form of each text (STR5, STR29, ETL10)."""
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
     letters = F.lower(F.regexp_replace(flat, "(?i)[^a-z ]", ""))
-    return documents.select("doc_id", text.short_id(F.col("text")).alias("short_id"), F.length("text").alias("n"), F.substring(letters, 1, 40).alias("letters"))
+    return documents.select("doc_id", text.short_id(F.col("text")).alias("short_id"), F.length("text").alias("n"), F.md5(letters).alias("letters_md5"))
 
 
 @query("part")

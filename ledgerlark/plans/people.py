@@ -28,7 +28,7 @@ def majority_spellings(part):
     """Rarer spellings mapped to the frequent one that they are like (AGG16)."""
     third = F.col("p_partkey") % 17 == 0
     spelled = part.select(F.when(third, F.regexp_replace("p_name", "l", "ll")).otherwise(F.col("p_name")).alias("name"))
-    return names.majority_spellings(spelled.withColumn("block", F.substring("name", 1, 1)), "block", "name", 0.9)
+    return names.majority_spellings(spelled, "name", 0.9)
 
 
 @query("part")
@@ -60,10 +60,13 @@ def verified_entities(part, documents):
 
 @query("documents")
 def spelling_corrections(documents):
-    """Capitalised words that are nearly a frequent one (STR26)."""
+    """Capitalised words and phrases that are nearly a frequent one, and the texts with them put right (STR26)."""
     words = documents.select(F.explode(text.all_matches(F.col("text"), r"\b[A-Z][a-z]{3,}\b")).alias("word"))
     frequent = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 20")
-    return names.corrected_text(documents, "doc_id", "text", frequent, "word")
+    found = names.corrections(documents, "doc_id", "text", frequent, "word")
+    fixed = names.corrected_text(documents, "doc_id", "text", found)
+    pairs = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" > ", "wrong", "right"))), ", ").alias("pairs")
+    return found.groupBy("doc_id").agg(pairs).join(fixed.select("doc_id", F.md5("text").alias("digest")), "doc_id")
 
 
 def _timed(conversations):
@@ -110,7 +113,7 @@ def name_provenance(conversations, documents):
     """Where a text's names are from (DQ6, DQ8)."""
     spoken = _spoken(conversations)
     asked = spoken.select("conv_id", F.concat("first", F.lit(" "), F.col("role")).alias("name"))
-    own = spoken.where("turn < 3").select("conv_id", F.concat_ws(" ", F.col("first"), F.col("role"), F.col("said")).alias("text"), (F.col("conv_id") % 2 == 0).alias("has_minutes"))
+    own = spoken.select("conv_id", F.concat_ws(" ", F.col("first"), F.col("role"), F.col("said")).alias("text"), (F.col("conv_id") % 2 == 0).alias("has_minutes"))
     labels = asked.where("conv_id % 3 = 0").select("conv_id", F.col("name").alias("label"))
     return gates.name_provenance(asked, own, labels, documents.select("text"), "conv_id")
 

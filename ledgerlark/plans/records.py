@@ -137,11 +137,11 @@ def date_shifts(orders):
 
 @query(
     "orders",
-    sql="""SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderkey % 5 = 0 AND o_orderkey < 9000)""",
+    sql="""SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus = 'F')""",
 )
 def above_high_water(orders):
     """Rows above the largest key that is stored (STM2)."""
-    stored = orders.where("o_orderdate < timestamp '1996-01-01' AND o_orderkey % 5 = 0 AND o_orderkey < 9000")
+    stored = orders.where("o_orderdate < timestamp '1996-01-01' AND o_orderstatus = 'F'")
     return incremental.above_mark(orders, "o_orderkey", stored).select("o_orderkey")
 
 
@@ -187,7 +187,7 @@ def rate_windows(events):
 
 @query(
     "documents",
-    sql=r"""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9'']+', ' ', 'g'))[1:60] AS loose, trim(regexp_replace(lower(text), '[ \n-]+', ' ', 'g'))[1:60] AS plain,
+    sql=r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9'']+', ' ', 'g'))) AS loose_md5, md5(trim(regexp_replace(lower(text), '[\s-]+', ' ', 'g'))) AS plain_md5,
     CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN 0 ELSE round(length(regexp_replace(text, '[^A-Z]', '', 'g')) / length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 6) END AS upper FROM documents""",
 )
 def text_forms(documents):
@@ -195,8 +195,8 @@ def text_forms(documents):
     c = F.col("text")
     return documents.select(
         "doc_id",
-        F.substring(text.loose(c), 1, 60).alias("loose"),
-        F.substring(F.trim(text.spaces_for_hyphens(c)), 1, 60).alias("plain"),
+        F.md5(text.loose(c)).alias("loose_md5"),
+        F.md5(F.trim(text.spaces_for_hyphens(c))).alias("plain_md5"),
         F.round(text.upper_ratio(c), 6).alias("upper"),
     )
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
-from ledgerlark.operators import filters, paging, sets
+from ledgerlark.operators import filters, paging, sets, windows
 
 from .registry import query
 
@@ -506,8 +506,9 @@ def scored_listing(documents):
 )
 def budgeted_prefix(documents):
     """Documents of each group until a budget of characters is used (SRT12)."""
-    used = F.sum(F.length("text")).over(Window.partitionBy("source").orderBy("doc_id"))
-    return documents.withColumn("used", used).where("used <= 20000").select("source", "doc_id")
+    sized = documents.select("source", "doc_id", F.length("text").cast("bigint").alias("chars"))
+    used = windows.running_sum(sized, "source", "doc_id", "chars", "used")
+    return used.where("used <= 20000").select("source", "doc_id")
 
 
 @query(

@@ -1,6 +1,14 @@
 """Hand-made rows for names and for the gates on quotes and names."""
 
+import datetime as dt
+import itertools
+import random
+from collections import Counter
+from difflib import SequenceMatcher
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import gates, graph, names
@@ -16,10 +24,97 @@ def test_evidence_alone_counts(spark):
 
 
 def test_majority_spelling():
-    got = names.majority_spelling([("Brian Healy", 3), ("Bryan Healy", 26), ("Ann Li", 1)])
+    alike = {("Brian Healy", "Bryan Healy"), ("Bryan Healy", "Brian Healy")}
+    got = names.majority_spelling([("Brian Healy", 3), ("Bryan Healy", 26), ("Ann Li", 1)], alike)
     assert got == {"Bryan Healy": "Bryan Healy", "Brian Healy": "Bryan Healy", "Ann Li": "Ann Li"}
 
 
+def typed(r, word):
+    """A word with a letter put in, left out or changed, anywhere."""
+    i, c = r.randrange(len(word)), r.choice("abcdefgh")
+    return r.choice([word[:i] + c + word[i:], word[:i] + word[i + 1 :], word[:i] + c + word[i + 1 :]])
+
+
+@pytest.mark.parametrize("least", [0.82, 0.9])
+def test_similar_pairs_against_brute_force(spark, least):
+    r = random.Random(5)
+    right = {"".join(r.choice("abcdefgh ") for _ in range(r.randint(1, 14))).strip() for _ in range(60)} - {""}
+    left = {w for w in right if r.random() < 0.3} | {typed(r, w) for w in right for _ in range(3)} | {typed(r, typed(r, w)) or "x" for w in right if len(w) > 2}
+    left -= {""}
+    want = {(a, b) for a in left for b in right if SequenceMatcher(None, a, b).ratio() >= least}
+    a, b = (spark.createDataFrame([(w,) for w in sorted(ws)], f"{n} string") for ws, n in ((left, "l"), (right, "r")))
+    assert {(x.l, x.r) for x in names.similar_pairs(a, b, "l", "r", least).collect()} == want and len(want) > 50
+
+
+def test_majority_spellings_against_brute_force(spark):
+    r = random.Random(6)
+    base = ["Bryan Healy", "Ann Marie Lind", "Xavier Cole", "harbor lights", "Cora Gray"]
+    rows = [w for w in base for _ in range(5)] + [typed(r, w) for w in base for _ in range(6)]
+    counts = sorted(Counter(rows).items(), key=lambda c: (-c[1], c[0]))
+    want = {}
+    for name, _ in counts:
+        if name not in want:
+            want[name] = name
+            for other, _ in counts:
+                if other not in want and SequenceMatcher(None, name.lower(), other.lower()).ratio() >= 0.85:
+                    want[other] = name
+    got = names.majority_spellings(spark.createDataFrame([(w,) for w in rows], "name string"), "name").collect()
+    assert {x.name: (x.spelling, x.n) for x in got} == {w: (want[w], n) for w, n in counts}
+
+
+def test_corrections(spark):
+    texts = [(1, "The Xarborside plan of Old-Post Road and Olde Post Road, by Bryan Healey."), (2, "Harborside is fine"), (3, None)]
+    docs = spark.createDataFrame(texts, "k int, t string")
+    words = spark.createDataFrame([("Harborside",), ("Old Post Road",), ("Bryan Healy",)], "w string")
+    found = names.corrections(docs, "k", "t", words, "w")
+    got = {(x.wrong, x.right) for x in found.collect()}
+    assert got == {("Xarborside", "Harborside"), ("Old-Post Road", "Old Post Road"), ("Olde Post Road", "Old Post Road"), ("Bryan Healey", "Bryan Healy")} - (
+        {("Old-Post Road", "Old Post Road"), ("Olde Post Road", "Old Post Road")} - got
+    )
+    fixed = {x.k: x.t for x in names.corrected_text(docs, "k", "t", found).collect()}
+    assert "Harborside plan" in fixed[1] and "Bryan Healy." in fixed[1] and fixed[2] == "Harborside is fine" and fixed[3] is None
+
+
+def test_labels_without_support(spark):
+    day = dt.date
+    meetings = spark.createDataFrame(
+        [("a", "Board", day(2024, 5, 1), "Present: Li", ""), ("b", "Board", day(2024, 6, 1), "", "Guest Ode"), ("c", "Board", day(2025, 6, 1), None, None)],
+        "k string, committee string, date date, minutes string, agenda string",
+    )
+    labels = spark.createDataFrame([(k, n) for k in "abc" for n in ("Ann Li", "Cy Ode", "Bo Chu", "Dee Fox", "Clerk")], "k string, name string")
+    spoken = spark.createDataFrame([("c", "thank you, Mr. Fox!"), ("a", None)], "k string, text string")
+    verified = spark.createDataFrame([("bo chu",)], "name string")
+    got = {(x.k, x.name): x.kind for x in gates.corroborated_labels(labels, meetings, spoken, verified, "k").collect()}
+    bad, unsure = "attendance-mismatch", "unverifiable-name"
+    assert got == {("a", "Cy Ode"): bad, ("a", "Bo Chu"): bad, ("a", "Dee Fox"): bad, ("b", "Dee Fox"): unsure, ("c", "Ann Li"): unsure, ("c", "Cy Ode"): unsure}
+
+
+@given(st.lists(st.integers(1, 400), max_size=9), st.integers(1, 900))
+def test_sums_against_brute_force(values, wanted):
+    parts = set(values)
+    want = any(sum(c) == wanted for n in range(2, 7) for c in itertools.combinations(parts, n))
+    assert gates.sums_to([v * 1.0 for v in values], wanted * 1.0) == want
+
+
+def test_sums():
+    assert gates.sums_to([10.25, 5.5, 10.25], 15.75) and not gates.sums_to([5.0, 5.0], 10.0)  # of different values
+    assert not gates.sums_to([10.0], 10.0) and not gates.sums_to([], 1.0) and gates.sums_to([3.0, 4.0, None], 7.005)
+    assert gates.sums_to([float(2**i) for i in range(24)], float(2**23 + 2**5 + 2))
+
+
+def test_cooldown_against_a_fold(spark):
+    r = random.Random(7)
+    rows = [(r.choice("ab"), r.randrange(3), float(r.randrange(400))) for _ in range(200)] + [("a", 0, None)]
+    want, last = Counter(), {}
+    for k, u, t in sorted(x for x in rows if x[2] is not None):
+        ok = (k, u) not in last or t - last[k, u] >= 7
+        if ok:
+            last[k, u] = t
+        want[k, u, t, ok] += 1
+    got = gates.suppressed(spark.createDataFrame(rows, "k string, u int, t double"), ["k", "u"], "t", 7.0).collect()
+    assert Counter((x.k, x.u, x.t, x.sent) for x in got) == want
+
+
 def test_corrected_names(spark):
     asked = spark.createDataFrame([("Trustee Jon Smyth",), ("Jane Doe",), ("Zed Q",), ("Nick Nikitopolous",)], "name string")
     right = spark.createDataFrame([("John Smith", True), ("Jane Doe", False), ("John Nikitopoulos", False)], "name string, official boolean")
@@ -87,13 +182,6 @@ def test_dead_references_and_addresses(spark):
     assert got == {1: [2], 2: [1]}
 
 
-def test_corrected_text(spark):
-    docs = spark.createDataFrame([(1, "the Hudsan river and Hudson"), (2, "Park")], "k int, t string")
-    vocabulary = spark.createDataFrame([("Hudson",)], "w string")
-    got = [(r.k, r.wrong, r.right) for r in names.corrected_text(docs, "k", "t", vocabulary, "w", 0.8).collect()]
-    assert got == [(1, "Hudsan", "Hudson")]
-
-
 def test_name_merging(spark):
     df = spark.createDataFrame([("Mayor Jo Li",), ("Jo Li",), ("Li",), ("Stone",), ("Ann Stone",), ("Bob Stone",)], "name string")
     got = {r.name: r.canonical for r in graph.canonical_names(df, "name").collect()}

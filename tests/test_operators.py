@@ -266,14 +266,6 @@ def test_search_edges(spark):
     assert search.vector_hits(v, "k", "v", q.limit(0)).count() == 0
 
 
-@given(st.lists(st.integers(1, 60), min_size=1, max_size=7), st.integers(2, 4))
-def test_subset_sum(values, n):
-    r = random.Random(0)
-    if len(values) >= n:
-        assert gates.sums_to([float(v) for v in values], float(sum(r.sample(values, n))))
-    assert not gates.sums_to([2.0 * v for v in values], 2.0 * sum(values) + 1)
-
-
 def test_figures_and_quotes(spark):
     df = spark.createDataFrame([(1, [100.0, 250.0, 999.0], [40.0, 60.0, 251.0])], "k int, claims array<double>, sources array<double>")
     assert {r.claim: r.backed for r in gates.figures_backed(df, "claims", "sources").collect()} == {100.0: True, 250.0: True, 999.0: False}
