@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, clear, dealt_anew, text_of
+from .common import BLANKS, ascii_lower, clear, cut, dealt_anew, text_of
 
 BITS = 64
 
@@ -42,10 +42,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
         F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"),
     )
     keyed = keyed.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    # two independent 64-bit hashes, as keys of a large corpus outnumber one
-    hashed = keyed.select(
-        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos"
-    )
+    # two independent 64-bit hashes, as keys of a large corpus outnumber one; written, as ranges are drawn from a sample first
+    hashed = cut(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos"))
     # ranges end between documents of a key, never inside one, so both groupings below need no other shuffle
     ranged = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
     held = ranged.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.collect_list("pos").alias("positions"))
