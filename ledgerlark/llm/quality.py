@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat, linear
-from .common import clear, small_batches, text_of
+from .common import clear, pieces_of, small_batches, text_of
 
 BITS = 17
 SIZE = 1 << BITS
@@ -96,7 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, max_rows: int = 60
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = pa.array(list(indicators(batch["text"].to_pylist())), pa.list_(pa.int32()))
+            texts = batch["text"].to_pylist()
+            grams = pa.array([g for i, j in pieces_of(texts) for g in indicators(texts[i:j])], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], grams], ["doc_id", "label", "grams"])
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +131,8 @@ def quality_scores(docs: DataFrame, model: dict | None) -> DataFrame:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             score = np.full(len(texts), 0.5)
             if model:
-                score = linear.probability(np.array(margins(indicators(texts), model)), *model["curve"])
+                grams = (g for i, j in pieces_of(texts) for g in indicators(texts[i:j]))
+                score = linear.probability(np.array(margins(grams, model)), *model["curve"])
             columns = [batch.column(i) for i in range(width)]
             columns += [pa.array(score, pa.float64()), pa.array(score >= 0.5).cast(pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)

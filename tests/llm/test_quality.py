@@ -64,3 +64,42 @@ def test_hinge_solver_reaches_the_optimum():
 
     for _ in range(200):
         assert loss(found) <= loss(found + r.normal(scale=0.02, size=6)) + 1e-3
+
+
+def test_indicators_against_their_definition():
+    texts = ["Ab ab, AB! 12 ab", "", "x", "one\ttwo  two one"]
+    for text, found in zip(texts, quality.indicators(texts), strict=True):
+        data = [b + 32 if 65 <= b <= 90 else b for b in text.encode() + b"\n"]
+        shapes, before = [], []
+        for word in text.split():
+            kinds = 0
+            for b in word.encode():
+                kinds |= 64 if b in b",." else 2 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 8 if 33 <= b <= 47 else 16 if b in b":;<=>?@[]^_`\\" else 32 if b in b"{|}~" else 1
+            low = word.lower()
+            for back in (1, 2):
+                kinds |= (len(before) >= back and before[-back] == low) << (7 + back)
+            shapes.append(kinds)
+            before.append(low)
+        want = {0}
+        for salt, values, most in ((1, data, 4), (5, shapes, 3)):
+            for n in range(most):
+                for i in range(len(values) - n):
+                    gram = 0
+                    for v in values[i : i + n + 1]:
+                        gram = (gram * 2048 + v + 1) % 2**64
+                    want.add((gram * int(quality.flat.BASE) + ((salt + n) << 48)) % 2**64 >> (64 - quality.BITS))
+        assert set(found.tolist()) == want
+
+
+def test_ratios_and_scores_against_their_definition():
+    r = np.random.default_rng(3)
+    label = np.array([0, 1] * 12)
+    grams = [np.unique(np.append(r.choice(40, 8), 50 + y)).astype(np.int32) for y in label]
+    model = quality.fit(grams, label)
+    counts = [[1 + sum(k in g for g, y in zip(grams, label, strict=True) if y == c) for k in range(60)] for c in (0, 1)]
+    whole = [sum(c) + quality.SIZE - 60 for c in counts]
+    want = [np.log(counts[1][k] / whole[1]) - np.log(counts[0][k] / whole[0]) for k in range(60)]
+    assert np.allclose(model["ratio"][:60], want, atol=1e-5)
+    for g, m in zip(grams, quality.margins(iter(grams), model), strict=True):
+        v = np.array([want[k] for k in g])
+        assert abs(m - (sum(model["weight"][k] * x for k, x in zip(g, v / np.sqrt((v * v).sum()), strict=True)) + model["weight"][-1])) < 1e-4
