@@ -73,6 +73,26 @@ def clear(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+#: A list of at most this many ids is broadcast, so that texts stay where they are; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+
+
+def few(ids: DataFrame) -> bool:
+    """Whether a written list of ids is short enough to be broadcast."""
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
+def of_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "text_hash") -> DataFrame:
+    """Semi or anti join of ``rows`` with the distinct ``ids``: by broadcast if they are few, so that rows don't travel."""
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if few(ids) else ids, key, how)
+
+
+def document_key(doc_id: Column, text_hash: Column) -> Column:
+    """A row's identity: its doc_id, which may be null, and the hash of its text."""
+    return F.struct(F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), doc_id.isNull().alias("none"), text_hash.alias("hash"))
+
+
 def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` with its long ``keys`` recomputed, so that Spark shuffles this side for the very join it goes into.
 

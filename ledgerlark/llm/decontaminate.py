@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, clear, cut
+from .common import ascii_lower, clear, cut, document_key, of_ids
 
 #: What stands between words: ASCII but digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,6 +74,34 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     named as a result are replaced.
     """
     docs = clear(docs, "n_words", "n_hit", "item_ids", "__words")
+    marks = hits(docs, items, window, shingle)
+    # upper and lower case have the same words, so they are counted without lowering
+    counted = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP, -1), ""))
+    left = docs.withColumn("__words", F.struct(counted.cast("bigint").alias("n"), _text_hash().alias("hash")))
+    match = left["doc_id"].eqNullSafe(marks["doc_id"]) & (left["__words.hash"] == marks["text_hash"])
+    return left.join(marks, match, "left").select(
+        *[left[c] for c in docs.columns],
+        left["__words.n"].alias("n_words"),
+        F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+    )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
+    """``docs`` (doc_id, text and any others) without the rows that hold a window of an item; see ``contamination``."""
+    docs = clear(docs, "__gone")
+    found = hits(docs, items, window, shingle)
+    gone = found.select(document_key(F.col("doc_id"), F.col("text_hash")).alias("__gone")).distinct()
+    own = docs.withColumn("__gone", document_key(F.col("doc_id"), _text_hash()))
+    return of_ids(own, gone, "left_anti", "__gone").drop("__gone")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
+    """doc_id, text_hash, n_hit and item_ids of the texts that hold a window of an item; see ``contamination``."""
     parts = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item"))
     parts = parts.where(F.size("item") > 0).withColumn("item_key", F.xxhash64("item_id", "item")).dropDuplicates(["item_key"])
     k, n = F.least(F.size("item"), F.lit(shingle)), F.size("item")
@@ -97,8 +125,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     )
     sizes = sorted(r.k for r in tokens.select("k").distinct().collect()) or [shingle]
 
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    own = docs.select("doc_id", text_hash.alias("text_hash"), words_of(F.col("text")).alias("words"))
+    own = docs.select("doc_id", _text_hash().alias("text_hash"), words_of(F.col("text")).alias("words"))
     vocabulary = tokens.select("key").distinct()
     rarity = _probed(own.select("words"), vocabulary, 16 * tokens.count(), sizes).groupBy("key").count()
 
@@ -156,7 +183,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     )
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(reached, F.lit(0))))
-    marks = (
+    return (
         spans.withColumn("fresh", fresh)
         .groupBy("doc_id", "text_hash")
         .agg(
@@ -164,13 +191,3 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"),
         )
     )
-    # upper and lower case have the same words, so they are counted without lowering
-    counted = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP, -1), ""))
-    left = docs.withColumn("__words", F.struct(counted.cast("bigint").alias("n"), text_hash.alias("hash")))
-    match = left["doc_id"].eqNullSafe(marks["doc_id"]) & (left["__words.hash"] == marks["text_hash"])
-    return left.join(marks, match, "left").select(
-        *[left[c] for c in docs.columns],
-        left["__words.n"].alias("n_words"),
-        F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-    )

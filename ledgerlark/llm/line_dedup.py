@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, clear, cut, dealt_anew, text_of
+from .common import BLANKS, ascii_lower, clear, cut, dealt_anew, document_key, few, text_of
 
 BITS = 64
 
@@ -32,7 +32,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     and all lose the same keys. A null doc_id is no document for the count and never the largest.
     An empty table gives an empty result. Columns of docs that are named as a result are replaced.
     """
-    docs = clear(docs, "n_lines", "n_dropped", "keep_bitmap", "__text_hash")
+    docs = clear(docs, "n_lines", "n_dropped", "keep_bitmap", "__key")
     keyed = docs.select(
         F.col("doc_id").alias("doc_id"),
         text_of(docs).alias("text"),
@@ -71,11 +71,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
             F.sum("n").alias("n_dropped"),
         )
     )
-    left = docs.withColumn("__text_hash", F.xxhash64(text_of(docs)))
-    match = left["doc_id"].eqNullSafe(bits["doc_id"]) & (left["__text_hash"] == bits["text_hash"])
-    return left.join(bits, match, "left").select(
-        *[left[c] for c in docs.columns],
-        F.size(F.split(text_of(left), "\n", -1)).cast("bigint").alias("n_lines"),
+    bits = cut(bits.select(document_key(F.col("doc_id"), F.col("text_hash")).alias("__key"), "keep_bitmap", "n_dropped"))
+    left = docs.withColumn("__key", document_key(docs["doc_id"], F.xxhash64(text_of(docs))))
+    ids = bits.select("__key")
+    if few(ids):  # documents that lose nothing stay where they are
+        some = left.join(F.broadcast(ids), "__key", "left_semi").join(bits, "__key")
+        others = left.join(F.broadcast(ids), "__key", "left_anti")
+        joined = some.unionByName(others, allowMissingColumns=True)
+    else:
+        joined = left.join(bits, "__key", "left")
+    return joined.select(
+        *docs.columns,
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
         F.coalesce("keep_bitmap", F.array().cast("array<struct<word:int,bits:bigint>>")).alias("keep_bitmap"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import clear, cut, dealt_anew, pieces_of, small_batches, text_of
+from .common import clear, cut, dealt_anew, document_key, of_ids, pieces_of, small_batches, text_of
 
 RADIUS = 2
 LABELS = [1 + i % 7 for i in range(64)]
@@ -143,8 +143,6 @@ def hex16(fp: Column) -> Column:
 
 # ---- texts alike by their word shingles -------------------------------------------------------------------
 
-#: A list of at most this many ids (of eight bytes) is broadcast, so that texts stay where they are; a longer one is joined by a shuffle.
-BROADCAST_IDS = 1 << 20
 #: How many members of a bucket one part of it holds, about.
 PART = 1024
 
@@ -235,13 +233,6 @@ def _turned(a: str, b: str) -> Column:
     return F.aggregate(differing, F.lit(0), lambda total, x: total + x)
 
 
-def _of_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "text_hash") -> DataFrame:
-    """Semi or anti join of ``rows`` with the distinct ``ids``: by broadcast if they are few, so that rows don't travel."""
-    ids = cut(ids)
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, how)
-
-
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, small: int = 16, most_common: int = 1 << 17, sample: int = 16
 ) -> DataFrame:
@@ -348,7 +339,7 @@ def _alike(hashed: DataFrame, bitmaps: DataFrame, pairs: DataFrame, shingle: int
     left = cut(pairs.join(side(bitmaps, "a"), "a").join(side(bitmaps, "b"), "b").where(close).select("a", "b"))
 
     def whole(end: str) -> DataFrame:
-        texts = _of_ids(hashed, left.select(F.col(end).alias("text_hash")).distinct(), "left_semi")
+        texts = of_ids(hashed, left.select(F.col(end).alias("text_hash")).distinct(), "left_semi")
         lists = lambda ids, s, _, size: [ids, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(s.view(np.int64)))]
         sets = _shingled(texts, shingle, "text_hash bigint, shingles array<bigint>", lists).dropDuplicates(["text_hash"])
         return side(dealt_anew(sets, "text_hash"), end)
@@ -383,11 +374,6 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     """
     docs = clear(docs, "__gone")
     groups = near_duplicates(docs, **how).where(~F.col("doc_id").eqNullSafe(F.col("group_id")))
-    gone = groups.select(_document(F.col("doc_id"), F.col("text_hash")).alias("__gone")).distinct()
-    own = docs.withColumn("__gone", _document(F.col("doc_id"), F.xxhash64(text_of(docs), F.lit(7))))
-    return _of_ids(own, gone, "left_anti", "__gone").drop("__gone")
-
-
-def _document(doc_id: Column, text_hash: Column) -> Column:
-    """A row's identity: its doc_id, which may be null, and the hash of its text."""
-    return F.struct(F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), doc_id.isNull().alias("none"), text_hash.alias("hash"))
+    gone = groups.select(document_key(F.col("doc_id"), F.col("text_hash")).alias("__gone")).distinct()
+    own = docs.withColumn("__gone", document_key(F.col("doc_id"), F.xxhash64(text_of(docs), F.lit(7))))
+    return of_ids(own, gone, "left_anti", "__gone").drop("__gone")
