@@ -48,6 +48,33 @@ def test_run(spark):
     assert len({r.doc_id for r in rows}) == len(rows)
 
 
+def test_run_against_brute_force(spark):
+    """The whole chain in plain Python; the classifier's decisions are taken from its scores, which have tests of their own."""
+    import sentencepiece
+
+    from .test_decontaminate import brute as contaminated
+    from .test_simhash import groups, shingles
+
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in corpus_pipeline.keep_quality(spark, docs, TABLES).select("doc_id", "text").collect()}
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holders = {}
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    gone = {k: max(h) for k, h in holders.items() if len(k) >= 40 and len(h) >= 5}
+    texts = {i: "\n".join(x for x in t.split("\n") if gone.get(key(x), i) == i) for i, t in texts.items()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = groups(list(texts), alike)
+    texts = {i: t for i, t in texts.items() if root[i] == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{TABLES}/benchmark.parquet").collect()]
+    texts = {d: texts[d] for d, _, hit, _ in contaminated(list(texts.items()), items) if not hit}
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_PATH)
+    found = {r.doc_id: (r.text, list(r.ids), r.n_chars) for r in corpus_pipeline.run(spark, TABLES).collect()}
+    assert found == {i: (t, library.encode(t), len(t)) for i, t in texts.items()}
+
+
 @pytest.mark.parametrize("name", ["op5_line_dedup", "op7_decontamination", "op8_chat_format"])
 def test_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from ledgerlark.llm import simhash
@@ -159,6 +160,33 @@ def test_large_groups_without_an_original(spark):
     assert found == want
 
 
+def test_pairs_within_a_family_on_one_template(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    shared, texts = [word() for _ in range(300)], []
+    for _ in range(60):
+        pair = [word() for _ in range(10)]
+        texts += [shared + pair + [word() for _ in range(30)] for _ in range(2)]
+    found, want, near = grouped(spark, texts, sample=1)
+    assert len(near) >= 55 and len(set(want.values())) > 50 and found == want
+    found, _, _ = grouped(spark, texts, sample=1, most_common=0)  # without an order by frequency the same is found
+    assert found == want
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets(spark):
+    r = random.Random(13)
+    sets = [sorted({r.getrandbits(64) for _ in range(n)}) for n in (1, 30, 33, 40, 400, 410)]
+    sets += [sorted({*s[: len(s) - len(s) // 8], *(r.getrandbits(64) for _ in range(len(s) // 9))}) for s in sets]
+    size = np.array([len(s) for s in sets])
+    flat_ = np.array([x for s in sets for x in s], np.uint64)
+    maps = simhash._bitmaps(flat_, np.repeat(np.arange(len(sets)), size), size).to_pylist()
+    assert all(len(m) * 64 >= 2 * len(s) for m, s in zip(maps, sets, strict=True))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if 0.6 < len(sets[i]) / len(sets[j]) < 1.6]
+    frame = spark.createDataFrame([(i, j, maps[i], maps[j]) for i, j in pairs], "i int, j int, a array<long>, b array<long>")
+    for x in frame.select("i", "j", simhash._turned("a", "b").alias("n")).collect():
+        assert x.n <= len(set(sets[x.i]) ^ set(sets[x.j])) and (x.n == 0) == (x.i == x.j or sets[x.i] == sets[x.j])
+
+
 def test_short_pairs(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
