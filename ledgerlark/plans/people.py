@@ -131,10 +131,15 @@ def dead_references(documents, labels):
     return gates.dead_references(marked, "doc_id", "text", there, "file")
 
 
-@query("documents")
+@query(
+    "documents",
+    sql="""WITH d AS (SELECT doc_id, (doc_id % 10 + 1) || ' Old Post Road' AS address FROM documents WHERE doc_id % 3 = 0),
+    w AS (SELECT *, list_concat(list(doc_id) OVER (PARTITION BY address ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), list(doc_id) OVER (PARTITION BY address ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) AS o FROM d)
+    SELECT doc_id, address, array_to_string(o[1:5], ',') AS others FROM w WHERE len(o) > 0""",
+)
 def shared_addresses(documents):
     """Other documents with an address of a document (JN23): every third document gets one of ten addresses."""
     place = F.concat(F.lit(" at "), (F.col("doc_id") % 10 + 1).cast("string"), F.lit(" Old Post Road"))
     marked = documents.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", place)).otherwise(F.col("text")))
     found = gates.shared_addresses(marked, "doc_id", "text")
-    return found.select("doc_id", "address", F.size("others").alias("n_others"))
+    return found.select("doc_id", "address", F.array_join(F.transform("others", lambda o: o.cast("string")), ",").alias("others"))

@@ -53,17 +53,31 @@ def html_title_links(pages):
     return pages.select("page_id", web.title_of(F.col("html")).alias("title"), F.size(web.links_of(F.col("html"))).cast("bigint").alias("links"))
 
 
-@query("pages")
+@query(
+    "pages",
+    sql=r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>.*?</a>'), 1) AS place FROM pages),
+    l AS (SELECT page_id, place, regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_replace(a, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM a),
+    o AS (SELECT page_id, href, min(place) AS place, arg_min(label, place) AS label FROM l WHERE length(label) >= 5 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS n FROM o)
+    SELECT md5('pages|' || label || '|' || href)[1:12] AS id, label AS title, href AS url, label AS summary FROM r WHERE n <= 30""".replace("\\\\", "\\"),
+)
 def link_listing(pages):
     """The first links of each page with whole addresses, each once (SRC9, EXT16, ETL10)."""
     rows = web.listing(pages, "page_id", "url", "html")
     return web.scraped(rows, "pages", "listing", "label", "href", "label").select("id", "title", "url", "summary")
 
 
-@query("pages")
+@query(
+    "pages",
+    sql=r"""WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1)) AS li FROM pages), t AS (SELECT page_id, trim(regexp_replace(regexp_replace(li, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM i)
+    SELECT page_id, CASE WHEN length(t) % 2 = 0 THEN 'Item ' || length(t) ELSE '' END AS kind, CASE WHEN length(t) % 2 = 0 THEN t || ' - x' ELSE t END AS title FROM t""".replace("\\\\", "\\"),
+)
 def agenda_of_pages(pages):
-    """List items of each page as agenda items (SRC13)."""
-    return pages.select("page_id", F.explode(web.agenda_items(F.col("html"))).alias("i")).select("page_id", "i.kind", "i.title")
+    """List items of each page as agenda items, some of them with a kind before the title (SRC13)."""
+    plain = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<li[^>]*>(.*?)</li>"), F.lit(1))).alias("li")).select("page_id", text.strip_tags(F.col("li")).alias("t"))
+    kind = F.when(F.length("t") % 2 == 0, F.concat(F.lit("Item "), F.length("t").cast("string"), F.lit(" - "), "t", F.lit(" - x"))).otherwise(F.col("t"))
+    lists = plain.groupBy("page_id").agg(F.concat(F.lit("<ul><li class='x'>"), F.array_join(F.collect_list(kind), "</li>\n<LI><b>"), F.lit("</b></li></ul>")).alias("html"))
+    return lists.select("page_id", F.explode(web.agenda_items(F.col("html"))).alias("i")).select("page_id", "i.kind", "i.title")
 
 
 @query("pages")
@@ -73,7 +87,10 @@ def minutes_of_pages(pages):
     return m.select("page_id", F.size("m.attendees").alias("attendees"), F.size("m.motions").alias("motions"), F.size("m.speakers").alias("speakers"), "m.word_count")
 
 
-@query("orders")
+@query(
+    "orders",
+    sql="""SELECT o_custkey, o_orderstatus || ' > Order ' || o_orderkey AS path, 'scan' AS name, '/files/' || o_orderkey || '.pdf' AS url, 'pdf' AS kind FROM orders""",
+)
 def agenda_tree(orders):
     """A tree of items built from orders, flattened with paths and attachments (ARR4, ARR5, ETL8, ETL9, EXT5, EXT10)."""
     leaf = F.struct(
