@@ -23,20 +23,21 @@ def word_window_chunks(documents):
     return chunking.word_windows(documents, "doc_id", "text", 200, 50)
 
 
+def _pack_sql(name: str, rows: str, most: int, glue: str, key: str = "doc_id") -> str:
+    """SQL of a recursive relation ``name`` (key, g, k, c): the texts p of each (key, g), by place i from 1 on, packed."""
+    fits = f"length(c) + length(p) + 1 <= {most}"
+    return f"""{name}r AS (SELECT {key}, g, i, p AS c, 0 AS k FROM {rows} WHERE i = 1 UNION ALL SELECT r.{key}, r.g, n.i, CASE WHEN {fits} THEN c || {glue} || p ELSE p END, k + (NOT ({fits}))::INT
+    FROM {name}r r JOIN {rows} n ON n.{key} = r.{key} AND n.g = r.g AND n.i = r.i + 1), {name} AS (SELECT {key}, g, k, arg_max(c, i) AS c FROM {name}r GROUP BY ALL)"""
+
+
 def _packed_sql(most: int, least: int) -> str:
     """DuckDB SQL of the chunks of lines: sentences of long lines are packed first, then all pieces."""
 
-    def pack(name: str, rows: str, glue: str) -> str:
-        """(doc_id, g, k, c): the texts p of each (doc_id, g), by place i from 1 on, packed."""
-        fits = f"length(c) + length(p) + 1 <= {most}"
-        return f"""{name}r AS (SELECT doc_id, g, i, p AS c, 0 AS k FROM {rows} WHERE i = 1 UNION ALL SELECT r.doc_id, r.g, n.i, CASE WHEN {fits} THEN c || {glue} || p ELSE p END, k + (NOT ({fits}))::INT
-        FROM {name}r r JOIN {rows} n ON n.doc_id = r.doc_id AND n.g = r.g AND n.i = r.i + 1), {name} AS (SELECT doc_id, g, k, arg_max(c, i) AS c FROM {name}r GROUP BY ALL)"""
-
     return rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS g FROM documents),
     t AS (SELECT doc_id, g, trim(p) AS p FROM l WHERE trim(p) <> ''), s0 AS (SELECT doc_id, g, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM t WHERE length(p) > {most}),
-    s AS (SELECT doc_id, g, unnest(s) AS p, generate_subscripts(s, 1) AS i FROM s0), {pack('a', 's', "' '")},
+    s AS (SELECT doc_id, g, unnest(s) AS p, generate_subscripts(s, 1) AS i FROM s0), {_pack_sql('a', 's', most, "' '")},
     w AS (SELECT doc_id, 0 AS g, c AS p, row_number() OVER (PARTITION BY doc_id ORDER BY g, k) AS i FROM (SELECT doc_id, g, k, c FROM a UNION ALL SELECT doc_id, g, 0, p FROM t WHERE length(p) <= {most})),
-    {pack('b', 'w', 'chr(10)')}, k AS (SELECT doc_id, k, c FROM b WHERE length(c) >= {least}
+    {_pack_sql('b', 'w', most, 'chr(10)')}, k AS (SELECT doc_id, k, c FROM b WHERE length(c) >= {least}
     UNION ALL SELECT doc_id, 0, trim(text, ' ' || chr(10) || chr(9)) FROM documents d WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = d.doc_id AND length(b.c) >= {least}))
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, c AS content FROM k"""
 
@@ -60,13 +61,19 @@ def section_chunks(documents):
     return chunking.section_chunks(documents.withColumn("text", marked), "doc_id", "text")
 
 
-@query("conversations")
+@query(
+    "conversations",
+    sql=rf"""WITH RECURSIVE c AS (SELECT conv_id, turn AS g, repeat(text || ' ', 4) AS text FROM conversations), s0 AS (SELECT conv_id, g, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM c WHERE length(text) > 300),
+    s AS (SELECT conv_id, g, unnest(s) AS p, generate_subscripts(s, 1) AS i FROM s0), {_pack_sql('a', 's', 300, "' '", 'conv_id')},
+    u AS (SELECT conv_id, g, k, c FROM a UNION ALL SELECT conv_id, g, 0, text FROM c WHERE length(text) <= 300),
+    b AS (SELECT *, coalesce(sum(length(c)) OVER (PARTITION BY conv_id, g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
+    SELECT conv_id, b.g AS turn, k AS piece, b.g + before / length(text) AS start, least(b.g + 1.0, b.g + (before + length(b.c)) / length(text)) AS "end", b.c AS text FROM b JOIN c USING (conv_id, g)""".replace("\\\\", "\\"),
+)
 def turn_chunks(conversations):
     """Turns cut at sentences, each piece with its share of the time (CHK5, MTH8)."""
-    timed = conversations.select(
-        "conv_id", "turn", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.0).alias("end"), "text"
-    )
-    return chunking.timed_pieces(timed, 600)
+    said = F.repeat(F.concat("text", F.lit(" ")), F.lit(4))
+    timed = conversations.select("conv_id", "turn", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.0).alias("end"), said.alias("text"))
+    return chunking.timed_pieces(timed, 300)
 
 
 @query(
@@ -240,13 +247,28 @@ def incomplete_packets(orders, lineitem):
     return refs.join(stored, "o_orderkey", "left").where(F.col("refs") > F.coalesce("n", F.lit(0)) + 1).select("o_orderkey", "n", "refs")
 
 
-@query("documents")
-def figures_backed(documents):
-    """Figures of a text that others of the same text back, alone or added up (DQ7, MTH5, MTH6, MTH7)."""
-    numbers = F.transform(F.regexp_extract_all("text", F.lit(r"\b(\d{2,6})\b"), F.lit(1)), lambda x: x.cast("double"))
-    rows = documents.select("doc_id", F.array_sort(numbers).alias("all")).where(F.size("all") > 2)
-    split = rows.select("doc_id", F.slice("all", -1, 1).alias("claims"), F.slice("all", F.lit(1), F.size("all") - 1).alias("sources"))
-    return gates.figures_backed(split, "claims", "sources").select("doc_id", "claim", "backed")
+_CLAIM = "CASE k % 4 WHEN 0 THEN total WHEN 1 THEN round(least_ * 1.005)::BIGINT WHEN 2 THEN 2 * least_ + 7777 ELSE total + 50000 END"
+
+
+@query(
+    "lineitem",
+    sql=f"""WITH RECURSIVE v AS (SELECT DISTINCT l_orderkey AS k, round(l_extendedprice * 100)::BIGINT AS c FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c) AS i FROM v),
+    q AS (SELECT k, {_CLAIM} AS claim FROM (SELECT k, sum(c)::BIGINT AS total, min(c) AS least_ FROM v GROUP BY 1)),
+    r AS (SELECT k, 0::BIGINT AS i, 0 AS parts, 0::BIGINT AS s FROM q UNION SELECT r.k, n.i, parts + take, s + take * c FROM r JOIN n ON n.k = r.k AND n.i = r.i + 1 JOIN q ON q.k = r.k, (VALUES (0), (1)) t(take)
+    WHERE parts + take <= 6 AND s + take * c <= claim + 1)
+    SELECT k AS l_orderkey, claim / 100.0 AS claim, EXISTS (SELECT 1 FROM r WHERE r.k = q.k AND parts >= 2 AND abs(s - claim) <= 1)
+    OR EXISTS (SELECT 1 FROM v WHERE v.k = q.k AND abs(c / 100.0 - claim / 100.0) / greatest(claim / 100.0, 1.0) <= 0.01) AS backed FROM q""",
+)
+def figures_backed(lineitem):
+    """Dollar figures of one text that those of another back: exactly, within one percent, or added up (DQ7, MTH5, MTH6, MTH7)."""
+    cents = lineitem.select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c"))
+    dollars = lambda c: F.concat(F.lit("$"), F.format_number(c / 100.0, 2))
+    k, total, least = F.col("l_orderkey"), F.sum_distinct("c"), F.min("c")
+    claim = F.when(k % 4 == 0, total).when(k % 4 == 1, F.round(least * 1.005)).when(k % 4 == 2, 2 * least + 7777).otherwise(total + 50000)
+    said = F.array_join(F.collect_list(F.concat(F.lit("we paid "), dollars(F.col("c")))), ", ")
+    texts = cents.groupBy("l_orderkey").agg(said.alias("source"), F.concat(F.lit("It cost "), dollars(claim)).alias("article"))
+    read = texts.select("l_orderkey", gates.money_in(F.col("article")).alias("claims"), gates.money_in(F.col("source")).alias("sources"))
+    return gates.figures_backed(read, "claims", "sources").select("l_orderkey", "claim", "backed")
 
 
 @query(
