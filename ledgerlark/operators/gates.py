@@ -53,9 +53,17 @@ def out_of_range(marks: DataFrame, spans: DataFrame, key: str, at: str, end: str
 
 
 def previous_hits(df: DataFrame, key: str, seconds: Column, window: int) -> DataFrame:
-    """``df`` with hits: rows of the same key in the ``window`` seconds before a row, the bound left out."""
-    over = Window.partitionBy(key).orderBy("__s").rangeBetween(-(window - 1), 0)
-    return df.withColumn("__s", seconds.cast("bigint")).withColumn("hits", F.count("*").over(over) - 1).drop("__s")
+    """``df`` with hits: rows of the same key in the ``window`` seconds before a row, the bound left out.
+
+    Time is cut into spans of the window's length, and a span also gets the rows of the one before, which is all that its rows
+    look back to; so a key with very many rows is spread over its spans. A row without a time has no hits.
+    """
+    timed = df.withColumn("__s", seconds.cast("bigint"))
+    span = F.floor(F.col("__s") / window)
+    spread = timed.withColumn("__b", F.explode(F.when(span.isNull(), F.array(span)).otherwise(F.array(span, span + 1))))
+    over = Window.partitionBy(key, "__b").orderBy("__s").rangeBetween(-(window - 1), 0)
+    counted = spread.withColumn("hits", F.when(F.col("__s").isNull(), 0).otherwise(F.count("*").over(over) - 1))
+    return counted.where(F.coalesce(F.col("__b") == span, F.col("__b").isNull())).drop("__s", "__b")
 
 
 def freshness(df: DataFrame, key: str, date: str, days: int, as_of: Column | None = None) -> DataFrame:

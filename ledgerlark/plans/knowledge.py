@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
-from ledgerlark.operators import chunking, gates, graph
+from ledgerlark.operators import chunking, gates, graph, names
 
 from .registry import query
 
@@ -294,9 +294,8 @@ def text_identity(documents):
 
 @query("part")
 def fuzzy_names(part):
-    """Pairs of names that differ little, compared where they share a word (JN16, STR25, AGG16)."""
-    names = part.select("p_name").distinct()
-    typed = names.select(F.regexp_replace("p_name", "e", "ee").alias("typed"), F.col("p_name").alias("meant"))
-    blocked = typed.select("typed", F.split("meant", " ")[1].alias("block")).join(names.select("p_name", F.split("p_name", " ")[1].alias("block")), "block")
-    scored = blocked.select("typed", "p_name", text.edit_ratio(F.col("typed"), F.col("p_name")).alias("ratio")).where("ratio >= 0.82")
-    return scored.groupBy("typed").agg(F.max(F.struct("ratio", "p_name")).getField("p_name").alias("best"))
+    """For each mistyped name the most similar known one (JN16, STR25, AGG16)."""
+    known = part.select("p_name").distinct()
+    typed = known.select(F.regexp_replace("p_name", "e", "ee").alias("typed"))
+    scored = names.similar_pairs(typed, known, "typed", "p_name", 0.82)
+    return scored.groupBy("typed").agg(F.max(F.struct("score", "p_name")).getField("p_name").alias("best"))
