@@ -18,24 +18,21 @@ FEW = 1 << 20
 def verbatim(quotes: DataFrame, texts: DataFrame, quote_key: str, quote: str, text_key: str, column: str, least: int = 6) -> DataFrame:
     """quote_key, text_key for every quote of at least ``least`` words that a text holds after both are loosened.
 
-    A quote is looked up by its first ``least`` words: a text sends the hashes of its runs of as many words that any quote
-    begins with, so it is compared with the few quotes that begin like a place of it. Hashes of quotes are broadcast
-    if they are few, and joined by a shuffle otherwise.
+    A quote is looked up by its longest word, which few texts have: texts send their distinct words as far as they are asked for,
+    and a text is compared with the quotes whose word it has. The asked words are broadcast if they are few, and joined
+    by a shuffle otherwise.
     """
-    flat = lambda c: text.loose(F.coalesce(c, F.lit("")))
-    split = lambda c: F.split(flat(F.col(c)), " ")
-    asked = quotes.select(quote_key, split(quote).alias("__w")).where(F.size("__w") >= least)
-    asked = written(asked.select(quote_key, F.xxhash64(F.slice("__w", 1, least)).alias("__h"), F.array_join("__w", " ").alias("__q")))
-    heads = asked.select("__h").distinct()
+    flat = lambda c: text.loose(F.coalesce(F.col(c), F.lit("")))
+    asked = quotes.select(quote_key, flat(quote).alias("__q")).withColumn("__ws", F.split("__q", " ")).where(F.size("__ws") >= least)
+    longest = F.array_max(F.transform("__ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = written(asked.select(quote_key, "__q", longest.alias("__w")))
+    heads = asked.select("__w").distinct()
     few = heads.limit(FEW + 1).count() <= FEW
-    runs = texts.select(text_key, split(column).alias("__w")).where(F.size("__w") >= least)
-    starts = F.sequence(F.lit(1), F.size("__w") - least + 1)
-    hashes = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("__w", i, least))))
-    places = runs.select(text_key, F.explode(hashes).alias("__h")).join(F.broadcast(heads) if few else heads, "__h", "left_semi")
-    maybe = places.join(asked, "__h").select(quote_key, "__q", text_key)
+    held = texts.select(text_key, F.explode(F.array_distinct(F.split(flat(column), " "))).alias("__w"))
+    maybe = held.join(F.broadcast(heads) if few else heads, "__w", "left_semi").join(asked, "__w").select(quote_key, "__q", text_key)
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    held = texts.join(maybe, text_key).where(F.contains(spaced(flat(F.col(column))), spaced(F.col("__q"))))
-    return held.select(quote_key, text_key).distinct()
+    found = texts.join(maybe, text_key).where(F.contains(spaced(flat(column)), spaced(F.col("__q"))))
+    return found.select(quote_key, text_key).distinct()
 
 
 def quotes_in(df: DataFrame, key: str, column: str) -> DataFrame:
