@@ -83,9 +83,20 @@ def few(ids: DataFrame) -> bool:
 
 
 def of_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "text_hash") -> DataFrame:
-    """Semi or anti join of ``rows`` with the distinct ``ids``: by broadcast if they are few, so that rows don't travel."""
+    """Semi or anti join of ``rows`` with the distinct ``ids``: if they are few, rows that none concerns don't travel."""
     ids = cut(ids)
-    return rows.join(F.broadcast(ids) if few(ids) else ids, key, how)
+    if not few(ids):
+        return rows.join(ids, key, how)
+    maybe, others = parted(rows, ids, key)
+    found = maybe.join(ids, key, how)
+    return found if how == "left_semi" else found.unionByName(others)
+
+
+def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among few ``ids``, and those whose isn't: by a broadcast of 64-bit hashes."""
+    hashes = F.broadcast(ids.select(F.xxhash64(key).alias("__hash")))
+    own = rows.withColumn("__hash", F.xxhash64(key))
+    return tuple(own.join(hashes, "__hash", how).drop("__hash") for how in ("left_semi", "left_anti"))
 
 
 def document_key(doc_id: Column, text_hash: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, clear, cut, dealt_anew, document_key, few, text_of
+from .common import BLANKS, ascii_lower, clear, cut, dealt_anew, document_key, few, parted, text_of
 
 BITS = 64
 
@@ -75,9 +75,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     left = docs.withColumn("__key", document_key(docs["doc_id"], F.xxhash64(text_of(docs))))
     ids = bits.select("__key")
     if few(ids):  # documents that lose nothing stay where they are
-        some = left.join(F.broadcast(ids), "__key", "left_semi").join(bits, "__key")
-        others = left.join(F.broadcast(ids), "__key", "left_anti")
-        joined = some.unionByName(others, allowMissingColumns=True)
+        maybe, others = parted(left, ids, "__key")
+        joined = maybe.join(bits, "__key", "left").unionByName(others, allowMissingColumns=True)
     else:
         joined = left.join(bits, "__key", "left")
     return joined.select(
