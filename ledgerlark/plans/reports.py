@@ -233,7 +233,7 @@ def weighted_mean(lineitem):
     "orders",
     sql="""WITH d AS (SELECT strftime(o_orderdate, '%m-%d') AS day, year(o_orderdate) AS y, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2),
     h AS (SELECT day, avg(total) AS usual FROM d WHERE y < 2000 GROUP BY 1)
-    SELECT day, y::INT AS y, round(total - usual, 2) AS diff, round(100 * (total - usual) / usual, 3) AS pct FROM d JOIN h USING (day) WHERE y >= 2000""",
+    SELECT day, y::INT AS y, round(total - usual, 5) AS diff, round(100 * (total - usual) / usual, 3) AS pct FROM d JOIN h USING (day) WHERE y >= 2000""",
 )
 def seasonal_mean_diff(orders):
     """A day's total against the mean of the same day in earlier years (AGG20, MTH4, DT10)."""
@@ -243,7 +243,7 @@ def seasonal_mean_diff(orders):
     usual = daily.where("y < 2000").groupBy("day").agg(F.avg("total").alias("usual"))
     diff = F.col("total") - F.col("usual")
     return daily.where("y >= 2000").join(usual, "day").select(
-        "day", "y", F.round(diff, 2).alias("diff"), F.round(100 * diff / F.col("usual"), 3).alias("pct")
+        "day", "y", F.round(diff, 5).alias("diff"), F.round(100 * diff / F.col("usual"), 3).alias("pct")
     )
 
 
