@@ -5,6 +5,7 @@ BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 LINE_KEY = LOWER.format(f"trim(line, {BLANKS})")
 WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+TERMS = "regexp_extract_all(" + LOWER.format("text") + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
 ESCAPED = r"replace(replace(replace(coalesce({}, ''), '\', '\b'), '<', '\l'), '>', '\g')"
 
 SQL = {
@@ -47,4 +48,29 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM told GROUP BY conv_id""",
+    "op13_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+said AS (SELECT id, lang, source, unnest({TERMS}) AS term FROM d),
+vocab AS (SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM vocab GROUP BY lang),
+kept AS (SELECT said.lang, source, said.term, count(*) AS c FROM said JOIN vocab USING (lang, term) GROUP BY ALL),
+grps AS (SELECT DISTINCT lang, source FROM d),
+tok AS (SELECT lang, source, sum(c) AS n FROM kept GROUP BY ALL),
+p AS (SELECT g.lang, g.source, w.term, coalesce(k.c, 0) AS c,
+             1 + (1000000000::HUGEINT * (coalesce(k.c, 0) + 2)) // (coalesce(t.n, 0) + 2 * s.v) AS p
+      FROM grps g JOIN vocab w USING (lang) JOIN sizes s USING (lang) LEFT JOIN tok t ON t.lang = g.lang AND t.source = g.source
+      LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = w.term),
+ltok AS (SELECT lang, sum(n) AS n FROM tok GROUP BY lang),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 2)) // (any_value(l.n) + 2 * any_value(s.v)) AS q
+      FROM kept JOIN ltok l USING (lang) JOIN sizes s USING (lang) GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+         FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+          FROM grps a JOIN grps b USING (lang) LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          WHERE a.source <> b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+          FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }

@@ -1,13 +1,15 @@
-"""The registered queries of the ten operators: operator results reduced to the contracted columns."""
+"""The registered queries of the operators: operator results reduced to the contracted columns."""
 
 from pyspark.sql import functions as F
 
 from ledgerlark.io import load
 
-from . import chat_format, decontaminate, flac, html_text, line_dedup, ngram_lm, pieces, quality, simhash, toxicity
+from . import byte_pairs, chat_format, decontaminate, divergence, flac, html_text, line_dedup, ngram_lm, pieces, quality, simhash, toxicity
 
 #: A public SentencePiece model; any other path can be given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+#: Of the public rank files the one that byte-level BPE takes by default.
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op5_line_dedup(spark, sf_dir):
@@ -102,3 +104,18 @@ def op2_html_extract(spark, sf_dir):
 def op3_lm_score(spark, sf_dir):
     """Log probability of every document under a bigram model of six sevenths of them."""
     return ngram_lm.score(load(spark, sf_dir, "documents").select("doc_id", "text"), _fold(7) != 2)
+
+
+def op12_byte_bpe(spark, sf_dir, ranks_path=None):
+    """Digests of every document's byte-level BPE ids and of the bytes that they give back."""
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_pairs.encode(docs, byte_pairs.read_ranks(ranks_path or public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return coded.select("doc_id", "n_tokens", *digests)
+
+
+def op13_divergence(spark, sf_dir):
+    """How far the sources of each language are apart, and the terms that tell a source from its language."""
+    return divergence.audit(load(spark, sf_dir, "documents").select("text", "lang", "source"))
