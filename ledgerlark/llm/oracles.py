@@ -48,6 +48,25 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
 FROM told GROUP BY conv_id""",
+    "op11_collocations": rf"""
+WITH pieces AS (SELECT row_number() OVER () AS id, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM words),
+f AS (SELECT lang, w[s:s + k - 1] AS p, count(*) AS a FROM spots CROSS JOIN range(1, 6) AS t(k) WHERE s + k - 1 <= len(w) GROUP BY ALL HAVING a >= 100),
+cand AS (SELECT * FROM f WHERE len(p) >= 2),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM cand),
+scored AS (SELECT c.lang, c.p, c.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+           FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]
+           JOIN sizes ON sizes.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, p[s:s + k - 1] AS p, max(a) AS longest FROM (
+             SELECT lang, p, a, k, unnest(range(1, len(p) - k + 2)) AS s FROM (
+               SELECT lang, p, a, unnest(range(2, len(p))) AS k FROM cand WHERE len(p) > 2)) GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.p, ' ') AS phrase FROM best LEFT JOIN inner_ USING (lang, p) WHERE coalesce(100 * longest < 100 * a, true))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000""",
     "op13_divergence": rf"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 said AS (SELECT id, lang, source, unnest({TERMS}) AS term FROM d),

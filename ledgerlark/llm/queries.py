@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.io import load
 
-from . import byte_pairs, chat_format, decontaminate, divergence, flac, html_text, line_dedup, ngram_lm, pieces, quality, simhash, toxicity
+from . import byte_pairs, chat_format, decontaminate, divergence, flac, html_text, line_dedup, ngram_lm, phrases, pieces, quality, simhash, toxicity
 
 #: A public SentencePiece model; any other path can be given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -106,6 +106,11 @@ def op3_lm_score(spark, sf_dir):
     return ngram_lm.score(load(spark, sf_dir, "documents").select("doc_id", "text"), _fold(7) != 2)
 
 
+def op11_collocations(spark, sf_dir):
+    """The first 2000 phrases of each language whose words belong together most."""
+    return phrases.collocations(load(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_byte_bpe(spark, sf_dir, ranks_path=None):
     """Digests of every document's byte-level BPE ids and of the bytes that they give back."""
     import public_tokenizers
