@@ -27,7 +27,7 @@ from .common import clear, cut, small_batches
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Entries of vectors that a task adds up at once, which bounds what it holds.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 19
 #: No vocabulary may be larger: indices and sizes are signed 32-bit integers.
 LARGEST = (1 << 31) - 1
 SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int64())])

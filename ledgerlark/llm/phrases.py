@@ -210,7 +210,8 @@ def count_phrases(stored: DataFrame, words: DataFrame, n_words: int, folder: str
         sums = state.groupBy(W).agg(F.sum("n").alias("n"), F.min("since").alias("since"))
         sums.where((F.col("n") >= least) | (F.col("since") > step - shards + 1)).write.parquet(f"{folder}/{step}")
         state = spark.read.parquet(f"{folder}/{step}")
-        bitmaps = [*bitmaps[1:], with_bits(state.where(F.col("n") >= least), now)]
+        # the longest phrases are no part of others
+        bitmaps = [*bitmaps[1:], with_bits(state.where((F.col("n") >= least) & (F.col(W[-1]) == 0)), now)]
         step += 1
     if state is None:
         return ones.withColumn("n", F.lit(0).cast("bigint")).limit(0)
