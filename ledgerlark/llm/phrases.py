@@ -33,8 +33,8 @@ _KIND = np.zeros(256, np.int8)
 _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
 #: Words of a stored array, about; it ends where a piece of text does.
 ARRAY_WORDS = 1 << 15
-#: Rows of a task's counts that are added up at once.
-ROWS = 1 << 20
+#: Rows of a task's counts that are added up at once, characters that are cut and words that are scanned at once.
+ROWS, CUT_CHARS, SCAN_WORDS = 1 << 19, 1 << 20, 1 << 18
 #: Logarithms of the least and the largest number of bits.
 BITS = (16, 29)
 W = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -99,7 +99,7 @@ def store_words(docs: DataFrame, folder: str, shards: int, seed: int) -> DataFra
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
                 own = [t for x, t in zip(langs, texts, strict=True) if x == lang and t]
-                for i, j in pieces_of(own):
+                for i, j in pieces_of(own, CUT_CHARS):
                     tokens, words = cut_words(own[i:j], _mixed(seed, lang))
                     words = words.append_column("high", words["word"]).append_column("lang", pa.array([lang] * len(words), pa.string()))
                     held.append(words.select(WORDS.names).cast(WORDS))
@@ -144,6 +144,16 @@ def active(tokens: np.ndarray, now: np.ndarray, before: np.ndarray) -> Iterator[
         h = hash_of
 
 
+def _parts(arrays: pa.ListArray) -> Iterator[np.ndarray]:
+    """The words of some of the arrays at a time."""
+    words, ends = arrays.flatten().to_numpy(zero_copy_only=False).view(np.uint64), arrays.offsets.to_numpy() - arrays.offsets[0].as_py()
+    at = 0
+    while at < len(arrays):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SCAN_WORDS, "right")) - 1)
+        yield words[ends[at] : ends[stop]]
+        at = stop
+
+
 def scan(stored: DataFrame, now: np.ndarray, before: np.ndarray) -> DataFrame:
     """How often each active phrase is in ``stored`` (tokens), as w1 to w5 (0 beyond its length) and n."""
     spark = stored.sparkSession
@@ -151,8 +161,7 @@ def scan(stored: DataFrame, now: np.ndarray, before: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        for batch in batches:
-            tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        for tokens in (part for batch in batches for part in _parts(batch.column(0))):
             for k, places, h in active(tokens, *sent.value):
                 if len(places):
                     _, first, n = np.unique(h, return_index=True, return_counts=True)

@@ -75,6 +75,7 @@ def test_a_bitmap_that_is_too_small_makes_no_difference(spark, rows, monkeypatch
 def test_small_messages_and_arrays(spark, rows, monkeypatch):
     monkeypatch.setattr(phrases, "ROWS", 8)
     monkeypatch.setattr(phrases, "ARRAY_WORDS", 4)
+    monkeypatch.setattr(phrases, "SCAN_WORDS", 9)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
     assert {tuple(r) for r in phrases.collocations(docs, least=20, first=30).collect()} == plain(rows, 20, 30)
 
