@@ -89,12 +89,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
 def kept_text(text: Column, keep_bitmap: Column) -> Column:
     """The lines of ``text`` that the bitmap keeps, joined by a line feed; null stays null."""
-    lines = F.split(text, "\n", -1)
-    listed = F.map_from_entries(keep_bitmap)
-    words = F.transform(
-        F.sequence(F.lit(0), ((F.size(lines) - 1) / BITS).cast("int")),
-        lambda w: F.coalesce(F.try_element_at(listed, w), F.lit(-1).cast("bigint")),
+    # all words up to the last one that is listed, those between listed ones filled in
+    words = F.flatten(
+        F.transform(
+            keep_bitmap,
+            lambda w, i: F.concat(
+                F.array_repeat(F.lit(-1).cast("bigint"), w["word"] - F.coalesce(F.get(keep_bitmap, i - 1)["word"], F.lit(-1)) - 1),
+                F.array(w["bits"]),
+            ),
+        )
     )
-    bit = lambda i: F.getbit(F.get(words, (i / BITS).cast("int")), i % BITS)
-    kept = F.array_join(F.filter(lines, lambda line, i: bit(i) == 1), "\n")
+    # both arrays are bound to a variable, so that they are built once and not for every line
+    bound = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), words.alias("words")))
+    bit = lambda words, i: F.getbit(F.coalesce(F.get(words, (i / BITS).cast("int")), F.lit(-1).cast("bigint")), i % BITS)
+    kept = F.transform(bound, lambda b: F.array_join(F.filter(b["lines"], lambda line, i: bit(b["words"], i) == 1), "\n"))[0]
     return F.when(F.size(keep_bitmap) == 0, text).otherwise(kept)

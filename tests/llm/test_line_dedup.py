@@ -50,3 +50,26 @@ def test_keeps_columns_and_empty_table(docs, no_docs):
     assert set(docs.columns) - {"keep_bitmap"} <= set(found.columns)
     assert len(found.columns) == len(set(found.columns))
     assert line_dedup.keep_bitmaps(no_docs).count() == 0
+
+
+def test_many_lines_with_a_dropped_one_in_each_word(spark):
+    """Putting a text together takes time linear in its lines."""
+    shared = [f"this is the shared line number {i} of a very long list" for i in range(2000)]
+    own = [line for i in range(2000) for line in (*(f"own {i} {k}" for k in range(99)), shared[i])]
+    texts = ["\n".join(own), *["\n".join(shared)] * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = line_dedup.keep_bitmaps(docs).withColumn("text", line_dedup.kept_text(F.col("text"), F.col("keep_bitmap")))
+    first = kept.where("doc_id = 0").first()
+    assert first.n_lines == 200_000 and first.n_dropped == 2000
+    assert first.text == "\n".join(line for line in own if line.startswith("own"))
+
+
+def test_bitmaps_with_gaps(spark):
+    text = "\n".join(map(str, range(400)))
+    gone = {3: [70, 71], 5: [350]}
+    words = {1: (1 << 6) | (1 << 7), 5: 1 << 30}
+    rows = [(text, [(w, ~bits) for w, bits in words.items()]), (text, []), (None, []), ("a", [(0, ~1)])]
+    df = spark.createDataFrame(rows, "t string, b array<struct<word:int,bits:bigint>>")
+    got = [r[0] for r in df.select(line_dedup.kept_text(F.col("t"), F.col("b"))).collect()]
+    left = {x for some in gone.values() for x in some}
+    assert got == ["\n".join(str(i) for i in range(400) if i not in left), text, None, ""]
