@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import clear, small_batches
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>",
-    re.S,
-)
+_OPENING = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"[^\s/>]*")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SLASH = re.compile(r"(?:^|[\s\"'])/$")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -68,6 +67,10 @@ PERHAPS = set(
 SURELY, MAYBE = 0.02, 0.3
 #: An article under such a name has so many characters outside links at least, times what is left.
 LEAST_CHARS = 40
+#: What a form has in paragraphs at least if it holds a page.
+FORM_CHARS = 200
+#: Further articles beside the chosen one have this share of its text outside links at least.
+FURTHER = 0.2
 #: A block of these with at least so many links that hold four fifths of its text is a list of links.
 LISTS, LINKS = set("ul ol dl div section table".split()), 3
 
@@ -84,6 +87,62 @@ class Node:
         return [x for x in self.items if isinstance(x, Node)]
 
 
+class _Tags:
+    """The tags of a page from left to right, in time linear in its length however broken they are."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        # quotes from which a tag would run to the end of the page
+        self.dead: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """Where the tag with attributes from ``at`` on ends: at the first ``>`` outside quotes, or else at the first."""
+        seen, place = [], at
+        while m := _MARK.search(self.page, place):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            place = self.page.find(m[0], m.end()) + 1
+            if not place:
+                break
+        self.dead.update(seen)
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str | None, str, bool] | None:
+        """(begin, end, name, attributes, whether it is an end tag) of the next tag; a name of None is no element."""
+        page, n = self.page, len(self.page)
+        while m := _OPENING.search(page, at):
+            begin, what = m.start(), m[0]
+            if what == "<!--":
+                if page.startswith((">", "->"), m.end()):
+                    return begin, page.index(">", m.end()) + 1, None, "", False
+                end = _COMMENT_END.search(page, m.end())
+                return begin, end.end() if end else n, None, "", False
+            if what == "<![CDATA[":
+                end = page.find("]]>", m.end())
+                return begin, end + 3 if end >= 0 else n, None, "", False
+            if m.end() > self.last:
+                # no tag can end any more; a comment may still begin
+                at = m.end()
+                continue
+            if what[1] in "!?":
+                return begin, page.index(">", begin) + 1, None, "", False
+            name = _NAME.match(page, m.end() - 1)
+            end = self._end(name.end())
+            if end >= 0:
+                return begin, end + 1, name[0], page[name.end() : end], what[1] == "/"
+            at = m.end()
+        return None
+
+    def raw_end(self, name: str, at: int) -> tuple[int, int]:
+        """Where the end tag of an element of raw text begins and ends; the end of the page if there is none."""
+        m = re.compile(f"</{name}(?=[\\s/>])", re.I).search(self.page, at)
+        end = self.page.find(">", m.end()) if m else -1
+        return (m.start(), end + 1) if end >= 0 else (len(self.page), len(self.page))
+
+
 def parse(page: str) -> Node:
     """The tree of a page; tags that are missing or crossed are mended as browsers do in the common cases."""
     root = Node("html", "", None)
@@ -98,37 +157,38 @@ def parse(page: str) -> Node:
             inner = inner.parent
         return node
 
+    tags = _Tags(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             top.items.append(page[at:])
             break
-        if m.start() > at:
-            top.items.append(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
+        begin, end, name, attrs, closes = tag
+        if begin > at:
+            top.items.append(page[at:begin])
+        at = end
         if name is None:
             continue
         name = name.lower()
-        if m["end"]:
+        if closes:
             top = back_to(_close(top, name)) if opened[name] else top
             continue
         if name in ("html", "body"):
             if name == "body":
                 top = back_to(root)
-            root.attrs = root.attrs or m["attrs"]
+            root.attrs = root.attrs or attrs
             continue
         if name in BLOCK and opened["p"]:
             top = back_to(_close_open(top, {"p"}, P_ENDS))
         if name in CLOSES and any(opened[tag] for tag in CLOSES[name]):
             top = back_to(_close_open(top, CLOSES[name], LIST_ENDS[name]))
-        node = Node(name, m["attrs"], top)
+        node = Node(name, attrs, top)
         top.items.append(node)
         if name in RAW:
-            end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            node.items.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif name not in VOID and (name in BLOCK or not _SLASH.search(m["attrs"])):
+            inner, after = tags.raw_end(name, at)
+            node.items.append(page[at:inner])
+            at = after
+        elif name not in VOID and (name in BLOCK or not _SLASH.search(attrs)):
             top = node  # a slash doesn't close a block, nor as the end of an attribute's value
             opened[name] += 1
     return root
@@ -188,17 +248,25 @@ def _walk(node: Node) -> Iterator[Node]:
 
 
 def _holders(root: Node) -> set[Node]:
-    """The elements that have an article below them."""
-    found = set()
-    for node in reversed(list(_walk(root))):
+    """The elements that have an article below them: one by its tag, or, for a form, the page's paragraphs.
+
+    Some servers put the whole page into one form. One that has half of all text in paragraphs outside
+    furniture is such a page, if that is as much as an article's.
+    """
+    nodes, found, told = list(_walk(root)), set(), Counter()
+    for node in reversed(nodes):
         if node.parent is not None and (node.tag in ("article", "main") or node in found):
             found.add(node.parent)
-    return found
+        if node.tag == "p":
+            told[node] += sum(len("".join(x.split())) for x in node.items if not isinstance(x, Node))
+        if node.parent is not None and (node.tag == "form" or node.tag not in FURNITURE):
+            told[node.parent] += told[node]
+    return found | {x for x in nodes if x.tag == "form" and told[x] >= FORM_CHARS and 2 * told[x] >= told[root]}
 
 
 def _evidence(node: Node, in_article: bool, holders: set[Node]) -> float:
     """What an element's tag and names leave of the densities below it; 0 for what isn't shown or never an article."""
-    if node.tag in FURNITURE:
+    if node.tag in FURNITURE and (node.tag != "form" or node not in holders):
         return 0.0
     if node.tag == "header":
         return 1.0 if in_article or node in holders else 0.0
@@ -292,7 +360,8 @@ def _chosen(root: Node) -> list[Node]:
         return [root]
     marked = [node for node in nodes if node in path and node.tag in ("article", "main")]
     if marked:
-        chosen = [next((node for node in marked if node.tag == "article"), marked[0])]
+        first = next((node for node in marked if node.tag == "article"), marked[0])
+        chosen = [node for node in first.parent.children if node is first or _further(node, first, threshold)]
     else:
         chosen, stack = [], [root]
         while stack:
@@ -308,6 +377,12 @@ def _chosen(root: Node) -> list[Node]:
     return chosen
 
 
+def _further(node: Node, first: Node, threshold: float) -> bool:
+    """Whether an element beside the chosen article is another one: dense enough, of some length and no list of links."""
+    own, other = node.chars - node.link_chars, first.chars - first.link_chars
+    return node.tag == first.tag == "article" and node.named == 1.0 and node.density >= threshold > 0.0 and own > node.link_chars and own >= FURTHER * other
+
+
 def _leave_out(top: Node, path: set[Node], threshold: float) -> None:
     """Take out of an element the named parts under the threshold and the lists of links."""
     stack = [top]

@@ -1,6 +1,7 @@
 import html
 import math
 import random
+import time
 
 import pytest
 
@@ -138,3 +139,48 @@ def test_densities_against_their_definition():
 def test_a_page_of_fifty_thousand_levels():
     page = f"<body>{CLUTTER['script']}{CLUTTER['menu']}{'<div>' * 50_000}<article>{ARTICLE}</article>{'</div>' * 50_000}{CLUTTER['footer']}"
     assert H.main_text(page) == WANT
+
+
+BROKEN = ['<div class="', "<a ", '<a "<b>"', "<!x", "</script ", "<div '\"", '<p>x<a "> ', "<a b='<", "<!--", "<![CDATA[", "<script>", "'\"<a>"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+@pytest.mark.parametrize("head,tail", [("", ""), ("<script>", ">"), ("<p>text", ">")])
+def test_time_is_linear_on_broken_pages(part, head, tail):
+    began = time.process_time()
+    H.main_text(head + part * (1_000_000 // len(part)) + tail)
+    assert time.process_time() - began < 20
+
+
+def test_five_megabytes_of_open_tags():
+    began = time.process_time()
+    H.main_text('<div class="' * 420_000)
+    assert time.process_time() - began < 5
+
+
+SAID = "<p>" + "Some words of an article that goes on for a while, and then for some more. " * 5 + "</p>"
+
+
+def test_a_page_inside_one_form_keeps_its_text():
+    page = f"<body><form method=post><input type=hidden><ul><li><a href=/>Home</a></ul><div><h1>Title</h1>{SAID * 4}</div></form></body>"
+    assert H.main_text(page).count("Some words") == 20 and "Home" not in H.main_text(page)
+    page = f"<body><form><nav>menu</nav><article><h1>Title</h1>{SAID * 4}</article></form></body>"
+    assert H.main_text(page).startswith("Title") and H.main_text(page).count("Some words") == 20
+
+
+def test_a_form_in_a_page_is_left_out():
+    page = f"<body><article><h1>T</h1>{SAID * 4}</article><form><p>{'Your mail here. ' * 20}</p><input></form></body>"
+    assert "mail" not in H.main_text(page)
+
+
+@pytest.mark.parametrize("around", ["main", "div"])
+def test_further_articles_are_kept(around):
+    page = f"<body><nav>menu</nav><{around}><article><h2>One</h2>{SAID * 4}</article><article><h2>Two</h2>{SAID * 3}</article></{around}><footer>f</footer></body>"
+    text = H.main_text(page)
+    assert text.count("Some words") == 35 and "One" in text and "Two" in text and "menu" not in text
+
+
+def test_teasers_beside_an_article_are_left_out():
+    teaser = "<article class=related><a href=/x>Read this other story of ours, it is good</a></article>"
+    page = f"<body><main><article><h2>One</h2>{SAID * 4}</article>{teaser * 3}</main></body>"
+    assert "other story" not in H.main_text(page)
