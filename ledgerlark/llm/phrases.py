@@ -32,9 +32,9 @@ BLANKS = b" \t"
 _KIND = np.zeros(256, np.int8)
 _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
 #: Words of a stored array, about; it ends where a piece of text does.
-ARRAY_WORDS = 1 << 15
+ARRAY_WORDS = 1 << 13
 #: Rows of a task's counts that are added up at once, characters that are cut and words that are scanned at once.
-ROWS, CUT_CHARS, SCAN_WORDS = 1 << 19, 1 << 20, 1 << 18
+ROWS, CUT_CHARS, SCAN_WORDS = 1 << 18, 1 << 19, 1 << 17
 #: Logarithms of the least and the largest number of bits.
 BITS = (16, 29)
 W = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -81,40 +81,49 @@ def _added(tables: list[pa.Table], keys: list[str], how: list[tuple[str, str]],
     return whole.rename_columns([*keys, *(c for c, _ in how)]).select(schema.names).cast(schema)
 
 
+SUMS = [("word", "min"), ("high", "max"), ("n", "sum")]
+ROW = pa.schema([("shard", pa.int32()), *WORDS, ("tokens", pa.list_(pa.int64()))])
+
+
+def _rows(shard: int, size: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    own = {"shard": pa.array(np.full(size, shard, np.int32))} | columns
+    return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(size, f.type)) for f in ROW], schema=ROW)
+
+
+def cut_batches(batches: Iterator[pa.RecordBatch], shard: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``STORED`` from batches of lang and text."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back that a pool of its own would keep
+    held, size = [], 0
+    for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang in dict.fromkeys(langs):
+            own = [t for x, t in zip(langs, texts, strict=True) if x == lang and t]
+            for i, j in pieces_of(own, CUT_CHARS):
+                tokens, words = cut_words(own[i:j], _mixed(seed, lang))
+                words = words.append_column("high", words["word"]).append_column("lang", pa.array([lang] * len(words), pa.string()))
+                held.append(words.select(WORDS.names).cast(WORDS))
+                size += len(words)
+                for part in _arrays(tokens):
+                    yield _rows(shard, 1, {"tokens": pa.array([part.view(np.int64)], pa.list_(pa.int64()))})
+        if size >= ROWS:
+            held = [_added(held, ["lang", "h"], SUMS, WORDS)]
+            if (size := len(held[0])) >= ROWS // 2:
+                for b in held.pop().to_batches(1 << 16):
+                    yield _rows(shard, b.num_rows, dict(zip(WORDS.names, b.columns, strict=True)))
+                size = 0
+    if held:
+        for b in _added(held, ["lang", "h"], SUMS, WORDS).to_batches(1 << 16):
+            yield _rows(shard, b.num_rows, dict(zip(WORDS.names, b.columns, strict=True)))
+
+
 def store_words(docs: DataFrame, folder: str, shards: int, seed: int) -> DataFrame:
     """The words of ``docs`` (lang, text) written to ``folder`` by shard: arrays of hashes, and each task's words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        shard = (context.partitionId() if context else 0) % shards
-        schema = pa.schema([("shard", pa.int32()), *WORDS, ("tokens", pa.list_(pa.int64()))])
-
-        def rows(size: int, **columns) -> pa.RecordBatch:
-            own = {"shard": pa.array([shard] * size, pa.int32())} | columns
-            return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
+        yield from cut_batches(batches, TaskContext.get().partitionId() % shards, seed)
 
-        held: list[pa.Table] = []
-        sums = [("word", "min"), ("high", "max"), ("n", "sum")]
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in dict.fromkeys(langs):
-                own = [t for x, t in zip(langs, texts, strict=True) if x == lang and t]
-                for i, j in pieces_of(own, CUT_CHARS):
-                    tokens, words = cut_words(own[i:j], _mixed(seed, lang))
-                    words = words.append_column("high", words["word"]).append_column("lang", pa.array([lang] * len(words), pa.string()))
-                    held.append(words.select(WORDS.names).cast(WORDS))
-                    for part in _arrays(tokens):
-                        yield rows(1, tokens=pa.array([part.view(np.int64)], pa.list_(pa.int64())))
-            if sum(t.num_rows for t in held) >= ROWS:
-                held = [_added(held, ["lang", "h"], sums, WORDS)]
-                if held[0].num_rows >= ROWS // 2:
-                    for b in held.pop().to_batches(1 << 16):
-                        yield rows(b.num_rows, **dict(zip(WORDS.names, b.columns, strict=True)))
-        if held:
-            for b in _added(held, ["lang", "h"], sums, WORDS).to_batches(1 << 16):
-                yield rows(b.num_rows, **dict(zip(WORDS.names, b.columns, strict=True)))
-
-    docs.mapInArrow(run, STORED).write.partitionBy("shard").parquet(folder)
+    # a file holds one shard, so that the statistics in it tell readers of others to skip it
+    docs.mapInArrow(run, STORED).write.parquet(folder)
     return docs.sparkSession.read.schema(STORED).parquet(folder)
 
 
@@ -154,26 +163,34 @@ def _parts(arrays: pa.ListArray) -> Iterator[np.ndarray]:
         at = stop
 
 
+def count_batches(batches: Iterator[pa.RecordBatch], now: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``COUNTS`` from batches of arrays of words."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    held, size = [], 0
+    for tokens in (part for batch in batches for part in _parts(batch.column(0))):
+        for k, places, h in active(tokens, now, before):
+            if len(places):
+                _, first, n = np.unique(h, return_index=True, return_counts=True)
+                at = places[first]
+                words = [tokens[at + i] if i < k else np.zeros(len(at), np.uint64) for i in range(LONGEST)]
+                held.append(pa.table([*(pa.array(x.view(np.int64)) for x in words), pa.array(n)], schema=COUNTS))
+                size += len(at)
+        if size >= ROWS:
+            held = [_added(held, W, [("n", "sum")], COUNTS)]
+            if (size := len(held[0])) >= ROWS // 2:
+                yield from held.pop().to_batches(1 << 16)
+                size = 0
+    if held:
+        yield from _added(held, W, [("n", "sum")], COUNTS).to_batches(1 << 16)
+
+
 def scan(stored: DataFrame, now: np.ndarray, before: np.ndarray) -> DataFrame:
     """How often each active phrase is in ``stored`` (tokens), as w1 to w5 (0 beyond its length) and n."""
     spark = stored.sparkSession
     sent = spark.sparkContext.broadcast((now, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for tokens in (part for batch in batches for part in _parts(batch.column(0))):
-            for k, places, h in active(tokens, *sent.value):
-                if len(places):
-                    _, first, n = np.unique(h, return_index=True, return_counts=True)
-                    at = places[first]
-                    words = [tokens[at + i] if i < k else np.zeros(len(at), np.uint64) for i in range(LONGEST)]
-                    held.append(pa.table([*(pa.array(x.view(np.int64)) for x in words), pa.array(n)], schema=COUNTS))
-            if sum(t.num_rows for t in held) >= ROWS:
-                held = [_added(held, W, [("n", "sum")], COUNTS)]
-                if held[0].num_rows >= ROWS // 2:
-                    yield from held.pop().to_batches(1 << 16)
-        if held:
-            yield from _added(held, W, [("n", "sum")], COUNTS).to_batches(1 << 16)
+        yield from count_batches(batches, *sent.value)
 
     small_batches(spark, 64)
     return stored.where("tokens is not null").select("tokens").mapInArrow(run, ", ".join(f"{w} bigint" for w in W) + ", n bigint")
@@ -215,8 +232,8 @@ def count_phrases(stored: DataFrame, words: DataFrame, n_words: int, folder: str
     while not np.array_equal(now := bitmaps[-1], before := bitmaps[0]):
         found = scan(stored.where(F.col("shard") == step % shards), now, before).withColumn("since", F.lit(step))
         state = found if state is None else state.unionByName(found)
-        # whoever has had a full cycle and not reached the threshold can go
-        sums = state.groupBy(W).agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+        # tasks have added up their own counts before; whoever has had a full cycle and not reached the threshold can go
+        sums = state.repartition(*W).groupBy(W).agg(F.sum("n").alias("n"), F.min("since").alias("since"))
         sums.where((F.col("n") >= least) | (F.col("since") > step - shards + 1)).write.parquet(f"{folder}/{step}")
         state = spark.read.parquet(f"{folder}/{step}")
         # the longest phrases are no part of others
@@ -253,7 +270,8 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: i
     for seed in range(16):
         folder = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
         stored = store_words(docs, f"{folder}/words", shards, seed)
-        each = stored.where("h is not null").groupBy("h").agg(
+        # tasks have added up their own words before, so rows are dealt as they are
+        each = stored.where("h is not null").repartition("h").groupBy("h").agg(
             F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("word").alias("word"), F.max("high").alias("high"), F.sum("n").alias("n")
         )
         each = each.withColumn("clash", (F.col("word") != F.col("high")) | (F.col("lang") != F.col("other")))
