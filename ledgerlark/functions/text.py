@@ -2,7 +2,7 @@
 
 import re
 import unicodedata
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -167,11 +167,17 @@ def replace_all(c: Column, pairs: list[tuple[str, str]], pattern: bool = False)
     return reduce(lambda col, p: step(col, p[0], p[1]), pairs, c)
 
 
+#: Sounds that fill a pause, and a phrase that does unless one of the words after it is governed by it.
+FILLERS, PHRASE = ["uh", "um"], "you know"
+GOVERNED = "how if that what when where who why".split()
+
+
 def without_fillers(c: Column) -> Column:
-    """Spoken fillers removed; "you know" stays before what it governs."""
-    # fixed values: the fillers, and the words that "you know" governs
-    steps = [(r"\b[Uu][mh],?\s*", ""), (r"\byou know,?\s+(?!that|what|how|when|where|why|who|if)", "")]
-    return F.trim(F.regexp_replace(reduce(lambda col, s: F.regexp_replace(col, *s), steps, c), r"\s{2,}", " "))
+    """Spoken fillers removed, each with its comma; "you know" stays before what it governs."""
+    sounds = rf"(?i)\b(?:{'|'.join(FILLERS)})\b,?\s*"
+    phrase = rf"\b{PHRASE},?\s+(?!{'|'.join(GOVERNED)})"
+    plain = F.regexp_replace(F.regexp_replace(c, sounds, ""), phrase, "")
+    return F.trim(F.regexp_replace(plain, r"\s{2,}", " "))
 
 
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
@@ -237,24 +243,77 @@ def join_continuations(c: Column) -> Column:
     return F.regexp_replace(c, r"\n(?!\[\d)", " ")
 
 
-#: Legal phrasing of agenda items and what is left of it, in order (fixed values of the rules).
-AGENDA_RULES = [
-    (r"\s*[-—]\s*Located in a .*$", ""),
-    (r"\s*designated on the Tax Maps.*$", ""),
-    (r"\s*Section \d+\.\d+ Block \d+.*$", ""),
-    (r"^Consider (?:authorizing the Village Manager to |determining that |adopting |scheduling )", ""),
-    (r"Request for (?:an? )?(.+?) variances? from Village Zoning Code.*", "seeking $1 variance"),
-    (r"^(.+?),\s*(?:owner|applicant)s?\s*[-—]+\s*(.+?)\s*(?:[-—].*)?$", "$2 ($1)"),
-    (r"^[\w\s]+,\s*(?:architect|representative)\s*(?:for\s+)?", ""),
-]
+# what law and clerks add to the title of an agenda item (fixed values): what a motion does and through whom, in what
+# relation people stand to it
+MOTIONS = {"adopting": "", "authorizing": "the village manager to ", "determining": "that ", "scheduling": ""}
+PRINCIPALS, AGENTS = ["applicant", "owner"], ["architect", "representative"]
+DASHES = "[-—]"
+
+
+def _then(c: Column, step) -> Column:
+    """``step`` of a column that is bound to a variable, so that an expression with many uses of it stays small."""
+    return F.transform(F.array(c), step)[0]
+
+
+def _until(c: Column, mark: str) -> Column:
+    """The text before the first place of a pattern."""
+    return F.split(c, f"(?i){mark}", 2)[0]
+
+
+def _variance(c: Column) -> Column:
+    """``Request for a X variance from Village Zoning Code ...`` as ``seeking X variance``."""
+    low = F.lower(c)
+    asked, code = F.locate("request for ", low), F.locate(" from village zoning code", low)
+    subject = F.substring(c, asked + 12, code - asked - 12)
+    what = F.regexp_extract(subject, r"(?i)^(?:an? )?(.+) variances?$", 1)
+    told = F.concat(F.substring(c, F.lit(1), asked - 1), F.lit("seeking "), what, F.lit(" variance"))
+    return F.when((asked > 0) & (code > asked) & (what != ""), told).otherwise(c)
+
+
+def _principal_last(c: Column) -> Column:
+    """``Somebody, owner - what - more`` as ``what (Somebody)``."""
+    mark = F.regexp_extract(c, rf"(?i),\s*(?:{'|'.join(PRINCIPALS)})s?\s*{DASHES}+\s*", 0)
+
+    def turned(m: Column) -> Column:
+        who = F.call_function("substring_index", c, m, F.lit(1))
+        what = F.trim(_until(F.substring(c, F.length(who) + F.length(m) + 1, F.length(c)), DASHES))
+        return F.when((m != "") & (what != ""), F.concat(what, F.lit(" ("), who, F.lit(")"))).otherwise(c)
+
+    return _then(mark, turned)
+
+
+def _without_agent(c: Column) -> Column:
+    """``Somebody, architect for what`` as ``what``."""
+    rest = F.ltrim(F.substring(c, F.instr(c, ",") + 1, F.length(c)))
+    alone = F.substring_index(c, ",", 1).rlike(r"^[\w\s]+$") & (F.instr(c, ",") > 0)
+
+    def cut(r: Column) -> Column:
+        found = F.when(F.lit(False), F.lit(0))
+        for role in AGENTS:
+            found = found.when(F.lower(r).startswith(role), F.lit(len(role)))
+        after = F.regexp_replace(F.ltrim(F.substring(r, found + 1, F.length(r))), r"(?i)^for\s+", "")
+        return F.when(alone & found.isNotNull(), after).otherwise(c)
+
+    return _then(rest, cut)
+
+
+def _without_opening(opening: str, c: Column) -> Column:
+    return F.when(F.lower(c).startswith(opening), F.substring(c, len(opening) + 1, 1 << 30)).otherwise(c)
 
 
 def clean_agenda_title(c: Column, limit: int = 120) -> Column:
     """What an agenda item is about, without map references, formulas of motions and who represents whom; longer
     titles end in three dots."""
-    plain = reduce(lambda col, rule: F.regexp_replace(col, f"(?i){rule[0]}", rule[1]), AGENDA_RULES, F.trim(c))
-    cut = F.concat(F.substring(plain, 1, limit - 3), F.lit("..."))
-    return F.trim(F.when(F.length(plain) > limit, cut).otherwise(plain))
+    plain = F.trim(c)
+    for place in (rf"\s*{DASHES}\s*located in a ", r"\s*designated on the tax maps", r"\s*section \d+\.\d+ block \d+"):
+        plain = _until(plain, place)
+    for does, through in MOTIONS.items():
+        opening = f"consider {does} {through}"
+        plain = _then(plain, partial(_without_opening, opening))
+    for step in (_variance, _principal_last, _without_agent):
+        plain = _then(plain, step)
+    cut = lambda t: F.concat(F.substring(t, 1, limit - 3), F.lit("..."))
+    return F.trim(_then(plain, lambda t: F.when(F.length(t) > limit, cut(t)).otherwise(t)))
 
 
 @F.pandas_udf(DoubleType())
@@ -268,8 +327,9 @@ def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-_PAIR = re.compile(r"\b([A-Z][a-z]{2,})\s+([A-Z][a-zA-Z'-]{2,})\b")
-_GOES_ON = re.compile(r"[,:;\s]+[A-Z][a-z]")
+_TOKEN = re.compile(r"[^\W\d_][\w'’-]*|\w+|\n|[^\w\s]")
+#: What a sentence, a list item or a heading begins after, and what may stand between a name and words that go on with it.
+_OPENS, _GOES_ON = set(".!?:-•*#\n"), set(",:;\n")
 
 
 def _base(word: str) -> str:
@@ -278,16 +338,32 @@ def _base(word: str) -> str:
     return (word[:-2] if word.endswith("'s") else word).split("-")[0]
 
 
+def _capital(token: str, first: bool = False) -> bool:
+    """Whether a token is written like a name; a first name has small letters alone after its capital."""
+    if len(token) < 3 or not "A" <= token[0] <= "Z":
+        return False
+    return token[1:].isascii() and (token[1:].isalpha() and token[1:].islower() if first else token[1:].replace("'", "").replace("-", "").isalpha())
+
+
 def people_of(whole: str, not_names: frozenset[str]) -> list[str]:
     """The pairs of capitalised words of a text that stand inside a sentence: not at its begin or that of a list item, not
     before another capitalised word, as in headings, and not with a word that is no name."""
-    found = {}
-    for m in _PAIR.finditer(whole):
-        before = whole[max(0, m.start() - 6) : m.start()]
-        lead = before.rstrip()
-        begins = not lead or lead[-1] in ".!?:-•*#" or "\n" in before[len(lead) :]
-        if not begins and not _GOES_ON.match(whole, m.end()) and not not_names & {_base(m[1]), _base(m[2])}:
-            found[f"{m[1]} {m[2]}"] = None
+    tokens = _TOKEN.findall(whole)
+    words = [i for i, t in enumerate(tokens) if t != "\n"]
+    found, k = {}, 0
+    while k + 1 < len(words):
+        i, j = words[k], words[k + 1]
+        if not (_capital(tokens[i], True) and _capital(tokens[j])):
+            k += 1
+            continue
+        after = j + 1
+        while after < len(tokens) and tokens[after] in _GOES_ON:
+            after += 1
+        heads_on = after < len(tokens) and len(tokens[after]) > 1 and "A" <= tokens[after][0] <= "Z" and "a" <= tokens[after][1] <= "z"
+        begins = i == 0 or tokens[i - 1] in _OPENS
+        if not begins and not heads_on and not not_names & {_base(tokens[i]), _base(tokens[j])}:
+            found[f"{tokens[i]} {tokens[j]}"] = None
+        k += 2
     return list(found)
 
 

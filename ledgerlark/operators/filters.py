@@ -43,14 +43,14 @@ def is_junk_name(column: str) -> Column:
 
 
 # fixed values: what short utterances of a vote say
-VOTES = r"aye|nay|second(ed)?|so moved|opposed?|all in favor|abstain(ed)?|motion carries"
-VOTE_PARTS = "aye|nay|second|so moved|opposed|all in favor|abstain|motion carries"
+VOTES = "abstain, abstained, all in favor, aye, motion carries, nay, oppose, opposed, second, seconded, so moved".split(", ")
+VOTE_PARTS = "abstain, all in favor, aye, motion carries, nay, opposed, second, so moved".split(", ")
 
 
 def spoken(df: DataFrame, column: str, min_chars: int = 30, whole_words: bool = True) -> DataFrame:
     """Utterances with text of some length, and short ones that say a vote: in whole words, or in any part of a word."""
     said = F.trim(column)
-    vote = said.rlike(rf"(?i)\b({VOTES})\b" if whole_words else f"(?i)({VOTE_PARTS})")
+    vote = said.rlike(rf"(?i)\b({'|'.join(VOTES)})\b" if whole_words else f"(?i)({'|'.join(VOTE_PARTS)})")
     return df.where((said != "") & ((F.length(said) >= min_chars) | vote))
 
 

@@ -164,11 +164,12 @@ def verified(entities: DataFrame, name: str, sources: DataFrame, column: str) ->
     return entities.join(seen, name, "left").withColumn("verified", F.coalesce("__v", F.lit(False))).drop("__v")
 
 
-# fixed values: words that may stand inside a proper name, and how one is written
-_INNER = "of|on|the|and|de|la|von|van|du|for|at|in|to"
-_CAPITAL = r"[A-Z][A-Za-z'-]{1,30}"
-PROPER = rf"\b{_CAPITAL}(?:\s+(?:(?:{_INNER})\b|{_CAPITAL})){{0,6}}\b"
-SINGLE = r"\b[A-Z][A-Za-z'-]{3,30}\b"
+#: Small words that hold a proper name together where a capitalised word follows.
+JOINTS = "a and at by de del for from in la le of on the to van von".split()
+_WORD = r"\p{Lu}[\p{L}'-]+"
+#: A run of capitalised words, with at most two small words between neighbours.
+PROPER = rf"\b{_WORD}(?:\s+(?:(?:{'|'.join(JOINTS)})\s+){{0,2}}{_WORD})*"
+SINGLE = r"\b\p{Lu}[\p{L}'-]{3,}"
 
 
 def corrections(df: DataFrame, key: str, column: str, vocabulary: DataFrame, word: str, least: float = 0.87, least_single: float = 0.9) -> DataFrame:

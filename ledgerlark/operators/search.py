@@ -1,82 +1,19 @@
-"""Search: a stored inverted index, keyword ranking, vector similarity, rank fusion and snippets."""
+"""Search: keyword ranking over a stored index, vector similarity, rank fusion and snippets."""
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections import Counter
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import stems, text
-from ledgerlark.operators.materialise import shared_folder
+from ledgerlark.operators.index import Index
 
 K1, B = 1.2, 0.75
 FUSION = 60
 
 
-BUCKETS = 64
-#: Where this application's indexes are, by what they are of.
-_STORED: dict[tuple, str] = {}
-
-
-def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """The inverted index: key, term, tf (number of the term in the document) and dl (terms of the document).
-
-    Terms are folded and stemmed. Each document has a row with null term and tf 0 as well, so that its length is
-    known if it has no terms. A document's terms are counted inside its row; nothing is shuffled.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, words, number, length = [], [], [], []
-            for i, whole in enumerate(batch["__text"].to_pylist()):
-                found = stems.terms(whole)
-                counted = {None: 0, **Counter(found)}
-                place += [i] * len(counted)
-                words += counted.keys()
-                number += counted.values()
-                length += [len(found)] * len(counted)
-            columns = [batch[key].take(pa.array(place, pa.int64())), pa.array(words, pa.string())]
-            columns += [pa.array(number, pa.int32()), pa.array(length, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "term", "tf", "dl"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(column).alias("__text")).mapInArrow(count, f"{key} {kind}, term string, tf int, dl int")
-
-
-def store(docs: DataFrame, key: str, column: str, folder: str) -> None:
-    """Write the inverted index to ``folder``, in folders by hash of the term and sorted by term; the documents'
-    lengths are in the folder of bucket -1."""
-    rows = postings(docs, key, column).withColumn("bucket", bucket(F.col("term")))
-    # a frequent term's rows are written by several tasks
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8)))
-    dealt.sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(folder)
-
-
-def bucket(term: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int"), F.lit(-1))
-
-
-def index_of(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """The stored index of ``docs``: written at its first use in an application, read by its terms after that.
-
-    It goes to the shared checkpoint folder and holds while the table doesn't change.
-    """
-    spark = docs.sparkSession
-    of = (spark.sparkContext.applicationId, docs.select(key, column).semanticHash(), key, column)
-    if of not in _STORED:
-        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        store(docs, key, column, folder)
-        _STORED[of] = folder
-    kind = docs.schema[key].dataType.simpleString()
-    return spark.read.schema(f"{key} {kind}, term string, tf int, dl int, bucket int").parquet(_STORED[of])
-
-
 def query_terms(q: str, limit: int | None = None) -> list[str]:
     """The terms of a query, each once; operators and quotes are cut off like any other mark."""
     terms = list(dict.fromkeys(stems.terms(q)))
@@ -96,17 +33,17 @@ def word_query(c: Column) -> Column:
     return F.when(kept != "", kept)
 
 
-def bm25(index: DataFrame, key: str, q: str, require_all: bool = True) -> DataFrame:
+def bm25(index: Index, q: str, require_all: bool = True) -> DataFrame:
     """key and score of every document of an index that has all (or any) terms of the query; none for an empty query.
 
     score is the published BM25 sum with idf ln(1 + (N - df + 0.5) / (df + 0.5)), over all documents of the
     index. Only the folders of the query's terms and of the lengths are read.
     """
-    terms = query_terms(q)
-    mine = index.where(F.col("bucket").isin([zlib.crc32(t.encode()) % BUCKETS for t in terms]) & F.col("term").isin(terms))
+    terms, key = query_terms(q), index.key
     if not terms:
-        return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    whole = index.where("bucket = -1").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+        return index.lengths().select(key, F.lit(0.0).alias("score")).limit(0)
+    mine = index.of_terms(terms)
+    whole = index.lengths().agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     # one row for each term of the query
     each = mine.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(whole))
     n, df, tf = F.col("n"), F.col("df"), F.col("tf")

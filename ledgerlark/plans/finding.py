@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import stems, text
-from ledgerlark.operators import search
+from ledgerlark.operators import index, search
 
 from .registry import query
 
@@ -25,7 +25,7 @@ def _bm25_sql(words: list[str], require_all: bool = True) -> str:
 
 def _keyword(documents, q, require_all=True):
     """Keyword hits from the stored index of the documents, scores rounded so that ties are ties."""
-    found = search.bm25(search.index_of(documents, "doc_id", "text"), "doc_id", q, require_all)
+    found = search.bm25(index.index_of(documents, "doc_id", "text"), q, require_all)
     return found.withColumn("score", F.round("score", 9))
 
 
@@ -80,8 +80,7 @@ def search_page(documents):
 )
 def term_stats(documents):
     """Document and collection frequency of the index's terms (SNK13, SNK14, STR33)."""
-    index = search.index_of(documents, "doc_id", "text").where("bucket >= 0")
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf")).where("df >= 5")
+    return index.index_of(documents, "doc_id", "text").postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf")).where("df >= 5")
 
 
 @query(

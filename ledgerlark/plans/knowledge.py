@@ -65,7 +65,7 @@ def section_chunks(documents):
     "conversations",
     sql=rf"""WITH RECURSIVE c AS (SELECT conv_id, turn AS g, repeat(text || ' ', 4) AS text FROM conversations), s0 AS (SELECT conv_id, g, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM c WHERE length(text) > 300),
     s AS (SELECT conv_id, g, unnest(s) AS p, generate_subscripts(s, 1) AS i FROM s0), {_pack_sql('a', 's', 300, "' '", 'conv_id')},
-    u AS (SELECT conv_id, g, k, c FROM a UNION ALL SELECT conv_id, g, 0, text FROM c WHERE length(text) <= 300),
+    u AS (SELECT conv_id, g, k, c FROM a WHERE c <> '' UNION ALL SELECT conv_id, g, 0, text FROM c WHERE length(text) <= 300),
     b AS (SELECT *, coalesce(sum(length(c)) OVER (PARTITION BY conv_id, g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
     SELECT conv_id, b.g AS turn, k AS piece, b.g + before / length(text) AS start, least(b.g + 1.0, b.g + (before + length(b.c)) / length(text)) AS "end", b.c AS text FROM b JOIN c USING (conv_id, g)""".replace("\\\\", "\\"),
 )
@@ -247,7 +247,7 @@ def incomplete_packets(orders, lineitem):
     return refs.join(stored, "o_orderkey", "left").where(F.col("refs") > F.coalesce("n", F.lit(0)) + 1).select("o_orderkey", "n", "refs")
 
 
-_CLAIM = "CASE k % 4 WHEN 0 THEN total WHEN 1 THEN round(least_ * 1.005)::BIGINT WHEN 2 THEN 2 * least_ + 7777 ELSE total + 50000 END"
+_CLAIM = "CASE k % 4 WHEN 0 THEN total WHEN 1 THEN (least_ * 201 + 100) // 200 WHEN 2 THEN 2 * least_ + 7777 ELSE total + 50000 END"
 
 
 @query(
@@ -264,7 +264,7 @@ def figures_backed(lineitem):
     cents = lineitem.select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c"))
     dollars = lambda c: F.concat(F.lit("$"), F.format_number(c / 100.0, 2))
     k, total, least = F.col("l_orderkey"), F.sum_distinct("c"), F.min("c")
-    claim = F.when(k % 4 == 0, total).when(k % 4 == 1, F.round(least * 1.005)).when(k % 4 == 2, 2 * least + 7777).otherwise(total + 50000)
+    claim = F.when(k % 4 == 0, total).when(k % 4 == 1, F.call_function("div", least * 201 + 100, F.lit(200))).when(k % 4 == 2, 2 * least + 7777).otherwise(total + 50000)
     said = F.array_join(F.collect_list(F.concat(F.lit("we paid "), dollars(F.col("c")))), ", ")
     texts = cents.groupBy("l_orderkey").agg(said.alias("source"), F.concat(F.lit("It cost "), dollars(claim)).alias("article"))
     read = texts.select("l_orderkey", gates.money_in(F.col("article")).alias("claims"), gates.money_in(F.col("source")).alias("sources"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import dates, nested, stems, text
-from ledgerlark.operators import chunking, dml, gates, joins, search, windows
+from ledgerlark.operators import chunking, dml, gates, index, joins, search, windows
 from ledgerlark.sources import files, web
 from ledgerlark.streaming import incremental
 
@@ -38,6 +38,15 @@ def one(spark, column, **values):
         (text.word_count, "  a b\n c ", 3),
         (text.word_count, "", 0),
         (text.strip_markdown, "# H\n**b** [l](u)", "H\nb l"),
+        (text.without_fillers, "Um, umbrella uh it; you know what, you know it", "umbrella it; you know what, it"),
+        (text.clean_agenda_title, "Consider scheduling a hearing", "a hearing"),
+        (text.clean_agenda_title, "Consider approving a hearing", "Consider approving a hearing"),
+        (text.clean_agenda_title, "Request for an area variance from Village Zoning Code 1.2", "seeking area variance"),
+        (text.clean_agenda_title, "12: Request for use variances from Village Zoning Code", "12: seeking use variance"),
+        (text.clean_agenda_title, "Ann Bo, architect for Hill House", "Hill House"),
+        (text.clean_agenda_title, "Hill-House, applicant — shed — rear", "shed (Hill-House)"),
+        (text.clean_agenda_title, "A wall designated on the Tax Maps as 1", "A wall"),
+        (text.clean_agenda_title, None, None),
         (text.without_fillers, "um, so you know that uh it is, you know, fine", "so you know that it is, fine"),
         (text.strip_tags, "<p>a&amp;b</p><p>c</p>", "a&b c"),
         (text.clean_manuscript, "hand-\nwritten [marg: note] [illegible] [?word]", "handwritten note … word"),
@@ -252,13 +261,13 @@ def test_upserts(spark):
 
 def test_search_edges(spark):
     df = spark.createDataFrame([(1, "The cat, the dog"), (2, None), (3, "cat")], "k int, t string")
-    index = search.index_of(df, "k", "t")
-    assert search.bm25(index, "k", ' ()"* ').count() == 0
-    assert [r.k for r in search.top(search.bm25(index, "k", "cats"), "k", 5).collect()] == [3, 1]
-    got = {(r.term, r.tf, r.dl) for r in search.postings(df, "k", "t").collect() if r.k == 1}
+    stored = index.index_of(df, "k", "t")
+    assert search.bm25(stored, ' ()"* ').count() == 0
+    assert [r.k for r in search.top(search.bm25(stored, "cats"), "k", 5).collect()] == [3, 1]
+    got = {(r.term, r.tf, r.dl) for r in index.postings(df, "k", "t").collect() if r.k == 1}
     assert got == {("the", 2, 4), ("cat", 1, 4), ("dog", 1, 4), (None, 0, 4)}
     none = spark.createDataFrame([], df.schema)
-    assert search.bm25(search.index_of(none, "k", "t"), "k", "cat").count() == 0
+    assert search.bm25(index.index_of(none, "k", "t"), "cat").count() == 0
     q = spark.createDataFrame([([2.0, 0.0],)], "v array<float>")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "k int, v array<float>")
     assert [r.k for r in search.top(search.vector_hits(v, "k", "v", q), "k", 5).collect()] == [1, 3]
@@ -342,7 +351,7 @@ def test_stems():
 
 def test_a_search_finds_other_forms_of_a_word(spark):
     df = spark.createDataFrame([(1, "The meetings were held"), (2, "a réunion"), (3, "meet me")], "k int, t string")
-    index = search.index_of(df, "k", "t")
-    found = lambda q, every=True: sorted(r.k for r in search.bm25(index, "k", q, every).collect())
+    stored = index.index_of(df, "k", "t")
+    found = lambda q, every=True: sorted(r.k for r in search.bm25(stored, q, every).collect())
     assert found("meeting") == [1, 3] and found("REUNIONS") == [2] and found("meeting held") == [1]
     assert found("held reunion", False) == [1, 2]
