@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import dates, nested, text
-from ledgerlark.sources import files, web
+from ledgerlark.sources import dom, files, web
 from ledgerlark.streaming import incremental
 
 from .registry import query
@@ -67,6 +67,34 @@ def link_listing(pages):
     return web.scraped(rows, "pages", "listing", "label", "href", "label").select("id", "title", "url", "summary")
 
 
+#: News rows of several systems; of this kind of page the menu's entries are what is left to fall back on.
+NEWS = dom.Listing(
+    rows=(".view-content .views-row, .news-item, article.node", "main li", "nav > ul li"),
+    title=("h2 a, h3 a, .title a", "a"),
+    date=("time, [class*=date]",),
+    summary=(".summary, p",),
+)
+
+
+@query(
+    "pages",
+    sql=r"""WITH i AS (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<li>.*?</li>')[1:30] AS i FROM pages),
+    r AS (SELECT page_id, url, unnest(i) AS li, unnest(range(0, len(i)))::INT AS place FROM i),
+    t AS (SELECT page_id, place, replace(replace(regexp_replace(li, '<[^>]+>', '', 'g'), '&quot;', '"'), '&amp;', '&') AS title, regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_extract(li, 'href="([^"]*)"', 1) AS url FROM r)
+    SELECT page_id, place_ AS place, title, url, NULL::VARCHAR AS date, '' AS summary FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place)::INT - 1 AS place_ FROM t WHERE length(title) >= 5)""",
+)
+def selected_rows(pages):
+    """The rows of each page's listing by the first list of selectors that finds any (SRC9)."""
+    return dom.listed(pages, "page_id", "url", "html", NEWS)
+
+
+@query("pages", sql=r"""SELECT page_id, 0 AS place, trim(regexp_replace(replace(replace(regexp_extract(html, '<article>.*?<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""".replace("\\\\", "\\"))
+def selected_headlines(pages):
+    """The headline of each page's article, found by its place in the page (SRC9)."""
+    found = dom.listed(pages, "page_id", "url", "html", dom.Listing(("article.node", "body > article"), ("h2 a", "h1")))
+    return found.select("page_id", "place", "title")
+
+
 @query(
     "pages",
     sql=r"""WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1)) AS li FROM pages), t AS (SELECT page_id, trim(regexp_replace(regexp_replace(li, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM i)
