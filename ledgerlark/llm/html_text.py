@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.sources.tags import Tags
+
 from .common import clear, small_batches
 
-_OPENING = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
-_COMMENT_END = re.compile(r"--!?>")
-_NAME = re.compile(r"[^\s/>]*")
-_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SLASH = re.compile(r"(?:^|[\s\"'])/$")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -87,62 +85,6 @@ class Node:
         return [x for x in self.items if isinstance(x, Node)]
 
 
-class _Tags:
-    """The tags of a page from left to right, in time linear in its length however broken they are."""
-
-    def __init__(self, page: str):
-        self.page, self.last = page, page.rfind(">")
-        # quotes from which a tag would run to the end of the page
-        self.dead: set[int] = set()
-
-    def _end(self, at: int) -> int:
-        """Where the tag with attributes from ``at`` on ends: at the first ``>`` outside quotes, or else at the first."""
-        seen, place = [], at
-        while m := _MARK.search(self.page, place):
-            if m[0] == ">":
-                return m.start()
-            if m.start() in self.dead:
-                break
-            seen.append(m.start())
-            place = self.page.find(m[0], m.end()) + 1
-            if not place:
-                break
-        self.dead.update(seen)
-        return self.page.find(">", at)
-
-    def next(self, at: int) -> tuple[int, int, str | None, str, bool] | None:
-        """(begin, end, name, attributes, whether it is an end tag) of the next tag; a name of None is no element."""
-        page, n = self.page, len(self.page)
-        while m := _OPENING.search(page, at):
-            begin, what = m.start(), m[0]
-            if what == "<!--":
-                if page.startswith((">", "->"), m.end()):
-                    return begin, page.index(">", m.end()) + 1, None, "", False
-                end = _COMMENT_END.search(page, m.end())
-                return begin, end.end() if end else n, None, "", False
-            if what == "<![CDATA[":
-                end = page.find("]]>", m.end())
-                return begin, end + 3 if end >= 0 else n, None, "", False
-            if m.end() > self.last:
-                # no tag can end any more; a comment may still begin
-                at = m.end()
-                continue
-            if what[1] in "!?":
-                return begin, page.index(">", begin) + 1, None, "", False
-            name = _NAME.match(page, m.end() - 1)
-            end = self._end(name.end())
-            if end >= 0:
-                return begin, end + 1, name[0], page[name.end() : end], what[1] == "/"
-            at = m.end()
-        return None
-
-    def raw_end(self, name: str, at: int) -> tuple[int, int]:
-        """Where the end tag of an element of raw text begins and ends; the end of the page if there is none."""
-        m = re.compile(f"</{name}(?=[\\s/>])", re.I).search(self.page, at)
-        end = self.page.find(">", m.end()) if m else -1
-        return (m.start(), end + 1) if end >= 0 else (len(self.page), len(self.page))
-
-
 def parse(page: str) -> Node:
     """The tree of a page; tags that are missing or crossed are mended as browsers do in the common cases."""
     root = Node("html", "", None)
@@ -157,7 +99,7 @@ def parse(page: str) -> Node:
             inner = inner.parent
         return node
 
-    tags = _Tags(page)
+    tags = Tags(page)
     while at < n:
         tag = tags.next(at)
         if tag is None:
