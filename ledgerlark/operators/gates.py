@@ -9,30 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ledgerlark.functions import text
+from ledgerlark.operators.dictionary import held
 from ledgerlark.operators.materialise import written
 
-#: A list of at most this many hashes is broadcast.
-FEW = 1 << 20
-
 
 def verbatim(quotes: DataFrame, texts: DataFrame, quote_key: str, quote: str, text_key: str, column: str, least: int = 6) -> DataFrame:
     """quote_key, text_key for every quote of at least ``least`` words that a text holds after both are loosened.
 
-    A quote is looked up by its longest word, which few texts have: texts send their distinct words as far as they are asked for,
-    and a text is compared with the quotes whose word it has. The asked words are broadcast if they are few, and joined
-    by a shuffle otherwise.
+    Quotes are a dictionary, of which one pass over the texts finds all.
     """
-    flat = lambda c: text.loose(F.coalesce(F.col(c), F.lit("")))
-    asked = quotes.select(quote_key, flat(quote).alias("__q")).withColumn("__ws", F.split("__q", " ")).where(F.size("__ws") >= least)
-    longest = F.array_max(F.transform("__ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = written(asked.select(quote_key, "__q", longest.alias("__w")))
-    heads = asked.select("__w").distinct()
-    few = heads.limit(FEW + 1).count() <= FEW
-    held = texts.select(text_key, F.explode(F.array_distinct(F.split(flat(column), " "))).alias("__w"))
-    maybe = held.join(F.broadcast(heads) if few else heads, "__w", "left_semi").join(asked, "__w").select(quote_key, "__q", text_key)
-    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    found = texts.join(maybe, text_key).where(F.contains(spaced(flat(column)), spaced(F.col("__q"))))
-    return found.select(quote_key, text_key).distinct()
+    spaced = lambda c: F.concat(F.lit(" "), text.loose(F.coalesce(F.col(c), F.lit(""))), F.lit(" "))
+    asked = quotes.select(quote_key, spaced(quote).alias("__q")).where(F.size(F.split("__q", " ")) >= least + 2)
+    asked = written(asked)
+    found = held(texts.select(text_key, F.col(column).alias("__c")), spaced("__c"), asked, "__q").select(text_key, "__entry").distinct()
+    return found.join(asked, F.col("__entry") == F.col("__q")).select(quote_key, text_key).distinct()
 
 
 def quotes_in(df: DataFrame, key: str, column: str) -> DataFrame:

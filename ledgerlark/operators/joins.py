@@ -120,22 +120,6 @@ def co_occurring(bridge: DataFrame, group: str, member: str) -> DataFrame:
     return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def mentions(docs: DataFrame, names: DataFrame, key: str, column: str, name: str) -> DataFrame:
-    """key and name for every document that has a name as whole words, whatever the case.
-
-    Documents are joined with names on the name's first word, so that only documents that have it are looked
-    at; whether the rest follows is then checked on the text.
-    """
-    flat = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    texts = docs.select(key, flat(F.col(column)).alias("__text"))
-    words = texts.select(key, F.explode(F.array_distinct(F.split(F.trim("__text"), " "))).alias("__first"))
-    wanted = names.select(name, flat(F.col(name)).alias("__name")).distinct()
-    wanted = wanted.where("__name <> '  '").withColumn("__first", F.split(F.trim("__name"), " ")[0])
-    # words travel without their text; texts are joined once, to what is left
-    maybe = words.join(wanted, "__first").select(key, name, "__name")
-    return texts.join(maybe, key).where(F.contains("__text", F.col("__name"))).select(key, name).distinct()
-
-
 def fallback_lookup(keys: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """``value`` from the first store, else from the second: key, value, store."""
     a = first.select(key, F.col(value).alias("__a"))

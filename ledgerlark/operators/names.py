@@ -157,7 +157,7 @@ def key_terms(curated: list[str], docs: DataFrame, key: str, date: str, column:
 
 def verified(entities: DataFrame, name: str, sources: DataFrame, column: str) -> DataFrame:
     """``entities`` with verified: whether an authoritative text has the name as whole words."""
-    from ledgerlark.operators.joins import mentions
+    from ledgerlark.operators.dictionary import mentions
 
     texts = sources.select(F.xxhash64(column).alias("__k"), F.col(column).alias("__t")).dropDuplicates(["__k"])
     seen = mentions(texts, entities, "__k", "__t", name).select(name).distinct().withColumn("__v", F.lit(True))

@@ -1,9 +1,11 @@
 """Queries on chunks, entities, topics and quality gates."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
-from ledgerlark.operators import chunking, gates, graph, names
+from ledgerlark.operators import chunking, dictionary, gates, graph, names
 
 from .registry import query
 
@@ -163,6 +165,22 @@ def assigned_roles(part):
     return names.select(F.col("p_name").alias("name"), graph.role_of(F.col("p_name"), curated).alias("role"))
 
 
+#: Corrections in order; later ones meet what earlier ones leave.
+PASSES = [("the ", "teh "), ("teh the", "the"), ("and", "&"), ("& ", "and "), ("ing of", "ed of"), ("icense", "ICENSE"), ("LICENSE", "licence"), (" idiot", " person"), ("\n\n", "\n"), ("ed of teh", "of the")]
+
+
+def _passes_sql() -> str:
+    """Nested replacements of a text in DuckDB."""
+    return reduce(lambda sql, p: "replace({}, {}, {})".format(sql, *("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in p)), PASSES, "text")
+
+
+@query("documents", sql=f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_passes_sql()} AS t FROM documents)")
+def dictionary_passes(documents):
+    """Texts after a dictionary of corrections, in order (STR15, STR26)."""
+    fixed = documents.select("doc_id", dictionary.replaced(F.col("text"), PASSES).alias("t"))
+    return fixed.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
+
+
 @query(
     "documents",
     sql="""WITH t AS (SELECT 'licences' AS topic, doc_id FROM documents WHERE text ILIKE '%license%' OR text ILIKE '%copyright%'

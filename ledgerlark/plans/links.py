@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import joins, windows
+from ledgerlark.operators import dictionary, joins, windows
 
 from .registry import query
 
@@ -167,7 +167,21 @@ def entity_mentions(documents, part):
     """Documents that have a name as whole words (JN14, GRA3)."""
     names = part.select(F.split("p_name", " ")[0].alias("name")).distinct()
     more = part.sparkSession.createDataFrame([("the re",), ("licensed under",), ("idiot",)], "name string")
-    return joins.mentions(documents, names.union(more), "doc_id", "text", "name")
+    return dictionary.mentions(documents, names.union(more), "doc_id", "text", "name")
+
+
+@query(
+    "documents",
+    sql=r"""WITH n AS (SELECT DISTINCT 'chair ' || source AS name FROM documents UNION SELECT unnest(['License', 'licensed under', 'idiot', 'and the', 'Chair SRC1'])),
+    d AS (SELECT doc_id, lower('Chair ' || source) AS s, lower(text) AS t FROM documents)
+    SELECT doc_id, name, CASE WHEN contains(s, lower(name)) THEN 'spoke' ELSE 'mentioned' END AS relation FROM d JOIN n ON contains(s, lower(name)) OR contains(t, lower(name)) WHERE length(name) >= 6""",
+)
+def speakers_and_mentions(documents):
+    """Who a document is by, or else whom it mentions, by names of six characters or more (JN14, GRA3)."""
+    told = documents.select("doc_id", F.concat(F.lit("Chair "), "source").alias("speaker"), "text", F.concat(F.lit("chair "), "source").alias("name"))
+    more = [(n,) for n in ("License", "licensed under", "idiot", "and the", "Chair SRC1")]
+    names = told.select("name").distinct().union(documents.sparkSession.createDataFrame(more, "name string"))
+    return dictionary.linked(told, names, "doc_id", "speaker", "text", "name")
 
 
 @query(
