@@ -175,21 +175,30 @@ def _shingled(texts: DataFrame, shingle: int, schema: str, rows: Callable[..., l
 
 
 def _common_shingles(texts: DataFrame, shingle: int, most: int, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` of the commonest shingles (sorted) and their counts, in one text of ``every``.
+    """About ``most`` of the commonest shingles (sorted) and their counts, in one text of ``every``.
 
-    A text of several tasks counts as often. They only order shingles and split buckets: with any others the same
+    Of shingles as common as the last ones those with low hashes are taken. A text of several tasks counts as often. They only order shingles and split buckets: with any others the same
     pairs are found.
     """
     some = texts.where(F.pmod("text_hash", F.lit(every)) == 0)
     rows = _shingled(some, shingle, "key bigint", lambda _ids, shingles, _text, _size: [shingles.view(np.int64)])
     counts = cut(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    least, total = None, 0
-    for c, n in sorted((tuple(r) for r in counts.groupBy(F.least("c", F.lit(10_000))).count().collect()), reverse=True):
-        total += n
-        if total > most:
-            break
+    # counts to three digits, so that few different ones are told to the driver
+    level = F.col("c") - F.col("c") % F.pow(F.lit(10.0), F.greatest(F.length(F.col("c").cast("string")) - 3, F.lit(0))).cast("bigint")
+    counts = counts.withColumn("level", level)
+    least, room = 0, most
+    for c, n in sorted((tuple(r) for r in counts.groupBy("level").count().collect()), reverse=True):
         least = c
-    found = counts.where(F.col("c") >= least).toPandas() if least else pd.DataFrame({"key": [], "c": []}, dtype="int64")
+        if n > room:
+            break
+        room -= n
+    else:
+        least -= 1  # all of them
+    # of the level that isn't wanted whole, those with low hashes; a tenth less than there is room for, as hashes vary
+    last = counts.where(F.col("level") == least).count()
+    share = int((1 << 30) * 0.9 * room / last) if last else 0
+    wanted = (F.col("level") > least) | ((F.col("level") == least) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share))
+    found = counts.where(wanted).select("key", "c").toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], found["c"].to_numpy(np.int64)[order]
