@@ -15,7 +15,10 @@ distinct n-grams of blocks, however many blocks and shards there are.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from . import flat
 from .common import pieces_of, text_of
 
-#: Text of a block, and text whose n-grams are a shard's: what one task holds.
-BLOCK_BYTES = SHARD_BYTES = 12 << 20
+#: Text of a block, and text whose n-grams are a shard's, at least: what one task holds.
+LEAST_BYTES = 12 << 20
+#: Text of a message, about. A block has a message for each shard, so their size follows from the input's.
+MESSAGE_BYTES = 6000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Exponents at which shards sum powers of context counts, to fit how fast contexts meet new words.
 EXPONENTS = np.linspace(0.0, 1.0, 41)
@@ -104,7 +109,7 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return whole.reshape(-1).view("<u8")
 
 
-SENT = "block int, shard int, sizes array<int>, keys array<binary>, counts array<binary>"
+SENT = "block int, shard int, sizes array<int>, keys array<binary>, counts array<binary>, check bigint"
 #: For each length of n-grams: tokens, distinct ones, those seen once and twice, and sums of powers of their counts.
 TOLD = "array<struct<tokens:bigint,types:bigint,once:bigint,twice:bigint,powers:array<double>>>"
 
@@ -112,6 +117,7 @@ TOLD = "array<struct<tokens:bigint,types:bigint,once:bigint,twice:bigint,powers:
 def _schema(ddl: str) -> pa.Schema:
     kinds = {
         "int": pa.int32(),
+        "bigint": pa.int64(),
         "array<int>": pa.list_(pa.int32()),
         "array<binary>": pa.list_(pa.binary()),
         TOLD: pa.list_(
@@ -121,6 +127,11 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (column.split(" ", 1) for column in ddl.split(", "))])
 
 
+def _check(keys: list[np.ndarray]) -> int:
+    """A checksum of n-grams that is that of several messages if combined by exclusive or."""
+    return int(np.bitwise_xor.reduce(np.concatenate(keys)).view(np.int64)) if any(map(len, keys)) else 0
+
+
 def _send(table: pa.Table, n: int, order: int) -> pa.Table:
     """A block's distinct n-grams with its own training counts, a row for each shard that has any."""
     block = table["block"][0].as_py()
@@ -133,11 +144,11 @@ def _send(table: pa.Table, n: int, order: int) -> pa.Table:
         keys = [g.keys[p] for g, p in zip(t.grams, parts, strict=True)]
         steps = [_packed(np.diff(k, prepend=np.uint64(0))) for k in keys]  # sorted keys as differences
         own = [_packed(c[p]) for c, p in zip(counts, parts, strict=True)]
-        rows.append({"block": block, "shard": int(s), "sizes": [len(k) for k in keys], "keys": steps, "counts": own})
+        rows.append({"block": block, "shard": int(s), "sizes": [len(k) for k in keys], "keys": steps, "counts": own, "check": _check(keys)})
     return pa.Table.from_pylist(rows, _schema(SENT))
 
 
-ANSWER = f"block int, shard int, sizes array<int>, counts array<binary>, told {TOLD}"
+ANSWER = f"block int, shard int, sizes array<int>, counts array<binary>, check bigint, told {TOLD}"
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -158,7 +169,7 @@ def _answer(table: pa.Table) -> pa.Table:
         powers = [float((seen.astype(np.float64) ** e).sum()) for e in EXPONENTS]
         once, twice = int((seen == 1).sum()), int((seen == 2).sum())
         told.append({"tokens": int(seen.sum()), "types": len(seen), "once": once, "twice": twice, "powers": powers})
-    found = [{"block": r["block"], "shard": r["shard"], "sizes": r["sizes"], "counts": c} for r, c in zip(rows, totals, strict=True)]
+    found = [{"block": r["block"], "shard": r["shard"], "sizes": r["sizes"], "counts": c, "check": r["check"]} for r, c in zip(rows, totals, strict=True)]
     found[0]["told"] = told
     return pa.Table.from_pylist(found, _schema(ANSWER))
 
@@ -232,7 +243,7 @@ class Automaton:
         return weight + np.where(open_, self.arcs[0][t.grams[0].at], 0.0)
 
 
-def score(docs: DataFrame, trains: Column, order: int = 2, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(docs: DataFrame, trains: Column, order: int = 2, block_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``.
 
     The model learns from rows for which ``trains`` (of doc_id) is true; a null counts as false. Tokens are the
@@ -244,7 +255,9 @@ def score(docs: DataFrame, trains: Column, order: int = 2, block_bytes: int = BL
     """
     rows = docs.select("doc_id", text_of(docs).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    n, shards = max(1, -(-size // block_bytes)), max(1, -(-size // shard_bytes))
+    # blocks and shards of this size have messages of MESSAGE_BYTES: it grows with the root of the input
+    own = max(LEAST_BYTES, math.isqrt(MESSAGE_BYTES * size))
+    n, shards = (max(1, -(-size // (b or own))) for b in (block_bytes, shard_bytes))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -255,7 +268,10 @@ def score(docs: DataFrame, trains: Column, order: int = 2, block_bytes: int = BL
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         t, m = tokens(table["text"].to_pylist(), order), table.num_rows
         known = Statistics.of(answers["known"][0].as_py())
-        own = sorted(answers.select(["shard", "sizes", "counts"]).to_pylist(), key=lambda r: r["shard"])
+        own = sorted(answers.select(["shard", "sizes", "counts", "check"]).to_pylist(), key=lambda r: r["shard"])
+        sizes = [sum(r["sizes"][k] for r in own) for k in range(order)]
+        if sizes != [len(g.keys) for g in t.grams] or reduce(xor, (r["check"] for r in own), 0) != _check([g.keys for g in t.grams]):
+            raise ValueError("a block has other texts than when its n-grams were sent")
         counts = [np.concatenate([_unpacked(r["counts"][k], r["sizes"][k]) for r in own]) for k in range(order)]
         model = Automaton.build(t, counts, known)
         word = t.grams[0].at
