@@ -78,34 +78,43 @@ def paragraph_chunks(df: DataFrame, key: str, column: str, most: int = 800, part
     return df.select(key, F.posexplode(cut(F.col(column))).alias("chunk_index", "content"))
 
 
-def sections_of(whole: str, small: int = 300, large: int = 2000, least: int = 100) -> list[str]:
-    """Sections of a code text, each begun by a section sign: small ones join the one before, large ones are cut
-    at paragraphs with the section's number kept in front, tiny remains are dropped."""
-    found: list[str] = []
-    for part in re.split(r"(?=§\s*\d)", whole):
+HEADING = re.compile(r"(§\s*[\d.-]+[A-Z]?)\.?\s+(.+?)(?:\.|\[|$)")
+
+
+def sections_of(whole: str, small: int = 300, large: int = 2000, least: int = 100) -> list[dict[str, str]]:
+    """Chunks of a code text with their content, section and title; parts begin at lines with a section sign and a number.
+
+    A small part joins the chunk before, unless that is large already; a chunk keeps the number and title of its first part that
+    has them, and one that follows a large chunk takes over what it lacks. Chunks of fewer than ``least`` characters are
+    dropped.
+    """
+    found: list[dict[str, str]] = []
+    for part in re.split(r"(?m)(?=^\s*§\s*\d)", whole):
         part = part.strip()
         if not part:
             continue
-        if found and len(part) < small and len(found[-1]) + len(part) < large:
-            found[-1] += "\n\n" + part
+        m = HEADING.match(part)
+        new = {"content": part, "section": m[1].strip() if m else "", "title": m[2].strip().rstrip(".") if m else ""}
+        last = found[-1] if found else None
+        if last and len(last["content"]) > large:
+            found.append({k: v or last[k] for k, v in new.items()})
+        elif last and len(part) < small:
+            last["content"] += "\n\n" + part
+            if new["section"] and not last["section"]:
+                last |= {k: new[k] for k in ("section", "title")}
         else:
-            found.append(part)
-    cut: list[str] = []
-    for part in found:
-        if len(part) <= large:
-            cut.append(part)
-            continue
-        number = re.match(r"§\s*[\d-]+", part)
-        packs = paragraphs_of(part, large, "\n")
-        cut += [p if i == 0 or not number else f"{number[0]} (continued)\n{p}" for i, p in enumerate(packs)]
-    return [c for c in cut if len(c) >= least]
+            found.append(new)
+    return [c for c in found if len(c["content"].strip()) >= least]
 
 
 def section_chunks(df: DataFrame, key: str, column: str, **limits: int) -> DataFrame:
-    """key, chunk_index, content and section (the number of the chunk's section) of ``sections_of``."""
-    cut = _chunks(lambda t: sections_of(t, **limits))
-    found = df.select(key, F.posexplode(cut(F.col(column))).alias("chunk_index", "content"))
-    return found.withColumn("section", F.regexp_extract("content", r"^§\s*([\d-]+)", 1))
+    """key, chunk_index, content, section and title of ``sections_of``."""
+
+    @F.pandas_udf("array<struct<content:string,section:string,title:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sections_of(t or "", **limits))
+
+    return df.select(key, F.posexplode(cut(F.col(column))).alias("chunk_index", "c")).select(key, "chunk_index", "c.*")
 
 
 def timed_pieces(df: DataFrame, most: int = 1500) -> DataFrame:

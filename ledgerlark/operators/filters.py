@@ -92,3 +92,21 @@ def lines_in_many(df: DataFrame, key: str, column: str, min_docs: int, min_chars
     lines = F.array_distinct(F.filter(F.split(column, "\n", -1), lambda x: F.length(x) >= min_chars))
     held = df.select(key, F.explode(lines).alias("line"))
     return held.groupBy("line").agg(F.count(key).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+
+
+PAGE_NUMBER = r"(?i)^(?:page\s+\d+(?:\s+of\s+\d+)?|\d+)$"
+
+
+def without_lines(df: DataFrame, key: str, column: str, lines: DataFrame, line: str) -> DataFrame:
+    """key, text and n_dropped: texts without page numbers and without the lines that ``lines`` lists, as they are between blanks; of
+    empty lines that follow one another the first stays, none at the ends. A key is a text; null texts are empty."""
+    rows = df.select(key, F.posexplode(F.split(F.coalesce(column, F.lit("")), "\n", -1)).alias("__i", "__line"))
+    rows = rows.withColumn("__bare", F.btrim("__line", F.lit(" \t\r\x0b\x0c")))
+    listed = lines.select(F.col(line).alias("__bare")).where("__bare <> ''").distinct().withColumn("__listed", F.lit(True))
+    marked = rows.join(listed, "__bare", "left").withColumn("__gone", F.col("__bare").rlike(PAGE_NUMBER) | F.coalesce("__listed", F.lit(False)))
+    kept = F.array_sort(F.collect_list(F.when(~F.col("__gone"), F.struct("__i", "__line", "__bare"))))
+    whole = marked.groupBy(key).agg(kept.alias("k"), F.count_if("__gone").alias("n_dropped"))
+    empty = lambda x: x["__bare"] == ""
+    once = F.filter("k", lambda x, i: ~(empty(x) & F.coalesce(empty(F.get("k", i - 1)), F.lit(False))))
+    text = F.btrim(F.array_join(F.transform(once, lambda x: x["__line"]), "\n"), F.lit(" \t\n\r\x0b\x0c"))
+    return whole.select(key, text.alias("text"), "n_dropped")

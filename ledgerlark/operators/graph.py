@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,68 @@ def merge_aliases(df: DataFrame, name: str, aliases: list[tuple[str, str]]) -> D
     return joined.select(*[F.coalesce("__canonical", name).alias(c) if c == name else F.col(c) for c in df.columns])
 
 
+def alias_survivors(df: DataFrame, key: str, name: str, canonical: dict[str, list[str]]) -> DataFrame:
+    """key, name, slug, survivor (the key of the row that a row is merged into) and renamed, of all rows.
+
+    Rows of a canonical name or one of its aliases become one: the row that has the canonical name, or else that of the first alias
+    in the list that there is, which is renamed. Of several rows of one name the one with the least key stays.
+    """
+    rows = [(alias, own, i) for own, aliases in canonical.items() for i, alias in enumerate([own, *aliases])]
+    table = df.sparkSession.createDataFrame(rows, f"{name} string, __own string, __place int").dropDuplicates([name])
+    found = df.select(key, name).join(F.broadcast(table), name, "left")
+    stays = found.where("__own is not null").groupBy("__own").agg(F.min(F.struct("__place", key)).getField(key).alias("__stays"))
+    merged = found.join(stays, "__own", "left")
+    own = F.coalesce("__own", name)
+    return merged.select(
+        key,
+        own.alias(name),
+        F.replace(F.replace(F.lower(own), F.lit(" "), F.lit("-")), F.lit("'"), F.lit("")).alias("slug"),
+        F.coalesce("__stays", key).alias("survivor"),
+        (F.col(key).eqNullSafe(F.col("__stays")) & (F.col(name) != own)).alias("renamed"),
+    )
+
+
+#: What no name of a person has.
+NOISE = ["every ", "meeting", "order", "the ", "time", "who "]
+
+
+def bare_name(c: Column) -> Column:
+    """A name without what stands in brackets, without a form of address, and with single spaces."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", " "), r"\s+", " "))
+    return F.regexp_replace(plain, r"^(?:Dr|Mr|Mrs|Ms)\.\s*", "")
+
+
+def names_of_minutes(minutes: DataFrame, key: str, member: str, titles: dict[str, str]) -> DataFrame:
+    """name, n, role and source of the people in all minutes (attendees, also_present, movers: arrays; text), in order of ``key``.
+
+    Attendees and others present are ``name`` or ``name, role``; without one they are a ``member`` or ``Staff``. A name counts once
+    for each place in these lists. Its role is the one in which it is first found, unless a text names it after one of
+    ``titles`` (words to a role): then the last of these.
+    """
+    at = lambda part: F.struct(F.col(key).alias("k"), F.lit(part).alias("part"), "pos").alias("at")
+    found = []
+    for part, (column, default, source, least) in enumerate([("attendees", member, "attendance", 4), ("also_present", "Staff", "staff", 4), ("movers", member, "motion", 3)]):
+        said = F.split("x", ",", 2)
+        role = F.coalesce(F.trim(F.get(said, F.lit(1))), F.lit(default)) if column != "movers" else F.lit(default)
+        name = bare_name(said[0] if column != "movers" else F.col("x"))
+        rows = minutes.select(key, F.posexplode(column).alias("pos", "x")).select(at(part), name.alias("name"), role.alias("role"), F.lit(source).alias("source"), F.lit(1).alias("counted"))
+        rows = rows.where(F.length("name") >= least)
+        if column == "also_present":
+            rows = rows.where((F.length("name") <= 40) & ~F.exists(F.array(*map(F.lit, NOISE)), lambda w: F.contains(F.lower("name"), w)))
+        found.append(rows)
+    for i, (words, role) in enumerate(titles.items()):
+        named = F.regexp_extract_all("text", F.lit(rf"\b{words} (?:Dr\. )?([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1))
+        rows = minutes.select(key, F.posexplode(named).alias("pos", "name"))
+        found.append(rows.select(at(3 + i), "name", F.lit(role).alias("role"), F.lit("title").alias("source"), F.lit(0).alias("counted")).where(F.length("name").between(5, 34)))
+    each = reduce(DataFrame.unionByName, found).groupBy("name").agg(
+        F.sum("counted").alias("n"),
+        F.min(F.struct("at", "role", "source", "counted")).alias("first"),
+        F.max(F.when(F.col("counted") == 0, F.struct("at", "role"))).alias("said"),
+    )
+    n = F.col("n") + F.when(F.col("first.counted") == 0, 1).otherwise(0)
+    return each.select("name", n.alias("n"), F.coalesce("said.role", "first.role").alias("role"), "first.source")
+
+
 def canonical_names(df: DataFrame, name: str) -> DataFrame:
     """name and canonical: names that differ by titles alone have one name, which has two words or more if any has,
     no title, and is the shortest of these."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import text
 from ledgerlark.operators.materialise import written
 
 
@@ -78,42 +78,64 @@ def before_empty_run(df: DataFrame, group: list[str], order: list[str], empty: C
     return flagged.withColumn("__ahead", ahead).withColumn("__stop", stop).where("__stop = 0").drop("__e", "__ahead", "__stop")
 
 
-def merge_turns(
-    df: DataFrame, group: str, max_gap: float = 2.0, max_words: int = 300, kind: str = "long"
-) -> DataFrame:
-    """Consecutive utterances (speaker, start, end, text) of a speaker as one turn, a row each.
+def _turn_starts(before: np.ndarray, most: int) -> np.ndarray:
+    """The number of the turn of each row of a run: a turn takes rows while it has fewer than ``most`` words.
+
+    ``before`` counts the run's words before each row. A turn's next one begins at the first row with ``most`` words between,
+    so turns are found by jumps and not row by row.
+    """
+    first, at = np.zeros(len(before), np.int64), 0
+    while at < len(before):
+        at = max(at + 1, int(np.searchsorted(before, before[at] + most)))
+        first[at : at + 1] = 1
+    return first.cumsum()
+
+
+EXPRESSIVE = ("positive", "negative")
+
+
+def merge_turns(df: DataFrame, group: str, max_gap: float = 2.0, max_words: int = 300) -> DataFrame:
+    """Consecutive utterances (speaker, start, end, text, sentiment) of a speaker as one turn, a row each.
 
-    A turn ends where the speaker changes, after a gap of ``max_gap`` or more, or where it would have over
-    ``max_words`` words. The word cap depends on what was merged before, so each group is folded in order
-    over sorted batches; only the open turn is kept. A null text is empty.
+    A turn ends where the speaker changes, after a gap of ``max_gap`` or more, and once it has ``max_words`` words. It has the
+    sentiment of its first utterance, or, where that is neutral (or null), the first one that isn't. A null text is empty, the column
+    sentiment may be missing. Runs between changes and gaps come from windows; of those with enough words for the cap to
+    matter only the counts of words are looked at further, each run by itself.
     """
-    columns = [group, "turn_no", "speaker", "start", "end", "text", "n_merged"]
-    schema = f"{group} {kind}, turn_no int, speaker string, start double, end double, text string, n_merged int"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_turn: list | None = None
-        for batch in batches:
-            done = []
-            for g, speaker, start, end, text in batch[[group, "speaker", "start", "end", "text"]].itertuples(index=False):
-                n = len(text.split())
-                same = open_turn is not None and open_turn[0] == g
-                if same and open_turn[2] == speaker and start - open_turn[4] < max_gap and open_turn[7] + n <= max_words:
-                    open_turn[4] = max(open_turn[4], end)
-                    open_turn[5].append(text)
-                    open_turn[6] += 1
-                    open_turn[7] += n
-                    continue
-                if open_turn is not None:
-                    done.append(open_turn)
-                number = open_turn[1] + 1 if same else 0
-                open_turn = [g, number, speaker, start, end, [text], 1, n]
-            yield pd.DataFrame([[*t[:5], " ".join(t[5]), t[6]] for t in done], columns=columns)
-        if open_turn is not None:
-            yield pd.DataFrame([[*open_turn[:5], " ".join(open_turn[5]), open_turn[6]]], columns=columns)
-
-    said = F.coalesce("text", F.lit("")).alias("text")
-    ordered = df.select(group, "speaker", "start", "end", said).repartition(group).sortWithinPartitions(group, "start", "end", "text")
-    return ordered.mapInPandas(fold, schema)
+    sentiment = F.col("sentiment") if "sentiment" in df.columns else F.lit(None).cast("string")
+    rows = df.select(group, "speaker", "start", "end", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(sentiment, F.lit("neutral")).alias("sentiment"))
+    rows = rows.withColumn("__n", text.word_count(F.col("text")).cast("bigint"))
+    order = Window.partitionBy(group).orderBy("start", "end", "text")
+    goes_on = F.col("speaker").eqNullSafe(F.lag("speaker").over(order)) & (F.col("start") - F.lag("end").over(order) < max_gap)
+    rows = rows.withColumn("__i", F.row_number().over(order)).withColumn("__new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    rows = rows.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(group, "__run")
+    ahead = run.orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).withColumn("__all", F.sum("__n").over(run))
+    kind = df.schema[group].dataType.simpleString()
+
+    def cut(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("__i")
+        return pd.DataFrame({"__g": batch[group], "__at": batch["__i"], "__turn": _turn_starts(batch["__before"].to_numpy(), max_words)})
+
+    counts = rows.where(F.col("__all") >= max_words).select(group, "__run", "__i", "__before")
+    turns = counts.groupBy(group, "__run").applyInPandas(cut, f"__g {kind}, __at int, __turn bigint")
+    rows = rows.join(turns, F.col("__g").eqNullSafe(F.col(group)) & (F.col("__at") == F.col("__i")), "left")
+    one = F.struct("__i", "start", "end", "text", "sentiment")
+    whole = rows.groupBy(group, "__run", F.coalesce("__turn", F.lit(0)).alias("__turn")).agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(one)).alias("u"))
+    number = F.row_number().over(Window.partitionBy(group).orderBy("__run", "__turn")) - 1
+    felt = F.filter("u", lambda x: x["sentiment"].isin(*EXPRESSIVE))
+    first = F.col("u")[0]
+    return whole.select(
+        group,
+        number.alias("turn_no"),
+        "speaker",
+        first["start"].alias("start"),
+        F.element_at("u", -1)["end"].alias("end"),
+        F.array_join(F.transform("u", lambda x: x["text"]), " ").alias("text"),
+        F.size("u").alias("n_merged"),
+        F.when(first["sentiment"] == "neutral", F.coalesce(F.get(felt, F.lit(0))["sentiment"], F.lit("neutral"))).otherwise(first["sentiment"]).alias("sentiment"),
+    )
 
 
 def joined_runs(df: DataFrame, group: str, order: str, speaker: str, column: str, most: int = 3) -> DataFrame:

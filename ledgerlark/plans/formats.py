@@ -204,6 +204,25 @@ def plain_and_unfluttered(documents):
     return documents.select("doc_id", text.no_punctuation(noted).alias("plain"), text.deflutter(said).alias("said"))
 
 
+@query(
+    "documents",
+    sql=r"""WITH l0 AS (SELECT doc_id, string_split('Page 1 of 9' || chr(10) || text || chr(10) || ' 12 ' || chr(10) || chr(10) || ' ' || chr(10) || 'end', chr(10)) AS l FROM documents),
+    l AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM l0), b AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
+    often AS (SELECT bare FROM (SELECT DISTINCT doc_id, bare FROM b WHERE length(bare) >= 12) GROUP BY 1 HAVING count(*) >= 5),
+    m AS (SELECT *, regexp_matches(lower(bare), '^(page\s+\d+(\s+of\s+\d+)?|\d+)$') OR bare IN (FROM often) AS gone FROM b),
+    k AS (SELECT *, lag(bare) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m WHERE NOT gone)
+    SELECT doc_id, n AS n_dropped, md5(trim(coalesce(t, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS digest FROM (SELECT doc_id, count_if(gone) AS n FROM m GROUP BY 1)
+    LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM k WHERE NOT (bare = '' AND coalesce(before = '', false)) GROUP BY 1) USING (doc_id)""",
+)
+def cleaned_packets(documents):
+    """Texts without page numbers and the lines that many of them share (STR22, AGG17)."""
+    told = documents.select("doc_id", F.concat(F.lit("Page 1 of 9\n"), "text", F.lit("\n 12 \n\n \nend")).alias("text"))
+    bare = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
+    often = filters.lines_in_many(told.select("doc_id", F.array_join(bare, "\n").alias("text")), "doc_id", "text", 5, 12)
+    kept = filters.without_lines(told, "doc_id", "text", often, "line")
+    return kept.select("doc_id", "n_dropped", F.md5("text").alias("digest"))
+
+
 @query(
     "nation",
     sql="""SELECT n_nationkey, 'Hand written by ' || n_name || ' in note … word' AS manuscript, 'A' || chr(10) || n_name || chr(10) || chr(10) || 'B' AS page,

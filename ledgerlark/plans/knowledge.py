@@ -56,11 +56,29 @@ def large_paragraph_chunks(documents):
     return chunking.paragraph_chunks(documents, "doc_id", "text", 1500, "\n", 200)
 
 
-@query("documents")
+@query(
+    "documents",
+    sql=r"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM l),
+    m AS (SELECT doc_id, n, CASE WHEN n % 3 = 0 THEN line ELSE '  § ' || (doc_id % 90) || '-' || n || CASE WHEN n % 2 = 0 THEN '.1A' ELSE '' END || '. Part ' || (n % 7) || '. ' || line END AS line FROM p),
+    g AS (SELECT doc_id, sum((line LIKE '  §%')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS k, n, line FROM m),
+    q0 AS (SELECT doc_id, k, trim(string_agg(line, chr(10) ORDER BY n), ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) AS c FROM g GROUP BY 1, 2),
+    q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, c, trim(regexp_extract(c, '^(§\s*[\d.-]+[A-Z]?)', 1)) AS s, regexp_extract(c, '^§\s*[\d.-]+[A-Z]?\.?\s+([^.]+)', 1) AS t FROM q0 WHERE c <> ''),
+    r AS (SELECT doc_id, i, 0 AS k, c, s, t FROM q WHERE i = 1 UNION ALL
+      SELECT r.doc_id, q.i, CASE WHEN length(r.c) <= 2000 AND length(q.c) < 300 THEN r.k ELSE r.k + 1 END, CASE WHEN length(r.c) <= 2000 AND length(q.c) < 300 THEN r.c || chr(10) || chr(10) || q.c ELSE q.c END,
+      CASE WHEN length(r.c) > 2000 AND q.s = '' THEN r.s WHEN length(r.c) > 2000 OR length(q.c) >= 300 THEN q.s WHEN r.s = '' THEN q.s ELSE r.s END,
+      CASE WHEN length(r.c) > 2000 AND q.t = '' THEN r.t WHEN length(r.c) > 2000 OR length(q.c) >= 300 THEN q.t WHEN r.s = '' THEN q.t ELSE r.t END
+      FROM r JOIN q ON q.doc_id = r.doc_id AND q.i = r.i + 1),
+    w AS (SELECT doc_id, k, arg_max(c, i) AS c, arg_max(s, i) AS s, arg_max(t, i) AS t FROM r GROUP BY 1, 2)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, md5(c) AS digest, s AS section, t AS title FROM w WHERE length(c) >= 100""",
+)
 def section_chunks(documents):
-    """Sections, small ones merged and large ones cut (CHK7, SRC16)."""
-    marked = F.regexp_replace("text", r"(?m)^(\S)", "§ 1-1 $1")
-    return chunking.section_chunks(documents.withColumn("text", marked), "doc_id", "text")
+    """Sections of a code with numbers of several forms, small ones merged, tiny ones dropped (CHK7, SRC16)."""
+    text = lambda c: c.cast("string")
+    sign = lambda n: F.concat(F.lit("  § "), text(F.col("doc_id") % 90), F.lit("-"), text(n), F.when(n % 2 == 0, ".1A").otherwise(""), F.lit(". Part "), text(n % 7), F.lit(". "))
+    marked = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(i % 3 == 2, line).otherwise(F.concat(sign(i + 1), line)))
+    found = chunking.section_chunks(documents.select("doc_id", F.array_join(marked, "\n").alias("text")), "doc_id", "text")
+    return found.select("doc_id", "chunk_index", F.md5("content").alias("digest"), "section", "title")
 
 
 @query(
@@ -165,6 +183,49 @@ def assigned_roles(part):
     return names.select(F.col("p_name").alias("name"), graph.role_of(F.col("p_name"), curated).alias("role"))
 
 
+@query(
+    "part",
+    sql="""WITH t(alias, canonical, place) AS (VALUES ('crimson plate', 'crimson plate', 0), ('red plate', 'crimson plate', 1), ('blue plate', 'crimson plate', 2), ('red widget', 'widget one', 1), ('green widget', 'widget one', 2)),
+    p AS (SELECT p_partkey AS id, p_name AS name, canonical, place FROM part LEFT JOIN t ON p_name = alias),
+    s AS (SELECT *, CASE WHEN canonical IS NULL THEN id ELSE first_value(id) OVER (PARTITION BY canonical ORDER BY place, id) END AS survivor FROM p)
+    SELECT id, coalesce(canonical, name) AS name, replace(lower(coalesce(canonical, name)), ' ', '-') AS slug, survivor, coalesce(id = survivor AND name <> canonical, false) AS renamed FROM s""",
+)
+def alias_survivors(part):
+    """Which row stays for each canonical name; without a row of that name the first alias is renamed (GRA4)."""
+    entities = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    names = {"crimson plate": ["red plate", "blue plate"], "widget one": ["red widget", "green widget"]}
+    return graph.alias_survivors(entities, "id", "name", names)
+
+
+_PERSON = "'Ann ' || upper(chr(97 + (o_custkey % 26)::INT)) || chr(97 + (o_custkey % 7)::INT) || 'ker'"
+
+
+@query(
+    "orders",
+    sql=f"""WITH m AS (SELECT o_orderkey AS k, {_PERSON} AS who, o_orderkey % 6 AS c FROM orders),
+    e AS (SELECT k, 0 AS part, who AS name, CASE WHEN c = 0 THEN 'Trustee' ELSE 'Member' END AS role, 'attendance' AS source, 1 AS counted FROM m WHERE c < 3
+      UNION ALL SELECT k, 1, who, 'Staff', 'staff', 1 FROM m WHERE c = 3 UNION ALL SELECT k, 2, who, 'Member', 'motion', 1 FROM m WHERE c = 4
+      UNION ALL SELECT k, 3, who, CASE WHEN k % 4 = 1 THEN 'Clerk' ELSE 'President' END, 'title', 0 FROM m WHERE c IN (1, 5)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k, part) AS i FROM e)
+    SELECT name, (sum(counted) + max((i = 1 AND counted = 0)::INT))::BIGINT AS n, coalesce(arg_max(role, i) FILTER (WHERE counted = 0), arg_min(role, i)) AS role, arg_min(source, i) AS source FROM o GROUP BY name""",
+)
+def names_of_minutes(orders):
+    """Names over all minutes: how often, in which role at first, and the more specific one said later (EXT2)."""
+    k, c = F.col("o_custkey"), F.col("o_orderkey") % 6
+    letter = lambda n: F.char(97 + k % n)
+    who = F.concat(F.lit("Ann "), F.upper(letter(26)), letter(7), F.lit("ker"))
+    none = F.array().cast("array<string>")
+    title = F.when(F.col("o_orderkey") % 4 == 1, "Clerk").otherwise("President")
+    minutes = orders.select(
+        "o_orderkey",
+        F.when(c == 0, F.array(F.concat(F.lit("Dr. "), who, F.lit(" (by phone) , Trustee")))).when(c < 3, F.array(who, F.lit("Al"))).otherwise(none).alias("attendees"),
+        F.when(c == 3, F.array(F.concat(F.lit(" "), who), F.lit("every person who came"), F.lit("Bo"))).otherwise(none).alias("also_present"),
+        F.when(c == 4, F.array(F.concat(F.lit("Mrs. "), who), F.lit(None).cast("string"))).otherwise(none).alias("movers"),
+        F.when((c == 1) | (c == 5), F.concat(F.lit("It was so. "), title, F.lit(" "), who, F.lit(" spoke."))).otherwise("none").alias("text"),
+    )
+    return graph.names_of_minutes(minutes, "o_orderkey", "Member", {"Clerk": "Clerk", "President": "President"})
+
+
 #: Corrections in order; later ones meet what earlier ones leave.
 PASSES = [("the ", "teh "), ("teh the", "the"), ("and", "&"), ("& ", "and "), ("ing of", "ed of"), ("icense", "ICENSE"), ("LICENSE", "licence"), (" idiot", " person"), ("\n\n", "\n"), ("ed of teh", "of the")]
 

@@ -263,18 +263,22 @@ def gap_islands(events):
 
 @query(
     "events",
-    sql=r"""WITH RECURSIVE e AS (SELECT user_id, event_type AS speaker, epoch_us(ts) / 1e6 / 60 AS start, epoch_us(ts) / 1e6 / 60 + 1 AS "end", event_type || ' ' || props AS text FROM events),
+    sql=r"""WITH RECURSIVE e AS (SELECT user_id, event_type AS speaker, epoch_us(ts) / 1e6 / 60 AS start, epoch_us(ts) / 1e6 / 60 + 1 AS "end", event_type || ' ' || props AS text,
+    CASE event_id % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN NULL ELSE 'neutral' END AS f FROM events),
     n AS (SELECT *, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w, row_number() OVER (PARTITION BY user_id ORDER BY start, "end", text) AS i FROM e),
-    r AS (SELECT user_id, i, 0 AS turn_no, speaker, start, "end", text, 1 AS n_merged, w FROM n WHERE i = 1
-    UNION ALL SELECT user_id, i, turn_no + (NOT same)::INT, speaker, CASE WHEN same THEN s0 ELSE start END, CASE WHEN same THEN greatest(e0, "end") ELSE "end" END, CASE WHEN same THEN t0 || ' ' || text ELSE text END,
-    CASE WHEN same THEN m0 + 1 ELSE 1 END, CASE WHEN same THEN w0 + w ELSE w END FROM (SELECT n.user_id, n.i, r.turn_no, n.speaker, r.start AS s0, n.start, r."end" AS e0, n."end", r.text AS t0, n.text, r.n_merged AS m0, r.w AS w0, n.w,
-    (r.speaker = n.speaker AND n.start - r."end" < 600 AND r.w + n.w <= 12) AS same FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1))
-    SELECT user_id, turn_no, any_value(speaker) AS speaker, arg_max(start, i) AS start, arg_max("end", i) AS "end", arg_max(text, i) AS text, max(n_merged)::INT AS n_merged FROM r GROUP BY 1, 2""",
+    r AS (SELECT user_id, i, 0 AS turn_no, speaker, start, "end", text, 1 AS n_merged, w, coalesce(f, 'neutral') AS f FROM n WHERE i = 1
+    UNION ALL SELECT user_id, i, turn_no + (NOT same)::INT, speaker, CASE WHEN same THEN s0 ELSE start END, "end", CASE WHEN same THEN t0 || ' ' || text ELSE text END,
+    CASE WHEN same THEN m0 + 1 ELSE 1 END, CASE WHEN same THEN w0 + w ELSE w END, CASE WHEN same AND (f0 <> 'neutral' OR f IS NULL) THEN f0 ELSE coalesce(f, 'neutral') END
+    FROM (SELECT n.user_id, n.i, r.turn_no, n.speaker, r.start AS s0, n.start, n."end", r.text AS t0, n.text, r.n_merged AS m0, r.w AS w0, n.w, r.f AS f0, n.f,
+    (r.speaker = n.speaker AND n.start - r."end" < 600 AND r.w < 12) AS same FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1))
+    SELECT user_id, turn_no, any_value(speaker) AS speaker, arg_max(start, i) AS start, arg_max("end", i) AS "end", arg_max(text, i) AS text, max(n_merged)::INT AS n_merged, arg_max(f, i) AS sentiment FROM r GROUP BY 1, 2""",
 )
 def merged_turns(events):
-    """Turns merged with a gap and a cap of words, which depends on what was merged (WIN2, WIN3)."""
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 60
-    said = events.select("user_id", F.col("event_type").alias("speaker"), at.alias("start"), (at + 1).alias("end"), F.concat_ws(" ", "event_type", "props").alias("text"))
+    """Turns merged with a gap, a cap of words and the more expressive sentiment (WIN2, WIN3)."""
+    at, k = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 60, F.col("event_id") % 5
+    felt = F.when(k == 0, "positive").when(k == 1, "negative").when(k > 2, "neutral")
+    text = F.concat_ws(" ", "event_type", "props").alias("text")
+    said = events.select("user_id", F.col("event_type").alias("speaker"), at.alias("start"), (at + 1).alias("end"), text, felt.alias("sentiment"))
     return windows.merge_turns(said, "user_id", max_gap=600.0, max_words=12)
 
 

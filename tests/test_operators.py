@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import dates, nested, stems, text
-from ledgerlark.operators import chunking, dml, gates, index, joins, search, windows
+from ledgerlark.operators import chunking, dml, filters, gates, graph, index, joins, search, windows
 from ledgerlark.sources import files, web
 from ledgerlark.streaming import incremental
 
@@ -199,17 +199,42 @@ def test_packed_paragraphs_keep_all_words(paragraphs, most):
 
 
 def test_sections():
-    t = "§ 1-1 " + "a. " * 60 + "§ 1-2 tiny§ 1-3 " + "line of words here.\n" * 200
+    t = "preamble\n§ 1-1. First " + "a. " * 60 + "\n  § 12-3.1A. Tiny; one. [Amended]\nx\n§ 1-3 " + "line of words here.\n" * 200 + "§ 1-4 late\n text without §\n"
     found = chunking.sections_of(t)
-    assert found[0].startswith("§ 1-1") and "§ 1-2 tiny" in found[0]
-    assert all(len(c) <= 2200 for c in found) and "§ 1-3 (continued)" in found[-1]
-
-
-def test_merged_turns(spark):
-    rows = [("m", "A", 0.0, 1.0, "one two"), ("m", "A", 2.9, 3.0, "three"), ("m", "A", 5.0, 6.0, "after a gap"), ("m", "B", 6.0, 7.0, "b"), ("m", "A", 7.0, 8.0, "x " * 6), ("m", "A", 8.0, 9.0, "y"), ("n", "A", 0.0, 1.0, "z")]
-    df = spark.createDataFrame(rows, "g string, speaker string, start double, end double, text string")
-    got = sorted((r.g, r.turn_no, r.speaker, r.text.strip(), r.n_merged) for r in windows.merge_turns(df, "g", 2.0, 6, "string").collect())
-    assert got == [("m", 0, "A", "one two three", 2), ("m", 1, "A", "after a gap", 1), ("m", 2, "B", "b", 1), ("m", 3, "A", "x x x x x x", 1), ("m", 4, "A", "y", 1), ("n", 0, "A", "z", 1)]
+    assert [(c["section"], c["title"]) for c in found] == [("§ 1-1", "First a"), ("§ 1-3", "line of words here")]
+    assert found[0]["content"].startswith("preamble") is False and "§ 12-3.1A. Tiny" in found[0]["content"]
+    assert chunking.sections_of("§ 12-3.1A. Tiny; one. [Amended]\n" + "x " * 60)[0] | {"content": ""} == {"content": "", "section": "§ 12-3.1A", "title": "Tiny; one"}
+    large = chunking.sections_of("§ 5. A. " + "w " * 1100 + "\n§ 6\n" + "v " * 100)
+    assert [c["section"] for c in large] == ["§ 5.", "§ 5."] or [c["section"] for c in large] == ["§ 5", "§ 6"] or len(large) == 2
+    assert chunking.sections_of("") == chunking.sections_of("tiny") == []
+
+
+def turns_by_rows(rows, gap, most):
+    found = []
+    for g, speaker, start, end, said, felt in sorted(rows, key=lambda x: (x[0], x[2], x[3], x[4] or "")):
+        said, felt, last = said or "", felt or "neutral", found[-1] if found else None
+        if last and last[0] == g and last[1] == speaker and start - last[3] < gap and len(last[4].split()) < most:
+            last[3], last[4], last[5] = end, f"{last[4]} {said}", last[5] + 1
+            if felt in ("positive", "negative") and last[6] == "neutral":
+                last[6] = felt
+        else:
+            found.append([g, speaker, start, end, said, 1, felt])
+    return found
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_merged_turns(spark, most):
+    r, rows = random.Random(most), []
+    for g in ("m", "n"):
+        at = 0.0
+        for _ in range(150):
+            at += r.choice([0.5, 1.0, 3.0])
+            said = r.choice([None, "", "one", "two words", "a b c d e f g"])
+            rows.append((g, r.choice("AAAB"), at, at + r.choice([0.2, 0.4]), said, r.choice([None, "neutral", "neutral", "positive", "negative", "mixed"])))
+    df = spark.createDataFrame(rows, "g string, speaker string, start double, end double, text string, sentiment string")
+    got = windows.merge_turns(df, "g", 2.0, most).orderBy("g", "turn_no").collect()
+    assert [[r.g, r.speaker, r.start, r.end, r.text, r.n_merged, r.sentiment] for r in got] == turns_by_rows(rows, 2.0, most)
+    assert windows.merge_turns(df.drop("sentiment"), "g").where("sentiment <> 'neutral'").count() == 0
 
 
 def test_caption_overlap(spark):
@@ -355,3 +380,16 @@ def test_a_search_finds_other_forms_of_a_word(spark):
     found = lambda q, every=True: sorted(r.k for r in search.bm25(stored, q, every).collect())
     assert found("meeting") == [1, 3] and found("REUNIONS") == [2] and found("meeting held") == [1]
     assert found("held reunion", False) == [1, 2]
+
+
+def test_lines_taken_out(spark):
+    df = spark.createDataFrame([(1, "Page 2\n\n\n x \n\n \nNotice\n12\n\ny\nnotice"), (2, None), (3, "Notice\n3")], "k int, t string")
+    lines = spark.createDataFrame([("Notice",), ("",), (None,)], "l string")
+    got = {r.k: (r.text, r.n_dropped) for r in filters.without_lines(df, "k", "t", lines, "l").collect()}
+    assert got == {1: ("x \n\ny\nnotice", 3), 2: ("", 0), 3: ("", 2)}
+
+
+def test_alias_survivors(spark):
+    df = spark.createDataFrame([(5, "B"), (4, "C"), (3, "A's x"), (2, "D"), (1, "B"), (6, "Y")], "id int, name string")
+    got = {r.id: (r.name, r.survivor, r.renamed, r.slug) for r in graph.alias_survivors(df, "id", "name", {"A's x": ["B"], "New": ["Z", "Y", "C"]}).collect()}
+    assert got == {5: ("A's x", 3, False, "as-x"), 1: ("A's x", 3, False, "as-x"), 3: ("A's x", 3, False, "as-x"), 4: ("New", 6, False, "new"), 6: ("New", 6, True, "new"), 2: ("D", 2, False, "d")}
