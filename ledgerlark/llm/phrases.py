@@ -34,7 +34,7 @@ _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
 #: Words of a stored array, about; it ends where a piece of text does.
 ARRAY_WORDS = 1 << 13
 #: Rows of a task's counts that are added up at once, characters that are cut and words that are scanned at once.
-ROWS, CUT_CHARS, SCAN_WORDS = 1 << 18, 1 << 19, 1 << 17
+ROWS, CUT_CHARS, SCAN_WORDS = 1 << 19, 1 << 19, 1 << 17
 #: Logarithms of the least and the largest number of bits.
 BITS = (16, 29)
 W = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -230,7 +230,10 @@ def count_phrases(stored: DataFrame, words: DataFrame, n_words: int, folder: str
     bitmaps = [none] * shards + [with_bits(ones, none)]
     state, step = None, 0
     while not np.array_equal(now := bitmaps[-1], before := bitmaps[0]):
-        found = scan(stored.where(F.col("shard") == step % shards), now, before).withColumn("since", F.lit(step))
+        # all words are known from the start, so pairs that can reach the threshold are active since step 0; of longer
+        # phrases the first step that finds them isn't before the one since which they are active
+        since = F.when(F.col("w3") == 0, 0).otherwise(F.lit(step)).alias("since")
+        found = scan(stored.where(F.col("shard") == step % shards), now, before).select("*", since)
         state = found if state is None else state.unionByName(found)
         # tasks have added up their own counts before; whoever has had a full cycle and not reached the threshold can go
         sums = state.repartition(*W).groupBy(W).agg(F.sum("n").alias("n"), F.min("since").alias("since"))
