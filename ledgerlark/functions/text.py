@@ -213,23 +213,27 @@ def ids_of(c: Column) -> Column:
 
 def reflowed(c: Column) -> Column:
     """A law's lines as blocks: an empty line parts blocks, a line of columns is a block of its own, a line that begins with a
-    mark, a number or a section begins one, and what else follows is joined to the line before, hyphens at its end mended."""
+    mark, a number or a section begins one, and what else follows is joined to the line before, hyphens at its end mended.
+
+    Whether a line begins a block follows from it and the line before, so each gets a sign of that and all are joined at once.
+    """
     tabular = r"\S {3,}\S"
     begins = r"^(?:§|\(?[0-9]+[.)]|\(?[A-Za-z][.)] |[A-Z][A-Z ]{3,}$|[-•*] )"
-    start = F.struct(F.array().cast("array<string>").alias("blocks"), F.lit(True).alias("new"))
-
-    def step(state: Column, raw: Column) -> Column:
-        line, blocks = F.rtrim(raw), state["blocks"]
-        last = F.element_at(blocks, -1)
-        alone = line.rlike(tabular)
-        fresh = state["new"] | alone | F.trim(line).rlike(begins)
-        joined = F.when(last.rlike(r"[a-z]-$"), F.concat(F.regexp_replace(last, "-$", ""), F.trim(line))).otherwise(F.concat_ws(" ", last, F.trim(line)))
-        grown = F.when(F.trim(line) == "", blocks).when(fresh, F.array_append(blocks, F.trim(line))).otherwise(
-            F.array_append(F.slice(blocks, F.lit(1), F.size(blocks) - 1), joined)
-        )
-        return F.struct(grown.alias("blocks"), ((F.trim(line) == "") | alone).alias("new"))
-
-    return F.aggregate(F.split(F.coalesce(c, F.lit("")), "\n"), start, step)["blocks"]
+    new, goes_on = "\x1e", "\x1f"
+
+    def signed(lines: Column) -> Column:
+        def sign(line: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(lines, i - 1))
+            parted = before.isNull() | (F.trim(before) == "") | F.rtrim(before).rlike(tabular)
+            fresh = parted | F.rtrim(line).rlike(tabular) | F.trim(line).rlike(begins)
+            return F.when(F.trim(line) == "", "").otherwise(F.concat(F.when(fresh, new).otherwise(goes_on), F.trim(line)))
+
+        return F.array_join(F.transform(lines, sign), "")
+
+    plain = F.translate(F.coalesce(c, F.lit("")), new + goes_on, "")
+    whole = _then(F.split(plain, "\n"), signed)
+    mended = F.replace(F.regexp_replace(whole, f"(?<=[a-z])-{goes_on}", ""), F.lit(goes_on), F.lit(" "))
+    return F.filter(F.split(mended, new), lambda x: x != "")
 
 
 def clean_page_lines(c: Column) -> Column:

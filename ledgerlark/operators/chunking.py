@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -135,28 +136,44 @@ def timed_pieces(df: DataFrame, most: int = 1500) -> DataFrame:
     )
 
 
+def chunk_numbers(chars: np.ndarray, most: int) -> np.ndarray:
+    """The number of the chunk of each utterance: a chunk takes utterances, each with a space, until ``most`` would be passed."""
+    before = np.cumsum(chars + 1) - (chars + 1)
+    first, at = np.zeros(len(chars), np.int64), 0
+    while at < len(chars):
+        # the first one that doesn't fit any more
+        at = max(at + 1, int(np.searchsorted(before + chars, before[at] + most, "right")))
+        first[at : at + 1] = 1
+    return first.cumsum()
+
+
 def accumulated(df: DataFrame, key: str, most: int) -> DataFrame:
     """key, chunk_index, start, end, content and chars of utterances (start, end, text) gathered in order until ``most``
     characters would be passed; a longer one is a chunk of its own. Empty texts are left out.
 
-    Where a chunk begins depends on all before it, so a transcript is folded as one row.
+    Where a chunk begins depends on all before it, so the lengths of a transcript's utterances, and these alone, are followed in
+    one place, by jumps from chunk to chunk.
     """
-    one = F.struct("start", "end", "text")
-    whole = df.where("text is not null and text <> ''").groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("__u"))
-    chunk = "struct<start:double,end:double,content:string>"
-    empty = F.array().cast(f"array<{chunk}>")
-
-    def step(done: Column, u: Column) -> Column:
-        last = F.element_at(done, -1)
-        new = (F.size(done) == 0) | (F.length(last["content"]) + F.length(u["text"]) > most)
-        fresh = F.struct(u["start"].alias("start"), u["end"].alias("end"), F.concat(u["text"], F.lit(" ")).alias("content"))
-        grown = F.struct(last["start"].alias("start"), u["end"].alias("end"), F.concat(last["content"], u["text"], F.lit(" ")).alias("content"))
-        return F.when(new, F.array_append(done, fresh.cast(chunk))).otherwise(
-            F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), grown.cast(chunk))
-        )
-
-    chunks = whole.select(key, F.posexplode(F.aggregate("__u", empty, step)).alias("chunk_index", "c"))
-    return chunks.select(key, "chunk_index", "c.start", "c.end", F.trim("c.content").alias("content"), F.length("c.content").cast("bigint").alias("chars"))
+    said = df.where("text is not null and text <> ''").select(key, "start", "end", "text")
+    rows = said.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "text"))).withColumn("__n", F.length("text"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def cut(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("__i")
+        return pd.DataFrame({"__g": batch[key], "__at": batch["__i"], "chunk_index": chunk_numbers(batch["__n"].to_numpy().astype(np.int64), most)})
+
+    placed = rows.select(key, "__i", "__n").groupBy(key).applyInPandas(cut, f"__g {kind}, __at int, chunk_index int")
+    whole = rows.join(placed, F.col("__g").eqNullSafe(F.col(key)) & (F.col("__at") == F.col("__i")))
+    chunks = whole.groupBy(key, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("__i", "start", "end", "text"))).alias("__u"))
+    content = F.array_join(F.transform("__u", lambda x: x["text"]), " ")
+    return chunks.select(
+        key,
+        "chunk_index",
+        F.col("__u")[0]["start"].alias("start"),
+        F.element_at("__u", -1)["end"].alias("end"),
+        F.trim(content).alias("content"),
+        (F.length(content) + 1).cast("bigint").alias("chars"),
+    )
 
 
 def incidents(df: DataFrame, key: str, column: str, kinds: list[tuple[str, list[str]]], parted: str = "\n", most: int = 20) -> DataFrame:

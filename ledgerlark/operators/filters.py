@@ -105,8 +105,8 @@ def without_lines(df: DataFrame, key: str, column: str, lines: DataFrame, line:
     listed = lines.select(F.col(line).alias("__bare")).where("__bare <> ''").distinct().withColumn("__listed", F.lit(True))
     marked = rows.join(listed, "__bare", "left").withColumn("__gone", F.col("__bare").rlike(PAGE_NUMBER) | F.coalesce("__listed", F.lit(False)))
     kept = F.array_sort(F.collect_list(F.when(~F.col("__gone"), F.struct("__i", "__line", "__bare"))))
-    whole = marked.groupBy(key).agg(kept.alias("k"), F.count_if("__gone").alias("n_dropped"))
+    whole = marked.groupBy(key).agg(kept.alias("__kept"), F.count_if("__gone").alias("n_dropped"))
     empty = lambda x: x["__bare"] == ""
-    once = F.filter("k", lambda x, i: ~(empty(x) & F.coalesce(empty(F.get("k", i - 1)), F.lit(False))))
+    once = F.filter("__kept", lambda x, i: ~(empty(x) & F.coalesce(empty(F.get("__kept", i - 1)), F.lit(False))))
     text = F.btrim(F.array_join(F.transform(once, lambda x: x["__line"]), "\n"), F.lit(" \t\n\r\x0b\x0c"))
     return whole.select(key, text.alias("text"), "n_dropped")

@@ -129,28 +129,42 @@ def figures_backed(df: DataFrame, claims: str, sources: str) -> DataFrame:
     return rows.withColumn("backed", near | subset_sum(F.col(sources), F.col("claim")))
 
 
+def sent_of(times: np.ndarray, cooldown: float) -> np.ndarray:
+    """Which of the sorted times of a run are sent, found by jumps from one to the next."""
+    sent, at = np.zeros(len(times), bool), 0
+    while at < len(times):
+        sent[at], last = True, times[at]
+        at = max(at + 1, int(np.searchsorted(times, last + cooldown)) - 1)
+        # the sum may be rounded, the difference decides
+        while at < len(times) and times[at] - last < cooldown:
+            at += 1
+    return sent
+
+
 def suppressed(df: DataFrame, key: str | list[str], at: str, cooldown: float) -> DataFrame:
     """The key columns, ``at`` and sent: an alert is sent unless one of its key was sent within ``cooldown`` before.
 
     Which alerts count depends on which were sent, but never across a pause of ``cooldown``: the first alert after one
-    is sent in any case. So a key's alerts are cut at pauses, and only such runs are folded in order, each in one place. Rows
-    without a time are left out.
+    is sent in any case. So a key's alerts are cut at pauses. Of a run that is shorter than the cooldown the first one alone is
+    sent; only the times of longer runs are followed in order, each run in one place. Rows without a time are left out.
     """
     keys = [key] if isinstance(key, str) else key
     timed = df.select(*keys, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull())
     over = Window.partitionBy(*keys).orderBy(at)
     begins = F.coalesce(F.col(at) - F.lag(at).over(over) >= cooldown, F.lit(True)).cast("int")
     runs = timed.withColumn("__new", begins).withColumn("__run", F.sum("__new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    # the fold of a run: the time of the last alert sent, and whether each was
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("sent"))
-
-    def step(state: Column, t: Column) -> Column:
-        ok = F.coalesce(t - state["last"] >= cooldown, F.lit(True))
-        return F.struct(F.when(ok, t).otherwise(state["last"]).alias("last"), F.array_append(state["sent"], ok).alias("sent"))
-
-    folded = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(at)).alias("__times"))
-    sent = F.aggregate("__times", start, step)["sent"]
-    return folded.select(*keys, F.inline(F.arrays_zip(F.col("__times").alias(at), sent.alias("sent"))))
+    one = Window.partitionBy(*keys, "__run")
+    runs = runs.withColumn("__span", F.max(at).over(one) - F.min(at).over(one)).withColumn("__k", F.row_number().over(one.orderBy(at)))
+    short = runs.where(F.col("__span") < cooldown).select(*keys, at, (F.col("__k") == 1).alias("sent"))
+    columns = [*keys, at]
+
+    def follow(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(at)
+        return batch[columns].assign(sent=sent_of(batch[at].to_numpy(), cooldown))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in timed.schema) + ", sent boolean"
+    long = runs.where(F.col("__span") >= cooldown).select(*columns, "__run")
+    return short.unionByName(long.groupBy(*keys, "__run").applyInPandas(follow, schema))
 
 
 def corroborated(names: DataFrame, sources: DataFrame, key: str, name: str, column: str) -> DataFrame:

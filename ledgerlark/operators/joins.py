@@ -109,15 +109,20 @@ def point_in_interval(
     return best.select(point_key, F.col("b.k").alias(interval_key), (F.col("b.outside") == 0).alias("inside"))
 
 
-def co_occurring(bridge: DataFrame, group: str, member: str) -> DataFrame:
+def co_occurring(bridge: DataFrame, group: str, member: str, most: int = 2048) -> DataFrame:
     """Pairs of members of one group with the number of groups that hold both: a, b (a < b), n.
 
-    Repeated members of a group count once. The pairs of a group are its links, so they are made by a join
-    within groups; groups with many thousands of members should be cut before.
+    Repeated members of a group count once. A group of more than ``most`` members is dealt to blocks by their hashes, and its
+    pairs are made for each pair of blocks by itself, so no task makes more than about ``most`` squared at once; a smaller
+    group is one block. The counts are the same.
     """
-    once = bridge.select(group, member).distinct()
-    left, right = once.withColumnRenamed(member, "a"), once.withColumnRenamed(member, "b")
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    once = bridge.select(group, member).where(F.col(group).isNotNull()).distinct()
+    blocks = once.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("__n"))
+    dealt = once.join(blocks, group).withColumn("__own", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    left = dealt.select(group, F.col(member).alias("a"), F.col("__own").alias("__i"), every.alias("__j"))
+    right = dealt.select(group, F.col(member).alias("b"), F.col("__own").alias("__j"), every.alias("__i"))
+    return left.join(right, [group, "__i", "__j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def fallback_lookup(keys: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:

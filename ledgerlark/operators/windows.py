@@ -122,18 +122,18 @@ def merge_turns(df: DataFrame, group: str, max_gap: float = 2.0, max_words: int
     turns = counts.groupBy(group, "__run").applyInPandas(cut, f"__g {kind}, __at int, __turn bigint")
     rows = rows.join(turns, F.col("__g").eqNullSafe(F.col(group)) & (F.col("__at") == F.col("__i")), "left")
     one = F.struct("__i", "start", "end", "text", "sentiment")
-    whole = rows.groupBy(group, "__run", F.coalesce("__turn", F.lit(0)).alias("__turn")).agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(one)).alias("u"))
+    whole = rows.groupBy(group, "__run", F.coalesce("__turn", F.lit(0)).alias("__turn")).agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(one)).alias("__u"))
     number = F.row_number().over(Window.partitionBy(group).orderBy("__run", "__turn")) - 1
-    felt = F.filter("u", lambda x: x["sentiment"].isin(*EXPRESSIVE))
-    first = F.col("u")[0]
+    felt = F.filter("__u", lambda x: x["sentiment"].isin(*EXPRESSIVE))
+    first = F.col("__u")[0]
     return whole.select(
         group,
         number.alias("turn_no"),
         "speaker",
         first["start"].alias("start"),
-        F.element_at("u", -1)["end"].alias("end"),
-        F.array_join(F.transform("u", lambda x: x["text"]), " ").alias("text"),
-        F.size("u").alias("n_merged"),
+        F.element_at("__u", -1)["end"].alias("end"),
+        F.array_join(F.transform("__u", lambda x: x["text"]), " ").alias("text"),
+        F.size("__u").alias("n_merged"),
         F.when(first["sentiment"] == "neutral", F.coalesce(F.get(felt, F.lit(0))["sentiment"], F.lit("neutral"))).otherwise(first["sentiment"]).alias("sentiment"),
     )
 
