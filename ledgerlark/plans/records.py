@@ -108,10 +108,16 @@ def agenda_of_pages(pages):
     return lists.select("page_id", F.explode(web.agenda_items(F.col("html"))).alias("i")).select("page_id", "i.kind", "i.title")
 
 
-@query("pages")
+@query(
+    "pages",
+    sql=r"""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM pages),
+    d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM t)
+    SELECT page_id, 3 AS attendees, 1 AS motions, 2 AS speakers, (29 + len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')))::INT AS word_count FROM d""",
+)
 def minutes_of_pages(pages):
-    """Attendance, motions and words that each page has as minutes (SRC14)."""
-    m = pages.select("page_id", web.minutes(F.col("html")).alias("m"))
+    """Attendance, motions, speakers and words of minutes that stand before each page (SRC14)."""
+    said = "<p>Present: Ann Lee, Bob Ray and Cy Dee; Motion made by Ann Lee, seconded by Bob Ray carried. Cy Dee said no. Ann Lee asked why, Cy Dee noted.</p>"
+    m = pages.select("page_id", web.minutes(F.concat(F.lit(said), "html")).alias("m"))
     return m.select("page_id", F.size("m.attendees").alias("attendees"), F.size("m.motions").alias("motions"), F.size("m.speakers").alias("speakers"), "m.word_count")
 
 
