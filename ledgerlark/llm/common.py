@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Within it, the files of a query's shuffles go as soon as the query has ended, not when the driver next collects garbage.
+
+    It is for steps that are written one by one, as no later query reads what they shuffled.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that was written here and that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Let Arrow batches hold at most ``rows`` rows, as single texts may be very long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import cut, pieces_of, shared_folder, small_batches
+from .common import cut, pieces_of, remove, shared_folder, shuffles_let_go, small_batches
 
 LONGEST = 5
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -77,7 +77,8 @@ def _arrays(tokens: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _added(tables: list[pa.Table], keys: list[str], how: list[tuple[str, str]], schema: pa.Schema) -> pa.Table:
-    whole = pa.concat_tables(tables).group_by(keys).aggregate(how)
+    # neighbours with the same first word take less room in shuffles
+    whole = pa.concat_tables(tables).group_by(keys).aggregate(how).sort_by(keys[0])
     return whole.rename_columns([*keys, *(c for c, _ in how)]).select(schema.names).cast(schema)
 
 
@@ -220,7 +221,7 @@ def count_phrases(stored: DataFrame, words: DataFrame, n_words: int, folder: str
     """w1 to w5 and n of all phrases of two words or more that are found ``least`` times, in the shards of ``stored``.
 
     ``words`` (h, n) are the words found so often. Counts of phrases under way are a table of their own
-    after each step, so a lost executor costs one step at most.
+    after each step, so a lost executor costs one step at most; the table before is deleted then.
     """
     spark = stored.sparkSession
     bits = int(np.clip(int(4 * LONGEST * n_words / least).bit_length(), *BITS))
@@ -237,8 +238,10 @@ def count_phrases(stored: DataFrame, words: DataFrame, n_words: int, folder: str
         state = found if state is None else state.unionByName(found)
         # tasks have added up their own counts before; whoever has had a full cycle and not reached the threshold can go
         sums = state.repartition(*W).groupBy(W).agg(F.sum("n").alias("n"), F.min("since").alias("since"))
-        sums.where((F.col("n") >= least) | (F.col("since") > step - shards + 1)).write.parquet(f"{folder}/{step}")
+        sums = sums.where((F.col("n") >= least) | (F.col("since") > step - shards + 1))
+        sums.sortWithinPartitions(*W[:2]).write.parquet(f"{folder}/{step}")
         state = spark.read.parquet(f"{folder}/{step}")
+        remove(spark, f"{folder}/{step - 1}")
         # the longest phrases are no part of others
         bitmaps = [*bitmaps[1:], with_bits(state.where((F.col("n") >= least) & (F.col(W[-1]) == 0)), now)]
         step += 1
@@ -253,23 +256,9 @@ def _exact_score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide[0] * wide[1] * 1000, wide[2] * wide[3])
 
 
-def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: int = 100, shards: int = 3) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n and score: the ``first`` phrases of each language whose words belong together most.
-
-    Texts of ``docs`` (text, lang), A-Z lower-cased, are cut into pieces at ``.,;:!?`` and line ends, pieces at spaces
-    and tabs into words. Candidates are the phrases of 2 to 5 words of a piece that are found ``least`` times in
-    a language (a, overlaps included). Of the cuts in two parts, found l and r times, the one with the lowest
-    floor(1000 a n / (l r)) counts, the first among equal ones; n are the language's words. A candidate inside a longer one
-    that is found in ``inside`` percent of its places or more is left out. Order: score, a (both descending), phrase
-    in UTF-8 order.
-
-    Null text is empty, null lang is ``und``. Repeated rows count each. No rows, or no candidates, give none. Other
-    columns are ignored. Words are told apart by 64-bit hashes; if two words of a language share one, all is done again
-    with other hashes.
-    """
+def counted(docs: DataFrame, least: int, shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The words found ``least`` times (h, lang, word, n), each language's words (lang, n_lang), and the phrases (w, a)."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    small_batches(spark, 256)
     for seed in range(16):
         folder = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
         stored = store_words(docs, f"{folder}/words", shards, seed)
@@ -282,6 +271,7 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: i
         words = spark.read.parquet(f"{folder}/often")
         if words.where("clash").isEmpty():
             break
+        remove(spark, folder)
     else:
         raise ValueError("hashes of words clash under every seed")
     totals = cut(stored.where("h is not null").groupBy("lang").agg(F.sum("n").alias("n_lang")))
@@ -289,6 +279,30 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: i
     phrases = count_phrases(stored, words, n_words, f"{folder}/counts", least, shards)
     w = F.filter(F.array(*W), lambda x: x != 0)
     found = cut(phrases.select(w.alias("w"), F.col("n").alias("a")))
+    remove(spark, f"{folder}/words")
+    remove(spark, f"{folder}/counts")
+    return words, totals, found
+
+
+def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: int = 100, shards: int = 3) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n and score: the ``first`` phrases of each language whose words belong together most.
+
+    Texts of ``docs`` (text, lang), A-Z lower-cased, are cut into pieces at ``.,;:!?`` and line ends, pieces at spaces
+    and tabs into words. Candidates are the phrases of 2 to 5 words of a piece that are found ``least`` times in
+    a language (a, overlaps included). Of the cuts in two parts, found l and r times, the one with the lowest
+    floor(1000 a n / (l r)) counts, the first among equal ones; n are the language's words. A candidate inside a longer one
+    that is found in ``inside`` percent of its places or more is left out. Order: score, a (both descending), phrase
+    in UTF-8 order.
+
+    Null text is empty, null lang is ``und``. Repeated rows count each. No rows, or no candidates, give none. Other
+    columns are ignored. Words are told apart by 64-bit hashes; if two words of a language share one, all is done again
+    with other hashes.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    small_batches(spark, 256)
+    with shuffles_let_go(spark):
+        words, totals, found = counted(docs, least, shards)
     counts = found.unionByName(words.select(F.array("h").alias("w"), F.col("n").alias("a")))
 
     size = F.size("w")
