@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
-from ledgerlark.operators import chunking, dictionary, gates, graph, names
+from ledgerlark.operators import chapters, chunking, dictionary, gates, graph, names
 
 from .registry import query
 
@@ -81,6 +81,61 @@ def section_chunks(documents):
     return found.select("doc_id", "chunk_index", F.md5("content").alias("digest"), "section", "title")
 
 
+FRONT_LINES = ["§ 9-1. One.      § 9-2. Two.", "[HISTORY: Adopted", "in 1990.]", "GENERAL REFERENCES", "Zoning — See Ch. 230.      Dogs — See", "Ch. 7.", "ARTICLE IV", "General", ""]
+
+
+def _chapters(documents):
+    """Chapters of a code: a document's lines below headings, notes and page numbers; two in three have front matter."""
+    n = lambda i: i.cast("string")
+    heading = lambda i: F.concat(F.lit("§ 9-"), n(i), F.lit(". Part"), F.when(i % 2 == 0, " [Amended 2001]").otherwise(""))
+    around = lambda x, i: F.array(F.when(i % 5 == 0, heading(i)), F.when(i % 7 == 0, n(i)), F.when(i % 11 == 0, "3. Editor's Note: see"), x, F.when(i % 4 == 0, ""))
+    body = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.filter(around(x, i + 1), lambda y: y.isNotNull())))
+    front = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(*[F.lit(x) for x in FRONT_LINES]))
+    return documents.select("doc_id", F.lit("Noise").alias("title"), F.array_join(F.concat(front, body), "\n").alias("text"))
+
+
+_FRONT_SQL = ", ".join(f"'{x}'" for x in FRONT_LINES)
+_LINES_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+    x AS (SELECT doc_id, list_concat(CASE WHEN doc_id % 3 = 0 THEN []::VARCHAR[] ELSE [{_FRONT_SQL}] END, flatten(list_transform(range(1, len(t) + 1), lambda i: list_filter([CASE WHEN i % 5 = 0 THEN '§ 9-' || i || '. Part' || CASE WHEN i % 2 = 0 THEN ' [Amended 2001]' ELSE '' END END,
+      CASE WHEN i % 7 = 0 THEN i::VARCHAR END, CASE WHEN i % 11 = 0 THEN '3. Editor''s Note: see' END, t[i], CASE WHEN i % 4 = 0 THEN '' END], lambda v: v IS NOT NULL)))) AS l FROM d),
+    e AS (SELECT doc_id, unnest(range(len(l)))::INT AS n, unnest(l) AS line, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 4 END AS f FROM x),
+    c AS (SELECT doc_id, n, line, contains(line, ']') AS closes, length(trim(line)) < 60 AND NOT regexp_matches(line, '^\s*[(\[]?[0-9A-Za-z]{{1,4}}[.)\]]\s') AS short,
+      CASE WHEN NOT regexp_matches(line, '\S') THEN 'blank' WHEN regexp_matches(line, '^\s*\d{{1,4}}\s*$') OR trim(line) = 'NOISE' THEN 'mark' WHEN contains(line, '[HISTORY') THEN 'history' WHEN trim(line) = 'GENERAL REFERENCES' THEN 'references'
+      WHEN n >= f AND regexp_matches(line, '^\s*ARTICLE\s+[IVXLC]+[A-Z]*\s*$') THEN 'article' WHEN n >= f AND regexp_matches(line, '^§ 9-\d+\. .*\]$') THEN 'section' WHEN n >= f AND regexp_matches(line, '^§ 9-\d+\. ') THEN 'open'
+      WHEN regexp_matches(line, '^\s*\d{{1,3}}\. Editor''s Note') THEN 'note' ELSE 'plain' END AS k FROM e),
+    s AS (SELECT doc_id, -1 AS n, '' AS kind, 'front' AS st FROM d UNION ALL SELECT doc_id, n, kind,
+        CASE WHEN k = 'blank' THEN CASE WHEN st IN ('note', 'article', 'title') THEN 'body' ELSE st END WHEN k = 'mark' THEN st WHEN k = 'article' THEN 'article' WHEN k = 'section' THEN 'body' WHEN k = 'open' THEN 'title'
+        WHEN kind = 'history' THEN CASE WHEN closes THEN 'front' ELSE 'history' END WHEN kind IN ('references', 'note') THEN kind WHEN st = 'title' THEN 'body' ELSE st END
+      FROM (SELECT c.doc_id, c.n, k, closes, st, CASE WHEN k = 'blank' THEN 'blank' WHEN k = 'mark' THEN 'page mark' WHEN k = 'article' THEN 'article' WHEN k IN ('section', 'open') THEN 'section'
+        WHEN st IN ('front', 'history', 'references') AND k IN ('history', 'references') THEN k WHEN st NOT IN ('front', 'history', 'references') AND k = 'note' THEN 'note'
+        WHEN st = 'front' THEN 'contents' WHEN st = 'history' THEN 'history' WHEN st = 'references' THEN 'reference' WHEN st = 'title' AND short AND k = 'plain' THEN 'section title' WHEN st IN ('title', 'body') THEN 'text'
+        WHEN st = 'note' THEN 'note' ELSE 'article title' END AS kind FROM s JOIN c ON c.doc_id = s.doc_id AND c.n = s.n + 1)),
+    a AS (SELECT doc_id, n AS line, kind, (sum((kind IN ('article', 'section'))::INT) OVER (PARTITION BY doc_id ORDER BY n))::INT AS item, c.line AS content FROM s JOIN c USING (doc_id, n))"""
+
+
+@query("documents", sql=_LINES_SQL + " SELECT doc_id, line, kind, item, md5(content) AS digest FROM a")
+def code_lines(documents):
+    """What each line of a code's chapters is (SRC16)."""
+    lines = chapters.chapter_lines(_chapters(documents), "doc_id", "text", "title")
+    return lines.select("doc_id", "line", "kind", "item", F.md5("content").alias("digest"))
+
+
+@query(
+    "documents",
+    sql=_LINES_SQL
+    + r""", g AS (SELECT doc_id, item, min(kind) FILTER (kind IN ('article', 'section')) AS kind, string_agg(trim(content), '' ORDER BY line) FILTER (kind IN ('article', 'section')) AS head,
+      string_agg(trim(content), ' ' ORDER BY line) FILTER (kind IN ('article title', 'section title')) AS more, coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (kind = 'text'), '') AS body,
+      coalesce(string_agg(trim(content), ' ' ORDER BY line) FILTER (kind = 'note'), '') AS notes FROM a WHERE item > 0 GROUP BY 1, 2)
+    SELECT doc_id, item, kind, CASE WHEN kind = 'section' THEN regexp_extract(head, '^§ (9-\d+)', 1) ELSE 'IV' END AS label,
+      trim(concat_ws(' ', CASE WHEN kind = 'section' THEN 'Part' END, more)) AS title, CASE WHEN contains(head, '[Amended') THEN 'Amended 2001' END AS amended,
+      md5(body) AS digest, notes, CASE WHEN doc_id % 3 <> 0 THEN 'IV' END AS article FROM g""",
+)
+def code_items(documents):
+    """Articles and sections of a code's chapters, with titles, notes and what was amended (SRC16)."""
+    found = chapters.chapter_items(chapters.chapter_lines(_chapters(documents), "doc_id", "text", "title"), "doc_id")
+    return found.withColumn("digest", F.md5("content")).drop("content")
+
+
 @query(
     "conversations",
     sql=rf"""WITH RECURSIVE c AS (SELECT conv_id, turn AS g, repeat(text || ' ', 4) AS text FROM conversations), s0 AS (SELECT conv_id, g, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM c WHERE length(text) > 300),
