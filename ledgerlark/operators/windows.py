@@ -25,6 +25,12 @@ def order_window(group: list[str], order: list) -> Window:
     return Window.partitionBy(*group).orderBy(*order)
 
 
+def gap(at: str, over: Window) -> Column:
+    """Seconds since the row before in ``over``, with their fractions; null at the first row."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    return (micros - F.lag(micros).over(over)) / 1e6
+
+
 def neighbours(df: DataFrame, group: str, order: str, column: str, reach: int, name: str) -> DataFrame:
     """``df`` with the texts of the rows up to ``reach`` before and after, in order, joined by a line feed."""
     over = Window.partitionBy(group).orderBy(order).rowsBetween(-reach, reach)

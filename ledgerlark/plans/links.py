@@ -253,9 +253,8 @@ def speaker_turn_islands(events):
 def gap_islands(events):
     """Sessions parted by a gap in time (WIN2, WIN3)."""
     order = ["ts", "event_id"]
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(windows.order_window(["user_id"], order)))
     return (
-        windows.islands(events, ["user_id"], order, gap >= 440 * 60)
+        windows.islands(events, ["user_id"], order, windows.gap("ts", windows.order_window(["user_id"], order)) >= 440 * 60)
         .groupBy("user_id", "island")
         .agg(F.count("*").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
     )
@@ -319,8 +318,7 @@ def orphan_turns(conversations):
 def rapid_switch(events):
     """Changes of kind soon after the row before (WIN8)."""
     over = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(over))
-    with_last = events.withColumns({"gap": gap, "kind": F.lag("event_type").over(over)})
+    with_last = events.withColumns({"gap": F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(over)), "kind": F.lag("event_type").over(over)})
     return with_last.where((F.col("gap") < 1800) & (F.col("kind") != F.col("event_type"))).select("event_id")
 
 
