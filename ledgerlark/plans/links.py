@@ -318,7 +318,7 @@ def orphan_turns(conversations):
 def rapid_switch(events):
     """Changes of kind soon after the row before (WIN8)."""
     over = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    with_last = events.withColumns({"gap": F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(over)), "kind": F.lag("event_type").over(over)})
+    with_last = events.withColumns({"gap": windows.gap("ts", over), "kind": F.lag("event_type").over(over)})
     return with_last.where((F.col("gap") < 1800) & (F.col("kind") != F.col("event_type"))).select("event_id")
 
 

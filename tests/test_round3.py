@@ -27,3 +27,9 @@ def test_gap_islands_counts_fractions_of_seconds(spark, folder):
     times = [datetime(2024, 1, 1, 0, 0, 0, 900000), datetime(2024, 1, 1, 7, 20, 0, 100000), datetime(2024, 1, 1, 14, 40, 0, 100000)]
     sf = folder(events=_events(spark, [(i, t, 1, "view", 1.0, "{}") for i, t in enumerate(times)]))
     assert sorted((r.island, r.n) for r in catalog.QUERIES["gap_islands"](spark, sf).collect()) == [(1, 2), (2, 1)]
+
+
+def test_rapid_switch_counts_fractions_of_seconds(spark, folder):
+    rows = [(0, datetime(2024, 1, 1, 0, 0, 0, 900000), 1, "view", 1.0, "{}"), (1, datetime(2024, 1, 1, 0, 30, 0, 100000), 1, "click", 1.0, "{}")]
+    rows += [(2, datetime(2024, 1, 1, 1, 0, 0, 100000), 1, "view", 1.0, "{}")]
+    assert [r.event_id for r in catalog.QUERIES["rapid_switch"](spark, folder(events=_events(spark, rows))).collect()] == [1]
