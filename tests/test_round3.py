@@ -33,3 +33,11 @@ def test_rapid_switch_counts_fractions_of_seconds(spark, folder):
     rows = [(0, datetime(2024, 1, 1, 0, 0, 0, 900000), 1, "view", 1.0, "{}"), (1, datetime(2024, 1, 1, 0, 30, 0, 100000), 1, "click", 1.0, "{}")]
     rows += [(2, datetime(2024, 1, 1, 1, 0, 0, 100000), 1, "view", 1.0, "{}")]
     assert [r.event_id for r in catalog.QUERIES["rapid_switch"](spark, folder(events=_events(spark, rows))).collect()] == [1]
+
+
+def test_selected_headlines_decodes_whole_references_alone(spark, folder):
+    heads = ["Cut off &amp", "Whole &amp; &quot;well&quot;", "Plain &lt;one&gt; &copy"]
+    html = [f"<html><body><nav><a href='/x'>x</a></nav><article><h1>{h}</h1><p>text</p></article></body></html>" for h in heads]
+    sf = folder(pages=spark.createDataFrame([(i, "http://a.b/c", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
+    found = {r.page_id: r.title for r in catalog.QUERIES["selected_headlines"](spark, sf).collect()}
+    assert found == {0: "Cut off &amp", 1: 'Whole & "well"', 2: "Plain &lt;one&gt; &copy"}
