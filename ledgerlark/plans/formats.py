@@ -126,7 +126,7 @@ def agenda_titles(orders):
 
 @query(
     "part",
-    sql="""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'so it is ' || p_name WHEN 1 THEN 'you know when ' || p_name || ' came' ELSE 'it was, fine ' || p_name END AS said FROM part""",
+    sql="""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'so it is ' || p_name WHEN 1 THEN 'you know when ' || p_name || ' came' ELSE 'it was fine ' || p_name END AS said FROM part""",
 )
 def without_fillers(part):
     """Speech without fillers (STR16)."""
@@ -136,7 +136,7 @@ def without_fillers(part):
         .when(k == 1, F.concat(F.lit("you know when "), name, F.lit(" came")))
         .otherwise(F.concat(F.lit("it was, you know, fine "), name))
     )
-    return part.select("p_partkey", text.without_fillers(said).alias("said"))
+    return part.select("p_partkey", text.without_fillers(said, set_off=True).alias("said"))
 
 
 @query(

@@ -41,3 +41,9 @@ def test_selected_headlines_decodes_whole_references_alone(spark, folder):
     sf = folder(pages=spark.createDataFrame([(i, "http://a.b/c", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
     found = {r.page_id: r.title for r in catalog.QUERIES["selected_headlines"](spark, sf).collect()}
     assert found == {0: "Cut off &amp", 1: 'Whole & "well"', 2: "Plain &lt;one&gt; &copy"}
+
+
+def test_without_fillers_takes_both_commas(spark, folder):
+    part = spark.createDataFrame([(0, "red ring"), (1, "red ring"), (2, "red ring")], "p_partkey long, p_name string")
+    found = {r.p_partkey: r.said for r in catalog.QUERIES["without_fillers"](spark, folder(part=part)).collect()}
+    assert found == {0: "so it is red ring", 1: "you know when red ring came", 2: "it was fine red ring"}
