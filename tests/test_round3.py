@@ -47,3 +47,22 @@ def test_without_fillers_takes_both_commas(spark, folder):
     part = spark.createDataFrame([(0, "red ring"), (1, "red ring"), (2, "red ring")], "p_partkey long, p_name string")
     found = {r.p_partkey: r.said for r in catalog.QUERIES["without_fillers"](spark, folder(part=part)).collect()}
     assert found == {0: "so it is red ring", 1: "you know when red ring came", 2: "it was fine red ring"}
+
+
+def test_repaired_times_broadcasts_no_turns(spark, folder):
+    said = "alpha bravo charlie delta echoes foxtrot golfing hotel number"
+    rows = [(1, i, "user", f"{said} {i}") for i in range(300)] + [(2, 0, "user", None)]
+    sf = folder(conversations=spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    found = catalog.QUERIES["repaired_times"](spark, sf)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    # every turn has the words, the earliest wins
+    assert {r.q: r.fixed for r in found.where("q in ('1-0', '1-1', '1-7', '2-0')").collect()} == {"1-0": 4.0, "1-1": 0.0, "1-7": 0.0, "2-0": 4.0}
+
+
+def test_repaired_times_in_blocks(spark):
+    from ledgerlark.operators import gates
+
+    turns = spark.createDataFrame([("m", 20.0 * i, f"turn number {i} speaks of alpha{i} and bravo{i} and charlie{i} today") for i in range(40)], "k string, start double, text string")
+    quotes = spark.createDataFrame([("m", str(i), 0.0, f"turn number {i} speaks of alpha{i} and bravo{i}") for i in range(40)], "k string, q string, at double, quote string")
+    got = {r.q: r.fixed for r in gates.repaired_times(quotes, turns, "k", most=7).collect()}
+    assert got == {str(i): 20.0 * i if i > 1 else 0.0 for i in range(40)}
