@@ -66,3 +66,17 @@ def test_repaired_times_in_blocks(spark):
     quotes = spark.createDataFrame([("m", str(i), 0.0, f"turn number {i} speaks of alpha{i} and bravo{i}") for i in range(40)], "k string, q string, at double, quote string")
     got = {r.q: r.fixed for r in gates.repaired_times(quotes, turns, "k", most=7).collect()}
     assert got == {str(i): 20.0 * i if i > 1 else 0.0 for i in range(40)}
+
+
+def test_name_provenance_sends_no_wider_text(spark):
+    from ledgerlark.operators import gates
+
+    asked = spark.createDataFrame([(1, f"Common N{i}") for i in range(200)], "m int, name string")
+    own = spark.createDataFrame([(1, "nobody", True)], "m int, text string, has_minutes boolean")
+    labels = spark.createDataFrame([], "m int, label string")
+    wider = spark.createDataFrame([(f"common word {i}, then n{i} common",) for i in range(0, 200, 2)], "text string")
+    found = gates.name_provenance(asked, own, labels, wider, "m")
+    # each text shares a word with each name; neither words nor texts are paired with names
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "xxhash64" not in plan
+    assert {r.name: r.verdict for r in found.collect()} == {f"Common N{i}": "none" if i % 2 else "wider source" for i in range(200)}
