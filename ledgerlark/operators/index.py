@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import stems
-from ledgerlark.operators.materialise import shared_folder, written
+from ledgerlark.operators.materialise import shared_folder, small_batches, written
 
 #: Text of a bucket, about, and bounds of the number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 4096
+#: How many texts are cut into terms before their postings leave Python.
+SLICE = 64
 #: A version of more segments than this is merged.
 SEGMENTS = 8
 #: Where this application's indexes are, by what they are of; with the state of the files that they were made of.
@@ -69,7 +71,7 @@ def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             place, words, number, length, digests = [], [], [], [], []
             for i, (whole, digest) in enumerate(zip(batch["__text"].to_pylist(), batch["__digest"].to_pylist(), strict=True)):
                 found = stems.terms(whole)
@@ -83,6 +85,7 @@ def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
             columns += [pa.array(number, pa.int32()), pa.array(length, pa.int32()), pa.array(digests, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [key, "term", "tf", "dl", "digest"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(key, F.col(column).alias("__text"), F.xxhash64(column).alias("__digest"))
     return source.mapInArrow(count, f"{key} {kind}, term string, tf int, dl int, digest bigint")

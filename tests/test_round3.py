@@ -80,3 +80,24 @@ def test_name_provenance_sends_no_wider_text(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "xxhash64" not in plan
     assert {r.name: r.verdict for r in found.collect()} == {f"Common N{i}": "none" if i % 2 else "wider source" for i in range(200)}
+
+
+def test_postings_leave_python_in_small_batches(spark, monkeypatch):
+    from ledgerlark.operators import index
+
+    docs = spark.range(1000).selectExpr("id AS doc_id", "concat('licenses of ', id) AS text").coalesce(1)
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: taken.append((df, f)))
+    index.postings(docs, "doc_id", "text")
+    source, count = taken[0]
+    sizes = [b.num_rows for b in count(iter(source.toArrow().combine_chunks().to_batches()))]
+    # a row for each of three terms and one for the document
+    assert sum(sizes) == 4000 and max(sizes) <= 4 * 64
+
+
+def test_large_paragraph_chunks_takes_small_batches(spark, folder):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    sf = folder(documents=spark.createDataFrame([(1, "One line.\n" * 400)], "doc_id long, text string"))
+    assert all(len(r.content) <= 1500 for r in catalog.QUERIES["large_paragraph_chunks"](spark, sf).collect())
+    assert int(spark.conf.get(key)) <= 512
