@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ledgerlark.functions import text
+from ledgerlark.operators.materialise import small_batches
 
 
 def word_windows(df: DataFrame, key: str, column: str, size: int, overlap: int, least: int = 10) -> DataFrame:
@@ -75,6 +76,7 @@ def _chunks(f):
 
 def paragraph_chunks(df: DataFrame, key: str, column: str, most: int = 800, parted: str = "\n\n", least: int = 0) -> DataFrame:
     """key, chunk_index and content of packed paragraphs (see ``paragraphs_of``)."""
+    small_batches(df.sparkSession)
     cut = _chunks(lambda t: paragraphs_of(t, most, parted, least))
     return df.select(key, F.posexplode(cut(F.col(column))).alias("chunk_index", "content"))
 
@@ -110,6 +112,7 @@ def sections_of(whole: str, small: int = 300, large: int = 2000, least: int = 10
 
 def section_chunks(df: DataFrame, key: str, column: str, **limits: int) -> DataFrame:
     """key, chunk_index, content, section and title of ``sections_of``."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<struct<content:string,section:string,title:string>>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -121,6 +124,7 @@ def section_chunks(df: DataFrame, key: str, column: str, **limits: int) -> DataF
 def timed_pieces(df: DataFrame, most: int = 1500) -> DataFrame:
     """Turns (start, end, text) cut at sentences to pieces of at most ``most`` characters, with the share of the
     turn's time that a piece's characters have."""
+    small_batches(df.sparkSession)
     cut = _chunks(lambda t: split_long(t, most))
     others = [c for c in df.columns if c not in ("start", "end", "text")]
     parts = df.select(*others, "start", "end", F.length("text").alias("n"), F.explode(F.array(cut(F.col("text")))).alias("parts"))
