@@ -101,3 +101,12 @@ def test_large_paragraph_chunks_takes_small_batches(spark, folder):
     sf = folder(documents=spark.createDataFrame([(1, "One line.\n" * 400)], "doc_id long, text string"))
     assert all(len(r.content) <= 1500 for r in catalog.QUERIES["large_paragraph_chunks"](spark, sf).collect())
     assert int(spark.conf.get(key)) <= 512
+
+
+def test_similar_pairs_leaves_out_unfitting_lengths(spark):
+    from ledgerlark.operators import names
+
+    a = spark.createDataFrame([("word " * 20000,), ("Schtzen",), ("Schutzen",), ("Schützen",)], "x string")
+    b = spark.createDataFrame([("Schützen",), ("Schutze",)], "y string")
+    found = names.similar_pairs(a, b, "x", "y", 0.9)
+    assert {(r.x, r.y) for r in found.collect()} == {("Schtzen", "Schützen"), ("Schutzen", "Schutze"), ("Schützen", "Schützen")}
