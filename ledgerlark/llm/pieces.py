@@ -26,6 +26,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: Characters that one call to the library gets, which bounds its memory.
 CALL_CHARS = 1 << 19
+#: Threads of the library in a process, as each keeps memory of its own; it would start one for each core of the machine.
+THREADS = 2
 
 
 @dataclass
@@ -151,6 +153,7 @@ def build(model: Model) -> Tokenizer:
 @lru_cache(maxsize=2)
 def tokenizer(data: bytes) -> Tokenizer:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the first texts are coded
     return build(parse(data))
 
 
@@ -236,8 +239,8 @@ def encode(docs: DataFrame, model: bytes, verify_every: int = 1) -> DataFrame:
                 library = _library(model)
                 for some in _calls([texts[i] for i in own]):
                     part, own = own[: len(some)], own[len(some) :]
-                    right = library.encode(some, num_threads=2)
-                    for i, r, back in zip(part, right, library.decode(right, num_threads=2), strict=True):
+                    right = library.encode(some, num_threads=THREADS)
+                    for i, r, back in zip(part, right, library.decode(right, num_threads=THREADS), strict=True):
                         same[i] = ids[i] == r and decoded[i] == back
             columns = [batch.column(i) for i in range(len(names))]
             columns += [

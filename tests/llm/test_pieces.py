@@ -102,3 +102,22 @@ def test_unigram_model_of_real_size(model, spark):
     total = lambda one: math.fsum(scores[i] for i in one)
     assert all(total(a) >= total(b) - 1e-6 for a, b in zip(ids, right, strict=True))
     assert pieces.decode_ids(made, ids) == [library.decode(i) for i in ids]
+
+
+def test_threads_do_not_follow_the_machine():
+    """Each thread of the library keeps memory, and an executor's share doesn't grow with the machine's cores."""
+    import subprocess
+    import sys
+
+    code = f"""
+from ledgerlark.llm import pieces
+data = pieces.read_model({MODEL_PATH!r})
+count = lambda: int(open('/proc/self/status').read().split('Threads:')[1].split()[0])
+pieces.tokenizer(data)
+before = count()
+pieces.encode_texts(data, ['some words of a text'] * 999)
+print(count() - before)
+"""
+    own = {k: v for k, v in os.environ.items() if k not in ("RAYON_NUM_THREADS", "TOKENIZERS_PARALLELISM", "RAYON_RS_NUM_CPUS")}
+    done = subprocess.run([sys.executable, "-c", code], env=own, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), capture_output=True, text=True, timeout=120)
+    assert int(done.stdout) == 2, done.stderr
