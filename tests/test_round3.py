@@ -2,8 +2,10 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 
+from ledgerlark.operators import gates
 from ledgerlark.plans import catalog
 
 
@@ -110,3 +112,32 @@ def test_similar_pairs_leaves_out_unfitting_lengths(spark):
     b = spark.createDataFrame([("Schützen",), ("Schutze",)], "y string")
     found = names.similar_pairs(a, b, "x", "y", 0.9)
     assert {(r.x, r.y) for r in found.collect()} == {("Schtzen", "Schützen"), ("Schutzen", "Schutze"), ("Schützen", "Schützen")}
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_sent_in_runs_equals_following_each(few):
+    r = np.random.default_rng(4)
+    runs = [np.cumsum(r.choice([0.0, 0.3, 0.5, 2.0], n)) for n in r.integers(1, 60, 200)]
+    end = np.cumsum([len(x) for x in runs])
+    found = gates.sent_in_runs(np.concatenate(runs), np.append(0, end[:-1]), end, 2.0, few)
+    assert found.tolist() == np.concatenate([gates.sent_of(x, 2.0) for x in runs]).tolist()
+
+
+def test_alert_cooldown_follows_runs_over_batches(spark):
+    """Keys share batches, whose number doesn't grow with that of the keys, and a run goes on in the next batch."""
+    r = np.random.default_rng(5)
+    rows = [(k, float(t)) for k in (None, "a", "b") for t in np.cumsum(r.choice([0.0, 0.3, 0.5, 4.0], 300))] + [(f"k{i}", float(i)) for i in range(300)]
+    want, last = [], {}
+    for k, t in sorted(rows, key=lambda x: (x[0] or "", x[1])):
+        sent = k not in last or t - last[k] >= 2.0
+        last[k] = t if sent else last[k]
+        want.append((k, t, sent))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        found = gates.suppressed(spark.createDataFrame(rows, "k string, t double"), "k", "t", 2.0)
+        assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    finally:
+        spark.conf.set(size, before)
