@@ -179,7 +179,7 @@ def name_helpers(customer):
 def ids_in_lists(orders, lineitem):
     """Lists of ids parted by commas, with blanks, empty places and repeats, as sets of numbers (ARR2)."""
     listed = lineitem.groupBy("l_orderkey").agg(F.array_join(F.collect_list(C("l_partkey").cast("string")), ", ,").alias("ids"))
-    found = F.array_sort(text.ids_of(F.concat(C("ids"), F.lit(","), C("ids"))))
+    found = F.sort_array(text.ids_of(F.concat(C("ids"), F.lit(","), C("ids"))))
     return listed.select("l_orderkey", found.alias("ids"), F.size(found).cast("bigint").alias("n"))
 
 

@@ -1,10 +1,13 @@
 """Cases that queries of the library got wrong or couldn't do at size in round 3."""
 
+import time
 from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlark.functions import text
 from ledgerlark.operators import gates
 from ledgerlark.plans import catalog
 
@@ -141,3 +144,18 @@ def test_alert_cooldown_follows_runs_over_batches(spark):
         assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
     finally:
         spark.conf.set(size, before)
+
+
+def test_ids_in_lists_passes_empty_places_by(spark):
+    """A place without a number takes no longer than one with a number."""
+
+    def seconds(place: str) -> float:
+        began = time.perf_counter()
+        lists = spark.range(20_000).select(text.ids_of(F.concat(F.col("id").cast("string"), F.repeat(F.lit(f",{place}"), 200))).alias("ids"))
+        assert lists.agg(F.sum(F.size("ids"))).first()[0] >= 20_000
+        return time.perf_counter() - began
+
+    seconds("7")
+    assert seconds(" ") < 3 * seconds("7") + 1
+    odd = spark.createDataFrame([("3, ,3,\t4 , +5,x,6.5,,-1, 99999999999999999999",), (None,), ("",)], "c string")
+    assert [r.ids for r in odd.select(text.ids_of(F.col("c")).alias("ids")).collect()] == [[3, 4, 5, -1], [], []]
