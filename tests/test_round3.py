@@ -159,3 +159,19 @@ def test_ids_in_lists_passes_empty_places_by(spark):
     assert seconds(" ") < 3 * seconds("7") + 1
     odd = spark.createDataFrame([("3, ,3,\t4 , +5,x,6.5,,-1, 99999999999999999999",), (None,), ("",)], "c string")
     assert [r.ids for r in odd.select(text.ids_of(F.col("c")).alias("ids")).collect()] == [[3, 4, 5, -1], [], []]
+
+
+def test_all_sums_equal_those_of_each_row():
+    r = np.random.default_rng(6)
+    values = [r.choice([0.5, 1.25, 3.0, 7.0, 7.0, 10.01, -2.0, 19.99, 64.0, np.nan], n) * (1 + r.integers(0, 3)) for n in r.integers(0, 14, 400)]
+    values += [None, np.array([2.0**i for i in range(13)]), np.array([1e14, 2e14]), np.array([3.0, 4.0]), np.array([1.0, 2.0])]
+    wanted = np.append([r.choice(v) + r.choice(v) + r.choice([0.0, 0.01, 0.02]) if len(v) else 5.0 for v in values[:400]], [5.0, 4097.0, 3e14, np.nan, 3.01])
+    want = [v is not None and not np.isnan(w) and gates.sums_to([None if np.isnan(x) else x for x in v], w) for v, w in zip(values, wanted, strict=True)]
+    assert gates.all_sums_to(values, wanted).tolist() == want and 50 < sum(want) < 350
+
+
+def test_figures_that_are_near_are_not_added_up(spark, monkeypatch):
+    """Neither do rows of few values go through the sums one by one."""
+    calls = []
+    monkeypatch.setattr(gates, "sums_to", lambda *a: calls.append(a) or False)
+    assert gates.all_sums_to([np.array([1.0, 2.0])] * 3, np.array([3.0, 4.0, np.nan])).tolist() == [True, False, False] and not calls
