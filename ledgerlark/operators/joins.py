@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.materialise import written
+
 
 def nearest_in_group(df: DataFrame, group: str, date: str, key: str, k: int) -> DataFrame:
     """For each row the ``k`` rows of its group that are nearest in date: key, other, days, place.
@@ -109,20 +111,24 @@ def point_in_interval(
     return best.select(point_key, F.col("b.k").alias(interval_key), (F.col("b.outside") == 0).alias("inside"))
 
 
-def co_occurring(bridge: DataFrame, group: str, member: str, most: int = 2048) -> DataFrame:
+def co_occurring(bridge: DataFrame, group: str, member: str, most: int = 2048, pairs: int = 1 << 20) -> DataFrame:
     """Pairs of members of one group with the number of groups that hold both: a, b (a < b), n.
 
     Repeated members of a group count once. A group of more than ``most`` members is dealt to blocks by their hashes, and its
     pairs are made for each pair of blocks by itself, so no task makes more than about ``most`` squared at once; a smaller
-    group is one block. The counts are the same.
+    group is one block. The counts are the same. Pairs hardly repeat within a task, so they are counted after they are dealt to as
+    many tasks as it takes for each to have about ``pairs``.
     """
     once = bridge.select(group, member).where(F.col(group).isNotNull()).distinct()
-    blocks = once.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("__n"))
-    dealt = once.join(blocks, group).withColumn("__own", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
+    blocks = once.groupBy(group).agg(F.count("*").alias("__c"))
+    dealt = once.join(blocks.withColumn("__n", F.ceil(F.col("__c") / most).cast("int")), group)
+    dealt = written(dealt.withColumn("__own", F.pmod(F.xxhash64(member), F.col("__n")).cast("int")))
+    in_all = dealt.agg(F.sum((F.col("__c") - 1) / 2)).first()[0] or 0
     every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
     left = dealt.select(group, F.col(member).alias("a"), F.col("__own").alias("__i"), every.alias("__j"))
     right = dealt.select(group, F.col(member).alias("b"), F.col("__own").alias("__j"), every.alias("__i"))
-    return left.join(right, [group, "__i", "__j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = left.join(right, [group, "__i", "__j"]).where("a < b").select("a", "b")
+    return both.repartition(int(in_all / pairs) + 1, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def fallback_lookup(keys: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:

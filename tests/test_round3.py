@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
-from ledgerlark.operators import gates
+from ledgerlark.operators import gates, joins
 from ledgerlark.plans import catalog
 
 
@@ -175,3 +175,19 @@ def test_figures_that_are_near_are_not_added_up(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(gates, "sums_to", lambda *a: calls.append(a) or False)
     assert gates.all_sums_to([np.array([1.0, 2.0])] * 3, np.array([3.0, 4.0, np.nan])).tolist() == [True, False, False] and not calls
+
+
+def test_cooccurrence_counts_pairs_where_they_are_dealt_to(spark):
+    """More pairs are dealt to more tasks, and the counts are the same."""
+    rows = [(g, m) for g in range(40) for m in range(g % 9)] + [(0, None), (None, 1), (3, 1), (3, 1)]
+    bridge = spark.createDataFrame(rows, "g int, m int")
+    want = {}
+    for g in range(40):
+        for a in range(g % 9):
+            for b in range(a + 1, g % 9):
+                want[a, b] = want.get((a, b), 0) + 1
+    for pairs, most, parts in ((1 << 20, 2048, 1), (50, 2048, 6), (50, 3, 6)):
+        found = joins.co_occurring(bridge, "g", "m", most, pairs)
+        assert {(x.a, x.b): x.n for x in found.collect()} == want
+        assert found.rdd.getNumPartitions() >= parts
+    assert joins.co_occurring(bridge.limit(0), "g", "m").count() == 0
