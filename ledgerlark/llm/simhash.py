@@ -232,6 +232,16 @@ def _bitmaps(shingles: np.ndarray, text: np.ndarray, size: np.ndarray) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(bits >> 6)), pa.int32()), pa.array(longs))
 
 
+def _majorities(shingles: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each text the fingerprint of its set of shingles, signed."""
+    ones = np.zeros((len(size), 64), np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        part, owner = shingles[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), text[at : at + CHUNK]
+        start = np.flatnonzero(np.diff(owner, prepend=-1))
+        ones[owner[start]] += np.add.reduceat(np.unpackbits(part, axis=1, bitorder="little"), start, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<i8").ravel()
+
+
 def _turned(a: str, b: str) -> Column:
     """In how many bits two bitmaps differ, once the longer one is folded to the length of the other."""
     one, two = (F.when(F.size(a) >= F.size(b), F.col(x)).otherwise(F.col(y)) for x, y in ((a, b), (b, a)))
@@ -248,8 +258,9 @@ def near_duplicates(
     """doc_id and group_id (the least doc_id of its group) for every distinct (doc_id, text) of ``docs``.
 
     Texts are alike if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
-    ``similarity`` (over 0.5); groups are exactly the connected components of that. At 0.8, whole-text fingerprints
-    differ in some ten bits, beyond any covering code of useful size; so texts meet at shingles: in one order of all
+    ``similarity`` (over 0.5); groups are exactly the connected components of that. First the SimHash fingerprints of
+    the sets are linked at two differing bits or fewer, and what they link is verified. At 0.8, fingerprints
+    differ in some ten bits, beyond any covering code of useful size; so texts that are still in different groups meet at shingles: in one order of all
     shingles, alike sets share one of their first few (a fifth, at 0.8), at places that leave room for as many in common
     as the similarity needs. Candidates are compared by bitmaps first, which differ in no more bits than the sets in
     shingles; what is left is verified on the whole sets. The order puts the ``most_common`` shingles, counted in one
@@ -267,10 +278,13 @@ def near_duplicates(
     hashed = docs.select("doc_id", F.xxhash64(text, F.lit(7)).alias("text_hash"), text.alias("text"))
     nodes = hashed.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"))
     members = _members(hashed, shingle, similarity, small, most_common, sample)
-    sketch = lambda ids, s, text, size: [ids, size.astype(np.int32), _bitmaps(s, text, size)]
-    bitmaps = _shingled(hashed, shingle, "text_hash bigint, size int, bits array<bigint>", sketch)
-    bitmaps = cut(bitmaps.dropDuplicates(["text_hash"]))
-    links = cut(_alike(hashed, bitmaps, _first_pairs(members, similarity), shingle, similarity))
+    sketch = lambda ids, s, text, size: [ids, size.astype(np.int32), _bitmaps(s, text, size), _majorities(s, text, size)]
+    sketches = _shingled(hashed, shingle, "text_hash bigint, size int, bits array<bigint>, fp bigint", sketch)
+    sketches = cut(sketches.dropDuplicates(["text_hash"]))
+    bitmaps = sketches.drop("fp")
+    near = cut(_alike(hashed, bitmaps, _fingerprint_pairs(sketches.select("text_hash", "fp")), shingle, similarity))
+    roots = cut(components(near).withColumnRenamed("node", "text_hash"))
+    links = cut(near.union(_alike(hashed, bitmaps, _apart(_first_pairs(members, similarity), roots), shingle, similarity)))
     roots = cut(components(links).withColumnRenamed("node", "text_hash"))
     rest = cut(_pairs_apart(members.where("large"), roots, similarity))
     if not rest.isEmpty():
@@ -331,6 +345,22 @@ def _first_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return _ordered(pairs.union(to_center))
 
 
+def _fingerprint_pairs(fps: DataFrame) -> DataFrame:
+    """The pairs of texts that SimHash links: each with the first text of its fingerprint (text_hash, fp), and the first ones of
+    fingerprints that are within distance 2."""
+    firsts = cut(fps.groupBy("fp").agg(F.min("text_hash").alias("first")))
+    same = fps.join(dealt_anew(firsts, "fp"), "fp").where("text_hash <> first").select(F.col("text_hash").alias("a"), F.col("first").alias("b"))
+    close = covering_links(firsts.select("fp")).join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b")
+    return _ordered(same.union(close.select("x", "y")))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose texts aren't in one group yet."""
+    of = lambda end: roots.select(F.col("text_hash").alias(end), F.col("root").alias(f"{end}_root"))
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return known.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
