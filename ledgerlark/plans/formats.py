@@ -383,10 +383,10 @@ def law_blocks(nation):
     sql="SELECT 'd' || doc_id AS stem, md5(text) AS digest FROM documents WHERE length(text) >= 49",
 )
 def text_folder(documents):
-    """A folder of text files, written from the table (each with a line end), read recursively (SRC3)."""
+    """A folder of texts, many to a file, written from the table (each with a line end), read recursively (SRC3)."""
     spark = documents.sparkSession
     folder = files.write_texts(documents.select(F.concat(F.lit("d"), C("doc_id").cast("string")).alias("stem"), F.coalesce("text", F.lit("")).alias("text")))
-    return files.text_files(spark, folder).select(F.regexp_extract("path", r"stem=([^/]+)/", 1).alias("stem"), F.md5(F.substring("text", F.lit(1), F.length("text") - 1)).alias("digest"))
+    return files.text_files(spark, folder, packed=True).select("stem", F.md5(F.substring("text", F.lit(1), F.length("text") - 1)).alias("digest"))
 
 
 @query(

@@ -1,5 +1,7 @@
 """Cases that queries of the library got wrong or couldn't do at size in round 3."""
 
+import hashlib
+import os
 import time
 from datetime import datetime
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import text
 from ledgerlark.operators import gates, joins
 from ledgerlark.plans import catalog
+from ledgerlark.sources import files
 
 
 @pytest.fixture
@@ -191,3 +194,25 @@ def test_cooccurrence_counts_pairs_where_they_are_dealt_to(spark):
         assert {(x.a, x.b): x.n for x in found.collect()} == want
         assert found.rdd.getNumPartitions() >= parts
     assert joins.co_occurring(bridge.limit(0), "g", "m").count() == 0
+
+
+def test_text_folder_keeps_every_row_in_few_files(spark, folder, monkeypatch):
+    said = "\ufeffA text\r\nof \x1d1 more \x1e than \x1d fifty characters, \x1d\x1e and odd ones among them\n"
+    rows = [(i, f"{said}{i}") for i in range(40)] + [(3, said), (3, said), (None, said), (50, "x" * 48), (51, "é" * 49), (52, None), (53, "\n" * 49)]
+    sf = folder(documents=spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    seen, own = [], files.write_texts
+    monkeypatch.setattr(files, "write_texts", lambda df: seen.append(own(df)) or seen[0])
+    found = [(r.stem, r.digest) for r in catalog.QUERIES["text_folder"](spark, sf).collect()]
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    wanted = [(None if i is None else f"d{i}", digest(t)) for i, t in rows if t is not None and len(t) >= 49]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+    written = [f for _, _, names in os.walk(seen[0]) for f in names if f.endswith(".txt")]
+    assert 0 < len(written) <= 3  # a file for each task, not for each text
+
+
+def test_packed_texts_come_back_as_they_were(spark):
+    stems = ["a", "\ufeff", "b\nc", "", "\x1d-", "\x1d2\x1e", None]
+    rows = [(s, f"{i}{t}") for i, s in enumerate(stems) for t in ("", "\x1e\x1e", "\x1d0\x1d1\x1d", "\r\n\n", "one\ntwo")] + [("none", None)]
+    packed = files.write_texts(spark.createDataFrame(rows, "stem string, text string").repartition(2))
+    found = [(r.stem, r.text) for r in files.text_files(spark, packed, least=0, packed=True).collect()]
+    assert sorted(found, key=str) == sorted(((s, f"{t or ''}\n") for s, t in rows), key=str)
