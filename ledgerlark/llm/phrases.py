@@ -1,10 +1,16 @@
 """Phrase collocations by dynamic itemset counting.
 
-Texts are cut into words once; what a task has read is a shard's, and a shard is kept as arrays of word hashes with the
-words' counts. Scans then go round the shards, one a step, and count phrases of all lengths at the same time. A phrase is
-active from the first step before which both its first and its last part (all words but one) have reached the threshold
-in what has been counted so far; it is counted for one full cycle from there, so its count is exact, and counts for
-no longer. Longer phrases start while shorter ones are still under way. It ends when no phrase is active any more.
+Words are counted first; then texts are cut again, and words that have reached the threshold and stand beside another one
+that has are kept as arrays of hashes. What a task has read is a shard's. Scans then go round the shards, one a step, and
+count phrases of all lengths at the same time. A phrase is active from the first step before which both its first and its
+last part (all words but one) have reached the threshold in what has been counted so far; it is counted for one full cycle
+from there, so its count is exact, and counts for no longer. Longer phrases start while shorter ones are still under
+way. It ends when no phrase is active any more.
+
+Most pairs of frequent words are rare, and so are most phrases of two frequent pairs. So before the first step these are counted
+by 40 bits of their hashes alone (after Park, Chen and Yu), two numbers a row instead of all words, and only those whose bits
+have reached the threshold become active. Phrases that share bits are counted too high there, never too low, and those that
+become active are counted exactly.
 
 Tasks learn which phrases have reached the threshold from a bitmap of their hashes, whose size is set beforehand by the
 number of words and bounded. The bitmap before a step tells what is active, the one a cycle earlier what has been counted
@@ -19,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +42,19 @@ _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
 ARRAY_WORDS = 1 << 13
 #: Rows of a task's counts that are added up at once, characters that are cut and words that are scanned at once.
 ROWS, CUT_CHARS, SCAN_WORDS = 1 << 18, 1 << 19, 1 << 17
+#: Lengths that are counted by bits of hashes first, rows of a task's counts of these that are added up at once, and which bits those are.
+SIFTED, SIFTED_ROWS, SIFTED_BITS = (2, 3), 1 << 20, np.uint64(2**64 - 2**24)
 #: Logarithms of the least and the largest number of bits.
 BITS = (16, 29)
 W = [f"w{i}" for i in range(1, LONGEST + 1)]
+#: The columns of a phrase beyond its first word, of one that has no more.
+NO_WORDS = [f"bigint(0) as {w}" for w in W[1:]]
 WORDS = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("word", pa.string()), ("high", pa.string()), ("n", pa.int64())])
-STORED = "shard int, lang string, h bigint, word string, high string, n bigint, tokens array<bigint>"
+COUNTED = "lang string, h bigint, word string, high string, n bigint"
+TOKENS = pa.schema([("shard", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+STORED = "shard int, tokens array<bigint>"
+#: Bytes of different words that a file of arrays may write once and number.
+DICTIONARY = 1 << 22
 COUNTS = pa.schema([(w, pa.int64()) for w in W] + [("n", pa.int64())])
 
 
@@ -48,8 +63,8 @@ def _mixed(seed: int, lang: str) -> np.uint64:
     return flat.mix(own[:1] + np.uint64(seed) * flat.BASE + np.uint64(1))[0]
 
 
-def cut_words(texts: list[str], salt: np.uint64) -> tuple[np.ndarray, pa.Table]:
-    """Hashes of the texts' words with a 0 before each piece, and the distinct words as h, word, n."""
+def cut_words(texts: list[str], salt: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, A-Z lower-cased; where each word begins and ends, its hash, and whether it is the first of a piece."""
     raw = flat.LOWERED[np.frombuffer("".join(f"{t}\n" for t in texts).encode(), np.uint8)]
     kind = _KIND[raw]
     edge = np.diff(np.concatenate([[0], (kind == 0).view(np.int8), [0]]))
@@ -58,11 +73,26 @@ def cut_words(texts: list[str], salt: np.uint64) -> tuple[np.ndarray, pa.Table]:
     h = flat.mix(w.hashes() ^ salt)
     h[h == 0] = 1
     piece = np.cumsum(kind == 2)[start] if len(start) else start
-    first = np.flatnonzero(np.diff(piece, prepend=-1))
+    return raw, start, end, h, np.diff(piece, prepend=-1) != 0
+
+
+def distinct_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> pa.Table:
+    """The distinct words as h, word, n."""
     keys, at, n = np.unique(h, return_index=True, return_counts=True)
     data = raw.tobytes()
     words = pa.array([data[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
-    return np.insert(h, first, 0), pa.table({"h": keys.view(np.int64), "word": words, "n": n})
+    return pa.table({"h": keys.view(np.int64), "word": words, "n": n})
+
+
+def beside_each_other(h: np.ndarray, first: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Hashes of the words with a bit in ``often`` that stand beside another one in their piece, with a 0 before each run of them."""
+    if not len(h):
+        return h
+    kept = _has(often, h)
+    joined = np.zeros(len(h) + 1, bool)  # whether a word belongs to the one before
+    joined[1:-1] = kept[1:] & kept[:-1] & ~first[1:]
+    at = np.flatnonzero(joined[:-1] | joined[1:])
+    return np.insert(h[at], np.flatnonzero(~joined[at]), 0)
 
 
 def _arrays(tokens: np.ndarray) -> Iterator[np.ndarray]:
@@ -83,48 +113,63 @@ def _added(tables: list[pa.Table], keys: list[str], how: list[tuple[str, str]],
 
 
 SUMS = [("word", "min"), ("high", "max"), ("n", "sum")]
-ROW = pa.schema([("shard", pa.int32()), *WORDS, ("tokens", pa.list_(pa.int64()))])
-
 
-def _rows(shard: int, size: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    own = {"shard": pa.array(np.full(size, shard, np.int32))} | columns
-    return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(size, f.type)) for f in ROW], schema=ROW)
 
-
-def cut_batches(batches: Iterator[pa.RecordBatch], shard: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``STORED`` from batches of lang and text."""
+def _cut(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str, tuple[np.ndarray, ...]]]:
+    """What ``cut_words`` gives for some texts of a language at a time, of batches of lang and text."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives memory back that a pool of its own would keep
-    held, size = [], 0
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in dict.fromkeys(langs):
             own = [t for x, t in zip(langs, texts, strict=True) if x == lang and t]
             for i, j in pieces_of(own, CUT_CHARS):
-                tokens, words = cut_words(own[i:j], _mixed(seed, lang))
-                words = words.append_column("high", words["word"]).append_column("lang", pa.array([lang] * len(words), pa.string()))
-                held.append(words.select(WORDS.names).cast(WORDS))
-                size += len(words)
-                for part in _arrays(tokens):
-                    yield _rows(shard, 1, {"tokens": pa.array([part.view(np.int64)], pa.list_(pa.int64()))})
+                yield lang, cut_words(own[i:j], _mixed(seed, lang))
+
+
+def count_words(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``WORDS`` from batches of lang and text; ``high``, the last of the words with a hash, is null if all are the same."""
+    held, size = [], 0
+
+    def rows(words: pa.Table) -> Iterator[pa.RecordBatch]:
+        same = pc.equal(words["word"], words["high"])
+        yield from words.set_column(3, "high", pc.if_else(same, pa.scalar(None, pa.string()), words["high"])).to_batches(1 << 16)
+
+    for lang, (raw, start, end, h, _) in _cut(batches, seed):
+        words = distinct_words(raw, start, end, h)
+        words = words.append_column("high", words["word"]).append_column("lang", pa.array([lang] * len(words), pa.string()))
+        held.append(words.select(WORDS.names).cast(WORDS))
+        size += len(words)
         if size >= ROWS:
             held = [_added(held, ["lang", "h"], SUMS, WORDS)]
             if (size := len(held[0])) >= ROWS // 2:
-                for b in held.pop().to_batches(1 << 16):
-                    yield _rows(shard, b.num_rows, dict(zip(WORDS.names, b.columns, strict=True)))
+                yield from rows(held.pop())
                 size = 0
     if held:
-        for b in _added(held, ["lang", "h"], SUMS, WORDS).to_batches(1 << 16):
-            yield _rows(shard, b.num_rows, dict(zip(WORDS.names, b.columns, strict=True)))
+        yield from rows(_added(held, ["lang", "h"], SUMS, WORDS))
 
 
 def store_words(docs: DataFrame, folder: str, shards: int, seed: int) -> DataFrame:
-    """The words of ``docs`` (lang, text) written to ``folder`` by shard: arrays of hashes, and each task's words with their counts."""
+    """The words of ``docs`` (lang, text), each task's with their counts, written to ``folder``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from count_words(batches, seed)
+
+    docs.mapInArrow(run, COUNTED).write.parquet(folder)
+    return docs.sparkSession.read.schema(COUNTED).parquet(folder)
+
+
+def store_tokens(docs: DataFrame, folder: str, shards: int, seed: int, often: np.ndarray) -> DataFrame:
+    """Arrays of the hashes of words of ``docs`` (lang, text) that have a bit in ``often``, written to ``folder`` by shard."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from cut_batches(batches, TaskContext.get().partitionId() % shards, seed)
+        shard = TaskContext.get().partitionId() % shards
+        for _, (_, _, _, h, first) in _cut(batches, seed):
+            for part in _arrays(beside_each_other(h, first, sent.value)):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part.view(np.int64)], TOKENS.field(1).type)], schema=TOKENS)
 
     # a file holds one shard, so that the statistics in it tell readers of others to skip it
-    docs.mapInArrow(run, STORED).write.parquet(folder)
+    docs.mapInArrow(run, STORED).write.option("parquet.dictionary.page.size", DICTIONARY).parquet(folder)
     return docs.sparkSession.read.schema(STORED).parquet(folder)
 
 
@@ -134,8 +179,11 @@ def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def active(tokens: np.ndarray, now: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, places, hashes) of the phrases that are active under the bitmap ``now`` and were not under ``before``."""
+def active(tokens: np.ndarray, now: np.ndarray, before: np.ndarray, sifted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, hashes) of the phrases that are active under the bitmap ``now`` and were not under ``before``.
+
+    Of the lengths ``SIFTED`` only those with a bit in ``sifted`` can be.
+    """
     h = tokens
     places = np.arange(len(tokens))
     reached = (tokens != 0) & _has(now, h)
@@ -145,6 +193,9 @@ def active(tokens: np.ndarray, now: np.ndarray, before: np.ndarray) -> Iterator[
         places = np.flatnonzero(both)
         hash_of = np.zeros(len(tokens), np.uint64)
         h = flat.mix(h[places] * flat.BASE + tokens[places + k - 1])
+        if k in SIFTED and sifted is not None:
+            can = _has(sifted, h)
+            places, h = places[can], h[can]
         counted = known[places] & known[places + 1]
         yield k, places[~counted], h[~counted]
         reached, known = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
@@ -164,12 +215,12 @@ def _parts(arrays: pa.ListArray) -> Iterator[np.ndarray]:
         at = stop
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], now: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+def count_batches(batches: Iterator[pa.RecordBatch], now: np.ndarray, before: np.ndarray, sifted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of ``COUNTS`` from batches of arrays of words."""
     pa.set_memory_pool(pa.system_memory_pool())
     held, size = [], 0
     for tokens in (part for batch in batches for part in _parts(batch.column(0))):
-        for k, places, h in active(tokens, now, before):
+        for k, places, h in active(tokens, now, before, sifted):
             if len(places):
                 _, first, n = np.unique(h, return_index=True, return_counts=True)
                 at = places[first]
@@ -185,16 +236,16 @@ def count_batches(batches: Iterator[pa.RecordBatch], now: np.ndarray, before: np
         yield from _added(held, W, [("n", "sum")], COUNTS).to_batches(1 << 16)
 
 
-def scan(stored: DataFrame, now: np.ndarray, before: np.ndarray) -> DataFrame:
+def scan(stored: DataFrame, now: np.ndarray, before: np.ndarray, sifted: np.ndarray) -> DataFrame:
     """How often each active phrase is in ``stored`` (tokens), as w1 to w5 (0 beyond its length) and n."""
     spark = stored.sparkSession
-    sent = spark.sparkContext.broadcast((now, before))
+    sent = spark.sparkContext.broadcast((now, before, sifted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from count_batches(batches, *sent.value)
 
     small_batches(spark, 64)
-    return stored.where("tokens is not null").select("tokens").mapInArrow(run, ", ".join(f"{w} bigint" for w in W) + ", n bigint")
+    return stored.select("tokens").mapInArrow(run, ", ".join(f"{w} bigint" for w in W) + ", n bigint")
 
 
 def with_bits(phrases: DataFrame, bitmap: np.ndarray) -> np.ndarray:
@@ -217,24 +268,73 @@ def with_bits(phrases: DataFrame, bitmap: np.ndarray) -> np.ndarray:
     return found.view(np.uint8)
 
 
-def count_phrases(stored: DataFrame, words: DataFrame, n_words: int, folder: str, least: int, shards: int) -> DataFrame:
+def sift_batches(batches: Iterator[pa.RecordBatch], length: int, now: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """h (its first bits) and n of the phrases of ``length`` words whose parts have bits in ``now``, from batches of arrays of words."""
+    none = np.zeros_like(now)
+    pa.set_memory_pool(pa.system_memory_pool())
+    held, size = [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        return h[first], np.add.reduceat(n, first)
+
+    def rows(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from pa.table({"h": h.view(np.int64), "n": n}).to_batches(1 << 16)
+
+    for tokens in (part for batch in batches for part in _parts(batch.column(0))):
+        h = next(h for k, _, h in active(tokens, now, none) if k == length)
+        if len(h):
+            held.append(np.unique(h & SIFTED_BITS, return_counts=True))
+            size += len(held[-1][0])
+        if size >= SIFTED_ROWS:
+            held = [added()]
+            if (size := len(held[0][0])) >= SIFTED_ROWS // 2:
+                yield from rows(*held.pop())
+                size = 0
+    if held:
+        yield from rows(*added())
+
+
+def sift(stored: DataFrame, ones: np.ndarray, least: int) -> np.ndarray:
+    """``ones`` with the bits of the phrases of the lengths ``SIFTED`` in ``stored`` (tokens) that can be found ``least`` times."""
+    spark = stored.sparkSession
+    small_batches(spark, 64)
+    now = ones
+    for length in SIFTED:
+        sent = spark.sparkContext.broadcast((length, now))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            yield from sift_batches(batches, *sent.value)
+
+        found = stored.select("tokens").mapInArrow(run, "h bigint, n bigint")
+        # tasks have added up their own counts before
+        sums = found.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        now = with_bits(sums.selectExpr("h as w1", *NO_WORDS), now)
+    return now
+
+
+def count_phrases(stored: DataFrame, ones: np.ndarray, folder: str, least: int, shards: int) -> DataFrame | None:
     """w1 to w5 and n of all phrases of two words or more that are found ``least`` times, in the shards of ``stored``.
 
-    ``words`` (h, n) are the words found so often. Counts of phrases under way are a table of their own
-    after each step, so a lost executor costs one step at most; the table before is deleted then.
+    ``ones`` is the bitmap of the words found so often; without any there is no result. Counts of phrases under way are a table
+    of their own after each step, so a lost executor costs one step at most; the table before is deleted then.
     """
     spark = stored.sparkSession
-    bits = int(np.clip(int(4 * LONGEST * n_words / least).bit_length(), *BITS))
-    ones = words.select(F.col("h").alias("w1"), *[F.lit(0).cast("bigint").alias(w) for w in W[1:]])
-    none = np.zeros(1 << bits >> 3, np.uint8)
+    if not ones.any():
+        return None
+    none = np.zeros_like(ones)
+    sifted = sift(stored, ones, least)
     # the bitmaps before each step of the last cycle and before the next step
-    bitmaps = [none] * shards + [with_bits(ones, none)]
+    bitmaps = [none] * shards + [ones]
     state, step = None, 0
     while not np.array_equal(now := bitmaps[-1], before := bitmaps[0]):
         # all words are known from the start, so pairs that can reach the threshold are active since step 0; of longer
         # phrases the first step that finds them isn't before the one since which they are active
         since = F.when(F.col("w3") == 0, 0).otherwise(F.lit(step)).alias("since")
-        found = scan(stored.where(F.col("shard") == step % shards), now, before).select("*", since)
+        found = scan(stored.where(F.col("shard") == step % shards), now, before, sifted).select("*", since)
         state = found if state is None else state.unionByName(found)
         # tasks have added up their own counts before; whoever has had a full cycle and not reached the threshold can go
         sums = state.repartition(*W).groupBy(W).agg(F.sum("n").alias("n"), F.min("since").alias("since"))
@@ -245,8 +345,6 @@ def count_phrases(stored: DataFrame, words: DataFrame, n_words: int, folder: str
         # the longest phrases are no part of others
         bitmaps = [*bitmaps[1:], with_bits(state.where((F.col("n") >= least) & (F.col(W[-1]) == 0)), now)]
         step += 1
-    if state is None:
-        return ones.withColumn("n", F.lit(0).cast("bigint")).limit(0)
     return state.where(F.col("n") >= least).drop("since")
 
 
@@ -264,7 +362,7 @@ def counted(docs: DataFrame, least: int, shards: int) -> tuple[DataFrame, DataFr
         stored = store_words(docs, f"{folder}/words", shards, seed)
         # tasks have added up their own words before, so rows are dealt as they are
         each = stored.where("h is not null").repartition("h").groupBy("h").agg(
-            F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("word").alias("word"), F.max("high").alias("high"), F.sum("n").alias("n")
+            F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("word").alias("word"), F.max(F.coalesce("high", "word")).alias("high"), F.sum("n").alias("n")
         )
         each = each.withColumn("clash", (F.col("word") != F.col("high")) | (F.col("lang") != F.col("other")))
         each.where((F.col("n") >= least) | F.col("clash")).write.parquet(f"{folder}/often")
@@ -276,10 +374,16 @@ def counted(docs: DataFrame, least: int, shards: int) -> tuple[DataFrame, DataFr
         raise ValueError("hashes of words clash under every seed")
     totals = cut(stored.where("h is not null").groupBy("lang").agg(F.sum("n").alias("n_lang")))
     n_words = totals.agg(F.sum("n_lang")).first()[0] or 0
-    phrases = count_phrases(stored, words, n_words, f"{folder}/counts", least, shards)
+    remove(spark, f"{folder}/words")
+    bits = int(np.clip(int(4 * LONGEST * n_words / least).bit_length(), *BITS))
+    ones = with_bits(words.selectExpr("h as w1", *NO_WORDS), np.zeros(1 << bits >> 3, np.uint8))
+    tokens = store_tokens(docs, f"{folder}/tokens", shards, seed, ones)
+    phrases = count_phrases(tokens, ones, f"{folder}/counts", least, shards)
+    if phrases is None:
+        phrases = words.selectExpr("h as w1", *NO_WORDS, "n").limit(0)
     w = F.filter(F.array(*W), lambda x: x != 0)
     found = cut(phrases.select(w.alias("w"), F.col("n").alias("a")))
-    remove(spark, f"{folder}/words")
+    remove(spark, f"{folder}/tokens")
     remove(spark, f"{folder}/counts")
     return words, totals, found
 
@@ -295,7 +399,7 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, inside: i
     in UTF-8 order.
 
     Null text is empty, null lang is ``und``. Repeated rows count each. No rows, or no candidates, give none. Other
-    columns are ignored. Words are told apart by 64-bit hashes; if two words of a language share one, all is done again
+    columns are ignored. Texts are read twice. Words are told apart by 64-bit hashes; if two words of a language share one, all is done again
     with other hashes.
     """
     spark = docs.sparkSession

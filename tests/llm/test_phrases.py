@@ -108,3 +108,34 @@ def test_activation_needs_both_parts():
     assert [(k, p.tolist()) for k, p, _ in phrases.active(tokens, full, none)][:3] == [(2, [1, 2, 5]), (3, [1]), (4, [])]
     assert all(not len(p) for _, p, _ in phrases.active(tokens, full, full))
     assert all(not len(p) for _, p, _ in phrases.active(tokens, none, none))
+
+
+def test_rare_words_are_not_kept_nor_rare_pairs_of_frequent_words_scanned(spark, monkeypatch):
+    said = "\n".join(f"w{i} w{j}" for i in range(20) for j in range(20)) + "\nx y rare" * 30 + "".join(f"\nonce{i} z" for i in range(30))
+    kept, scanned, store, scan = [], [], phrases.store_tokens, phrases.scan
+
+    def stored(*args):
+        found = store(*args)
+        kept.extend(h for r in found.collect() for h in r.tokens if h)
+        return found
+
+    def counted(*args):
+        found = scan(*args)
+        scanned.extend(tuple(r)[:5] for r in found.collect())
+        return found
+
+    monkeypatch.setattr(phrases, "store_tokens", stored)
+    monkeypatch.setattr(phrases, "scan", counted)
+    docs = spark.createDataFrame([("en", said)], "lang string, text string")
+    assert {tuple(r) for r in phrases.collocations(docs, least=30).collect()} == plain([("en", said)], 30, 2000)
+    assert len(set(kept)) <= 24 and len(kept) <= 800 + 90  # z stands beside rare words alone
+    assert len(set(scanned)) < 10  # not the 400 pairs that are found once
+
+
+def test_only_words_beside_another_one_stay():
+    h, first = np.array([1, 2, 3, 4, 5], np.uint64), np.array([True, False, False, True, False])
+    full, none = np.full(1 << 13, 255, np.uint8), np.zeros(1 << 13, np.uint8)
+    assert phrases.beside_each_other(h, first, full).tolist() == [0, 1, 2, 3, 0, 4, 5]
+    assert phrases.beside_each_other(h, np.array([True, False, True, True, False]), full).tolist() == [0, 1, 2, 0, 4, 5]
+    assert phrases.beside_each_other(h, first, none).tolist() == []
+    assert phrases.beside_each_other(h[:0], first[:0], full).tolist() == []
