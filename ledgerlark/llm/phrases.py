@@ -1,8 +1,9 @@
 """Phrase collocations by dynamic itemset counting.
 
 Words are counted first; then texts are cut again, and words that have reached the threshold and stand beside another one
-that has are kept as arrays of hashes. What a task has read is a shard's. Scans then go round the shards, one a step, and
-count phrases of all lengths at the same time. A phrase is active from the first step before which both its first and its
+that has are kept as arrays of hashes. Each task deals its arrays to all shards in turn. Scans then go round the shards, one a
+step, and count phrases of all lengths at the same time; a scan has as many tasks as there are cores, as each task gives a
+row for each active phrase it has met, and more tasks mean more rows. A phrase is active from the first step before which both its first and its
 last part (all words but one) have reached the threshold in what has been counted so far; it is counted for one full cycle
 from there, so its count is exact, and counts for no longer. Longer phrases start while shorter ones are still under
 way. It ends when no phrase is active any more.
@@ -42,6 +43,8 @@ _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
 ARRAY_WORDS = 1 << 13
 #: Rows of a task's counts that are added up at once, characters that are cut and words that are scanned at once.
 ROWS, CUT_CHARS, SCAN_WORDS = 1 << 18, 1 << 19, 1 << 17
+#: Different phrases that a task of a scan holds at most before it gives their counts away.
+HELD = 1 << 19
 #: Lengths that are counted by bits of hashes first, rows of a task's counts of these that are added up at once, and which bits those are.
 SIFTED, SIFTED_ROWS, SIFTED_BITS = (2, 3), 1 << 20, np.uint64(2**64 - 2**24)
 #: Logarithms of the least and the largest number of bits.
@@ -166,10 +169,11 @@ def store_tokens(docs: DataFrame, folder: str, shards: int, seed: int, often: np
         shard = TaskContext.get().partitionId() % shards
         for _, (_, _, _, h, first) in _cut(batches, seed):
             for part in _arrays(beside_each_other(h, first, sent.value)):
+                shard = (shard + 1) % shards
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part.view(np.int64)], TOKENS.field(1).type)], schema=TOKENS)
 
-    # a file holds one shard, so that the statistics in it tell readers of others to skip it
-    docs.mapInArrow(run, STORED).write.option("parquet.dictionary.page.size", DICTIONARY).parquet(folder)
+    # a folder holds one shard, and each task's files are in all of them, so every step has work for all cores
+    docs.mapInArrow(run, STORED).write.partitionBy("shard").option("parquet.dictionary.page.size", DICTIONARY).parquet(folder)
     return docs.sparkSession.read.schema(STORED).parquet(folder)
 
 
@@ -218,7 +222,7 @@ def _parts(arrays: pa.ListArray) -> Iterator[np.ndarray]:
 def count_batches(batches: Iterator[pa.RecordBatch], now: np.ndarray, before: np.ndarray, sifted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of ``COUNTS`` from batches of arrays of words."""
     pa.set_memory_pool(pa.system_memory_pool())
-    held, size = [], 0
+    held, size, limit = [], 0, ROWS
     for tokens in (part for batch in batches for part in _parts(batch.column(0))):
         for k, places, h in active(tokens, now, before, sifted):
             if len(places):
@@ -227,11 +231,12 @@ def count_batches(batches: Iterator[pa.RecordBatch], now: np.ndarray, before: np
                 words = [tokens[at + i] if i < k else np.zeros(len(at), np.uint64) for i in range(LONGEST)]
                 held.append(pa.table([*(pa.array(x.view(np.int64)) for x in words), pa.array(n)], schema=COUNTS))
                 size += len(at)
-        if size >= ROWS:
+        if size >= limit:
             held = [_added(held, W, [("n", "sum")], COUNTS)]
-            if (size := len(held[0])) >= ROWS // 2:
+            if (size := len(held[0])) >= HELD:
                 yield from held.pop().to_batches(1 << 16)
                 size = 0
+            limit = size + ROWS
     if held:
         yield from _added(held, W, [("n", "sum")], COUNTS).to_batches(1 << 16)
 
@@ -245,7 +250,10 @@ def scan(stored: DataFrame, now: np.ndarray, before: np.ndarray, sifted: np.ndar
         yield from count_batches(batches, *sent.value)
 
     small_batches(spark, 64)
-    return stored.select("tokens").mapInArrow(run, ", ".join(f"{w} bigint" for w in W) + ", n bigint")
+    # a task for each core: a phrase has a row for each task that meets it, so tasks that grow with the input would
+    # multiply the phrases, which grow with it as well
+    dealt = stored.select("tokens").coalesce(spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, ", ".join(f"{w} bigint" for w in W) + ", n bigint")
 
 
 def with_bits(phrases: DataFrame, bitmap: np.ndarray) -> np.ndarray:

@@ -139,3 +139,63 @@ def test_only_words_beside_another_one_stay():
     assert phrases.beside_each_other(h, np.array([True, False, True, True, False]), full).tolist() == [0, 1, 2, 0, 4, 5]
     assert phrases.beside_each_other(h, first, none).tolist() == []
     assert phrases.beside_each_other(h[:0], first[:0], full).tolist() == []
+
+
+def test_each_phrase_is_given_once_by_each_core_in_a_step(spark, monkeypatch):
+    steps, scan = [], phrases.scan
+
+    def counted(*args):
+        found = scan(*args)
+        steps.append([tuple(r)[:5] for r in found.collect()])
+        return found
+
+    monkeypatch.setattr(phrases, "scan", counted)
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = [("en", f"x y z, one{i}, p q") for i in range(10 * cores)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # no two files in a task
+    try:
+        docs = spark.createDataFrame(rows, "lang string, text string").repartition(5 * cores)
+        found = {tuple(r) for r in phrases.collocations(docs, least=20, shards=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == plain(rows, 20, 2000)
+    assert max(n for step in steps for n in Counter(step).values()) <= cores
+
+
+def test_a_task_deals_its_words_to_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "ARRAY_WORDS", 4)
+    dealt, store = [], phrases.store_tokens
+
+    def stored(*args):
+        found = store(*args)
+        dealt.extend(r.shard for r in found.collect())
+        return found
+
+    monkeypatch.setattr(phrases, "store_tokens", stored)
+    rows = [("en", "a b. c d. a b. c d. " * 10)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(1)
+    assert {tuple(r) for r in phrases.collocations(docs, least=20).collect()} == plain(rows, 20, 2000)
+    assert set(dealt) == {0, 1, 2}
+
+
+def test_often_words_that_never_stand_together(spark):
+    docs = spark.createDataFrame([("en", "a. b. " * 30)], "lang string, text string")
+    assert phrases.collocations(docs, least=20).count() == 0
+
+
+@pytest.mark.parametrize("held,rows_out", [(8, 2), (1 << 19, 1)])
+def test_counts_of_a_task_stay_until_it_holds_many(monkeypatch, held, rows_out):
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "ROWS", 8)
+    monkeypatch.setattr(phrases, "HELD", held)
+    tokens = [0, *range(1, 12)]
+    batch = pa.RecordBatch.from_arrays([pa.array([tokens], pa.list_(pa.int64()))], ["tokens"])
+    full, none = np.full(1 << 13, 255, np.uint8), np.zeros(1 << 13, np.uint8)
+    given = [tuple(r.values()) for b in phrases.count_batches(iter([batch, batch]), full, none, full) for r in b.to_pylist()]
+    expected = Counter(tuple(tokens[i : i + k]) + (0,) * (5 - k) for k in range(2, 6) for i in range(1, 13 - k))
+    assert max(Counter(r[:5] for r in given).values()) == rows_out
+    summed = Counter()
+    for *w, n in given:
+        summed[tuple(w)] += n
+    assert summed == Counter({w: 2 * n for w, n in expected.items()})
