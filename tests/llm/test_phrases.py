@@ -199,3 +199,40 @@ def test_counts_of_a_task_stay_until_it_holds_many(monkeypatch, held, rows_out):
     for *w, n in given:
         summed[tuple(w)] += n
     assert summed == Counter({w: 2 * n for w, n in expected.items()})
+
+
+def plain_by_index(rows, least, first):
+    """What ``plain`` gives, each phrase looked up from the longer ones, so that it is done with many phrases as well."""
+    f, total, found = defaultdict(Counter), Counter(), set()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = tuple(re.findall(r"[^\x20\x09]+", piece))
+            total[lang] += len(w)
+            for k in range(1, 6):
+                f[lang].update(w[i : i + k] for i in range(len(w) - k + 1))
+    for lang, counts in f.items():
+        often = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        longest = Counter()
+        for q, b in often.items():
+            for p in {q[i : i + n] for n in range(2, len(q)) for i in range(len(q) - n + 1)}:
+                longest[p] = max(longest[p], b)
+        ranked = []
+        for p, a in often.items():
+            if longest[p] < a:
+                score, k = min((1000 * a * total[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+                ranked.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        for i, (score, a, p, left, right) in enumerate(sorted(ranked)[:first]):
+            found.add((lang, i + 1, p.decode(), -a, left, right, total[lang], -score))
+    return found
+
+
+def test_many_phrases_of_long_texts(spark, docs):
+    own = [(r.lang, r.text) for r in docs.collect()]
+    found = phrases.collocations(docs, least=3, first=5)  # extra columns, nulls, texts of 60,000 words
+    assert {tuple(r) for r in found.collect()} == plain_by_index(own, 3, 5)
+
+
+def test_both_plain_ways_agree(rows):
+    assert plain_by_index(rows, 20, 25) == plain(rows, 20, 25)
