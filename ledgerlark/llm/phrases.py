@@ -44,7 +44,7 @@ ARRAY_WORDS = 1 << 13
 #: Rows of a task's counts that are added up at once, characters that are cut and words that are scanned at once.
 ROWS, CUT_CHARS, SCAN_WORDS = 1 << 18, 1 << 19, 1 << 17
 #: Different phrases that a task of a scan holds at most before it gives their counts away.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Lengths that are counted by bits of hashes first, rows of a task's counts of these that are added up at once, and which bits those are.
 SIFTED, SIFTED_ROWS, SIFTED_BITS = (2, 3), 1 << 20, np.uint64(2**64 - 2**24)
 #: Logarithms of the least and the largest number of bits.
