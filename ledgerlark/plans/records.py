@@ -90,11 +90,12 @@ def selected_rows(pages):
 
 @query("pages", sql=r"""SELECT page_id, 0 AS place, trim(regexp_replace(replace(replace(regexp_extract(html, '<article>.*?<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""".replace("\\\\", "\\"))
 def selected_headlines(pages):
-    """The headline of each page's article, found by its place in the page; of references only &amp; and &quot; are decoded,
-    and a part of one that was cut off stays as it is (SRC9)."""
-    pages = pages.withColumn("html", F.regexp_replace("html", "&(?!(?:amp|quot);)", "&amp;"))
-    found = dom.listed(pages, "page_id", "url", "html", dom.Listing(("article.node", "body > article"), ("h2 a", "h1")))
-    return found.select("page_id", "place", "title")
+    """The headline of each page's article, found by its place in the page, however short, and empty without one; of references
+    only &amp; and &quot; are decoded, and a part of one that was cut off stays as it is (SRC9)."""
+    html = F.regexp_replace("html", "&(?!(?:amp|quot);)", "&amp;")
+    found = F.get(dom.rows_of(html, dom.Listing(("article",), ("h1",), least_chars=1)), 0)
+    title = F.when(F.col("html").isNotNull(), F.coalesce(found["title"], F.lit("")))
+    return pages.select("page_id", F.lit(0).alias("place"), title.alias("title"))
 
 
 @query(
