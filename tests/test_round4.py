@@ -1,8 +1,13 @@
 """Cases that queries of the library got wrong or couldn't do at size in round 4."""
 
+import random
+from itertools import combinations
+
 import duckdb
+import numpy as np
 import pytest
 
+from ledgerlark.operators import gates
 from ledgerlark.plans import catalog
 
 
@@ -26,3 +31,24 @@ def test_selected_headlines_keeps_short_ones_and_pages_without(spark, folder):
     sql = catalog.ORACLES["selected_headlines"].replace("FROM pages", f"FROM '{sf}/pages.parquet/*.parquet'")
     found = [tuple(r) for r in catalog.QUERIES["selected_headlines"](spark, sf).collect()]
     assert sorted(found) == sorted(duckdb.sql(sql).fetchall()) and (0, 0, "to.") in found and len(found) == 7
+
+
+def test_sums_of_many_figures_are_found_beyond_the_room():
+    """Six of 120 figures of one half, of which there are fifty million selections; and one range after another."""
+    values = np.unique(np.random.default_rng(3).integers(1, 10**13, 120)) / 100
+    six = float(values[::2][[3, 11, 19, 28, 40, 51]].sum())
+    assert gates.sums_to(list(values), six) and not gates.sums_to(list(values), six + 0.05)
+    assert gates.sums_to(list(values), six, room=20_000) and not gates.sums_to(list(values), six + 0.05, room=20_000)
+
+
+@pytest.mark.parametrize("room", [1, 7, 2_000_000])
+def test_sums_equal_all_selections(room):
+    r, seen = random.Random(room), set()
+    for _ in range(150):
+        values = [r.randrange(1, r.choice([30, 5000, 100000])) / 100 for _ in range(r.randrange(13))]
+        wanted = round(sum(r.sample(values, min(len(values), r.randrange(1, 8)))) + r.choice([0.0, 0.01, 0.02, -0.03]), 2)
+        cents = sorted({round(v * 100) for v in values if v <= wanted + 0.01})
+        want = any(abs(sum(s) - round(wanted * 100)) <= 1 for k in range(2, 7) for s in combinations(cents, k))
+        assert gates.sums_to([*values, None], wanted, room=room) == want, (values, wanted)
+        seen.add(want)
+    assert seen == {True, False}
