@@ -1,5 +1,6 @@
 """Cases that queries of the library got wrong or couldn't do at size in round 4."""
 
+import hashlib
 import random
 from itertools import combinations
 
@@ -52,3 +53,16 @@ def test_sums_equal_all_selections(room):
         assert gates.sums_to([*values, None], wanted, room=room) == want, (values, wanted)
         seen.add(want)
     assert seen == {True, False}
+
+
+def test_spelling_corrections_mends_phrases(spark, folder):
+    """Phrases meet frequent phrases; a frequent one in another form (fewer times) and a rare one are mended, others stay."""
+    said = ["we met at Half Moon Bay, then left"] * 25 + ["we met at HALF MOON BAY, then left"] * 21
+    said += ["seen from Half Moon Bey, it rained", "by Half\nMoon-Bay, it rained", "of Half Noon Boats, it rained", "by Full Moon Party, it rained", None]
+    sf = folder(documents=spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"))
+    found = {r.doc_id: (r.pairs, r.digest) for r in catalog.QUERIES["spelling_corrections"](spark, sf).collect()}
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = {i: ("HALF MOON BAY > Half Moon Bay", digest("we met at Half Moon Bay, then left")) for i in range(25, 46)}
+    want[46] = ("Half Moon Bey > Half Moon Bay", digest("seen from Half Moon Bay, it rained"))
+    want[47] = ("Half\nMoon-Bay > Half Moon Bay", digest("by Half Moon Bay, it rained"))
+    assert found == want
