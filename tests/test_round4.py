@@ -7,8 +7,10 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerlark.operators import gates
+from ledgerlark.functions import text
+from ledgerlark.operators import dictionary, gates
 from ledgerlark.plans import catalog
 
 
@@ -66,3 +68,44 @@ def test_spelling_corrections_mends_phrases(spark, folder):
     want[46] = ("Half Moon Bey > Half Moon Bay", digest("seen from Half Moon Bay, it rained"))
     want[47] = ("Half\nMoon-Bay > Half Moon Bay", digest("by Half Moon Bay, it rained"))
     assert found == want
+
+
+ODD_TEXTS = ["", None, "  ", "Ann O\u2019Lee, İda ILI\u212an; \u212bne 'tis\u0130x", "a\tb\nc\x00d\x0be\u00a0f-g_h", "ÉCOLE Éa Straße ﬁve \U0001f600 x9", "end of", "this one", "Σίσυφος 7 ǅ b"]
+
+
+def test_loosened_bytes_equal_loosened_text(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "i int, t string")
+    want = [r.t for r in docs.orderBy("i").select(text.loose(F.coalesce("t", F.lit(""))).alias("t")).collect()]
+    for size in (1, 9, 1 << 20):
+        for i, t in enumerate(ODD_TEXTS):
+            runs = list(dictionary.runs_of([t or ""], size))
+            found = {run.said(int(at), n)[1:-1] for run in runs for n in (1, 8) for at in run.phrases(n)[0]}
+            words = want[i].split()
+            assert found == {" ".join(words[j : j + n]) for n in (1, 8) for j in range(len(words) - n + 1)}
+
+
+@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 6])
+def test_phrases_held_equal_the_automaton(spark, monkeypatch, most_bits):
+    """Of any number of words, with few bits as well; none reaches from one text into the next."""
+    monkeypatch.setattr(dictionary, "MOST_BITS", most_bits)
+    r = random.Random(5)
+    said = [" ".join(r.choice(["a", "b", "c'", "Dd", "e-e", "é"]) for _ in range(r.randrange(40))) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in said + ODD_TEXTS], "t string").repartition(3)
+    forms = {f" {' '.join(r.choice(['a', 'b', chr(99) + chr(39), 'dd', 'e']) for _ in range(n))} " for n in range(1, 13) for _ in range(40)}
+    forms |= {"  ", " of this ", " end of ", " ann o'lee i da ", " nobody "}
+    entries = spark.createDataFrame([(f,) for f in forms] + [(None,), (" a ",)], "f string")
+    spaced = F.concat(F.lit(" "), text.loose(F.coalesce("t", F.lit(""))), F.lit(" "))
+    want = {x["__entry"] for x in dictionary.held(docs, spaced, entries, "f", keep=[]).collect()}
+    found = [x["__entry"] for x in dictionary.phrases_held(docs, "t", entries, "f").collect()]
+    assert set(found) == want and len(found) == len(want) and " of this " not in want and {"  ", " ann o'lee i da "} <= want
+
+
+def test_name_provenance_reads_wider_texts_once(spark, monkeypatch):
+    """However many names there are: the plan has one pass over the texts."""
+    monkeypatch.setattr(dictionary, "BLOCK_BYTES", 1000)
+    asked = spark.createDataFrame([(1, f"Common N{i}") for i in range(200)], "m int, name string")
+    own = spark.createDataFrame([(1, "nobody", True)], "m int, text string, has_minutes boolean")
+    wider = spark.createDataFrame([(f"common word {i}, then n{i} common",) for i in range(0, 200, 2)], "text string")
+    monkeypatch.setattr(dictionary, "blocks_of", lambda *a: pytest.fail("names in blocks"))
+    found = gates.name_provenance(asked, own, spark.createDataFrame([], "m int, label string"), wider, "m")
+    assert {x.name: x.verdict for x in found.collect()} == {f"Common N{i}": "none" if i % 2 else "wider source" for i in range(200)}
